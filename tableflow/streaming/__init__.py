@@ -1,0 +1,9 @@
+"""Structured Streaming.
+
+The operators here are batch operators over whole tables; none keeps state
+between runs.  Each one takes and returns DataFrames without actions, so
+the transforming ones (projections, filters, substitution, URL split,
+config flattening, skip rules) apply unchanged to a streaming DataFrame,
+and the sinks can run per micro-batch from ``writeStream.foreachBatch``.
+No streaming-specific operator is provided.
+"""
