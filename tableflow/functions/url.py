@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 # URL pieces (RFC 3986 scheme, then authority up to the first
 # "/", "?" or "#", then the path up to "?" or "#").
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)"
-# ";params" after the last "/" is not part of the path.
-_PATH_WITHOUT_PARAMS = r"^((?:.*/)?[^;/]*)"
 
 
 def percent_decode(c: Column) -> Column:
@@ -26,7 +24,8 @@ def object_url_parts(column: str | Column) -> dict[str, Column]:
     absolute URL gives nulls."""
     url = F.col(column) if isinstance(column, str) else column
     is_url = url.rlike(_URL)
-    path = F.regexp_extract(F.regexp_extract(url, _URL, 3), _PATH_WITHOUT_PARAMS, 1)
+    # Object-store schemes take no ";params": a ";" belongs to the key.
+    path = F.regexp_extract(url, _URL, 3)
     key = F.substring(percent_decode(path), 2, 1 << 30)
     return {
         "scheme": F.when(is_url, F.regexp_extract(url, _URL, 1)),

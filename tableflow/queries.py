@@ -685,8 +685,7 @@ _URL_RE = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)"
     ), parts AS (
         SELECT *, regexp_extract(url, '{_URL_RE}', 1) AS scheme,
                regexp_extract(url, '{_URL_RE}', 2) AS bucket,
-               substr(url_decode(regexp_extract(regexp_extract(url, '{_URL_RE}', 3),
-                                                '^((?:.*/)?[^;/]*)', 1)), 2) AS key
+               substr(url_decode(regexp_extract(url, '{_URL_RE}', 3)), 2) AS key
         FROM urls
     )
     SELECT src, id, url, scheme, bucket, key, regexp_extract(key, '([^/]*)$', 1) AS base_name

@@ -8,6 +8,7 @@ the checkpoint folder) when it is unset, which happens in local tests.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -68,5 +69,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, never reused folder under the shared folder."""
-    return f"{shared_dir(spark)}/{_SCRATCH_SUBDIR}/{name}-{uuid.uuid4().hex}"
+    """A new, never reused folder under the shared folder (the name is
+    reduced to characters that are not path globs)."""
+    safe = re.sub(r"[^A-Za-z0-9_.-]+", "-", name)
+    return f"{shared_dir(spark)}/{_SCRATCH_SUBDIR}/{safe}-{uuid.uuid4().hex}"
