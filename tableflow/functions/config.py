@@ -52,13 +52,16 @@ def placeholder_entries(doc: str | Column) -> Column:
         F.coalesce(top, F.array().cast(f"array<{_ENTRY}>")),
         F.coalesce(F.flatten(F.filter(per_job, lambda a: a.isNotNull())), F.array().cast(f"array<{_ENTRY}>")),
     )
+    # A repeated placeholder keeps its first position and its last value.
+    # That costs a search per entry, so it only runs for documents that
+    # repeat one; the common case is a linear `array_distinct` check.
     first = F.filter(
         all_entries,
         lambda e, i: ~F.exists(
             F.slice(all_entries, F.lit(1), i), lambda p: p["placeholder"] == e["placeholder"]
         ),
     )
-    return F.transform(
+    deduped = F.transform(
         first,
         lambda e: F.struct(
             e["placeholder"].alias("placeholder"),
@@ -67,6 +70,9 @@ def placeholder_entries(doc: str | Column) -> Column:
             )["value"].alias("value"),
         ),
     )
+    placeholders = F.transform(all_entries, lambda e: e["placeholder"])
+    unique = F.size(F.array_distinct(placeholders)) == F.size(placeholders)
+    return F.when(unique, all_entries).otherwise(deduped)
 
 
 def flatten_placeholders(

@@ -47,7 +47,7 @@ from tableflow.operators.reconcile import (
     sync_plan,
     upsert,
 )
-from tableflow.plans.bridge import bridge_job
+from tableflow.plans.bridge import bridge_job, bridge_job_from_json
 from tableflow.plans.export import ExportJob, custom_transform, fan_out, guarded_export_step
 from tableflow.session import scratch_path
 from tableflow.sinks.csv import (
@@ -125,6 +125,41 @@ def q_bridge_join(spark, d):
     )
 
 
+_BRIDGE_OUT = (
+    "org_name STRING, s_nationkey INT, p_partkey BIGINT, p_name STRING, p_brand STRING, "
+    "p_type STRING, p_size INT, p_retailprice DOUBLE, l_orderkey BIGINT, l_suppkey BIGINT, "
+    "l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+    "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
+)
+
+
+@register("bridge_join_json", ORACLE_BRIDGE := """
+    SELECT s.s_name AS org_name, s.s_nationkey, p.*, l.* EXCLUDE (l_partkey)
+    FROM part p
+    JOIN lineitem l ON p.p_partkey = l.l_partkey
+    JOIN supplier s ON s.s_suppkey = l.l_suppkey
+    """)
+def q_bridge_join_json(spark, d):
+    """The documented join job end to end: the three inputs as JSON files,
+    scanned recursively with inferred schemas, joined, then typed."""
+    base = scratch_path(spark, "bridge_json")
+    for name in ("supplier", "part", "lineitem"):
+        write_json(table(spark, d, name), f"{base}/{name}")
+    joined = bridge_job_from_json(
+        spark,
+        f"{base}/supplier",
+        f"{base}/part",
+        f"{base}/lineitem",
+        org_drop=["s_acctbal"],
+        org_renames=[("s_suppkey", "org_id"), ("s_name", "org_name")],
+        person_key="p_partkey",
+        membership_person_key="l_partkey",
+        org_key="org_id",
+        membership_org_key="l_suppkey",
+    )
+    return apply_schema(joined, _BRIDGE_OUT)
+
+
 @register(
     "equi_join",
     "SELECT o.*, c.* FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey",
@@ -483,6 +518,27 @@ def q_insert_missing(spark, d):
     return insert_missing(tgt, src, "c_custkey")
 
 
+@register(
+    "upsert_dedup",
+    """
+    WITH src AS (
+        SELECT * FROM conversations WHERE role = 'assistant' AND turn >= 3
+        QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1),
+    tgt AS (SELECT * FROM conversations WHERE turn = 0)
+    SELECT * FROM src
+    UNION ALL
+    SELECT * FROM tgt t WHERE NOT EXISTS (SELECT 1 FROM src s WHERE s.conv_id = t.conv_id)
+    """,
+)
+def q_upsert_dedup(spark, d):
+    """A source with many rows per key: the last one (by ``turn``) replaces
+    the target row; keys without a source row keep the target row."""
+    conv = table(spark, d, "conversations")
+    source = conv.filter((F.col("role") == "assistant") & (F.col("turn") >= 3))
+    target = conv.filter(F.col("turn") == 0)
+    return upsert(target, source, "conv_id", order_by="turn")
+
+
 @register(
     "partition_match",
     """

@@ -40,6 +40,12 @@ def build_session(
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.ansi.enabled", "true")
+        # Broadcast is decided by a size check: a side estimated under the
+        # threshold is broadcast, anything larger stays a sort-merge join.
+        # Parquet decompresses to several times its file size, so count it
+        # three-fold when estimating.
+        .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+        .config("spark.sql.sources.fileCompressionFactor", "3.0")
     )
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
