@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from tableflow.session import shared_dir
 from tableflow.sinks.csv import guarded_csv_export, write_csv
 from tableflow.sources.schema import SchemaLike, apply_schema
 
@@ -45,23 +46,38 @@ def guarded_export_step(
 def fan_out(
     df: DataFrame,
     branches: Mapping[str, Callable[[DataFrame], object]],
-    persist: bool = True,
+    persist: bool | str = True,
     storage_level: StorageLevel = StorageLevel.MEMORY_AND_DISK,
 ) -> dict[str, object]:
-    """Feed one frame to several consumers.
+    """Feed one frame to several consumers, computing the source once.
 
-    With ``persist`` the source is computed once and served from the
-    executors' block stores (spilling to disk); a lost executor's blocks are
-    recomputed from lineage, so the result does not depend on it.  The
-    cache is released when all branches finished.
+    ``persist`` picks how the shared source is held:
+
+    * ``True`` / ``"persist"``: executors' block stores (memory, spilling to
+      disk).  A lost executor's blocks are recomputed from lineage.
+    * ``"checkpoint"``: a reliable checkpoint in the shared checkpoint
+      folder; lineage is cut, so a lost executor never re-reads the source
+      (the choice for a database source, or one too large to cache).
+    * ``False`` / ``"none"``: every branch re-evaluates the source (cheapest
+      when re-reading is cheap, e.g. Parquet).
+
+    The cache is released when all branches finished.
     """
-    if persist:
-        df = df.persist(storage_level)
+    mode = {True: "persist", False: "none"}.get(persist, persist)
+    if mode == "persist":
+        shared = df.persist(storage_level)
+    elif mode == "checkpoint":
+        shared_dir(df.sparkSession)  # make sure a checkpoint folder is registered
+        shared = df.checkpoint(eager=True)
+    elif mode == "none":
+        shared = df
+    else:
+        raise ValueError(f"unknown persist mode {persist!r}")
     try:
-        return {name: branch(df) for name, branch in branches.items()}
+        return {name: branch(shared) for name, branch in branches.items()}
     finally:
-        if persist:
-            df.unpersist()
+        if mode == "persist":
+            shared.unpersist()
 
 
 @dataclass(frozen=True)
@@ -80,7 +96,7 @@ class ExportJob:
     source_name: str = "source"
     target_files: int | None = None
     compression: str = "none"
-    persist: bool = True
+    persist: bool | str = True
 
     def run(self, spark: SparkSession, source: DataFrame) -> Frames:
         typed = apply_schema(source, self.schema)

@@ -40,6 +40,23 @@ def test_fan_out_releases_cache(spark):
     assert not df.is_cached
 
 
+def test_fan_out_modes(spark):
+    df = spark.range(20).selectExpr("id", "id * 2 AS v")
+    for mode in ["persist", "checkpoint", "none"]:
+        res = fan_out(df, {"n": lambda d: d.count(), "s": lambda d: d.agg({"v": "sum"}).first()[0]}, persist=mode)
+        assert res == {"n": 20, "s": 380}, mode
+    import pytest
+    with pytest.raises(ValueError):
+        fan_out(df, {}, persist="bogus")
+
+
+def test_entry_smoke(spark):
+    import __spark_entry__ as entry_mod
+    df = entry_mod.entry(spark)
+    assert df.count() > 0
+    assert set(entry_mod.queries()) == set(entry_mod.oracle_sql())
+
+
 def test_export_job_writes_both_outputs(spark, scratch):
     df = spark.createDataFrame([(1, "a")], "id INT, s STRING")
     job = ExportJob(schema="id BIGINT, s STRING", target_path=scratch("t"), step_path=scratch("s"))
