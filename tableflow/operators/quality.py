@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableflow.operators.filters import prefix_filter
@@ -41,22 +41,19 @@ def keep_last(
     """One row per key: the row with the greatest ``order_by`` value(s).
 
     Spark rows have no order, so "the later definition wins" needs an order
-    column, unique within a key (ties pick any of the tied rows).  Written as
-    an aggregation (``max_by``) rather than a window: the partial aggregate
-    runs before the shuffle, so a key holding a third of all rows is reduced
-    to one row per map task and never lands whole on one reducer.
+    column, unique within a key (ties pick any of the tied rows).  Written
+    as ``row_number() = 1`` over the key: Spark plans it with a partial
+    ``WindowGroupLimit`` before the shuffle, so each map task sends at most
+    one row per key and a key holding a third of all rows never lands whole
+    on one reducer (checked by a plan test).
     """
     key_cols = _as_list(keys)
     order_cols = _as_list(order_by)
-    rest = [c for c in df.columns if c not in key_cols]
-    best = F.max_by(
-        F.struct(*[F.col(f"`{c}`") for c in rest]),
-        F.struct(*[F.col(f"`{c}`") for c in order_cols]),
-    ).alias("__last")
-    agg = df.groupBy(*key_cols).agg(best)
-    return agg.select(*key_cols, *[F.col("__last").getField(c).alias(c) for c in rest]).select(
-        *df.columns
+    rank = "__tableflow_rank"
+    w = Window.partitionBy(*[F.col(f"`{c}`") for c in key_cols]).orderBy(
+        *[F.col(f"`{c}`").desc() for c in order_cols]
     )
+    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) == 1).drop(rank)
 
 
 def preview(df: DataFrame, n: int = 20, order_by: str | Sequence[str] | None = None) -> DataFrame:

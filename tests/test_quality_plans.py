@@ -73,6 +73,13 @@ def test_no_python_udf_and_no_cartesian_in_any_query(spark):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
+def test_keep_last_limits_before_the_shuffle(spark):
+    df = QUERIES["keep_last"](spark, SF_SMALL)
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
 def test_prefix_filter_is_pushed_to_scan(spark):
     plan = plan_text(QUERIES["prefix_filter"](spark, SF_SMALL))
     assert "StringStartsWith(event_type,c)" in plan
