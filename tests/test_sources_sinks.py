@@ -103,3 +103,15 @@ def test_jdbc_options_validation():
     assert "partitionColumn" not in jdbc_options("jdbc:x", "t")
     with pytest.raises(ValueError):
         jdbc_options("jdbc:x", "t", partition_column="id")
+
+
+def test_read_jdbc_reaches_driver_lookup(spark):
+    """No database is started in this build; the reader's wiring is checked
+    up to the JDBC driver lookup (no PostgreSQL driver is on the class path,
+    so nothing is contacted)."""
+    from tableflow.sources.jdbc import read_jdbc
+
+    with pytest.raises(Exception) as err:
+        read_jdbc(spark, "jdbc:postgresql://db.invalid/postgres", "member",
+                  properties={"driver": "org.postgresql.Driver"})
+    assert "org.postgresql.Driver" in str(err.value) or "ClassNotFound" in str(err.value)
