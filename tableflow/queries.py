@@ -48,6 +48,7 @@ from tableflow.operators.reconcile import (
     upsert,
 )
 from tableflow.plans.bridge import bridge_job, bridge_job_from_json
+from tableflow.plans.sync import DefinitionSync
 from tableflow.plans.export import ExportJob, custom_transform, fan_out, guarded_export_step
 from tableflow.session import scratch_path
 from tableflow.sinks.csv import (
@@ -937,3 +938,88 @@ def q_export_job(spark, d):
     return target.select(F.lit("target").alias("branch"), "*").unionByName(
         step.select(F.lit("step").alias("branch"), "*")
     )
+
+
+# ---------------------------------------------------------------- definition sync
+
+_SYNC_MAPPING = [("{assets_path}", "s3://assets-dev"), ("{deploy.glue_role}", "arn:role/dev")]
+
+
+@register(
+    "definition_sync",
+    """
+    WITH defs AS (
+        SELECT c_name, c_mktsegment,
+               CASE WHEN c_mktsegment = 'BUILDING' THEN 'arn:role/dev-v2' ELSE 'arn:role/dev' END AS Role
+        FROM customer),
+    req AS (SELECT c_name AS requested_name FROM customer UNION ALL SELECT s_name FROM supplier),
+    tgt AS (SELECT 'dev-' || c_name AS n FROM customer WHERE c_acctbal > 5000)
+    SELECT r.requested_name,
+           d.c_name IS NOT NULL AS found,
+           CASE WHEN d.c_name IS NOT NULL AND d.c_mktsegment = 'HOUSEHOLD' THEN 'no_dag' END
+             AS skip_reason,
+           CASE WHEN d.c_name IS NULL OR d.c_mktsegment = 'HOUSEHOLD' THEN NULL
+                WHEN EXISTS (SELECT 1 FROM tgt WHERE tgt.n = 'dev-' || d.c_name) THEN 'overwrite'
+                ELSE 'create' END AS action,
+           'dev-' || d.c_name AS Name,
+           d.Role,
+           CASE WHEN d.c_name IS NOT NULL THEN 'glueetl' END AS command_name,
+           's3://assets-dev/scripts/dev-' || d.c_name || '.py' AS script_location,
+           CASE WHEN d.c_name IS NOT NULL THEN 's3://assets-dev/temporary/' END AS temp_dir,
+           CASE WHEN d.c_name IS NOT NULL THEN d.c_mktsegment <> 'HOUSEHOLD' END AS has_dag
+    FROM req r LEFT JOIN defs d ON r.requested_name = d.c_name
+    """,
+)
+def q_definition_sync(spark, d):
+    """Job definitions built from ``customer`` (one redefined later for one
+    segment), requested names from ``customer`` and ``supplier`` (the
+    latter unknown), target jobs = prefixed names of high-balance
+    customers; jobs without a graph are skipped."""
+    c = table(spark, d, "customer")
+
+    def jobs(role: str, seq: int, rows: DataFrame) -> DataFrame:
+        return rows.select(
+            F.col("c_name").alias("Name"),
+            F.lit(role).alias("Role"),
+            F.struct(
+                F.lit("glueetl").alias("Name"),
+                F.concat(F.lit("{assets_path}/scripts/"), F.col("c_name"), F.lit(".py")).alias(
+                    "ScriptLocation"
+                ),
+            ).alias("Command"),
+            F.create_map(F.lit("--TempDir"), F.lit("{assets_path}/temporary/")).alias("DefaultArguments"),
+            F.col("c_nationkey").alias("AllocatedCapacity"),
+            F.col("c_nationkey").alias("MaxCapacity"),
+            F.when(
+                F.col("c_mktsegment") != "HOUSEHOLD",
+                F.create_map(F.lit("node-1"), F.col("c_mktsegment")),
+            ).alias("CodeGenConfigurationNodes"),
+            F.lit(seq).alias("seq"),
+        )
+
+    definitions = jobs("{deploy.glue_role}", 0, c).unionByName(
+        jobs("{deploy.glue_role}-v2", 1, c.filter(F.col("c_mktsegment") == "BUILDING"))
+    )
+    requested = c.select(F.col("c_name").alias("n")).unionByName(
+        table(spark, d, "supplier").select(F.col("s_name").alias("n"))
+    )
+    target = c.filter(F.col("c_acctbal") > 5000).select(F.concat(F.lit("dev-"), F.col("c_name")))
+    sync = DefinitionSync(
+        mapping=_SYNC_MAPPING,
+        name_prefix="dev-",
+        skip_rules=[("no_dag", F.col("CodeGenConfigurationNodes").isNull())],
+        order_by=("seq",),
+    )
+    plan = sync.plan(definitions, target, requested)
+    return plan.select(
+        "requested_name",
+        "found",
+        "skip_reason",
+        "action",
+        "Name",
+        "Role",
+        F.col("Command.Name").alias("command_name"),
+        F.col("Command.ScriptLocation").alias("script_location"),
+        F.try_element_at("DefaultArguments", F.lit("--TempDir")).alias("temp_dir"),
+        F.when(F.col("found"), F.col("CodeGenConfigurationNodes").isNotNull()).alias("has_dag"),
+    )
