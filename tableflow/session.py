@@ -54,6 +54,25 @@ def build_session(
     return spark
 
 
+def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a cluster run, sized from the input volume.
+
+    Shuffle partitions start at ``input_bytes / partition_bytes`` (at least
+    3 per core) so no reducer holds more than ~``partition_bytes`` before
+    AQE coalesces small ones back to the advisory size.  A skewed partition
+    is one over 4x the advisory size (and 5x the median); AQE splits it.
+    Pass the result as ``build_session(..., extra=cluster_conf(...))``.
+    """
+    partitions = max(3 * total_cores, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Base folder shared by driver and executors.
 
