@@ -15,21 +15,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableflow.operators.project import rename_fields
+from tableflow.operators.names import qualified, quote
+
 
 
 def _as_list(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def _tagged(df: DataFrame, tag: str) -> tuple[DataFrame, dict[str, str]]:
-    """``df`` with positional column names (``__<tag>_<i>``), and the map from
-    original to tagged names.  Joining tagged frames is unambiguous even when
-    both sides come from the same source (a self-join)."""
-    names = {c: f"__{tag}_{i}" for i, c in enumerate(df.columns)}
-    return df.select([F.col(f"`{c}`").alias(t) for c, t in names.items()]), names
-
-
 def equi_join(
     left: DataFrame,
     right: DataFrame,
@@ -49,25 +42,24 @@ def equi_join(
     lk, rk = _as_list(left_keys), _as_list(right_keys)
     if len(lk) != len(rk):
         raise ValueError("left_keys and right_keys differ in length")
+    out_right = {c: c for c in right.columns}
     shared = [c for c in right.columns if c in set(left.columns)]
     if shared:
         if on_collision == "error":
             raise ValueError(f"columns on both sides: {shared}; use on_collision='prefix_right'")
         if on_collision != "prefix_right":
             raise ValueError(f"unknown on_collision {on_collision!r}")
-        renames = {c: right_prefix + c for c in shared}
-        clash = [n for n in renames.values() if n in left.columns or n in right.columns]
+        out_right.update({c: right_prefix + c for c in shared})
+        clash = [out_right[c] for c in shared if out_right[c] in left.columns or out_right[c] in right.columns]
         if clash:
             raise ValueError(f"prefixed names already exist: {clash}")
-        right = rename_fields(right, renames)
-        rk = [renames.get(k, k) for k in rk]
-    lt, ln = _tagged(left, "l")
-    rt, rn = _tagged(right, "r")
-    cond = [F.col(ln[a]) == F.col(rn[b]) for a, b in zip(lk, rk)]
-    joined = lt.join(rt, on=cond, how=how)
-    return joined.select(
-        *[F.col(ln[c]).alias(c) for c in left.columns],
-        *[F.col(rn[c]).alias(c) for c in right.columns],
+    # Dataset aliases keep the two sides apart even in a self-join, and
+    # vanish in optimisation: no projection lands between the joins.
+    cond = " AND ".join(f"{qualified('__l', a)} = {qualified('__r', b)}" for a, b in zip(lk, rk))
+    joined = left.alias("__l").join(right.alias("__r"), on=F.expr(cond), how=how)
+    return joined.selectExpr(
+        *[f"{qualified('__l', c)} AS {quote(c)}" for c in left.columns],
+        *[f"{qualified('__r', c)} AS {quote(out_right[c])}" for c in right.columns],
     )
 
 
@@ -107,15 +99,14 @@ def lookup_report(
     nulls and ``found = false`` when there is none.  ``definitions`` must be
     unique per key (see ``quality.keep_last``).
     """
-    nt, nn = _tagged(names, "n")
-    dt, dn = _tagged(definitions, "d")
     marker = "__tableflow_found"
-    dt = dt.withColumn(marker, F.lit(True))
-    joined = nt.join(dt, F.col(nn[name_column]) == F.col(dn[key_column]), "left")
-    return joined.select(
-        *[F.col(nn[c]).alias(c) for c in names.columns],
-        F.coalesce(F.col(marker), F.lit(False)).alias(found_column),
-        *[F.col(dn[c]).alias(c) for c in definitions.columns],
+    defs = definitions.withColumn(marker, F.lit(True))
+    cond = F.expr(f"{qualified('__n', name_column)} = {qualified('__d', key_column)}")
+    joined = names.alias("__n").join(defs.alias("__d"), cond, "left")
+    return joined.selectExpr(
+        *[f"{qualified('__n', c)} AS {quote(c)}" for c in names.columns],
+        f"coalesce({qualified('__d', marker)}, false) AS {quote(found_column)}",
+        *[f"{qualified('__d', c)} AS {quote(c)}" for c in definitions.columns],
     )
 
 

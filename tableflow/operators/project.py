@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableflow.operators.names import quote
+
 
 def drop_fields(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Drop top-level columns; names that are not present are ignored."""
@@ -40,7 +42,7 @@ def rename_fields(
         if new in names:
             raise ValueError(f"rename {old!r} -> {new!r}: column {new!r} already exists")
         names = [new if n == old else n for n in names]
-    return df.select([F.col(f"`{o}`").alias(n) for o, n in zip(df.columns, names)])
+    return df.selectExpr(*[f"{quote(o)} AS {quote(n)}" for o, n in zip(df.columns, names)])
 
 
 def _field_type(df: DataFrame, column: str) -> T.DataType:

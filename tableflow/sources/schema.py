@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableflow.operators.names import quote
+
 SchemaLike = str | T.StructType | Sequence[tuple[str, str]]
 
 
@@ -30,10 +32,26 @@ def apply_schema(df: DataFrame, schema: SchemaLike, missing: str = "error") -> D
     columns."""
     struct = to_struct(schema)
     present = set(df.columns)
+    if any(isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) for f in struct.fields):
+        return _apply_with_columns(df, struct, present, missing)
+    exprs = []
+    for field in struct.fields:
+        name, dtype = quote(field.name), field.dataType.simpleString()
+        if field.name in present:
+            exprs.append(f"CAST({name} AS {dtype}) AS {name}")
+        elif missing == "null":
+            exprs.append(f"CAST(NULL AS {dtype}) AS {name}")
+        else:
+            raise ValueError(f"declared column {field.name!r} not in frame: {df.columns}")
+    return df.selectExpr(*exprs)
+
+
+def _apply_with_columns(df: DataFrame, struct: T.StructType, present: set, missing: str) -> DataFrame:
+    """The same through Column objects (nested types keep any field name)."""
     cols = []
     for field in struct.fields:
         if field.name in present:
-            cols.append(F.col(f"`{field.name}`").cast(field.dataType).alias(field.name))
+            cols.append(F.col(quote(field.name)).cast(field.dataType).alias(field.name))
         elif missing == "null":
             cols.append(F.lit(None).cast(field.dataType).alias(field.name))
         else:

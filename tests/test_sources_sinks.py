@@ -115,3 +115,10 @@ def test_read_jdbc_reaches_driver_lookup(spark):
         read_jdbc(spark, "jdbc:postgresql://db.invalid/postgres", "member",
                   properties={"driver": "org.postgresql.Driver"})
     assert "org.postgresql.Driver" in str(err.value) or "ClassNotFound" in str(err.value)
+
+
+def test_apply_schema_nested_and_odd_names(spark):
+    df = spark.createDataFrame([(1, {"a b": 2})], "`x y` INT, s STRUCT<`a b`: INT>")
+    out = apply_schema(df, "`x y` BIGINT, s STRUCT<`a b`: BIGINT>")
+    assert out.dtypes == [("x y", "bigint"), ("s", "struct<a b:bigint>")]
+    assert out.first()["s"]["a b"] == 2
