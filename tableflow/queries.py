@@ -48,6 +48,7 @@ from tableflow.operators.reconcile import (
     upsert,
 )
 from tableflow.plans.bridge import bridge_job, bridge_job_from_json
+from tableflow.plans.catalog import CatalogSync
 from tableflow.plans.sync import DefinitionSync
 from tableflow.plans.export import ExportJob, custom_transform, fan_out, guarded_export_step
 from tableflow.session import scratch_path
@@ -1023,3 +1024,119 @@ def q_definition_sync(spark, d):
         F.try_element_at("DefaultArguments", F.lit("--TempDir")).alias("temp_dir"),
         F.when(F.col("found"), F.col("CodeGenConfigurationNodes").isNotNull()).alias("has_dag"),
     )
+
+
+# ---------------------------------------------------------------- catalog sync
+
+_CATALOG_MAPPING = [("{env}", "dev"), ("{bucket}", "s3://data-dev")]
+
+
+def _catalog_inputs(spark, d):
+    """database -> table -> partition built from customer -> orders ->
+    lineitem, with system fields, placeholders, resource links and governed
+    tables; targets: high-balance customers, urgent orders, shipped lines."""
+    c, o, li = table(spark, d, "customer"), table(spark, d, "orders"), table(spark, d, "lineitem")
+    db_name = lambda k: F.concat(F.lit("db_"), F.col(k).cast("string"))
+    t_name = lambda k: F.concat(F.lit("t_"), F.col(k).cast("string"))
+    databases = c.select(
+        db_name("c_custkey").alias("Name"),
+        F.concat(F.lit("{env} database of "), F.col("c_name")).alias("Description"),
+        F.when(F.col("c_mktsegment") == "AUTOMOBILE", db_name("c_custkey")).alias("TargetDatabase"),
+        F.lit("123456789012").alias("CatalogId"),
+        F.lit("2024-01-01T00:00:00").alias("CreateTime"),
+    )
+    tables = o.select(
+        db_name("o_custkey").alias("DatabaseName"),
+        t_name("o_orderkey").alias("Name"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("GOVERNED")).otherwise(F.lit("EXTERNAL_TABLE")).alias("TableType"),
+        F.concat(F.lit("{bucket}/orders/"), F.col("o_orderkey").cast("string")).alias("Location"),
+        F.lit("123456789012").alias("CatalogId"),
+        F.lit("1").alias("VersionId"),
+    )
+    lines = li.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    values = F.array(F.col("l_returnflag"), F.col("l_linenumber").cast("string"))
+    partitions = lines.select(
+        db_name("o_custkey").alias("DatabaseName"),
+        t_name("l_orderkey").alias("TableName"),
+        values.alias("Values"),
+        F.concat(
+            F.lit("{bucket}/orders/"), F.col("l_orderkey").cast("string"), F.lit("/"),
+            F.col("l_linenumber").cast("string"),
+        ).alias("Location"),
+        F.lit("123456789012").alias("CatalogId"),
+        F.lit("2024-01-01T00:00:00").alias("CreationTime"),
+    )
+    target_dbs = c.filter(F.col("c_acctbal") > 5000).select(db_name("c_custkey"))
+    target_tables = o.filter(F.col("o_orderpriority") == "1-URGENT").select(
+        db_name("o_custkey"), t_name("o_orderkey")
+    )
+    target_parts = lines.filter(F.col("l_linestatus") == "F").select(
+        db_name("o_custkey"), t_name("l_orderkey"), values
+    )
+    return databases, tables, partitions, target_dbs, target_tables, target_parts
+
+
+@register(
+    "catalog_sync",
+    """
+    WITH dbs AS (
+        SELECT 'db_' || CAST(c_custkey AS VARCHAR) AS name, c_name, c_mktsegment FROM customer),
+    live_db AS (SELECT name FROM dbs WHERE c_mktsegment <> 'AUTOMOBILE'),
+    tabs AS (
+        SELECT 'db_' || CAST(o_custkey AS VARCHAR) AS db, 't_' || CAST(o_orderkey AS VARCHAR) AS name,
+               o_orderkey, o_orderstatus
+        FROM orders WHERE 'db_' || CAST(o_custkey AS VARCHAR) IN (SELECT name FROM live_db)),
+    live_tab AS (SELECT o_orderkey FROM tabs WHERE o_orderstatus <> 'P'),
+    tgt_db AS (SELECT 'db_' || CAST(c_custkey AS VARCHAR) AS name FROM customer WHERE c_acctbal > 5000),
+    tgt_tab AS (
+        SELECT 'db_' || CAST(o_custkey AS VARCHAR) AS db, 't_' || CAST(o_orderkey AS VARCHAR) AS name
+        FROM orders WHERE o_orderpriority = '1-URGENT'),
+    lines AS (
+        SELECT 'db_' || CAST(o_custkey AS VARCHAR) AS db, 't_' || CAST(l_orderkey AS VARCHAR) AS tab,
+               l_returnflag || '/' || CAST(l_linenumber AS VARCHAR) AS vals,
+               l_orderkey, l_linenumber, l_linestatus
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    parts AS (SELECT * FROM lines WHERE l_orderkey IN (SELECT o_orderkey FROM live_tab)),
+    tgt_part AS (SELECT db, tab, vals FROM lines WHERE l_linestatus = 'F')
+    SELECT 'database' AS level, name AS database_name, CAST(NULL AS VARCHAR) AS table_name,
+           CAST(NULL AS VARCHAR) AS part_values,
+           CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'resource_link' END AS skip_reason,
+           CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN NULL
+                WHEN name IN (SELECT name FROM tgt_db) THEN 'overwrite' ELSE 'create' END AS action,
+           'dev database of ' || c_name AS detail
+    FROM dbs
+    UNION ALL
+    SELECT 'table', db, name, NULL,
+           CASE WHEN o_orderstatus = 'P' THEN 'governed' END,
+           CASE WHEN o_orderstatus = 'P' THEN NULL
+                WHEN EXISTS (SELECT 1 FROM tgt_tab t WHERE t.db = tabs.db AND t.name = tabs.name)
+                THEN 'overwrite' ELSE 'create' END,
+           's3://data-dev/orders/' || CAST(o_orderkey AS VARCHAR)
+    FROM tabs
+    UNION ALL
+    SELECT 'partition', db, tab, vals, NULL,
+           CASE WHEN EXISTS (SELECT 1 FROM tgt_part t
+                             WHERE t.db = parts.db AND t.tab = parts.tab AND t.vals = parts.vals)
+                THEN 'overwrite' ELSE 'create' END,
+           's3://data-dev/orders/' || CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR)
+    FROM parts
+    """,
+)
+def q_catalog_sync(spark, d):
+    plans = CatalogSync(mapping=_CATALOG_MAPPING).plan(*_catalog_inputs(spark, d))
+    none = F.lit(None).cast("string")
+    dbs = plans["databases"].select(
+        F.lit("database").alias("level"), F.col("Name").alias("database_name"), none.alias("table_name"),
+        none.alias("part_values"), "skip_reason", "action", F.col("Description").alias("detail"),
+    )
+    tabs = plans["tables"].select(
+        F.lit("table").alias("level"), F.col("DatabaseName").alias("database_name"),
+        F.col("Name").alias("table_name"), none.alias("part_values"), "skip_reason", "action",
+        F.col("Location").alias("detail"),
+    )
+    parts = plans["partitions"].select(
+        F.lit("partition").alias("level"), F.col("DatabaseName").alias("database_name"),
+        F.col("TableName").alias("table_name"), F.array_join("Values", "/").alias("part_values"),
+        "skip_reason", "action", F.col("Location").alias("detail"),
+    )
+    return dbs.unionByName(tabs).unionByName(parts)
