@@ -31,12 +31,16 @@ from tableflow.functions.nested import substitute_nested
 from tableflow.functions.text import infix_path
 from tableflow.operators.filters import parse_name_list, skip_reason
 from tableflow.operators.joins import lookup_report
-from tableflow.operators.project import drop_fields
+from tableflow.operators.project import default_map_field, drop_fields
 from tableflow.operators.quality import keep_last
-from tableflow.operators.reconcile import sync_plan
+from tableflow.operators.reconcile import sync_plan, upsert
 
-# Fields of a job definition the target assigns itself.
+# Fields of a definition the target assigns itself.
 JOB_SYSTEM_FIELDS = ("AllocatedCapacity", "MaxCapacity", "CreatedOn", "LastModifiedOn")
+CONNECTION_SYSTEM_FIELDS = (
+    "CreationTime", "LastConnectionValidationTime", "LastUpdatedBy", "LastUpdatedTime",
+    "ConnectionSchemaVersion", "Status", "StatusReason",
+)
 
 
 @dataclass(frozen=True)
@@ -50,6 +54,8 @@ class DefinitionSync:
     system_fields: Sequence[str] = JOB_SYSTEM_FIELDS
     allow_overwrite: bool = True
     order_by: Sequence[str] = field(default_factory=tuple)
+    # map fields that must exist: absent or null becomes an empty map
+    default_maps: Sequence[str] = ()
 
     def plan(
         self,
@@ -89,6 +95,8 @@ class DefinitionSync:
                     ),
                 )
         out = drop_fields(out, list(self.system_fields))
+        for map_field in self.default_maps:
+            out = default_map_field(out, map_field)
         keep_cols = [c for c in out.columns if c not in ("requested_name", "found", "skip_reason")]
         out = substitute_nested(out, list(self.mapping), columns=keep_cols)
 
@@ -98,3 +106,14 @@ class DefinitionSync:
         return planned.select(
             "requested_name", "found", "skip_reason", action.alias("action"), *keep_cols
         )
+
+
+def apply_plan(
+    target: DataFrame, plan: DataFrame, keys: str | Sequence[str], action_column: str = "action"
+) -> DataFrame:
+    """The target after carrying out a plan: rows planned ``create`` or
+    ``overwrite`` replace / join the target (whole rows), everything else
+    stays.  Plan columns that the target lacks are left out.  Write the
+    result to a new location."""
+    chosen = plan.filter(F.col(action_column).isin("create", "overwrite"))
+    return upsert(target, chosen.select(*target.columns), keys)

@@ -46,3 +46,23 @@ def test_plan_all_definitions_without_overwrite(spark):
     sync = DefinitionSync(mapping=MAPPING, name_prefix="dev-", order_by=("seq",), allow_overwrite=False)
     rows = {r.requested_name: r.action for r in sync.plan(defs(spark), target).collect()}
     assert rows == {"a": "create", "b": "create", "c": "keep"}
+
+
+def test_connection_defaults_and_apply(spark):
+    from tableflow.plans.sync import CONNECTION_SYSTEM_FIELDS, apply_plan
+
+    conns = spark.createDataFrame(
+        [("jdbc", {"URL": "{host}/db"}, "READY"), ("bare", None, "READY")],
+        "Name string, ConnectionProperties map<string,string>, Status string",
+    )
+    sync = DefinitionSync(
+        mapping=[("{host}", "jdbc:pg://h")], script_field=None,
+        system_fields=CONNECTION_SYSTEM_FIELDS, default_maps=("ConnectionProperties",),
+    )
+    target = spark.createDataFrame([("jdbc", {"URL": "old"}), ("keep", {})], "Name string, ConnectionProperties map<string,string>")
+    plan = sync.plan(conns, target.select("Name"))
+    rows = {r.Name: (r.action, r.ConnectionProperties) for r in plan.collect()}
+    assert rows == {"jdbc": ("overwrite", {"URL": "jdbc:pg://h/db"}), "bare": ("create", {})}
+    assert "Status" not in plan.columns
+    after = {r.Name: r.ConnectionProperties for r in apply_plan(target, plan, "Name").collect()}
+    assert after == {"jdbc": {"URL": "jdbc:pg://h/db"}, "bare": {}, "keep": {}}
