@@ -49,7 +49,7 @@ from tableflow.operators.reconcile import (
 )
 from tableflow.plans.bridge import bridge_job, bridge_job_from_json
 from tableflow.plans.catalog import CatalogSync
-from tableflow.plans.sync import DefinitionSync
+from tableflow.plans.sync import CONNECTION_SYSTEM_FIELDS, DefinitionSync
 from tableflow.plans.export import ExportJob, custom_transform, fan_out, guarded_export_step
 from tableflow.session import scratch_path
 from tableflow.sinks.csv import (
@@ -1026,6 +1026,54 @@ def q_definition_sync(spark, d):
     )
 
 
+_CONN_MAPPING = [("{jdbc_host}", "jdbc:postgresql://db.dev:5432"), ("{user}", "etl")]
+
+
+@register(
+    "connection_sync",
+    """
+    SELECT 'conn_' || c_name AS requested_name, true AS found,
+           CAST(NULL AS VARCHAR) AS skip_reason,
+           CASE WHEN c_acctbal < 0 THEN 'overwrite' ELSE 'create' END AS action,
+           'conn_' || c_name AS Name,
+           CASE WHEN c_mktsegment <> 'MACHINERY'
+                THEN 'jdbc:postgresql://db.dev:5432/db' || CAST(c_nationkey AS VARCHAR) END AS url,
+           CASE WHEN c_mktsegment <> 'MACHINERY' THEN 'etl' END AS user_name,
+           CASE WHEN c_mktsegment <> 'MACHINERY' THEN 2 ELSE 0 END AS n_props
+    FROM customer
+    """,
+)
+def q_connection_sync(spark, d):
+    """Connection definitions: system fields dropped, a missing property
+    map becomes empty, placeholders substituted in map values."""
+    c = table(spark, d, "customer")
+    props = F.when(
+        F.col("c_mktsegment") != "MACHINERY",
+        F.create_map(
+            F.lit("JDBC_CONNECTION_URL"), F.concat(F.lit("{jdbc_host}/db"), F.col("c_nationkey").cast("string")),
+            F.lit("USERNAME"), F.lit("{user}"),
+        ),
+    )
+    connections = c.select(
+        F.concat(F.lit("conn_"), F.col("c_name")).alias("Name"),
+        props.alias("ConnectionProperties"),
+        F.lit("READY").alias("Status"),
+        F.lit("2024-01-01T00:00:00").alias("CreationTime"),
+    )
+    target = c.filter(F.col("c_acctbal") < 0).select(F.concat(F.lit("conn_"), F.col("c_name")))
+    sync = DefinitionSync(
+        mapping=_CONN_MAPPING, script_field=None,
+        system_fields=CONNECTION_SYSTEM_FIELDS, default_maps=("ConnectionProperties",),
+    )
+    m = F.col("ConnectionProperties")
+    return sync.plan(connections, target).select(
+        "requested_name", "found", "skip_reason", "action", "Name",
+        F.try_element_at(m, F.lit("JDBC_CONNECTION_URL")).alias("url"),
+        F.try_element_at(m, F.lit("USERNAME")).alias("user_name"),
+        F.size(m).alias("n_props"),
+    )
+
+
 # ---------------------------------------------------------------- catalog sync
 
 _CATALOG_MAPPING = [("{env}", "dev"), ("{bucket}", "s3://data-dev")]
