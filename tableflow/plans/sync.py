@@ -72,14 +72,18 @@ class DefinitionSync:
         defs = keep_last(definitions, name, self.order_by) if self.order_by else definitions
         spark = definitions.sparkSession
         if requested is None:
-            names = defs.select(F.col(name).alias("requested_name"))
-        elif isinstance(requested, DataFrame):
-            names = requested.select(F.col(requested.columns[0]).alias("requested_name"))
+            # every definition is requested: found by construction, no join
+            report = defs.select(
+                F.col(name).alias("requested_name"), F.lit(True).alias("found"), *defs.columns
+            )
         else:
-            # a command-line list (small); unknown names are reported too
-            listed = parse_name_list(requested) or []
-            names = spark.createDataFrame([(n,) for n in listed], "requested_name string")
-        report = lookup_report(names, "requested_name", defs, name)
+            if isinstance(requested, DataFrame):
+                names = requested.select(F.col(requested.columns[0]).alias("requested_name"))
+            else:
+                # a command-line list (small); unknown names are reported too
+                listed = parse_name_list(requested) or []
+                names = spark.createDataFrame([(n,) for n in listed], "requested_name string")
+            report = lookup_report(names, "requested_name", defs, name)
 
         # rules see the definition as stored in the source
         reason = F.when(F.col("found"), skip_reason(list(self.skip_rules)))
