@@ -59,7 +59,7 @@ from tableflow.sinks.csv import (
     single_file_csv,
     write_csv,
 )
-from tableflow.sinks.json import write_json
+from tableflow.sinks.json import write_json, write_resource_documents
 from tableflow.sinks.partitioned import partition_upsert
 from tableflow.sources.json import read_json, read_json_documents
 from tableflow.sources.schema import apply_schema
@@ -842,6 +842,26 @@ def q_json_document_explode(spark, d):
     )
 
 
+@register(
+    "resource_documents",
+    "SELECT c_name AS Name, 'role-' || c_mktsegment AS Role, c_nationkey AS MaxRetries FROM customer",
+)
+def q_resource_documents(spark, d):
+    """Serialise two resource kinds as per-row documents, read one kind back."""
+    jobs = table(spark, d, "customer").select(
+        F.col("c_name").alias("Name"),
+        F.concat(F.lit("role-"), F.col("c_mktsegment")).alias("Role"),
+        F.col("c_nationkey").alias("MaxRetries"),
+    )
+    databases = table(spark, d, "nation").select(F.col("n_name").alias("Name"))
+    path = write_resource_documents(
+        {"jobs": jobs, "databases": databases}, scratch_path(spark, "resource_documents")
+    )
+    return read_json_documents(
+        spark, path, "jobs", "Name STRING, Role STRING, MaxRetries INT", multi_line=False
+    )
+
+
 @register("csv_sink", "SELECT * FROM orders")
 def q_csv_sink(spark, d):
     path = write_csv(table(spark, d, "orders"), scratch_path(spark, "csv_sink"))

@@ -46,3 +46,21 @@ def write_json(
         out = out.repartition(num_files)
     out.write.mode(mode).option("compression", compression).options(**TEXT_TIME_OPTIONS).json(path)
     return path
+
+
+def write_resource_documents(frames: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> str:
+    """Serialise resource frames (``{"jobs": df, "tables": df, ...}``) as
+    resource documents: one document per row, ``{"<kind>": [row]}``, JSON
+    Lines under ``path/<kind>/``.
+
+    A single document holding every row would have to be assembled by one
+    task; per-row documents are written in parallel and read back, kind by
+    kind, with ``sources.json.read_json_documents(..., multi_line=False)``
+    (documents of other kinds give no rows).  Dates and timestamps are
+    written as text (``jsonable``).
+    """
+    for kind, df in frames.items():
+        row = F.struct(*[F.col(f"`{c}`") for c in jsonable(df).columns])
+        docs = jsonable(df).select(F.to_json(F.struct(F.array(row).alias(kind))).alias("value"))
+        docs.write.mode(mode).text(f"{path.rstrip('/')}/{kind}")
+    return path

@@ -122,3 +122,16 @@ def test_apply_schema_nested_and_odd_names(spark):
     out = apply_schema(df, "`x y` BIGINT, s STRUCT<`a b`: BIGINT>")
     assert out.dtypes == [("x y", "bigint"), ("s", "struct<a b:bigint>")]
     assert out.first()["s"]["a b"] == 2
+
+
+def test_resource_documents_round_trip(spark, scratch):
+    from tableflow.sinks.json import write_resource_documents
+
+    jobs = spark.createDataFrame([("a", 1, TS), ("b", None, TS)], "Name STRING, MaxRetries INT, CreatedOn TIMESTAMP_NTZ")
+    dbs = spark.createDataFrame([("d",)], "Name STRING")
+    path = write_resource_documents({"jobs": jobs, "databases": dbs}, scratch())
+    back = read_json_documents(spark, path, "jobs", "Name STRING, MaxRetries INT, CreatedOn STRING", multi_line=False)
+    assert sorted((tuple(r) for r in back.collect()), key=str) == sorted(
+        [("a", 1, "2024-01-02 03:04:05.123456"), ("b", None, "2024-01-02 03:04:05.123456")], key=str
+    )
+    assert read_json_documents(spark, path, "tables", "Name STRING", multi_line=False).count() == 0
