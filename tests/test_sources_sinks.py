@@ -135,3 +135,16 @@ def test_resource_documents_round_trip(spark, scratch):
         [("a", 1, "2024-01-02 03:04:05.123456"), ("b", None, "2024-01-02 03:04:05.123456")], key=str
     )
     assert read_json_documents(spark, path, "tables", "Name STRING", multi_line=False).count() == 0
+
+
+def test_csv_compression_and_header(spark, scratch):
+    import os
+
+    df = spark.createDataFrame([(1, "a", TS), (2, "b", TS)], SCHEMA)
+    path = write_csv(df, scratch(), compression="gzip", header=True, num_files=1)
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert len(files) == 1 and files[0].endswith(".csv.gz")
+    back = read_csv(spark, path, SCHEMA, header=True)
+    assert sorted(r.id for r in back.collect()) == [1, 2]
+    raw = spark.read.text(path).collect()
+    assert raw[0].value == "id,s,ts"
