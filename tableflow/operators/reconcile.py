@@ -20,6 +20,17 @@ def _as_list(cols: str | Sequence[str]) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
+def existing_keys(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct keys present in both ``target`` and ``source``.
+
+    Written as target keys semi-joined with source keys: when the source is
+    small (an incremental batch) its keys are broadcast and the target is
+    only streamed, never shuffled; the result is at most the source's key
+    count, so the join that follows is small too.
+    """
+    return target.select(*keys).join(source.select(*keys), on=list(keys), how="left_semi").distinct()
+
+
 def sync_plan(
     source: DataFrame,
     target: DataFrame,
@@ -32,12 +43,13 @@ def sync_plan(
     overwriting allowed) or ``keep``.  Nothing is ever deleted.
 
     This is also the dry run: it writes nothing.  Source keys should be
-    unique (``keep_last``); target keys are de-duplicated here, in the same
-    hash partitioning the join uses, so no extra exchange is added.
+    unique (``keep_last``).  Only keys the target shares with the source
+    take part in the join (``existing_keys``), so a large target is not
+    shuffled for a small source.
     """
     key_cols = _as_list(keys)
     hit = "__tableflow_in_target"
-    present = target.select(*key_cols).distinct().withColumn(hit, F.lit(True))
+    present = existing_keys(target, source, key_cols).withColumn(hit, F.lit(True))
     joined = source.join(present, on=key_cols, how="left")
     action = F.when(F.col(hit).isNull(), F.lit("create"))
     action = action.when(F.lit(allow_overwrite), F.lit("overwrite")).otherwise(F.lit("keep"))
@@ -77,7 +89,7 @@ def insert_missing(
     key_cols = _as_list(keys)
     if order_by is not None:
         source = keep_last(source, key_cols, order_by)
-    new = source.join(target.select(*key_cols), on=key_cols, how="left_anti")
+    new = source.join(existing_keys(target, source, key_cols), on=key_cols, how="left_anti")
     return target.unionByName(new, allowMissingColumns=allow_missing_columns)
 
 
