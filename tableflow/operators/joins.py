@@ -92,15 +92,29 @@ def lookup_report(
     definitions: DataFrame,
     key_column: str,
     found_column: str = "found",
+    names_are_small: bool = False,
 ) -> DataFrame:
     """Look every requested name up among the definitions.
 
     Each name row is kept (duplicates too) with the definition's columns, or
     nulls and ``found = false`` when there is none.  ``definitions`` must be
     unique per key (see ``quality.keep_last``).
+
+    By default this is one left join that AQE can split when one name is
+    hot.  With ``names_are_small`` (a list whose size is known, e.g. from a
+    command line) the definitions are first reduced to the requested ones by
+    a semi join against the broadcast, de-duplicated names, so a large
+    catalog is streamed once instead of shuffled.
     """
     marker = "__tableflow_found"
-    defs = definitions.withColumn(marker, F.lit(True))
+    if names_are_small:
+        wanted = F.broadcast(names.select(F.col(quote(name_column)).alias("__wanted")).distinct())
+        definitions_used = definitions.join(
+            wanted, F.expr(f"{quote(key_column)} = `__wanted`"), "left_semi"
+        )
+    else:
+        definitions_used = definitions
+    defs = definitions_used.withColumn(marker, F.lit(True))
     cond = F.expr(f"{qualified('__n', name_column)} = {qualified('__d', key_column)}")
     joined = names.alias("__n").join(defs.alias("__d"), cond, "left")
     return joined.selectExpr(

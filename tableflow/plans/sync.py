@@ -76,14 +76,18 @@ class DefinitionSync:
             report = defs.select(
                 F.col(name).alias("requested_name"), F.lit(True).alias("found"), *defs.columns
             )
-        else:
-            if isinstance(requested, DataFrame):
-                names = requested.select(F.col(requested.columns[0]).alias("requested_name"))
-            else:
-                # a command-line list (small); unknown names are reported too
-                listed = parse_name_list(requested) or []
-                names = spark.createDataFrame([(n,) for n in listed], "requested_name string")
+        elif isinstance(requested, DataFrame):
+            names = requested.select(F.col(requested.columns[0]).alias("requested_name"))
             report = lookup_report(names, "requested_name", defs, name)
+        else:
+            # A command-line list: its size is known on the driver, so it is
+            # broadcast and the definitions are only streamed.  Unknown names
+            # are reported too.
+            listed = parse_name_list(requested) or []
+            names = spark.createDataFrame([(n,) for n in listed], "requested_name string")
+            report = lookup_report(
+                F.broadcast(names), "requested_name", defs, name, names_are_small=True
+            )
 
         # rules see the definition as stored in the source
         reason = F.when(F.col("found"), skip_reason(list(self.skip_rules)))

@@ -109,3 +109,11 @@ def test_partition_match_same_values_same_order(spark):
     errors = spark.createDataFrame([(["2024", "01"],)], "values array<string>")
     out = partition_match(errors, entries, "values").collect()
     assert [r.loc for r in out] == ["a"]
+
+
+def test_lookup_report_small_names_prefilter(spark):
+    names = spark.createDataFrame([("a",), ("zz",), ("a",)], "name string")
+    defs = spark.createDataFrame([("a", 1), ("b", 2)], "Name string, v int")
+    for small in (False, True):
+        out = sorted(lookup_report(names, "name", defs, "Name", names_are_small=small).collect(), key=lambda r: r.name)
+        assert [(r.name, r.found, r.v) for r in out] == [("a", True, 1), ("a", True, 1), ("zz", False, None)]
