@@ -20,15 +20,23 @@ def _as_list(cols: str | Sequence[str]) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
-def existing_keys(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct keys present in both ``target`` and ``source``.
-
-    Written as target keys semi-joined with source keys: when the source is
-    small (an incremental batch) its keys are broadcast and the target is
-    only streamed, never shuffled; the result is at most the source's key
-    count, so the join that follows is small too.
+def existing_keys(
+    target: DataFrame, source: DataFrame, keys: Sequence[str], small_source: bool = False
+) -> DataFrame:
+    """Distinct target keys to join the source against.
+
+    Default: the target's distinct keys (one pass over each side; the
+    dedupe shares the join's hash partitioning).  With ``small_source`` (an
+    incremental batch against a large target) the target keys are first
+    semi-joined with the source keys: the small side is broadcast when its
+    size estimate allows, the target is only streamed, never shuffled, and
+    the result has at most the source's key count.  That costs a second
+    (key-only) read of the source, so it only pays for a small source.
     """
-    return target.select(*keys).join(source.select(*keys), on=list(keys), how="left_semi").distinct()
+    target_keys = target.select(*keys)
+    if small_source:
+        target_keys = target_keys.join(source.select(*keys), on=list(keys), how="left_semi")
+    return target_keys.distinct()
 
 
 def sync_plan(
@@ -37,19 +45,18 @@ def sync_plan(
     keys: str | Sequence[str],
     allow_overwrite: bool = True,
     action_column: str = "action",
+    small_source: bool = False,
 ) -> DataFrame:
     """Source rows with the action a sync would take for each:
     ``create`` (key missing in target), ``overwrite`` (present and
     overwriting allowed) or ``keep``.  Nothing is ever deleted.
 
     This is also the dry run: it writes nothing.  Source keys should be
-    unique (``keep_last``).  Only keys the target shares with the source
-    take part in the join (``existing_keys``), so a large target is not
-    shuffled for a small source.
+    unique (``keep_last``).  See ``existing_keys`` for ``small_source``.
     """
     key_cols = _as_list(keys)
     hit = "__tableflow_in_target"
-    present = existing_keys(target, source, key_cols).withColumn(hit, F.lit(True))
+    present = existing_keys(target, source, key_cols, small_source).withColumn(hit, F.lit(True))
     joined = source.join(present, on=key_cols, how="left")
     action = F.when(F.col(hit).isNull(), F.lit("create"))
     action = action.when(F.lit(allow_overwrite), F.lit("overwrite")).otherwise(F.lit("keep"))
@@ -83,13 +90,15 @@ def insert_missing(
     keys: str | Sequence[str],
     order_by: str | Sequence[str] | None = None,
     allow_missing_columns: bool = False,
+    small_source: bool = False,
 ) -> DataFrame:
     """Insert-only upsert: existing target rows win, new source keys are
-    added."""
+    added (see ``existing_keys`` for ``small_source``)."""
     key_cols = _as_list(keys)
     if order_by is not None:
         source = keep_last(source, key_cols, order_by)
-    new = source.join(existing_keys(target, source, key_cols), on=key_cols, how="left_anti")
+    present = existing_keys(target, source, key_cols, small_source)
+    new = source.join(present, on=key_cols, how="left_anti")
     return target.unionByName(new, allowMissingColumns=allow_missing_columns)
 
 

@@ -117,3 +117,12 @@ def test_lookup_report_small_names_prefilter(spark):
     for small in (False, True):
         out = sorted(lookup_report(names, "name", defs, "Name", names_are_small=small).collect(), key=lambda r: r.name)
         assert [(r.name, r.found, r.v) for r in out] == [("a", True, 1), ("a", True, 1), ("zz", False, None)]
+
+
+def test_small_source_prefilter_gives_same_results(inventories):
+    target, source = inventories
+    for small in (False, True):
+        plan = {r.k: r.action for r in sync_plan(source, target, "k", small_source=small).collect()}
+        assert plan == {2: "overwrite", 4: "create"}
+        ins = {r.k: r.v for r in insert_missing(target, source, "k", small_source=small).collect()}
+        assert ins == {1: "t1", 2: "t2", 3: "t3", 4: "s4"}
