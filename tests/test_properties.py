@@ -81,3 +81,80 @@ def test_upsert_laws(spark, target, source):
     ins = {r.k: (r.seq, r.v) for r in insert_missing(t, s, "k", order_by=["seq", "v"]).collect()}
     base = {k: (seq, v) for k, seq, v in (tuple(r) for r in t.collect())}
     assert ins == {**last, **base}
+
+
+# ---------------------------------------------------------------- config flattening
+
+import json  # noqa: E402
+
+from tableflow.functions.config import flatten_placeholders  # noqa: E402
+from tableflow.functions.nested import substitute_nested  # noqa: E402
+
+
+def py_flatten(doc):
+    out = {}
+    for k, v in doc.items():
+        if isinstance(v, str):
+            out["{" + k + "}"] = v
+        elif isinstance(v, dict) and k == "jobs":
+            for job, conf in v.items():
+                if isinstance(conf, dict):
+                    for jk, jv in conf.items():
+                        if isinstance(jv, str):
+                            out["{" + job + "." + jk + "}"] = jv
+    return list(out.items())
+
+
+names = st.text(alphabet="ab.", min_size=1, max_size=3)
+scalars = st.one_of(st.text(alphabet="xy{}", max_size=4), st.integers(-5, 5), st.booleans(), st.none())
+job_conf = st.one_of(st.dictionaries(names, scalars, max_size=3), scalars)
+top_value = st.one_of(scalars, st.lists(scalars, max_size=2), st.dictionaries(names, scalars, max_size=2))
+docs = st.builds(
+    lambda top, jobs: {**top, **({"jobs": jobs} if jobs is not None else {})},
+    st.dictionaries(names.filter(lambda n: n != "jobs"), top_value, max_size=4),
+    st.one_of(st.none(), st.dictionaries(names, job_conf, max_size=3), scalars),
+)
+
+
+@SETTINGS
+@given(batch=st.lists(docs, min_size=1, max_size=6))
+def test_flatten_matches_rule_on_random_documents(spark, batch):
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(batch)], "id int, doc string")
+    rows = flatten_placeholders(df, "doc", keep=["id"]).collect()
+    for i, d in enumerate(batch):
+        got = [(r.placeholder, r.value) for r in sorted((r for r in rows if r.id == i), key=lambda r: r.ordinal)]
+        assert got == py_flatten(d), d
+
+
+# ---------------------------------------------------------------- nested substitution
+
+NESTED = "s struct<a:string, n:int, inner:struct<b:string>>, arr array<string>, m map<string,string>"
+PAIRS = [("{a}", "{b}"), ("{b}", "X"), ("x", "yy")]
+small = st.one_of(st.none(), st.text(alphabet="x{ab}", max_size=6))
+
+
+def py_sub(v):
+    if v is None:
+        return None
+    for k, x in PAIRS:
+        v = v.replace(k, x)
+    return v
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(
+    st.one_of(st.none(), st.tuples(small, st.integers(0, 3), st.one_of(st.none(), st.tuples(small)))),
+    st.one_of(st.none(), st.lists(small, max_size=3)),
+    st.one_of(st.none(), st.dictionaries(st.text(alphabet="x{a}", min_size=1, max_size=4), small, max_size=3)),
+), min_size=1, max_size=5))
+def test_substitute_nested_matches_recursive_rule(spark, rows):
+    df = spark.createDataFrame(rows, NESTED)
+    got = substitute_nested(df, PAIRS).collect()
+    for (s, arr, m), r in zip(rows, got):
+        if s is None:
+            assert r.s is None
+        else:
+            assert r.s.a == py_sub(s[0]) and r.s.n == s[1]
+            assert (r.s.inner is None) if s[2] is None else (r.s.inner.b == py_sub(s[2][0]))
+        assert r.arr == (None if arr is None else [py_sub(x) for x in arr])
+        assert r.m == (None if m is None else {k: py_sub(v) for k, v in m.items()})
