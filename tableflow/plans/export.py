@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tableflow.session import shared_dir
 from tableflow.sinks.csv import guarded_csv_export, write_csv
+from tableflow.sources.jdbc import read_jdbc
 from tableflow.sources.schema import SchemaLike, apply_schema
 
 Frames = dict[str, DataFrame]
@@ -114,3 +115,8 @@ class ExportJob:
 
         results = fan_out(typed, {"target": target, "step": step}, persist=self.persist)
         return {"typed": typed, **results["step"]}
+
+    def run_from_jdbc(self, spark: SparkSession, url: str, table: str, **jdbc_kwargs) -> Frames:
+        """The graph as declared: a JDBC table source (see
+        ``sources.jdbc.jdbc_options`` for the split settings), read once."""
+        return self.run(spark, read_jdbc(spark, url, table, **jdbc_kwargs))
