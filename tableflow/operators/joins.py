@@ -75,15 +75,25 @@ def bridge_join(
 ) -> DataFrame:
     """``orgs ⋈ (persons ⋈ memberships)`` through a bridge table.
 
-    Persons join memberships on ``person_key = membership_person_key``; the
-    result joins orgs on ``org_key = membership_org_key``.  By default the
-    membership's person key and the org key are dropped (each duplicates the
-    key kept from the other side).  Columns: orgs, persons, memberships.
+    Persons join memberships on ``person_key = membership_person_key``, orgs
+    join on ``org_key = membership_org_key``.  By default the membership's
+    person key and the org key are dropped (each duplicates the key kept
+    from the other side).  Columns: orgs, persons, memberships.
+
+    Both joins are inner, so their order does not change the result.  The
+    bridge table is joined first with the side that has fewer columns: when
+    neither side can be broadcast, the second join re-shuffles the first
+    join's output, and a narrower intermediate is a smaller shuffle.
     """
-    inner = equi_join(persons, memberships, person_key, membership_person_key)
-    joined = equi_join(orgs, inner, org_key, membership_org_key)
-    drop = [membership_person_key, org_key] if drop_keys is None else list(drop_keys)
-    return joined.drop(*drop)
+    if len(orgs.columns) <= len(persons.columns):
+        first = equi_join(memberships, orgs, membership_org_key, org_key)
+        joined = equi_join(persons, first, person_key, membership_person_key)
+    else:
+        first = equi_join(persons, memberships, person_key, membership_person_key)
+        joined = equi_join(first, orgs, membership_org_key, org_key)
+    ordered = [*orgs.columns, *persons.columns, *memberships.columns]
+    drop = {membership_person_key, org_key} if drop_keys is None else set(drop_keys)
+    return joined.select(*[quote(c) for c in ordered if c not in drop])
 
 
 def lookup_report(
