@@ -90,7 +90,6 @@ ORDERS = (
     "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
     "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
 )
-NATION = "n_nationkey INT, n_name STRING, n_regionkey INT"
 EVENTS = (
     "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 )
@@ -173,15 +172,17 @@ def q_equi_join(spark, d):
 @register(
     "equi_join_collision",
     """
-    SELECT n.*, r.r_regionkey, r.r_name AS right_n_name
-    FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
+    SELECT l.* EXCLUDE (l_linestatus), l.l_linestatus AS status,
+           o.* EXCLUDE (o_orderstatus), o.o_orderstatus AS right_status
+    FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
     """,
 )
 def q_equi_join_collision(spark, d):
-    region = rename_fields(table(spark, d, "region"), [("r_name", "n_name")])
-    return equi_join(
-        table(spark, d, "nation"), region, "n_regionkey", "r_regionkey", on_collision="prefix_right"
-    )
+    """Both sides carry a column named ``status``; the right one is
+    prefixed."""
+    lines = rename_fields(table(spark, d, "lineitem"), [("l_linestatus", "status")])
+    orders = rename_fields(table(spark, d, "orders"), [("o_orderstatus", "status")])
+    return equi_join(lines, orders, "l_orderkey", "o_orderkey", on_collision="prefix_right")
 
 
 @register(
@@ -321,10 +322,10 @@ def q_lift_nested_field(spark, d):
 
 @register(
     "filter_by_names",
-    "SELECT * FROM nation WHERE n_name IN ('NATION_1', 'NATION_3', 'NATION_24', 'NATION_99')",
+    "SELECT * FROM part WHERE p_brand IN ('Brand#1', 'Brand#7', 'Brand#13', 'Brand#99')",
 )
 def q_filter_by_names(spark, d):
-    return filter_by_names(table(spark, d, "nation"), "n_name", "NATION_1,NATION_3,NATION_24,NATION_99")
+    return filter_by_names(table(spark, d, "part"), "p_brand", "Brand#1,Brand#7,Brand#13,Brand#99")
 
 
 @register(
@@ -658,51 +659,57 @@ def q_substitute_nested(spark, d):
 
 
 def _config_docs(spark, d) -> DataFrame:
-    """One config document per nation (JSON text): strings and numbers at
+    """One config document per customer (JSON text): strings and numbers at
     the top level, a nested object outside ``jobs``, and two jobs."""
+    c = table(spark, d, "customer")
     n = table(spark, d, "nation")
-    r = table(spark, d, "region")
-    docs = n.join(r, n.n_regionkey == r.r_regionkey)
+    docs = c.join(n, c.c_nationkey == n.n_nationkey)
     text = F.concat(
-        F.lit('{"assets_path":"s3://assets-'), F.col("r_name"),
-        F.lit('","region_key":'), F.col("r_regionkey").cast("string"),
-        F.lit(',"env":"'), F.col("n_name"),
-        F.lit('","github":{"repo":"repo-'), F.col("r_name"),
-        F.lit('"},"jobs":{"'), F.col("n_name"),
-        F.lit('-job":{"table_name":"'), F.lower(F.col("n_name")),
-        F.lit('","retries":3,"input_path":"s3://in/'), F.col("n_nationkey").cast("string"),
-        F.lit('/"},"'), F.col("r_name"),
-        F.lit('-job":{"table_name":"'), F.col("r_name"),
+        F.lit('{"assets_path":"s3://assets-'), F.col("n_name"),
+        F.lit('","region_key":'), F.col("n_regionkey").cast("string"),
+        F.lit(',"env":"'), F.col("c_mktsegment"),
+        F.lit('","github":{"repo":"repo-'), F.col("n_name"),
+        F.lit('"},"jobs":{"'), F.col("c_name"),
+        F.lit('-job":{"table_name":"'), F.lower(F.col("c_name")),
+        F.lit('","retries":3,"input_path":"s3://in/'), F.col("c_custkey").cast("string"),
+        F.lit('/"},"'), F.col("n_name"),
+        F.lit('-job":{"table_name":"'), F.col("n_name"),
         F.lit('"}}}'),
     )
-    return docs.select(F.col("n_nationkey").alias("doc_id"), text.alias("doc"))
+    return docs.select(F.col("c_custkey").alias("doc_id"), text.alias("doc"))
 
 
 @register(
     "flatten_placeholders",
     """
-    SELECT n_nationkey AS doc_id, 0 AS ordinal, '{assets_path}' AS placeholder,
-           's3://assets-' || r_name AS value
-    FROM nation JOIN region ON n_regionkey = r_regionkey
+    SELECT c_custkey AS doc_id, 0 AS ordinal, '{assets_path}' AS placeholder,
+           's3://assets-' || n_name AS value
+    FROM customer JOIN nation ON c_nationkey = n_nationkey
     UNION ALL
-    SELECT n_nationkey, 1, '{env}', n_name FROM nation
+    SELECT c_custkey, 1, '{env}', c_mktsegment
+    FROM customer JOIN nation ON c_nationkey = n_nationkey
     UNION ALL
-    SELECT n_nationkey, 2, '{' || n_name || '-job.table_name}', lower(n_name) FROM nation
+    SELECT c_custkey, 2, '{' || c_name || '-job.table_name}', lower(c_name)
+    FROM customer JOIN nation ON c_nationkey = n_nationkey
     UNION ALL
-    SELECT n_nationkey, 3, '{' || n_name || '-job.input_path}',
-           's3://in/' || CAST(n_nationkey AS VARCHAR) || '/' FROM nation
+    SELECT c_custkey, 3, '{' || c_name || '-job.input_path}',
+           's3://in/' || CAST(c_custkey AS VARCHAR) || '/'
+    FROM customer JOIN nation ON c_nationkey = n_nationkey
     UNION ALL
-    SELECT n_nationkey, 4, '{' || r_name || '-job.table_name}', r_name
-    FROM nation JOIN region ON n_regionkey = r_regionkey
+    SELECT c_custkey, 4, '{' || n_name || '-job.table_name}', n_name
+    FROM customer JOIN nation ON c_nationkey = n_nationkey
     """,
 )
 def q_flatten_placeholders(spark, d):
     return flatten_placeholders(_config_docs(spark, d), "doc", keep=["doc_id"])
 
 
-@register("prefix_names", "SELECT n_nationkey, 'dev-' || n_name AS n_name, n_regionkey FROM nation")
+@register(
+    "prefix_names",
+    "SELECT c_custkey, 'dev-' || c_name AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
+)
 def q_prefix_names(spark, d):
-    return prefix_names(table(spark, d, "nation"), "n_name", "dev-")
+    return prefix_names(table(spark, d, "customer"), "c_name", "dev-")
 
 
 @register("infix_path", "SELECT page_id, replace(url, '.com/', '.com/dev-') AS url FROM pages")
@@ -805,33 +812,33 @@ def q_json_sink(spark, d):
 @register(
     "json_document_explode",
     """
-    SELECT n_name AS Name, 'role-' || r_name AS Role, n_regionkey AS MaxRetries
-    FROM nation JOIN region ON n_regionkey = r_regionkey
+    SELECT c_name AS Name, 'role-' || n_name AS Role, c_nationkey AS MaxRetries
+    FROM customer JOIN nation ON c_nationkey = n_nationkey
     UNION ALL
-    SELECT n_name || '-copy', 'role-' || r_name, n_regionkey + 1
-    FROM nation JOIN region ON n_regionkey = r_regionkey
+    SELECT c_name || '-copy', 'role-' || n_name, c_nationkey + 1
+    FROM customer JOIN nation ON c_nationkey = n_nationkey
     """,
 )
 def q_json_document_explode(spark, d):
-    """Resource documents (one per line): nation documents with a two-job
-    array, region documents without one (they give no job rows)."""
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    nr = n.join(r, n.n_regionkey == r.r_regionkey)
-    role = F.concat(F.lit("role-"), F.col("r_name"))
-    job_docs = nr.select(
+    """Resource documents (one per line): customer documents with a two-job
+    array, nation documents without one (they give no job rows)."""
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    cn = c.join(n, c.c_nationkey == n.n_nationkey)
+    role = F.concat(F.lit("role-"), F.col("n_name"))
+    job_docs = cn.select(
         F.to_json(
             F.struct(
                 F.array(
-                    F.struct(F.col("n_name").alias("Name"), role.alias("Role"),
-                             F.col("n_regionkey").alias("MaxRetries")),
-                    F.struct(F.concat("n_name", F.lit("-copy")).alias("Name"), role.alias("Role"),
-                             (F.col("n_regionkey") + 1).alias("MaxRetries")),
+                    F.struct(F.col("c_name").alias("Name"), role.alias("Role"),
+                             F.col("c_nationkey").alias("MaxRetries")),
+                    F.struct(F.concat("c_name", F.lit("-copy")).alias("Name"), role.alias("Role"),
+                             (F.col("c_nationkey") + 1).alias("MaxRetries")),
                 ).alias("jobs")
             )
         ).alias("value")
     )
-    db_docs = r.select(
-        F.to_json(F.struct(F.array(F.struct(F.col("r_name").alias("Name"))).alias("databases"))).alias(
+    db_docs = n.select(
+        F.to_json(F.struct(F.array(F.struct(F.col("n_name").alias("Name"))).alias("databases"))).alias(
             "value"
         )
     )
@@ -892,14 +899,14 @@ def q_guarded_csv_export(spark, d):
     return read_csv(spark, path, ORDERS)
 
 
-@register("guarded_csv_export_empty", "SELECT * FROM nation")
+@register("guarded_csv_export_empty", "SELECT * FROM orders")
 def q_guarded_csv_export_empty(spark, d):
     """An earlier export exists; an empty frame must leave it in place."""
-    nation = table(spark, d, "nation")
-    path = write_csv(nation, scratch_path(spark, "guarded_empty"))
-    _, wrote = guarded_csv_export(nation.filter(F.col("n_name").isNull()), path)
+    orders = table(spark, d, "orders")
+    path = write_csv(orders, scratch_path(spark, "guarded_empty"))
+    _, wrote = guarded_csv_export(orders.filter(F.col("o_orderkey").isNull()), path)
     assert not wrote
-    return read_csv(spark, path, NATION)
+    return read_csv(spark, path, ORDERS)
 
 
 _TWO_BRANCHES = """
