@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from tableflow.operators.names import qualified, quote
 
 
-
 def _as_list(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableflow.operators.joins import equi_join
+from tableflow.operators.names import quote
 from tableflow.operators.quality import keep_last
 
 
@@ -58,9 +60,11 @@ def sync_plan(
     hit = "__tableflow_in_target"
     present = existing_keys(target, source, key_cols, small_source).withColumn(hit, F.lit(True))
     joined = source.join(present, on=key_cols, how="left")
-    action = F.when(F.col(hit).isNull(), F.lit("create"))
-    action = action.when(F.lit(allow_overwrite), F.lit("overwrite")).otherwise(F.lit("keep"))
-    return joined.select(*[F.col(f"`{c}`") for c in source.columns], action.alias(action_column))
+    when_present = "'overwrite'" if allow_overwrite else "'keep'"
+    return joined.selectExpr(
+        *[quote(c) for c in source.columns],
+        f"CASE WHEN {quote(hit)} IS NULL THEN 'create' ELSE {when_present} END AS {quote(action_column)}",
+    )
 
 
 def upsert(
@@ -108,13 +112,13 @@ def partition_match(
     left_values: str,
     right_values: str | None = None,
     how: str = "inner",
+    right_prefix: str = "right_",
 ) -> DataFrame:
     """Match rows whose partition value lists are equal: same values, same
-    order (an equi-join on an array key, hashed like any other key)."""
+    order (an equi-join on an array key, hashed like any other key).  The
+    right side's value column is dropped; other names present on both sides
+    get ``right_prefix`` on the right (see ``joins.equi_join``)."""
     rv = right_values or left_values
-    if rv == left_values:
-        right = right.withColumnRenamed(rv, "__tableflow_values")
-        rv = "__tableflow_values"
-        joined = left.join(right, left[left_values] == right[rv], how)
-        return joined.drop(rv)
-    return left.join(right, left[left_values] == right[rv], how)
+    joined = equi_join(left, right, left_values, rv, how=how,
+                       on_collision="prefix_right", right_prefix=right_prefix)
+    return joined.drop(right_prefix + rv if rv in left.columns else rv)

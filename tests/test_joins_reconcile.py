@@ -126,3 +126,11 @@ def test_small_source_prefilter_gives_same_results(inventories):
         assert plan == {2: "overwrite", 4: "create"}
         ins = {r.k: r.v for r in insert_missing(target, source, "k", small_source=small).collect()}
         assert ins == {1: "t1", 2: "t2", 3: "t3", 4: "s4"}
+
+
+def test_partition_match_shared_columns(spark):
+    entries = spark.createDataFrame([(["a"], "x", 1)], "values array<string>, loc string, n int")
+    rows = spark.createDataFrame([(["a"], "y"), (["b"], "z")], "values array<string>, loc string")
+    out = partition_match(rows, entries, "values")
+    assert out.columns == ["values", "loc", "right_loc", "n"]
+    assert [tuple(r) for r in out.collect()] == [(["a"], "y", "x", 1)]
