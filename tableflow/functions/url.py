@@ -19,7 +19,7 @@ def percent_decode(c: Column) -> Column:
 
 
 def object_url_parts(column: str | Column) -> dict[str, Column]:
-    """Columns ``scheme``, ``bucket``, ``key`` (decoded, no leading "/") and
+    """Columns ``scheme`` (lower case), ``bucket``, ``key`` (decoded, no leading "/") and
     ``base_name`` (text after the key's last "/").  A value that is not an
     absolute URL gives nulls."""
     url = F.col(column) if isinstance(column, str) else column
@@ -28,7 +28,7 @@ def object_url_parts(column: str | Column) -> dict[str, Column]:
     path = F.regexp_extract(url, _URL, 3)
     key = F.substring(percent_decode(path), 2, 1 << 30)
     return {
-        "scheme": F.when(is_url, F.regexp_extract(url, _URL, 1)),
+        "scheme": F.when(is_url, F.lower(F.regexp_extract(url, _URL, 1))),
         "bucket": F.when(is_url, F.regexp_extract(url, _URL, 2)),
         "key": F.when(is_url, key),
         "base_name": F.when(is_url, F.regexp_extract(key, r"([^/]*)$", 1)),

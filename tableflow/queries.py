@@ -748,7 +748,7 @@ _URL_RE = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)"
                || replace(c_name, '#', '%23') || '%20v1+final.py'
         FROM customer
     ), parts AS (
-        SELECT *, regexp_extract(url, '{_URL_RE}', 1) AS scheme,
+        SELECT *, lower(regexp_extract(url, '{_URL_RE}', 1)) AS scheme,
                regexp_extract(url, '{_URL_RE}', 2) AS bucket,
                substr(url_decode(regexp_extract(url, '{_URL_RE}', 3)), 2) AS key
         FROM urls

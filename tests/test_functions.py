@@ -89,6 +89,13 @@ def test_split_object_url_matches_urlparse(spark):
         assert got[u] == (p.netloc, key, os.path.basename(key)), u
 
 
+def test_split_object_url_scheme_lower_case(spark):
+    df = spark.createDataFrame([("S3://Bucket/Key.py",)], "url string")
+    r = split_object_url(df, "url").first()
+    p = urlparse("S3://Bucket/Key.py")
+    assert (r.scheme, r.bucket, r.key) == (p.scheme, p.netloc, p.path[1:])
+
+
 def test_split_object_url_bad_escape_and_non_url(spark):
     df = spark.createDataFrame([("s3://b/a%zz.py",), ("not a url",), (None,)], "url string")
     rows = split_object_url(df, "url").collect()
