@@ -20,16 +20,45 @@ def time_as_text(c, dtype: T.DataType):
     return F.when(F.date_format(c, "SSSSSS") == "000000", whole).otherwise(frac)
 
 
+_TIME_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _has_time(dtype: T.DataType) -> bool:
+    if isinstance(dtype, _TIME_TYPES):
+        return True
+    if isinstance(dtype, T.StructType):
+        return any(_has_time(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _has_time(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _has_time(dtype.valueType)
+    return False
+
+
+def _as_text(c, dtype: T.DataType):
+    """``c`` with every date / timestamp inside (at any depth) as text."""
+    if not _has_time(dtype):
+        return c
+    if isinstance(dtype, _TIME_TYPES):
+        return time_as_text(c, dtype)
+    if isinstance(dtype, T.StructType):
+        fields = [_as_text(c.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(c.isNull(), F.lit(None)).otherwise(F.struct(*fields))
+    if isinstance(dtype, T.ArrayType):
+        element = dtype.elementType
+        return F.transform(c, lambda x: _as_text(x, element))
+    value = dtype.valueType
+    return F.transform_values(c, lambda _k, v: _as_text(v, value))
+
+
 def jsonable(df: DataFrame) -> DataFrame:
-    """Top-level date and timestamp columns as strings; everything else as
-    is (one projection)."""
-    cols = []
-    for field in df.schema.fields:
-        c = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            c = time_as_text(c, field.dataType).alias(field.name)
-        cols.append(c)
-    return df.select(cols)
+    """Dates and timestamps, top-level or nested, as strings; everything
+    else as is (one projection; columns without times are untouched)."""
+    if not any(_has_time(f.dataType) for f in df.schema.fields):
+        return df
+    return df.select(
+        [_as_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
+    )
 
 
 def write_json(
@@ -39,8 +68,7 @@ def write_json(
     num_files: int | None = None,
     compression: str = "none",
 ) -> str:
-    """Write JSON Lines (splittable) after ``jsonable``; nested timestamps
-    keep microseconds through the shared text formats."""
+    """Write JSON Lines (splittable) after ``jsonable``."""
     out = jsonable(df)
     if num_files is not None:
         out = out.repartition(num_files)

@@ -148,3 +148,16 @@ def test_csv_compression_and_header(spark, scratch):
     assert sorted(r.id for r in back.collect()) == [1, 2]
     raw = spark.read.text(path).collect()
     assert raw[0].value == "id,s,ts"
+
+
+def test_json_sink_nested_times_as_text(spark, scratch):
+    df = spark.createDataFrame(
+        [({"at": TS, "n": 1}, [dt.date(2024, 1, 2)], {"k": TS})],
+        "s STRUCT<at: TIMESTAMP_NTZ, n: INT>, arr ARRAY<DATE>, m MAP<STRING, TIMESTAMP_NTZ>",
+    )
+    path = write_json(df, scratch())
+    text = spark.read.text(path).first().value
+    assert text == (
+        '{"s":{"at":"2024-01-02 03:04:05.123456","n":1},"arr":["2024-01-02"],'
+        '"m":{"k":"2024-01-02 03:04:05.123456"}}'
+    )
