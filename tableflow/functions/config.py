@@ -34,13 +34,12 @@ def _string_entries(json_text: Column, make_placeholder) -> Column:
     )
 
 
-def placeholder_entries(doc: str | Column) -> Column:
-    """The ordered, de-duplicated ``array<struct<placeholder, value>>`` of
-    one document."""
-    d = F.col(doc) if isinstance(doc, str) else doc
-    top = _string_entries(d, lambda k: F.concat(F.lit("{"), k, F.lit("}")))
+def _entries(doc: Column) -> Column:
+    """Ordered ``[{placeholder, value}]`` of one document, repeats kept."""
+    empty = F.array().cast(f"array<{_ENTRY}>")
+    top = _string_entries(doc, lambda k: F.concat(F.lit("{"), k, F.lit("}")))
     # Raw member texts keep document order (a variant object sorts its keys).
-    raw_top = F.from_json(d, "map<string,string>")
+    raw_top = F.from_json(doc, "map<string,string>")
     jobs = F.map_entries(F.from_json(F.try_element_at(raw_top, F.lit("jobs")), "map<string,string>"))
     per_job = F.transform(
         jobs,
@@ -48,40 +47,66 @@ def placeholder_entries(doc: str | Column) -> Column:
             j["value"], lambda k: F.concat(F.lit("{"), j["key"], F.lit("."), k, F.lit("}"))
         ),
     )
-    all_entries = F.concat(
-        F.coalesce(top, F.array().cast(f"array<{_ENTRY}>")),
-        F.coalesce(F.flatten(F.filter(per_job, lambda a: a.isNotNull())), F.array().cast(f"array<{_ENTRY}>")),
+    return F.concat(
+        F.coalesce(top, empty),
+        F.coalesce(F.flatten(F.filter(per_job, lambda a: a.isNotNull())), empty),
     )
-    # A repeated placeholder keeps its first position and its last value.
-    # That costs a search per entry, so it only runs for documents that
-    # repeat one; the common case is a linear `array_distinct` check.
+
+
+def _first_position_last_value(entries: Column) -> Column:
+    """A repeated placeholder keeps its first position and its last value."""
     first = F.filter(
-        all_entries,
+        entries,
         lambda e, i: ~F.exists(
-            F.slice(all_entries, F.lit(1), i), lambda p: p["placeholder"] == e["placeholder"]
+            F.slice(entries, F.lit(1), i), lambda p: p["placeholder"] == e["placeholder"]
         ),
     )
-    deduped = F.transform(
+    return F.transform(
         first,
         lambda e: F.struct(
             e["placeholder"].alias("placeholder"),
             F.element_at(
-                F.filter(all_entries, lambda p: p["placeholder"] == e["placeholder"]), -1
+                F.filter(entries, lambda p: p["placeholder"] == e["placeholder"]), -1
             )["value"].alias("value"),
         ),
     )
-    placeholders = F.transform(all_entries, lambda e: e["placeholder"])
-    unique = F.size(F.array_distinct(placeholders)) == F.size(placeholders)
-    return F.when(unique, all_entries).otherwise(deduped)
+
+
+def placeholder_entries(doc: str | Column) -> Column:
+    """The ordered, de-duplicated ``array<struct<placeholder, value>>`` of
+    one document, as a single expression.  ``flatten_placeholders`` stages
+    the same work over projections so each step runs once per document."""
+    d = F.col(doc) if isinstance(doc, str) else doc
+    entries = _entries(d)
+    names = F.transform(entries, lambda e: e["placeholder"])
+    unique = F.size(F.array_distinct(names)) == F.size(names)
+    return F.when(unique, entries).otherwise(_first_position_last_value(entries))
 
 
 def flatten_placeholders(
     df: DataFrame, doc_column: str, keep: Sequence[str] = (), ordinal: str = "ordinal"
 ) -> DataFrame:
     """One row per placeholder: ``keep`` columns, ``ordinal`` (0-based
-    position in the document's mapping), ``placeholder``, ``value``."""
-    exploded = df.select(
-        *[F.col(f"`{c}`") for c in keep],
-        F.posexplode(placeholder_entries(doc_column)).alias(ordinal, "__entry"),
+    position in the document's mapping), ``placeholder``, ``value``.
+
+    Staged as projections: the document is parsed once into its entry
+    array, the repeat check reads that array, and only documents that
+    repeat a placeholder pay for the quadratic de-duplication.  (Catalyst
+    keeps an expensive expression that is used more than once in its own
+    projection instead of inlining it.)
+    """
+    kept = [F.col(f"`{c}`") for c in keep]
+    staged = df.select(*kept, _entries(F.col(f"`{doc_column}`")).alias("__entries"))
+    staged = staged.select(
+        *kept,
+        "__entries",
+        (
+            F.size(F.array_distinct(F.transform("__entries", lambda e: e["placeholder"])))
+            == F.size("__entries")
+        ).alias("__unique"),
+    )
+    entries = F.when(F.col("__unique"), F.col("__entries")).otherwise(
+        _first_position_last_value(F.col("__entries"))
     )
+    exploded = staged.select(*kept, F.posexplode(entries).alias(ordinal, "__entry"))
     return exploded.select(*keep, ordinal, "__entry.placeholder", "__entry.value")
