@@ -13,6 +13,56 @@ Sub-packages:
     streaming  notes on using the batch operators from Structured Streaming
 """
 
-from tableflow.session import build_session, scratch_path, shared_dir
+from tableflow.functions.config import flatten_placeholders
+from tableflow.functions.nested import substitute_nested
+from tableflow.functions.text import infix_path, prefix_names, split_list, substitute
+from tableflow.functions.url import split_object_url
+from tableflow.operators.filters import (
+    composite_key_filter,
+    filter_by_names,
+    keep_unskipped,
+    prefix_filter,
+    skip_rules,
+)
+from tableflow.operators.joins import bridge_join, cascade_chain, cascade_filter, equi_join, lookup_report
+from tableflow.operators.project import (
+    default_map_field,
+    drop_fields,
+    drop_nested_fields,
+    lift_nested_field,
+    rename_fields,
+)
+from tableflow.operators.quality import (
+    expect_predicates,
+    expect_row_count,
+    keep_last,
+    non_empty,
+    preview,
+    row_count,
+    run_gate,
+)
+from tableflow.operators.reconcile import insert_missing, partition_match, sync_plan, upsert
+from tableflow.plans.catalog import CatalogSync
+from tableflow.plans.export import ExportJob, custom_transform, fan_out
+from tableflow.plans.sync import DefinitionSync, apply_plan
+from tableflow.session import build_session, cluster_conf, scratch_path, shared_dir
+from tableflow.sinks.csv import guarded_csv_export, read_csv, single_file_csv, write_csv
+from tableflow.sinks.json import write_json, write_resource_documents
+from tableflow.sinks.partitioned import partition_upsert
+from tableflow.sources.jdbc import read_jdbc
+from tableflow.sources.json import read_json, read_json_documents
+from tableflow.sources.schema import apply_schema
 
-__all__ = ["build_session", "scratch_path", "shared_dir"]
+__all__ = [
+    "CatalogSync", "DefinitionSync", "ExportJob", "apply_plan", "apply_schema", "bridge_join",
+    "build_session", "cascade_chain", "cascade_filter", "cluster_conf", "composite_key_filter",
+    "custom_transform", "default_map_field", "drop_fields", "drop_nested_fields", "equi_join",
+    "expect_predicates", "expect_row_count", "fan_out", "filter_by_names", "flatten_placeholders",
+    "guarded_csv_export", "infix_path", "insert_missing", "keep_last", "keep_unskipped",
+    "lift_nested_field", "lookup_report", "non_empty", "partition_match", "partition_upsert",
+    "prefix_filter", "prefix_names", "preview", "read_csv", "read_jdbc", "read_json",
+    "read_json_documents", "rename_fields", "row_count", "run_gate", "scratch_path",
+    "shared_dir", "single_file_csv", "skip_rules", "split_list", "split_object_url",
+    "substitute", "substitute_nested", "sync_plan", "upsert", "write_csv", "write_json",
+    "write_resource_documents",
+]
