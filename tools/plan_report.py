@@ -49,6 +49,20 @@ def main() -> None:
           " (`python tools/plan_report.py`). Shuffles = hash/range/round-robin/single exchanges"
           " in the final plan; a broadcast is counted where Catalyst's or AQE's size check"
           " chose it. No query has a Python evaluation node or a cartesian product.\n")
+    print(
+        "Reading the table at scale:\n\n"
+        "- Every broadcast below was chosen by the size check (no query asks for one). At 100 TB"
+        " the large sides (`part`, `supplier`, `orders`, `customer`) exceed the threshold and the"
+        " same plans become sort-merge joins; AQE splits a hot key's partition there"
+        " (`tests/test_skew.py`).\n"
+        "- Shuffles are on keys only or after a partial aggregate: `keep_last` has a partial"
+        " `WindowGroupLimit` before its exchange, `sync_plan`'s target-key dedupe aggregates"
+        " before shuffling, counts and checks move one row per task.\n"
+        "- Scans read only the columns the query needs and carry its filters (`PushedFilters`);"
+        " the sink queries read back CSV/JSON written by the query itself.\n"
+        "- `single_file_output` is the one place where all rows pass through one task, because a"
+        " single output file is the feature being asked for.\n"
+    )
     print("| query | shuffles | broadcasts | joins | scans (columns read, pushed filters) |")
     print("| --- | --- | --- | --- | --- |")
     for name, q in QUERIES.items():
