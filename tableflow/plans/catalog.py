@@ -35,6 +35,8 @@ from tableflow.operators.quality import keep_last
 from tableflow.operators.reconcile import sync_plan
 
 # System fields the target catalog assigns itself, per level.
+# (``DatabaseName`` / ``TableName`` are keys of the flat rows here, so they
+# are kept as key columns rather than dropped from a nested input.)
 DATABASE_SYSTEM_FIELDS = ("CatalogId", "CatalogIdentifier", "DatabaseId", "CreateTime")
 TABLE_SYSTEM_FIELDS = (
     "CatalogId", "CatalogIdentifier", "DatabaseId", "CreateTime", "UpdateTime", "CreatedBy",
