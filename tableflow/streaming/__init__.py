@@ -5,5 +5,7 @@ between runs.  Each one takes and returns DataFrames without actions, so
 the transforming ones (projections, filters, substitution, URL split,
 config flattening, skip rules) apply unchanged to a streaming DataFrame,
 and the sinks can run per micro-batch from ``writeStream.foreachBatch``.
-No streaming-specific operator is provided.
+No streaming-specific operator is provided.  ``tests/test_streaming.py``
+runs skip rules and substitution on a file stream and the guarded CSV
+export per micro-batch (``trigger(availableNow=True)``, checkpointed).
 """
