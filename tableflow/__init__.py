@@ -42,6 +42,7 @@ from tableflow.operators.quality import (
     run_gate,
 )
 from tableflow.operators.reconcile import insert_missing, partition_match, sync_plan, upsert
+from tableflow.plans.bridge import bridge_job, bridge_job_from_json
 from tableflow.plans.catalog import CatalogSync
 from tableflow.plans.export import ExportJob, custom_transform, fan_out
 from tableflow.plans.sync import DefinitionSync, apply_plan
@@ -54,7 +55,8 @@ from tableflow.sources.json import read_json, read_json_documents
 from tableflow.sources.schema import apply_schema
 
 __all__ = [
-    "CatalogSync", "DefinitionSync", "ExportJob", "apply_plan", "apply_schema", "bridge_join",
+    "CatalogSync", "DefinitionSync", "ExportJob", "apply_plan", "apply_schema", "bridge_job",
+    "bridge_job_from_json", "bridge_join",
     "build_session", "cascade_chain", "cascade_filter", "cluster_conf", "composite_key_filter",
     "custom_transform", "default_map_field", "drop_fields", "drop_nested_fields", "equi_join",
     "expect_predicates", "expect_row_count", "fan_out", "filter_by_names", "flatten_placeholders",
