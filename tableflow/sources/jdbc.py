@@ -46,8 +46,40 @@ def jdbc_options(
     return opts
 
 
+def bounds_query(table: str, column: str) -> str:
+    """A one-row subquery with the split column's range, run by the
+    database."""
+    return f"(SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {table}) tableflow_bounds"
+
+
+def jdbc_bounds(
+    spark: SparkSession,
+    url: str,
+    table: str,
+    column: str,
+    properties: Mapping[str, str] | None = None,
+) -> tuple[object, object]:
+    """``(min, max)`` of the split column, computed by the database (one
+    row comes back, whatever the table size)."""
+    row = (
+        spark.read.format("jdbc")
+        .options(**jdbc_options(url, bounds_query(table, column), properties))
+        .load()
+        .first()
+    )
+    return row["lo"], row["hi"]
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, **kwargs) -> DataFrame:
     """Read a JDBC table (see ``jdbc_options`` for the keyword arguments).
     Filters and projections on the result are pushed into the SQL sent to
-    the database."""
+    the database.  Given ``partition_column`` and ``num_partitions`` but no
+    bounds, the bounds are fetched first (``jdbc_bounds``)."""
+    column = kwargs.get("partition_column")
+    if column is not None and kwargs.get("lower_bound") is None and kwargs.get("upper_bound") is None:
+        lo, hi = jdbc_bounds(spark, url, table, column, kwargs.get("properties"))
+        if lo is None:  # empty table: one plain read
+            kwargs = {k: v for k, v in kwargs.items() if k not in ("partition_column", "num_partitions")}
+        else:
+            kwargs.update(lower_bound=lo, upper_bound=hi)
     return spark.read.format("jdbc").options(**jdbc_options(url, table, **kwargs)).load()

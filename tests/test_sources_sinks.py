@@ -161,3 +161,10 @@ def test_json_sink_nested_times_as_text(spark, scratch):
         '{"s":{"at":"2024-01-02 03:04:05.123456","n":1},"arr":["2024-01-02"],'
         '"m":{"k":"2024-01-02 03:04:05.123456"}}'
     )
+
+
+def test_jdbc_bounds_query():
+    from tableflow.sources.jdbc import bounds_query
+
+    q = bounds_query("public.member", "member_id")
+    assert q == "(SELECT MIN(member_id) AS lo, MAX(member_id) AS hi FROM public.member) tableflow_bounds"
