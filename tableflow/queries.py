@@ -33,7 +33,6 @@ from tableflow.operators.project import (
     rename_fields,
 )
 from tableflow.operators.quality import (
-    expect_predicates,
     expect_row_count,
     keep_last,
     non_empty,

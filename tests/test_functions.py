@@ -3,7 +3,6 @@ from urllib.parse import unquote, urlparse
 import os.path
 
 import pytest
-from pyspark.sql import functions as F
 
 from tableflow.functions.config import flatten_placeholders
 from tableflow.functions.nested import substitute_nested

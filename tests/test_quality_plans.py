@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import SF_CHECK, SF_SMALL, plan_text
+from conftest import SF_SMALL, plan_text
 from tableflow.operators.quality import expect_predicates, expect_row_count, non_empty, preview, row_count
 from tableflow.plans.export import ExportJob, custom_transform, fan_out
 from tableflow.queries import QUERIES
