@@ -56,8 +56,11 @@ def equi_join(
     # vanish in optimisation: no projection lands between the joins.
     cond = " AND ".join(f"{qualified('__l', a)} = {qualified('__r', b)}" for a, b in zip(lk, rk))
     joined = left.alias("__l").join(right.alias("__r"), on=F.expr(cond), how=how)
+    left_out = [f"{qualified('__l', c)} AS {quote(c)}" for c in left.columns]
+    if how.replace("_", "").lower() in ("semi", "leftsemi", "anti", "leftanti"):
+        return joined.selectExpr(*left_out)  # no right-side columns
     return joined.selectExpr(
-        *[f"{qualified('__l', c)} AS {quote(c)}" for c in left.columns],
+        *left_out,
         *[f"{qualified('__r', c)} AS {quote(out_right[c])}" for c in right.columns],
     )
 

@@ -134,3 +134,11 @@ def test_partition_match_shared_columns(spark):
     out = partition_match(rows, entries, "values")
     assert out.columns == ["values", "loc", "right_loc", "n"]
     assert [tuple(r) for r in out.collect()] == [(["a"], "y", "x", 1)]
+
+
+def test_equi_join_semi_and_anti(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, v string")
+    right = spark.createDataFrame([(1, "x")], "rk int, w string")
+    assert [r.k for r in equi_join(left, right, "k", "rk", how="left_semi").collect()] == [1]
+    anti = equi_join(left, right, "k", "rk", how="left_anti")
+    assert anti.columns == ["k", "v"] and sorted(r.v for r in anti.collect()) == ["b", "n"]
