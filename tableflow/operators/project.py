@@ -17,8 +17,31 @@ from tableflow.operators.names import quote
 
 
 def drop_fields(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Drop top-level columns; names that are not present are ignored."""
-    return df.drop(*list(names))
+    """Drop fields; names that are not present are ignored.
+
+    A name is a top-level column, or a dotted path into a struct column
+    (``"info.created"``) when no top-level column has that exact name.
+    """
+    wanted = list(names)
+    top = [n for n in wanted if n in df.columns]
+    out = df.drop(*top)
+    types = {f.name: f.dataType for f in out.schema.fields}
+    for path in wanted:
+        if path in top or "." not in path:
+            continue
+        head, rest = path.split(".", 1)
+        if isinstance(types.get(head), T.StructType) and _has_path(types[head], rest):
+            out = out.withColumn(head, F.col(quote(head)).dropFields(rest))
+            types = {f.name: f.dataType for f in out.schema.fields}
+    return out
+
+
+def _has_path(struct: T.StructType, path: str) -> bool:
+    head, _, rest = path.partition(".")
+    for field in struct.fields:
+        if field.name == head:
+            return not rest or (isinstance(field.dataType, T.StructType) and _has_path(field.dataType, rest))
+    return False
 
 
 def _pairs(mapping: Mapping[str, str] | Sequence[tuple[str, str]]) -> list[tuple[str, str]]:

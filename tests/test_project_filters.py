@@ -118,3 +118,14 @@ def test_prefix_filter_null_and_empty(spark):
     assert [r.tag for r in prefix_filter(df, "tag", "").collect()] == ["dev-x", "prod"]
     flags = df.select(starts_with("tag", "dev").alias("f")).collect()
     assert [r.f for r in flags] == [True, False, False, False]
+
+
+def test_drop_fields_dotted_paths(spark):
+    df = spark.createDataFrame(
+        [(1, {"a": 1, "b": {"c": 2, "d": 3}})], "id int, s struct<a:int, b:struct<c:int, d:int>>"
+    )
+    out = drop_fields(df, ["s.b.c", "s.zz", "nope.x", "id.x"])
+    assert out.schema["s"].dataType.simpleString() == "struct<a:int,b:struct<d:int>>"
+    assert out.columns == ["id", "s"]
+    dotted = spark.createDataFrame([(1, 2)], "`a.b` int, c int")
+    assert drop_fields(dotted, ["a.b"]).columns == ["c"]
