@@ -5,7 +5,7 @@ import pytest
 
 from conftest import SF_CHECK
 from tableflow.queries import ORACLES, QUERIES
-from tools.check_oracle import TABLES, rows_of
+from tools.check_oracle import TABLES, rows_of, type_mismatches
 
 
 @pytest.fixture(scope="module")
@@ -24,8 +24,9 @@ def test_every_query_has_an_oracle():
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF_CHECK)
     s, scols = rows_of(df.columns, [tuple(r) for r in df.collect()])
-    res = duck.execute(ORACLES[name])
-    o, ocols = rows_of([c[0] for c in res.description], res.fetchall())
+    rel = duck.sql(ORACLES[name])
+    assert type_mismatches(df.dtypes, rel.columns, rel.types) == {}
+    o, ocols = rows_of(rel.columns, rel.fetchall())
     assert scols == ocols
     assert len(s) == len(o)
     assert s == o

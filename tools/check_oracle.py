@@ -43,6 +43,20 @@ def canon(v):
     return str(v)
 
 
+# Spark simple type names -> DuckDB result type names.
+SPARK_TO_DUCKDB = {
+    "bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "double": "DOUBLE",
+    "float": "FLOAT", "string": "VARCHAR", "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP", "date": "DATE",
+}
+
+
+def type_mismatches(spark_dtypes, duck_names, duck_types) -> dict:
+    s = {c: SPARK_TO_DUCKDB.get(t, t) for c, t in spark_dtypes}
+    o = {c: str(t) for c, t in zip(duck_names, duck_types)}
+    return {c: (s.get(c), o.get(c)) for c in sorted(set(s) | set(o)) if s.get(c) != o.get(c)}
+
+
 def rows_of(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
     return sorted(tuple(canon(r[i]) for i in order) for r in rows), sorted(names)
@@ -71,14 +85,18 @@ def main():
             print(f"ROWS {name}: {len(s)} rows (no oracle) {secs:.1f}s")
             continue
         try:
-            res = con.execute(ORACLES[name])
-            dnames = [c[0] for c in res.description]
-            o, ocols = rows_of(dnames, res.fetchall())
+            rel = con.sql(ORACLES[name])
+            dnames, dtypes = rel.columns, rel.types
+            o, ocols = rows_of(dnames, rel.fetchall())
         except Exception as e:
             print(f"FAIL {name}: duckdb error {str(e)[:400]}")
             bad += 1
             continue
-        if scols != ocols:
+        types = type_mismatches(df.dtypes, dnames, dtypes)
+        if types:
+            print(f"FAIL {name}: types {types}")
+            bad += 1
+        elif scols != ocols:
             print(f"FAIL {name}: columns {scols} vs {ocols}")
             bad += 1
         elif len(s) != len(o):
