@@ -55,17 +55,58 @@ def rename_fields(
 
     ``[("a", "b"), ("b", "c")]`` ends with ``a`` named ``c``, exactly as two
     chained rename calls would.  A missing source name is a no-op; renaming
-    onto a name that already exists is refused.  The chain is resolved on the
-    schema and emitted as one projection.
+    onto a name that already exists is refused.  Top-level renames are
+    resolved on the schema and emitted as one projection.  A dotted path
+    (``"info.first" -> "info.given"``, same parent) renames a field inside a
+    struct, keeping field order; exact top-level names take precedence.
     """
     names = list(df.columns)
+    nested: list[tuple[str, str]] = []
     for old, new in _pairs(mapping):
-        if old not in names or old == new:
-            continue
-        if new in names:
-            raise ValueError(f"rename {old!r} -> {new!r}: column {new!r} already exists")
-        names = [new if n == old else n for n in names]
-    return df.selectExpr(*[f"{quote(o)} AS {quote(n)}" for o, n in zip(df.columns, names)])
+        if old in names:
+            if old == new:
+                continue
+            if new in names:
+                raise ValueError(f"rename {old!r} -> {new!r}: column {new!r} already exists")
+            names = [new if n == old else n for n in names]
+        elif "." in old:
+            nested.append((old, new))
+    out = df.selectExpr(*[f"{quote(o)} AS {quote(n)}" for o, n in zip(df.columns, names)])
+    for old, new in nested:
+        out = _rename_nested(out, old, new)
+    return out
+
+
+def _renamed_struct(c: Column, dtype: T.StructType, path: list[str], new_leaf: str) -> Column:
+    head, rest = path[0], path[1:]
+    fields = []
+    for f in dtype.fields:
+        value = c.getField(f.name)
+        name = f.name
+        if f.name == head:
+            if rest:
+                value = _renamed_struct(value, f.dataType, rest, new_leaf)
+            else:
+                name = new_leaf
+        fields.append(value.alias(name))
+    return F.when(c.isNull(), F.lit(None)).otherwise(F.struct(*fields))
+
+
+def _rename_nested(df: DataFrame, old: str, new: str) -> DataFrame:
+    old_parts, new_parts = old.split("."), new.split(".")
+    if old_parts[:-1] != new_parts[:-1]:
+        raise ValueError(f"rename {old!r} -> {new!r}: a nested rename keeps the parent path")
+    top = old_parts[0]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    dtype: T.DataType | None = types.get(top)
+    for part in old_parts[1:]:  # missing path: no-op
+        if not isinstance(dtype, T.StructType) or part not in dtype.fieldNames():
+            return df
+        parent, dtype = dtype, dtype[part].dataType
+    if new_parts[-1] in parent.fieldNames() and new_parts[-1] != old_parts[-1]:
+        raise ValueError(f"rename {old!r} -> {new!r}: field already exists")
+    expr = _renamed_struct(F.col(quote(top)), types[top], old_parts[1:], new_parts[-1])
+    return df.withColumn(top, expr)
 
 
 def _field_type(df: DataFrame, column: str) -> T.DataType:

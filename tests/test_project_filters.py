@@ -129,3 +129,18 @@ def test_drop_fields_dotted_paths(spark):
     assert out.columns == ["id", "s"]
     dotted = spark.createDataFrame([(1, 2)], "`a.b` int, c int")
     assert drop_fields(dotted, ["a.b"]).columns == ["c"]
+
+
+def test_rename_nested_paths(spark):
+    df = spark.createDataFrame(
+        [(1, {"first": "a", "inner": {"x": 1, "y": 2}}), (2, None)],
+        "id int, info struct<first:string, inner:struct<x:int, y:int>>",
+    )
+    out = rename_fields(df, [("info.first", "info.given"), ("info.inner.x", "info.inner.z"), ("info.nope", "info.q")])
+    assert out.schema["info"].dataType.simpleString() == "struct<given:string,inner:struct<z:int,y:int>>"
+    rows = out.orderBy("id").collect()
+    assert rows[0].info.given == "a" and rows[0].info.inner.z == 1 and rows[1].info is None
+    with pytest.raises(ValueError):
+        rename_fields(df, [("info.first", "other.first")])
+    with pytest.raises(ValueError):
+        rename_fields(df, [("info.first", "info.inner")])
