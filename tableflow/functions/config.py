@@ -38,9 +38,12 @@ def _entries(doc: Column) -> Column:
     """Ordered ``[{placeholder, value}]`` of one document, repeats kept."""
     empty = F.array().cast(f"array<{_ENTRY}>")
     top = _string_entries(doc, lambda k: F.concat(F.lit("{"), k, F.lit("}")))
-    # Raw member texts keep document order (a variant object sorts its keys).
-    raw_top = F.from_json(doc, "map<string,string>")
-    jobs = F.map_entries(F.from_json(F.try_element_at(raw_top, F.lit("jobs")), "map<string,string>"))
+    # Raw member texts keep document order (a variant object sorts its keys);
+    # only the ``jobs`` member is extracted, in one streaming pass.  It counts
+    # only when it is an object (a string that merely looks like one does not).
+    jobs_type = F.schema_of_variant(F.try_variant_get(F.parse_json(doc), "$.jobs", "variant"))
+    jobs_text = F.when(jobs_type.startswith("OBJECT"), F.get_json_object(doc, "$.jobs"))
+    jobs = F.map_entries(F.from_json(jobs_text, "map<string,string>"))
     per_job = F.transform(
         jobs,
         lambda j: _string_entries(

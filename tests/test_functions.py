@@ -124,6 +124,7 @@ DOCS = [
     {"jobs": "not an object"},
     {"jobs": {"j": "str", "k": {"x": "1"}}},
     {"a.b": "top", "jobs": {"a": {"b": "job"}}},
+    {"jobs": '{"j": {"k": "looks like an object"}}'},
     {},
 ]
 
