@@ -112,7 +112,8 @@ top_value = st.one_of(scalars, st.lists(scalars, max_size=2), st.dictionaries(na
 docs = st.builds(
     lambda top, jobs: {**top, **({"jobs": jobs} if jobs is not None else {})},
     st.dictionaries(names.filter(lambda n: n != "jobs"), top_value, max_size=4),
-    st.one_of(st.none(), st.dictionaries(names, job_conf, max_size=3), scalars),
+    st.one_of(st.none(), st.dictionaries(names, job_conf, max_size=3), scalars,
+              st.just('{"j": {"k": "a string that looks like an object"}}')),
 )
 
 
