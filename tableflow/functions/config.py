@@ -39,15 +39,22 @@ def _entries(doc: Column) -> Column:
     empty = F.array().cast(f"array<{_ENTRY}>")
     top = _string_entries(doc, lambda k: F.concat(F.lit("{"), k, F.lit("}")))
     # Raw member texts keep document order (a variant object sorts its keys);
-    # only the ``jobs`` member is extracted, in one streaming pass.  It counts
-    # only when it is an object (a string that merely looks like one does not).
-    jobs_type = F.schema_of_variant(F.try_variant_get(F.parse_json(doc), "$.jobs", "variant"))
-    jobs_text = F.when(jobs_type.startswith("OBJECT"), F.get_json_object(doc, "$.jobs"))
+    # only the ``jobs`` member is extracted, in one streaming pass.  Types
+    # come from a variant parse, looked up by key (so its sorted key order
+    # does not matter): ``jobs`` counts only when it is an object, and so
+    # does each job, even against a string that merely looks like one.
+    jobs_variant = F.try_variant_get(F.parse_json(doc), "$.jobs", "variant")
+    jobs_is_object = F.schema_of_variant(jobs_variant).startswith("OBJECT")
+    job_types = F.try_variant_get(jobs_variant, "$", "map<string,variant>")
+    jobs_text = F.when(jobs_is_object, F.get_json_object(doc, "$.jobs"))
     jobs = F.map_entries(F.from_json(jobs_text, "map<string,string>"))
     per_job = F.transform(
         jobs,
-        lambda j: _string_entries(
-            j["value"], lambda k: F.concat(F.lit("{"), j["key"], F.lit("."), k, F.lit("}"))
+        lambda j: F.when(
+            F.schema_of_variant(F.try_element_at(job_types, j["key"])).startswith("OBJECT"),
+            _string_entries(
+                j["value"], lambda k: F.concat(F.lit("{"), j["key"], F.lit("."), k, F.lit("}"))
+            ),
         ),
     )
     return F.concat(

@@ -125,6 +125,7 @@ DOCS = [
     {"jobs": {"j": "str", "k": {"x": "1"}}},
     {"a.b": "top", "jobs": {"a": {"b": "job"}}},
     {"jobs": '{"j": {"k": "looks like an object"}}'},
+    {"jobs": {"j": '{"k": "a string, not a job"}', "m": {"x": "y"}}},
     {},
 ]
 

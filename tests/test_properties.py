@@ -107,7 +107,7 @@ def py_flatten(doc):
 
 names = st.text(alphabet="ab.", min_size=1, max_size=3)
 scalars = st.one_of(st.text(alphabet="xy{}", max_size=4), st.integers(-5, 5), st.booleans(), st.none())
-job_conf = st.one_of(st.dictionaries(names, scalars, max_size=3), scalars)
+job_conf = st.one_of(st.dictionaries(names, scalars, max_size=3), scalars, st.just('{"k": "not a job"}'))
 top_value = st.one_of(scalars, st.lists(scalars, max_size=2), st.dictionaries(names, scalars, max_size=2))
 docs = st.builds(
     lambda top, jobs: {**top, **({"jobs": jobs} if jobs is not None else {})},
