@@ -12,11 +12,13 @@ from tableflow.sinks.formats import TEXT_TIME_OPTIONS
 def time_as_text(c, dtype: T.DataType):
     """Date / timestamp as text the way Python's ``str`` prints it:
     ``YYYY-MM-DD`` and ``YYYY-MM-DD HH:MM:SS[.ffffff]`` (the fraction only
-    when it is not zero)."""
+    when it is not zero); a zoned timestamp also gets its offset in the
+    session time zone (``+00:00``), as an aware ``datetime`` does."""
     if isinstance(dtype, T.DateType):
         return F.date_format(c, "yyyy-MM-dd")
-    whole = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    frac = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    offset = "xxx" if isinstance(dtype, T.TimestampType) else ""
+    whole = F.date_format(c, "yyyy-MM-dd HH:mm:ss" + offset)
+    frac = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS" + offset)
     return F.when(F.date_format(c, "SSSSSS") == "000000", whole).otherwise(frac)
 
 

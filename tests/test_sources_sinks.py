@@ -168,3 +168,14 @@ def test_jdbc_bounds_query():
 
     q = bounds_query("public.member", "member_id")
     assert q == "(SELECT MIN(member_id) AS lo, MAX(member_id) AS hi FROM public.member) tableflow_bounds"
+
+
+def test_json_sink_zoned_timestamp_like_python_str(spark, scratch):
+    import datetime as _dt
+
+    aware = [_dt.datetime(2024, 1, 2, 3, 4, 5, tzinfo=_dt.timezone.utc),
+             _dt.datetime(2024, 1, 2, 3, 4, 5, 123456, tzinfo=_dt.timezone.utc)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(aware)], "i INT, ts TIMESTAMP")
+    path = write_json(df, scratch())
+    got = {r.i: r.ts for r in spark.read.schema("i INT, ts STRING").json(path).collect()}
+    assert got == {i: str(t) for i, t in enumerate(aware)}
