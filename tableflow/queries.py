@@ -969,7 +969,7 @@ def q_export_job(spark, d):
 
 # ---------------------------------------------------------------- definition sync
 
-_SYNC_MAPPING = [("{assets_path}", "s3://assets-dev"), ("{deploy.glue_role}", "arn:role/dev")]
+_SYNC_MAPPING = [("{assets_path}", "s3://assets-dev"), ("{deploy.job_role}", "arn:role/dev")]
 
 
 @register(
@@ -990,7 +990,7 @@ _SYNC_MAPPING = [("{assets_path}", "s3://assets-dev"), ("{deploy.glue_role}", "a
                 ELSE 'create' END AS action,
            'dev-' || d.c_name AS Name,
            d.Role,
-           CASE WHEN d.c_name IS NOT NULL THEN 'glueetl' END AS command_name,
+           CASE WHEN d.c_name IS NOT NULL THEN 'etl' END AS command_name,
            's3://assets-dev/scripts/dev-' || d.c_name || '.py' AS script_location,
            CASE WHEN d.c_name IS NOT NULL THEN 's3://assets-dev/temporary/' END AS temp_dir,
            CASE WHEN d.c_name IS NOT NULL THEN d.c_mktsegment <> 'HOUSEHOLD' END AS has_dag
@@ -1009,7 +1009,7 @@ def q_definition_sync(spark, d):
             F.col("c_name").alias("Name"),
             F.lit(role).alias("Role"),
             F.struct(
-                F.lit("glueetl").alias("Name"),
+                F.lit("etl").alias("Name"),
                 F.concat(F.lit("{assets_path}/scripts/"), F.col("c_name"), F.lit(".py")).alias(
                     "ScriptLocation"
                 ),
@@ -1024,8 +1024,8 @@ def q_definition_sync(spark, d):
             F.lit(seq).alias("seq"),
         )
 
-    definitions = jobs("{deploy.glue_role}", 0, c).unionByName(
-        jobs("{deploy.glue_role}-v2", 1, c.filter(F.col("c_mktsegment") == "BUILDING"))
+    definitions = jobs("{deploy.job_role}", 0, c).unionByName(
+        jobs("{deploy.job_role}-v2", 1, c.filter(F.col("c_mktsegment") == "BUILDING"))
     )
     requested = c.select(F.col("c_name").alias("n")).unionByName(
         table(spark, d, "supplier").select(F.col("s_name").alias("n"))

@@ -6,10 +6,10 @@ from tableflow.plans.sync import DefinitionSync
 def defs(spark):
     return spark.createDataFrame(
         [
-            ("a", "{role}", {"Name": "glueetl", "ScriptLocation": "{root}/scripts/a.py"}, {"n": "x"}, 1, 0),
-            ("a", "{role}-2", {"Name": "glueetl", "ScriptLocation": "{root}/scripts/a.py"}, {"n": "x"}, 1, 1),
-            ("b", "{role}", {"Name": "glueetl", "ScriptLocation": "{root}/scripts/b.py"}, None, 2, 0),
-            ("c", "{role}", {"Name": "glueetl", "ScriptLocation": "{root}/scripts/c.py"}, {"{role}": "y"}, 3, 0),
+            ("a", "{role}", {"Name": "etl", "ScriptLocation": "{root}/scripts/a.py"}, {"n": "x"}, 1, 0),
+            ("a", "{role}-2", {"Name": "etl", "ScriptLocation": "{root}/scripts/a.py"}, {"n": "x"}, 1, 1),
+            ("b", "{role}", {"Name": "etl", "ScriptLocation": "{root}/scripts/b.py"}, None, 2, 0),
+            ("c", "{role}", {"Name": "etl", "ScriptLocation": "{root}/scripts/c.py"}, {"{role}": "y"}, 3, 0),
         ],
         "Name string, Role string, Command struct<Name:string, ScriptLocation:string>, "
         "CodeGenConfigurationNodes map<string,string>, MaxCapacity int, seq int",
