@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences.  A sentence has a logistic score over hashed
-features (its words, and the 4-byte pieces of its text with word edges), and a
+features (its words, and the 4-byte piece from the byte before each byte of a word on), and a
 document is toxic if any sentence is: p = 1 - prod(1 - p_sentence), the
 noisy-or.  Only document labels are known; the gradient of the document's
 likelihood reaches each sentence in proportion to its share, which is how the
@@ -32,9 +32,9 @@ from tableflow.llm.common import crc_of_id
 from tableflow.llm.flat import LOWER, SPACES, flatten, mix, slices, word_hashes, words
 
 THRESHOLD = 0.7
-SAMPLE = 1500
-BITS, PIECE = 18, 4
-EPOCHS, RATE, DECAY, BIAS = 60, 0.35, 2e-4, -6.0
+SAMPLE = 2000
+BITS, PIECE = 20, 4
+EPOCHS, RATE, DECAY, BIAS = 120, 0.35, 2e-4, -6.0
 
 _U = np.uint64
 _SENTENCE_END = np.zeros(256, bool)
@@ -47,42 +47,57 @@ class Model:
     bias: float
 
 
-def _bags(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(features, feature counts per sentence, sentences per text, start and
-    end byte of each sentence), for all texts of a slice.
-
-    A sentence is a run of words that ends at a line end or after a word that
-    closes with . ! or ?; it has a feature per word and per 4-byte piece of
-    its words, each word with the byte before it.
-    """
+@dataclass(frozen=True)
+class Bags:
+    """The sentences of some texts and their features, which come in two
+    families: one feature per word and one per byte of a word."""
+
+    word_features: np.ndarray
+    piece_features: np.ndarray
+    words: np.ndarray  # per sentence
+    pieces: np.ndarray  # per sentence
+    sentences: np.ndarray  # per text
+    starts: np.ndarray  # byte ranges
+    ends: np.ndarray
+
+
+def _bags(buf: np.ndarray, offs: np.ndarray) -> Bags:
+    """A sentence is a run of words that ends at a line end or after a word
+    that closes with . ! or ?."""
     low = LOWER[buf]
     starts, ends, first = words(low, offs, SPACES)
     n = len(starts)
+    none = np.zeros(0, np.int64)
     if not n:
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(len(offs) - 1, np.int64), none, none
+        return Bags(none, none, none, none, np.zeros(len(offs) - 1, np.int64), none, none)
     lines = np.cumsum(low == 0x0A)
     opens = np.ones(n, bool)
     opens[1:] = _SENTENCE_END[low[ends[:-1] - 1]] | (lines[starts[1:]] != lines[ends[:-1] - 1])
     opens[first[:-1][first[:-1] < n]] = True
     at = np.flatnonzero(opens)
-    # A word's pure letters: closing punctuation is no part of the feature.
-    trimmed = ends - _closing(low, ends, starts)
-    word_features = (word_hashes(low, starts, trimmed) >> _U(64 - BITS)).astype(np.int64)
-    clean = np.where(SPACES[low], np.uint8(0x20), low).astype(np.uint32)
-    padded = np.concatenate([np.full(1, 0x20, np.uint32), clean, np.full(PIECE, 0x20, np.uint32)])
-    pieces = padded[:-4] << 24 | padded[1:-3] << 16 | padded[2:-2] << 8 | padded[3:-1]
-    pieces = pieces[: len(low)]  # the piece at i: the byte before i, and three from i on
-    inside = ~SPACES[low]
-    piece_at = np.flatnonzero(inside)
-    piece_features = (mix(pieces[piece_at].astype(_U) + _U(1 << 40)) >> _U(64 - BITS)).astype(np.int64)
-    # Features in text order: pieces by byte, each word's own feature at its start.
-    place = np.concatenate([piece_at * 2 + 1, starts * 2])
-    order = np.argsort(place, kind="stable")
-    features = np.concatenate([piece_features, word_features])[order]
-    begin = np.searchsorted(place[order], starts[at] * 2)
-    counts = np.diff(np.append(begin, len(features)))
-    return features, counts, np.diff(np.searchsorted(at, first)), starts[at], ends[np.append(at[1:], n) - 1]
+    # Closing punctuation is no part of a word's feature.
+    word_features = (word_hashes(low, starts, ends - _closing(low, ends, starts)) >> _U(64 - BITS)).astype(np.int64)
+    spaced = np.where(SPACES[low], np.uint8(0x20), low)
+    spaced[starts[1:] - 1] = 0x20  # also where a text begins without a space
+    padded = np.concatenate([np.full(1, 0x20, np.uint8), spaced, np.full(PIECE, 0x20, np.uint8)]).astype(_U)
+    piece = np.zeros(len(low), _U)
+    for k in range(PIECE):
+        piece = piece << _U(8) | padded[k : k + len(low)]
+    inside = np.flatnonzero(~SPACES[low])
+    piece_features = (mix(piece[inside] + _U(1 << 56)) >> _U(64 - BITS)).astype(np.int64)
+    return Bags(
+        word_features,
+        piece_features,
+        np.diff(np.append(at, n)),
+        np.diff(np.append(np.searchsorted(inside, starts[at]), len(inside))),
+        np.diff(np.searchsorted(at, first)),
+        starts[at],
+        ends[np.append(at[1:], n) - 1],
+    )
+
+
+def _logits(bags: Bags, model: Model) -> np.ndarray:
+    return model.bias + _sums(model.weights[bags.word_features], bags.words) + _sums(model.weights[bags.piece_features], bags.pieces)
 
 
 def _closing(low: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -112,38 +127,55 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     buf, offs = flatten(pa.array(texts, pa.large_string()))
     y = np.asarray(labels, np.float64)
     weights, bias = np.zeros(1 << BITS), BIAS
-    if not len(y) or not y.any() or y.all():
+    if not y.any() or y.all():  # no rows, or one label only
         return Model(weights.astype(np.float32), bias)
-    features, counts, sentences, _, _ = _bags(buf, offs)
-    used, features = np.unique(features, return_inverse=True)
-    sentence_of = np.repeat(np.arange(len(counts)), counts)
-    document_of = np.repeat(np.arange(len(y)), sentences)
+    bags = _bags(buf, offs)
+    used, features = np.unique(np.concatenate([bags.word_features, bags.piece_features]), return_inverse=True)
+    by_word, by_piece = (x.astype(np.int32) for x in np.split(features, [len(bags.word_features)]))
+    del features
+    blocks = _blocks(bags, len(y))
     w, squares, bias_squares = np.zeros(len(used)), np.full(len(used), 1e-8), 1e-8
     scale = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))  # both labels weigh the same
     for _ in range(EPOCHS):
-        logits = bias + np.bincount(sentence_of, w[features], len(counts))
-        p_sentence = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
-        p = np.clip(_document_scores(logits, sentences, bias), 1e-9, 1 - 1e-9)
-        # d log-likelihood / d logit of a sentence: a clean document blames
-        # every sentence by p_s, a toxic one shares (1 - p) / p by p_s.
-        share = np.where(y > 0, (1 - p) / p, -1.0) * scale
-        slope = share[document_of] * p_sentence
-        g = np.bincount(features, slope[sentence_of], len(used)) - DECAY * w
+        g, bias_slope = -DECAY * w, 0.0
+        for docs, sents, of_words, of_pieces in blocks:
+            n_words, n_pieces, sentences = bags.words[sents], bags.pieces[sents], bags.sentences[docs]
+            logits = bias + _sums(w[by_word[of_words]], n_words) + _sums(w[by_piece[of_pieces]], n_pieces)
+            p_sentence = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+            p = np.clip(_document_scores(logits, sentences, bias), 1e-9, 1 - 1e-9)
+            # d log-likelihood / d logit of a sentence: a clean document blames
+            # every sentence by p_s, a toxic one shares (1 - p) / p by p_s.
+            share = np.where(y[docs] > 0, (1 - p) / p, -1.0) * scale[docs]
+            slope = np.repeat(share, sentences) * p_sentence
+            g += np.bincount(by_word[of_words], np.repeat(slope, n_words), len(used))
+            g += np.bincount(by_piece[of_pieces], np.repeat(slope, n_pieces), len(used))
+            bias_slope += slope.sum()
         squares += g * g
         w += RATE * g / np.sqrt(squares)
-        bias_slope = slope.sum()
         bias_squares += bias_slope**2
         bias += 0.1 * RATE * bias_slope / np.sqrt(bias_squares)
     weights[used] = w
     return Model(weights.astype(np.float32), float(bias))
 
 
+def _blocks(bags: Bags, n: int, size: int = 256) -> list[tuple[slice, slice, slice, slice]]:
+    """Ranges of documents, and of their sentences, words and pieces, so that
+    an epoch's temporaries stay small."""
+    edge = lambda counts: np.concatenate([[0], np.cumsum(counts)])
+    sents, by_word, by_piece = edge(bags.sentences), edge(bags.words), edge(bags.pieces)
+    out = []
+    for a in range(0, n, size):
+        z = min(a + size, n)
+        s, t = int(sents[a]), int(sents[z])
+        out.append((slice(a, z), slice(s, t), slice(int(by_word[s]), int(by_word[t])), slice(int(by_piece[s]), int(by_piece[t]))))
+    return out
+
+
 def sentence_scores(text: str, model: Model) -> list[tuple[int, int, float]]:
     """(start byte, end byte, score) of every sentence."""
     buf, offs = flatten(pa.array([text], pa.large_string()))
-    features, counts, _, starts, ends = _bags(buf, offs)
-    logits = model.bias + _sums(model.weights[features], counts)
-    return [(int(a), int(b), float(1 / (1 + np.exp(-x)))) for a, b, x in zip(starts, ends, logits)]
+    bags = _bags(buf, offs)
+    return [(int(a), int(b), float(1 / (1 + np.exp(-x)))) for a, b, x in zip(bags.starts, bags.ends, _logits(bags, model))]
 
 
 def train(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, sample: int = SAMPLE) -> Model:
@@ -151,9 +183,20 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, sa
     on doc_id that the training rows meet."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic").where("toxic is not null"), "doc_id")
     rows = rows if eligible is None else rows.where(eligible)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [r for y in (0, 1) for r in rows.where(F.col("toxic") == y).select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).orderBy(*order).limit(sample).collect()]
-    return fit([r["text"] for r in chosen], [r["toxic"] for r in chosen])
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
+    pick = lambda y: rows.where(F.col("toxic") == y).select("toxic", "doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy(*order).limit(sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            marks += batch.column("toxic").to_pylist()
+        model = fit(texts, marks)
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": pa.array([model.bias], pa.float64())})
+
+    # One task fits; its input is bounded by `sample`.
+    row = pick(0).union(pick(1)).coalesce(1).mapInArrow(run, "weights binary, bias double").first()
+    return Model(np.frombuffer(row["weights"], np.float32), row["bias"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -171,15 +214,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for rows, buf, offs in slices(batch):
                 part = batch.slice(rows.start, rows.stop - rows.start)
-                features, counts, sentences, starts, ends = _bags(buf, offs)
-                logits = m.bias + _sums(m.weights[features], counts)
-                scores = _document_scores(logits, sentences, m.bias)
+                bags = _bags(buf, offs)
+                logits = _logits(bags, m)
+                scores = _document_scores(logits, bags.sentences, m.bias)
                 bad: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 if (over := np.flatnonzero(logits >= 0)).size:
-                    of = np.repeat(np.arange(part.num_rows), sentences)
+                    of = np.repeat(np.arange(part.num_rows), bags.sentences)
                     for i in over.tolist():
                         k = int(of[i])
-                        bad[k].append({"start": int(starts[i] - offs[k]), "end": int(ends[i] - offs[k]), "score": float(1 / (1 + np.exp(-logits[i])))})
+                        bad[k].append({"start": int(bags.starts[i] - offs[k]), "end": int(bags.ends[i] - offs[k]), "score": float(1 / (1 + np.exp(-logits[i])))})
                 columns = {c: part.column(c) for c in part.schema.names}
                 columns |= {"score": pa.array(scores, pa.float64()), "offending": pa.array(bad, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))}
                 yield pa.RecordBatch.from_pydict(columns)
