@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import decontaminate, licenses, quality_rules, sharding, toxicity
+from tableflow.llm import decontaminate, licenses, lines, quality_rules, sharding, toxicity
 from tableflow.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("failed_rules")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.line_dedup(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_removed", "removed_bytes", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.in_training_part())
@@ -48,6 +53,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_quality_rules, op6_toxicity, op7_decontamination, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_quality_rules, op5_substring_dedup, op6_toxicity, op7_decontamination, op10_sharding)}
 
 ORACLES: dict[str, str] = {}
