@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import decontaminate, licenses, lines, quality_rules, sharding, toxicity
+from tableflow.llm import decontaminate, jaccard, licenses, lines, quality_rules, sharding, toxicity
 from tableflow.llm.common import table
 
 
@@ -49,10 +49,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_quality_rules, op5_substring_dedup, op6_toxicity, op7_decontamination, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_quality_rules, op5_substring_dedup, op6_toxicity, op7_decontamination, op8_jaccard_join, op10_sharding)}
 
 ORACLES: dict[str, str] = {}
