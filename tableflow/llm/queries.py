@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import decontaminate, jaccard, licenses, lines, quality_rules, sharding, toxicity
+from tableflow.llm import decontaminate, jaccard, licenses, lines, quality_rules, sharding, suffixes, toxicity
 from tableflow.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffixes.suffix_dedup(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("failed_rules")
 
@@ -57,6 +62,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_quality_rules, op5_substring_dedup, op6_toxicity, op7_decontamination, op8_jaccard_join, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op3_quality_rules, op5_substring_dedup, op6_toxicity, op7_decontamination, op8_jaccard_join, op10_sharding)}
 
 ORACLES: dict[str, str] = {}
