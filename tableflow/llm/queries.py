@@ -7,10 +7,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import decontaminate, jaccard, licenses, lines, quality_rules, sharding, suffixes, toxicity
+from tableflow.llm import decontaminate, jaccard, licenses, lines, packing, quality_rules, sharding, suffixes, toxicity
 from tableflow.llm.common import table
 
 
+def tokenizer_file() -> str:
+    """The tokenizer that packing takes its ids from."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("matches")
 
@@ -58,10 +65,14 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), with_ids=False).drop("ids")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op3_quality_rules, op5_substring_dedup, op6_toxicity, op7_decontamination, op8_jaccard_join, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op3_quality_rules, op5_substring_dedup, op6_toxicity, op7_decontamination, op8_jaccard_join, op9_packing, op10_sharding)}
 
 ORACLES: dict[str, str] = {}
