@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import decontaminate, jaccard, licenses, lines, packing, quality_rules, sharding, suffixes, toxicity
+from tableflow.llm import decontaminate, jaccard, licenses, lines, lm, packing, quality_rules, sharding, suffixes, toxicity
 from tableflow.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("failed_rules")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.line_dedup(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_removed", "removed_bytes", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -73,6 +77,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op3_quality_rules, op5_substring_dedup, op6_toxicity, op7_decontamination, op8_jaccard_join, op9_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op3_quality_rules, op4_lm_scoring, op5_substring_dedup, op6_toxicity, op7_decontamination, op8_jaccard_join, op9_packing, op10_sharding)}
 
 ORACLES: dict[str, str] = {}
