@@ -8,14 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableflow.llm import decontaminate, jaccard, licenses, lines, lm, packing, quality_rules, sharding, suffixes, toxicity
-from tableflow.llm.common import table
-
-
-def tokenizer_file() -> str:
-    """The tokenizer that packing takes its ids from."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
+from tableflow.llm.common import table, tokenizer_file
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
