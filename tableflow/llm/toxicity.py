@@ -181,21 +181,24 @@ def sentence_scores(text: str, model: Model) -> list[tuple[int, int, float]]:
 def train(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` documents per label; `eligible` is a condition
     on doc_id that the training rows meet."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic").where("toxic is not null"), "doc_id")
-    rows = rows if eligible is None else rows.where(eligible)
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    pick = lambda y: rows.where(F.col("toxic") == y).select("toxic", "doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy(*order).limit(sample)
+    marked = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null")
+    marked = marked if eligible is None else marked.where(eligible)
+    pick = lambda y: marked.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # At most 2 * sample ids, so they may be broadcast; then their texts.
+    chosen = F.broadcast(pick(0).union(pick(1)))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, marks = [], []
         for batch in batches:
             texts += batch.column("text").to_pylist()
             marks += batch.column("toxic").to_pylist()
-        model = fit(texts, marks)
+        order = sorted(range(len(texts)), key=lambda i: (texts[i], marks[i]))  # alike on every run
+        model = fit([texts[i] for i in order], [marks[i] for i in order])
         yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": pa.array([model.bias], pa.float64())})
 
     # One task fits; its input is bounded by `sample`.
-    row = pick(0).union(pick(1)).coalesce(1).mapInArrow(run, "weights binary, bias double").first()
+    row = rows.select("text", "toxic").repartition(1).mapInArrow(run, "weights binary, bias double").first()
     return Model(np.frombuffer(row["weights"], np.float32), row["bias"])
 
 
