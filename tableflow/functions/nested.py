@@ -29,7 +29,19 @@ def _has_string(dtype: T.DataType) -> bool:
     return False
 
 
-def substitute_value(c: Column, dtype: T.DataType, pairs: list[tuple[str, str]]) -> Column:
+def _has_variant(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.VariantType):
+        return True
+    if isinstance(dtype, T.StructType):
+        return any(_has_variant(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _has_variant(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _has_variant(dtype.valueType)
+    return False
+
+
+def substitute_value(c: Column, dtype: T.DataType, pairs: Mapping_) -> Column:
     """``c`` (of type ``dtype``) with every string value inside substituted."""
     if not _has_string(dtype):
         return c
@@ -54,9 +66,14 @@ def substitute_nested(
     df: DataFrame, mapping: Mapping_, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Substitute placeholders in the string values of ``columns`` (default:
-    all) at any depth; one projection."""
-    pairs = mapping_pairs(mapping)
+    all) at any depth; one projection.  ``mapping`` as for ``substitute``.
+
+    A VARIANT has no declared shape to rebuild, so a chosen column that holds
+    one is refused: cast it to a declared type first, or leave it out."""
+    pairs = mapping if isinstance(mapping, Column) else mapping_pairs(mapping)
     chosen = set(df.columns if columns is None else columns)
+    if shapeless := [f.name for f in df.schema.fields if f.name in chosen and _has_variant(f.dataType)]:
+        raise TypeError(f"cannot substitute inside VARIANT columns {shapeless}")
     out = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")

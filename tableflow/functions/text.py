@@ -8,7 +8,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Mapping_ = Mapping[str, str] | Sequence[tuple[str, str]]
+Mapping_ = Mapping[str, str] | Sequence[tuple[str, str]] | Column
+
+#: Longer mappings are folded over an array.
+NESTED_PAIRS = 32
 
 
 def mapping_pairs(mapping: Mapping_) -> list[tuple[str, str]]:
@@ -26,13 +29,39 @@ def mapping_pairs(mapping: Mapping_) -> list[tuple[str, str]]:
 def substitute(column: str | Column, mapping: Mapping_) -> Column:
     """Replace every occurrence of each placeholder, pair by pair in mapping
     order, so a later pair sees the result of the earlier ones.  Literal
-    matching (not regex); null stays null."""
+    matching (not regex); null stays null.
+
+    ``mapping`` is a mapping, a list of pairs, or a column: an ordered
+    ``array<struct<placeholder, value>>`` as ``collect_mapping`` makes it.
+    Short lists become nested ``replace`` calls, which compile to code; long
+    ones and columns are folded over an array, so depth does not grow."""
     c = F.col(column) if isinstance(column, str) else column
-    for key, value in mapping_pairs(mapping):
+    if isinstance(mapping, Column):
+        return F.when(mapping.isNull(), c).otherwise(_fold(c, mapping))
+    pairs = mapping_pairs(mapping)
+    if len(pairs) > NESTED_PAIRS:
+        return _fold(c, F.array(*[F.struct(F.lit(k).alias("placeholder"), F.lit(v).alias("value")) for k, v in pairs]))
+    for key, value in pairs:
         c = F.replace(c, F.lit(key), F.lit(value))
     return c
 
 
+def _fold(c: Column, pairs: Column) -> Column:
+    return F.aggregate(pairs, c, lambda text, p: F.replace(text, p["placeholder"], p["value"]))
+
+
+def collect_mapping(
+    rows: DataFrame, by: Sequence[str], ordinal: str = "ordinal", alias: str = "mapping"
+) -> DataFrame:
+    """Placeholder rows (as ``config.flatten_placeholders`` gives them) as
+    one ordered array per ``by`` key, for ``substitute`` and
+    ``substitute_nested``.  A mapping is one document's, so it is small."""
+    entry = F.struct(F.col(ordinal).alias("ordinal"), "placeholder", "value")
+    ordered = F.array_sort(F.collect_list(entry))
+    pairs = F.transform(ordered, lambda e: F.struct(e["placeholder"].alias("placeholder"), e["value"].alias("value")))
+    return rows.groupBy(*by).agg(pairs.alias(alias))
+
+
 def prefix_names(df: DataFrame, column: str, prefix: str) -> DataFrame:
     """``prefix + name``; an empty prefix leaves the column unchanged."""
     if not prefix:
@@ -57,7 +86,8 @@ def split_list(
 ) -> DataFrame:
     """One row per element of a separated list (no trimming, empty parts
     kept, a null list gives no rows).  With ``position`` the 0-based element
-    index is kept too.  The element is placed where the list column was."""
+    index is kept too.  The other columns come first,
+    in order, then position and element."""
     parts = F.split(F.col(column), F.lit("\\Q" + separator + "\\E"), -1)
     others = [c for c in df.columns if c != column]
     if position:

@@ -26,7 +26,8 @@ def object_url_parts(column: str | Column) -> dict[str, Column]:
     is_url = url.rlike(_URL)
     # Object-store schemes take no ";params": a ";" belongs to the key.
     path = F.regexp_extract(url, _URL, 3)
-    key = F.substring(percent_decode(path), 2, 1 << 30)
+    decoded = percent_decode(path)
+    key = F.substring(decoded, F.lit(2), F.greatest(F.char_length(decoded), F.lit(1)))
     return {
         "scheme": F.when(is_url, F.lower(F.regexp_extract(url, _URL, 1))),
         "bucket": F.when(is_url, F.regexp_extract(url, _URL, 2)),

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tableflow.operators.names import quote
+
 
 def parse_name_list(spec: str | Sequence[str] | None) -> list[str] | None:
     """A comma-separated name list; ``None`` or ``""`` means "no list".
@@ -29,8 +31,8 @@ def filter_by_names(
     """
     if isinstance(names, DataFrame):
         (name_col,) = names.columns
-        keys = names.select(F.col(name_col).alias(column))
-        return df.join(keys, on=column, how="left_semi")
+        wanted = names.select(F.col(quote(name_col)).alias("__tableflow_name"))
+        return df.join(wanted, F.col(quote(column)) == F.col("__tableflow_name"), "left_semi")
     parsed = parse_name_list(names)
     if parsed is None:
         return df
@@ -68,7 +70,9 @@ def composite_key_filter(
     to any key of a DataFrame whose columns name the key columns (semi join,
     null keys never match)."""
     if isinstance(keys, DataFrame):
-        return df.join(keys, on=list(keys.columns), how="left_semi")
+        wanted = keys.select(*[F.col(quote(c)).alias(f"__tableflow_key_{i}") for i, c in enumerate(keys.columns)])
+        same = [F.col(quote(c)) == F.col(f"__tableflow_key_{i}") for i, c in enumerate(keys.columns)]
+        return df.join(wanted, same, "left_semi")
     cond = F.lit(True)
     for name, value in keys.items():
         cond = cond & (F.col(name) == F.lit(value))

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableflow.operators.names import qualified, quote
+from tableflow.operators.names import qualified, quote, split_guard
 
 
 def _as_list(keys: str | Sequence[str]) -> list[str]:
@@ -30,9 +30,12 @@ def equi_join(
     how: str = "inner",
     on_collision: str = "error",
     right_prefix: str = "right_",
+    guard: bool = False,
 ) -> DataFrame:
     """Join on differently named keys; both key columns are kept, left
-    columns first.  Null keys never match.
+    columns first.  Null keys never match.  ``guard`` keeps a hot key
+    splittable when an input is already grouped by it (``names.split_guard``;
+    that input is shuffled once more).
 
     Names present on both sides are a plan-time decision: ``"error"`` refuses
     the join, ``"prefix_right"`` renames the right side's copies to
@@ -55,6 +58,8 @@ def equi_join(
     # Dataset aliases keep the two sides apart even in a self-join, and
     # vanish in optimisation: no projection lands between the joins.
     cond = " AND ".join(f"{qualified('__l', a)} = {qualified('__r', b)}" for a, b in zip(lk, rk))
+    if guard:
+        cond += f" AND {split_guard('__l', lk)} = {split_guard('__r', rk)}"
     joined = left.alias("__l").join(right.alias("__r"), on=F.expr(cond), how=how)
     left_out = [f"{qualified('__l', c)} AS {quote(c)}" for c in left.columns]
     if how.replace("_", "").lower() in ("semi", "leftsemi", "anti", "leftanti"):
@@ -74,6 +79,7 @@ def bridge_join(
     org_key: str,
     membership_org_key: str,
     drop_keys: Sequence[str] | None = None,
+    first: str = "persons",
 ) -> DataFrame:
     """``orgs ⋈ (persons ⋈ memberships)`` through a bridge table.
 
@@ -82,17 +88,19 @@ def bridge_join(
     person key and the org key are dropped (each duplicates the key kept
     from the other side).  Columns: orgs, persons, memberships.
 
-    Both joins are inner, so their order does not change the result.  The
-    bridge table is joined first with the side that has fewer columns: when
-    neither side can be broadcast, the second join re-shuffles the first
-    join's output, and a narrower intermediate is a smaller shuffle.
+    Both joins are inner, so their order does not change the result;
+    ``first`` says which side meets the bridge table first.  When neither
+    side can be broadcast, the second join shuffles the first one's output
+    again, so the narrower side should go first.
     """
-    if len(orgs.columns) <= len(persons.columns):
-        first = equi_join(memberships, orgs, membership_org_key, org_key)
-        joined = equi_join(persons, first, person_key, membership_person_key)
+    if first == "orgs":
+        inner = equi_join(memberships, orgs, membership_org_key, org_key)
+        joined = equi_join(persons, inner, person_key, membership_person_key)
+    elif first == "persons":
+        inner = equi_join(persons, memberships, person_key, membership_person_key)
+        joined = equi_join(inner, orgs, membership_org_key, org_key)
     else:
-        first = equi_join(persons, memberships, person_key, membership_person_key)
-        joined = equi_join(first, orgs, membership_org_key, org_key)
+        raise ValueError(f"first must be 'orgs' or 'persons', got {first!r}")
     ordered = [*orgs.columns, *persons.columns, *memberships.columns]
     drop = {membership_person_key, org_key} if drop_keys is None else set(drop_keys)
     return joined.select(*[quote(c) for c in ordered if c not in drop])
@@ -112,22 +120,24 @@ def lookup_report(
     nulls and ``found = false`` when there is none.  ``definitions`` must be
     unique per key (see ``quality.keep_last``).
 
-    By default this is one left join that AQE can split when one name is
-    hot.  With ``names_are_small`` (a list whose size is known, e.g. from a
-    command line) the definitions are first reduced to the requested ones by
-    a semi join against the broadcast, de-duplicated names, so a large
-    catalog is streamed once instead of shuffled.
+    This is one left join that AQE can split when one name is hot, also
+    over definitions that were just de-duplicated.  With ``names_are_small``
+    (a list from a command line) the definitions are first reduced to the
+    requested ones by a semi join against the distinct names; Spark
+    broadcasts those if their size allows, and a large catalog is then
+    streamed once instead of shuffled.
     """
     marker = "__tableflow_found"
     if names_are_small:
-        wanted = F.broadcast(names.select(F.col(quote(name_column)).alias("__wanted")).distinct())
+        wanted = names.select(F.col(quote(name_column)).alias("__wanted")).distinct()
         definitions_used = definitions.join(
             wanted, F.expr(f"{quote(key_column)} = `__wanted`"), "left_semi"
         )
     else:
         definitions_used = definitions
     defs = definitions_used.withColumn(marker, F.lit(True))
-    cond = F.expr(f"{qualified('__n', name_column)} = {qualified('__d', key_column)}")
+    guard = f"{split_guard('__n', [name_column])} = {split_guard('__d', [key_column])}"
+    cond = F.expr(f"{qualified('__n', name_column)} = {qualified('__d', key_column)} AND {guard}")
     joined = names.alias("__n").join(defs.alias("__d"), cond, "left")
     return joined.selectExpr(
         *[f"{qualified('__n', c)} AS {quote(c)}" for c in names.columns],

@@ -12,3 +12,13 @@ def quote(name: str) -> str:
 
 def qualified(alias: str, name: str) -> str:
     return f"{quote(alias)}.{quote(name)}"
+
+
+def split_guard(side: str, keys: list[str]) -> str:
+    """A constant of the key that joins may add to their condition.
+
+    AQE splits a hot key only where both join inputs come straight from the
+    join's own shuffles.  An input that is already partitioned by the key (a
+    deduplicating aggregate, a window) gets no such shuffle; with one more
+    column in the condition it does, and the other side can be split."""
+    return f"pmod(xxhash64({', '.join(qualified(side, k) for k in keys)}), 1)"

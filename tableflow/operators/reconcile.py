@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableflow.operators.joins import equi_join
-from tableflow.operators.names import quote
+from tableflow.operators.names import qualified, quote, split_guard
 from tableflow.operators.quality import keep_last
 
 
@@ -27,8 +27,7 @@ def existing_keys(
 ) -> DataFrame:
     """Distinct target keys to join the source against.
 
-    Default: the target's distinct keys (one pass over each side; the
-    dedupe shares the join's hash partitioning).  With ``small_source`` (an
+    Default: the target's distinct keys (one pass over each side).  With ``small_source`` (an
     incremental batch against a large target) the target keys are first
     semi-joined with the source keys: the small side is broadcast when its
     size estimate allows, the target is only streamed, never shuffled, and
@@ -59,10 +58,14 @@ def sync_plan(
     key_cols = _as_list(keys)
     hit = "__tableflow_in_target"
     present = existing_keys(target, source, key_cols, small_source).withColumn(hit, F.lit(True))
-    joined = source.join(present, on=key_cols, how="left")
+    # The distinct keys are grouped by key already; the guard lets AQE split
+    # a key that holds much of the source.
+    same = " AND ".join(f"{qualified('__s', k)} = {qualified('__t', k)}" for k in key_cols)
+    same += f" AND {split_guard('__s', key_cols)} = {split_guard('__t', key_cols)}"
+    joined = source.alias("__s").join(present.alias("__t"), F.expr(same), "left")
     when_present = "'overwrite'" if allow_overwrite else "'keep'"
     return joined.selectExpr(
-        *[quote(c) for c in source.columns],
+        *[f"{qualified('__s', c)} AS {quote(c)}" for c in source.columns],
         f"CASE WHEN {quote(hit)} IS NULL THEN 'create' ELSE {when_present} END AS {quote(action_column)}",
     )
 
@@ -82,9 +85,10 @@ def upsert(
     new location (reading and overwriting one path in one job is unsafe).
     """
     key_cols = _as_list(keys)
+    # The raw source keys: the same set as the reduced source's, no window.
+    kept = target.join(source.select(*key_cols), on=key_cols, how="left_anti").select(*target.columns)
     if order_by is not None:
         source = keep_last(source, key_cols, order_by)
-    kept = target.join(source.select(*key_cols), on=key_cols, how="left_anti")
     return source.unionByName(kept, allowMissingColumns=allow_missing_columns)
 
 
@@ -100,9 +104,13 @@ def insert_missing(
     added (see ``existing_keys`` for ``small_source``)."""
     key_cols = _as_list(keys)
     if order_by is not None:
-        source = keep_last(source, key_cols, order_by)
-    present = existing_keys(target, source, key_cols, small_source)
-    new = source.join(present, on=key_cols, how="left_anti")
+        # Rows of known keys go before the reduction, which then has less to do.
+        source = keep_last(source.join(target.select(*key_cols), on=key_cols, how="left_anti").select(*source.columns), key_cols, order_by)
+        return target.unionByName(source, allowMissingColumns=allow_missing_columns)
+    present = target.select(*key_cols)  # an anti join needs no distinct keys
+    if small_source:
+        present = present.join(source.select(*key_cols), on=key_cols, how="left_semi")
+    new = source.join(present, on=key_cols, how="left_anti").select(*source.columns)
     return target.unionByName(new, allowMissingColumns=allow_missing_columns)
 
 
@@ -120,5 +128,5 @@ def partition_match(
     get ``right_prefix`` on the right (see ``joins.equi_join``)."""
     rv = right_values or left_values
     joined = equi_join(left, right, left_values, rv, how=how,
-                       on_collision="prefix_right", right_prefix=right_prefix)
+                       on_collision="prefix_right", right_prefix=right_prefix, guard=True)
     return joined.drop(right_prefix + rv if rv in left.columns else rv)

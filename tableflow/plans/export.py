@@ -8,7 +8,7 @@ graph interpreter.  Named frames travel in ``dict[str, DataFrame]``.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -47,10 +47,10 @@ def guarded_export_step(
 def fan_out(
     df: DataFrame,
     branches: Mapping[str, Callable[[DataFrame], object]],
-    persist: bool | str = True,
+    persist: bool | str = False,
     storage_level: StorageLevel = StorageLevel.MEMORY_AND_DISK,
 ) -> dict[str, object]:
-    """Feed one frame to several consumers, computing the source once.
+    """Feed one frame to several consumers.
 
     ``persist`` picks how the shared source is held:
 
@@ -59,14 +59,17 @@ def fan_out(
     * ``"checkpoint"``: a reliable checkpoint in the shared checkpoint
       folder; lineage is cut, so a lost executor never re-reads the source
       (the choice for a database source, or one too large to cache).
-    * ``False`` / ``"none"``: every branch re-evaluates the source (cheapest
-      when re-reading is cheap, e.g. Parquet).
+    * ``False`` / ``"none"``, the default: every branch re-evaluates the
+      source (cheapest when re-reading is cheap, e.g. Parquet; nothing is
+      copied to executors' disks).
 
-    The cache is released when all branches finished.
+    A cache made here is released when all branches finished; a frame that
+    the caller had cached stays cached.
     """
     mode = {True: "persist", False: "none"}.get(persist, persist)
+    own_cache = mode == "persist" and not df.is_cached
     if mode == "persist":
-        shared = df.persist(storage_level)
+        shared = df.persist(storage_level) if own_cache else df
     elif mode == "checkpoint":
         shared_dir(df.sparkSession)  # make sure a checkpoint folder is registered
         shared = df.checkpoint(eager=True)
@@ -77,7 +80,7 @@ def fan_out(
     try:
         return {name: branch(shared) for name, branch in branches.items()}
     finally:
-        if mode == "persist":
+        if own_cache:
             shared.unpersist()
 
 
@@ -97,7 +100,7 @@ class ExportJob:
     source_name: str = "source"
     target_files: int | None = None
     compression: str = "none"
-    persist: bool | str = True
+    persist: bool | str = False
 
     def run(self, spark: SparkSession, source: DataFrame) -> Frames:
         typed = apply_schema(source, self.schema)
@@ -118,5 +121,7 @@ class ExportJob:
 
     def run_from_jdbc(self, spark: SparkSession, url: str, table: str, **jdbc_kwargs) -> Frames:
         """The graph as declared: a JDBC table source (see
-        ``sources.jdbc.jdbc_options`` for the split settings), read once."""
-        return self.run(spark, read_jdbc(spark, url, table, **jdbc_kwargs))
+        ``sources.jdbc.jdbc_options`` for the split settings), read once:
+        without another choice the rows are held by a reliable checkpoint."""
+        job = self if self.persist else replace(self, persist="checkpoint")
+        return job.run(spark, read_jdbc(spark, url, table, **jdbc_kwargs))

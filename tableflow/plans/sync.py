@@ -11,9 +11,12 @@ Steps, each an operator from this package:
    script folder marker (``prefix_names``, ``infix_path``);
 4. skip rules tag rows that must not be synced (``skip_reason``);
 5. system fields are dropped (``drop_fields``), placeholders substituted in
-   every string value, map keys untouched (``substitute_nested``);
-6. the create / overwrite / keep action against the target's names
-   (``sync_plan``); skipped and unknown rows get no action.
+   every string value but the name, map keys untouched
+   (``substitute_nested``);
+6. the create / overwrite / keep action against the target's names, asked
+   for by the prefixed, unsubstituted name (``sync_plan``); skipped and
+   unknown rows get no action.  A created job's own name is substituted, a
+   connection's (``substitute_name=False``) is not.
 
 Nothing is written: the result is the plan (the dry run), and applying it
 is an ``upsert`` / ``insert_missing`` of the rows with an action.
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableflow.functions.nested import substitute_nested
-from tableflow.functions.text import infix_path
+from tableflow.functions.text import infix_path, substitute
 from tableflow.operators.filters import parse_name_list, skip_reason
 from tableflow.operators.joins import lookup_report
 from tableflow.operators.project import default_map_field, drop_fields
@@ -56,6 +59,9 @@ class DefinitionSync:
     order_by: Sequence[str] = field(default_factory=tuple)
     # map fields that must exist: absent or null becomes an empty map
     default_maps: Sequence[str] = ()
+    # whether a created definition's own name is substituted too (jobs), or
+    # keeps the name it was looked up by (connections)
+    substitute_name: bool = True
 
     def plan(
         self,
@@ -80,14 +86,10 @@ class DefinitionSync:
             names = requested.select(F.col(requested.columns[0]).alias("requested_name"))
             report = lookup_report(names, "requested_name", defs, name)
         else:
-            # A command-line list: its size is known on the driver, so it is
-            # broadcast and the definitions are only streamed.  Unknown names
-            # are reported too.
+            # A command-line list; unknown names are reported too.
             listed = parse_name_list(requested) or []
             names = spark.createDataFrame([(n,) for n in listed], "requested_name string")
-            report = lookup_report(
-                F.broadcast(names), "requested_name", defs, name, names_are_small=True
-            )
+            report = lookup_report(names, "requested_name", defs, name, names_are_small=True)
 
         # rules see the definition as stored in the source
         reason = F.when(F.col("found"), skip_reason(list(self.skip_rules)))
@@ -106,10 +108,16 @@ class DefinitionSync:
         for map_field in self.default_maps:
             out = default_map_field(out, map_field)
         keep_cols = [c for c in out.columns if c not in ("requested_name", "found", "skip_reason")]
-        out = substitute_nested(out, list(self.mapping), columns=keep_cols)
+        # The target is asked for the prefixed name as it stands; only the
+        # payload is substituted.
+        payload = [c for c in keep_cols if c != name]
+        out = substitute_nested(out, list(self.mapping), columns=payload)
 
         target = target_names.select(F.col(target_names.columns[0]).alias(name))
         planned = sync_plan(out, target, name, allow_overwrite=self.allow_overwrite)
+        if self.substitute_name:
+            created = F.when(F.col("action") == "create", substitute(name, list(self.mapping)))
+            planned = planned.withColumn(name, created.otherwise(F.col(name)))
         action = F.when(F.col("found") & F.col("skip_reason").isNull(), F.col("action"))
         return planned.select(
             "requested_name", "found", "skip_reason", action.alias("action"), *keep_cols

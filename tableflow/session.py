@@ -78,7 +78,8 @@ def shared_dir(spark: SparkSession) -> str:
 
     ``spark.checkpoint.dir`` when the cluster names one; otherwise the folder
     already registered with ``setCheckpointDir``; otherwise a new local folder
-    that is registered as the checkpoint folder (local mode only).
+    that is registered as the checkpoint folder (local mode only; a cluster
+    without a shared folder is refused).
     """
     conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
@@ -88,6 +89,8 @@ def shared_dir(spark: SparkSession) -> str:
     registered = spark.sparkContext.getCheckpointDir()
     if registered:
         return registered.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="tableflow-")
     spark.sparkContext.setCheckpointDir(local)
     return local

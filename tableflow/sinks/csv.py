@@ -39,12 +39,14 @@ def write_csv(
     header: bool = False,
     quote: str = CSV_QUOTE,
     escape: str = CSV_ESCAPE,
+    trim: bool = False,
 ) -> str:
     """Write ``df`` as CSV.  ``num_files=None`` keeps one file per partition
     (parallel); ``num_files=n`` shapes the output with ``strategy``.  With
     ``partition_by`` each value gets its own folder; rows are first
     rebalanced by those columns (AQE splits a hot value over several tasks)
-    so each folder gets few files without one task owning a hot value."""
+    so each folder gets few files without one task owning a hot value.
+    Text is written as it is; ``trim`` drops white space around values."""
     out = _shape(df, num_files, strategy)
     if partition_by and num_files is None:
         out = out.hint("rebalance", *partition_by)
@@ -54,6 +56,8 @@ def write_csv(
         .option("header", header)
         .option("quote", quote)
         .option("escape", escape)
+        .option("ignoreLeadingWhiteSpace", trim)
+        .option("ignoreTrailingWhiteSpace", trim)
         .options(**TEXT_TIME_OPTIONS)
     )
     if partition_by:
@@ -82,6 +86,8 @@ def read_csv(
         .option("escape", escape)
         .option("multiLine", multi_line)
         .option("mode", "FAILFAST")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .options(**TEXT_TIME_OPTIONS)
     )
     if recursive:
@@ -102,7 +108,7 @@ def guarded_csv_export(
 
     The guard is ``isEmpty`` (stops at the first row), not a full count.
     The frame is evaluated twice (guard, write); persist it upstream when it
-    is expensive (``plans.export.fan_out`` does).
+    is expensive (``plans.export.fan_out`` can).
     """
     if df.isEmpty():
         return df, False
@@ -118,10 +124,10 @@ def single_file_csv(df: DataFrame, path: str, strategy: str = "repartition", **k
 
 
 def output_file_stats(spark: SparkSession, path: str, schema: SchemaLike) -> DataFrame:
-    """One row ``(n_files, n_rows)`` for a CSV folder, counted by Spark from
-    the files themselves (no driver-side listing)."""
-    files = read_csv(spark, path, schema).select(F.input_file_name().alias("__file"))
-    return files.agg(
-        F.count_distinct("__file").alias("n_files"),
-        F.count(F.lit(1)).alias("n_rows"),
-    )
+    """One row ``(n_files, n_rows)`` for a CSV folder, counted by Spark.  A
+    file without rows counts as a file: files are listed by the binary
+    source (their contents are not read), rows by the CSV source."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv*").load(path).select(F.lit(1).alias("f"), F.lit(0).alias("r"))
+    rows = read_csv(spark, path, schema).select(F.lit(0).alias("f"), F.lit(1).alias("r"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return files.union(rows).agg(total("f").alias("n_files"), total("r").alias("n_rows"))

@@ -70,11 +70,12 @@ def write_json(
     num_files: int | None = None,
     compression: str = "none",
 ) -> str:
-    """Write JSON Lines (splittable) after ``jsonable``."""
+    """Write JSON Lines (splittable) after ``jsonable``; null fields are
+    written as ``null``, so every column survives."""
     out = jsonable(df)
     if num_files is not None:
         out = out.repartition(num_files)
-    out.write.mode(mode).option("compression", compression).options(**TEXT_TIME_OPTIONS).json(path)
+    out.write.mode(mode).option("compression", compression).option("ignoreNullFields", False).options(**TEXT_TIME_OPTIONS).json(path)
     return path
 
 
@@ -91,6 +92,6 @@ def write_resource_documents(frames: dict[str, DataFrame], path: str, mode: str
     """
     for kind, df in frames.items():
         row = F.struct(*[F.col(f"`{c}`") for c in jsonable(df).columns])
-        docs = jsonable(df).select(F.to_json(F.struct(F.array(row).alias(kind))).alias("value"))
+        docs = jsonable(df).select(F.to_json(F.struct(F.array(row).alias(kind)), {"ignoreNullFields": "false"}).alias("value"))
         docs.write.mode(mode).text(f"{path.rstrip('/')}/{kind}")
     return path

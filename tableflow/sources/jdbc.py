@@ -8,7 +8,9 @@ and last ranges, none are lost).
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Callable, Mapping
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,16 +72,23 @@ def jdbc_bounds(
     return row["lo"], row["hi"]
 
 
+def _whole(bound: object, rounded: Callable[[object], int]) -> object:
+    """Numeric bounds must be whole numbers; dates and times stay."""
+    return rounded(bound) if isinstance(bound, (Decimal, float)) else bound
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, **kwargs) -> DataFrame:
     """Read a JDBC table (see ``jdbc_options`` for the keyword arguments).
     Filters and projections on the result are pushed into the SQL sent to
     the database.  Given ``partition_column`` and ``num_partitions`` but no
     bounds, the bounds are fetched first (``jdbc_bounds``)."""
     column = kwargs.get("partition_column")
+    if column is not None and kwargs.get("num_partitions") is None:
+        raise ValueError("partition_column needs num_partitions")
     if column is not None and kwargs.get("lower_bound") is None and kwargs.get("upper_bound") is None:
         lo, hi = jdbc_bounds(spark, url, table, column, kwargs.get("properties"))
         if lo is None:  # empty table: one plain read
             kwargs = {k: v for k, v in kwargs.items() if k not in ("partition_column", "num_partitions")}
         else:
-            kwargs.update(lower_bound=lo, upper_bound=hi)
+            kwargs.update(lower_bound=_whole(lo, math.floor), upper_bound=_whole(hi, math.ceil))
     return spark.read.format("jdbc").options(**jdbc_options(url, table, **kwargs)).load()

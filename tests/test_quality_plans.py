@@ -54,7 +54,10 @@ def test_entry_smoke(spark):
     import __spark_entry__ as entry_mod
     df = entry_mod.entry(spark)
     assert df.count() > 0
-    assert set(entry_mod.queries()) == set(entry_mod.oracle_sql())
+    from tableflow.queries import ORACLES, QUERIES
+
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_mod.queries()) and set(ORACLES) <= set(entry_mod.oracle_sql())
 
 
 def test_export_job_writes_both_outputs(spark, scratch):
