@@ -124,15 +124,18 @@ def _document_scores(logits: np.ndarray, sentences: np.ndarray, bias: float) ->
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Weights by gradient ascent on the likelihood of document labels."""
-    buf, offs = flatten(pa.array(texts, pa.large_string()))
     y = np.asarray(labels, np.float64)
     weights, bias = np.zeros(1 << BITS), BIAS
     if not y.any() or y.all():  # no rows, or one label only
         return Model(weights.astype(np.float32), bias)
-    bags = _bags(buf, offs)
-    used, features = np.unique(np.concatenate([bags.word_features, bags.piece_features]), return_inverse=True)
-    by_word, by_piece = (x.astype(np.int32) for x in np.split(features, [len(bags.word_features)]))
-    del features
+    bags = _joined([_bags(*flatten(pa.array(texts[k : k + 64], pa.large_string()))) for k in range(0, len(texts), 64)])
+    # Only features that occur are fitted; slot: each one's place among them.
+    occurs = np.zeros(1 << BITS, bool)
+    occurs[bags.word_features] = True
+    occurs[bags.piece_features] = True
+    used = np.flatnonzero(occurs)
+    slot = np.cumsum(occurs, dtype=np.int32) - 1
+    by_word, by_piece = slot[bags.word_features], slot[bags.piece_features]
     blocks = _blocks(bags, len(y))
     w, squares, bias_squares = np.zeros(len(used)), np.full(len(used), 1e-8), 1e-8
     scale = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))  # both labels weigh the same
@@ -158,6 +161,13 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return Model(weights.astype(np.float32), float(bias))
 
 
+def _joined(parts: list[Bags]) -> Bags:
+    """The bags of all texts; features at half the width."""
+    join = lambda name, kind=np.int64: np.concatenate([getattr(b, name).astype(kind) for b in parts])
+    small = {name: join(name, np.int32) for name in ("word_features", "piece_features")}
+    return Bags(**small, **{name: join(name) for name in ("words", "pieces", "sentences", "starts", "ends")})
+
+
 def _blocks(bags: Bags, n: int, size: int = 256) -> list[tuple[slice, slice, slice, slice]]:
     """Ranges of documents, and of their sentences, words and pieces, so that
     an epoch's temporaries stay small."""
@@ -199,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, sa
 
     # One task fits; its input is bounded by `sample`.
     row = rows.select("text", "toxic").repartition(1).mapInArrow(run, "weights binary, bias double").first()
-    return Model(np.frombuffer(row["weights"], np.float32), row["bias"])
+    return fit([], []) if row is None else Model(np.frombuffer(row["weights"], np.float32), row["bias"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
