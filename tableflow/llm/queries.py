@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tableflow.llm import decontaminate, jaccard, licenses, lines, lm, packing, quality_rules, sharding, suffixes, toxicity
 from tableflow.llm.common import table, tokenizer_file
+from tableflow.llm.oracles import ORACLES
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +73,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op3_quality_rules, op4_lm_scoring, op5_substring_dedup, op6_toxicity, op7_decontamination, op8_jaccard_join, op9_packing, op10_sharding)}
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
