@@ -31,6 +31,7 @@ def bridge_job(
     membership_person_key: str,
     org_key: str,
     membership_org_key: str,
+    first: str = "orgs",
 ) -> DataFrame:
     """``prepare_orgs`` then ``bridge_join``; the membership's person key and
     the org key are dropped from the result."""
@@ -42,6 +43,7 @@ def bridge_job(
         membership_person_key,
         org_key,
         membership_org_key,
+        first=first,
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tableflow.functions.config import flatten_placeholders
 from tableflow.functions.nested import substitute_nested
-from tableflow.functions.text import infix_path, prefix_names, split_list, substitute
+from tableflow.functions.text import collect_mapping, infix_path, prefix_names, split_list, substitute
 from tableflow.functions.url import split_object_url
 from tableflow.operators.filters import (
     composite_key_filter,
@@ -524,20 +524,21 @@ def q_insert_missing(spark, d):
     "upsert_dedup",
     """
     WITH src AS (
-        SELECT * FROM conversations WHERE role = 'assistant' AND turn >= 3
+        SELECT * FROM conversations WHERE role = 'assistant'
         QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1),
-    tgt AS (SELECT * FROM conversations WHERE turn = 0)
+    tgt AS (SELECT * FROM conversations WHERE role <> 'assistant')
     SELECT * FROM src
     UNION ALL
     SELECT * FROM tgt t WHERE NOT EXISTS (SELECT 1 FROM src s WHERE s.conv_id = t.conv_id)
     """,
 )
 def q_upsert_dedup(spark, d):
-    """A source with many rows per key: the last one (by ``turn``) replaces
-    the target row; keys without a source row keep the target row."""
+    """A source with many rows per key (every answer): the last one (by
+    ``turn``) replaces the key's target rows (every question); keys without
+    an answer keep them."""
     conv = table(spark, d, "conversations")
-    source = conv.filter((F.col("role") == "assistant") & (F.col("turn") >= 3))
-    target = conv.filter(F.col("turn") == 0)
+    source = conv.filter(F.col("role") == "assistant")
+    target = conv.filter(F.col("role") != "assistant")
     return upsert(target, source, "conv_id", order_by="turn")
 
 
@@ -850,10 +851,13 @@ def q_json_document_explode(spark, d):
 
 @register(
     "resource_documents",
-    "SELECT c_name AS Name, 'role-' || c_mktsegment AS Role, c_nationkey AS MaxRetries FROM customer",
+    """
+    SELECT 'jobs' AS kind, c_name AS Name, 'role-' || c_mktsegment AS Role, c_nationkey AS MaxRetries FROM customer
+    UNION ALL SELECT 'databases', n_name, NULL, NULL FROM nation
+    """,
 )
 def q_resource_documents(spark, d):
-    """Serialise two resource kinds as per-row documents, read one kind back."""
+    """Serialise two resource kinds as per-row documents, read both back."""
     jobs = table(spark, d, "customer").select(
         F.col("c_name").alias("Name"),
         F.concat(F.lit("role-"), F.col("c_mktsegment")).alias("Role"),
@@ -863,9 +867,13 @@ def q_resource_documents(spark, d):
     path = write_resource_documents(
         {"jobs": jobs, "databases": databases}, scratch_path(spark, "resource_documents")
     )
-    return read_json_documents(
+    jobs_back = read_json_documents(
         spark, path, "jobs", "Name STRING, Role STRING, MaxRetries INT", multi_line=False
     )
+    databases_back = read_json_documents(spark, path, "databases", "Name STRING", multi_line=False)
+    return jobs_back.select(F.lit("jobs").alias("kind"), "*").unionByName(
+        databases_back.select(F.lit("databases").alias("kind"), "*"), allowMissingColumns=True
+    )
 
 
 @register("csv_sink", "SELECT * FROM orders")
@@ -935,13 +943,13 @@ def q_fan_out(spark, d):
 
 @register("custom_transform", "SELECT * FROM orders")
 def q_custom_transform(spark, d):
-    """The export step as a custom transform: named frames in and out."""
+    """The export step as a custom transform: named frames in and out; the
+    rows come from the file that the step wrote."""
+    path = scratch_path(spark, "custom_step")
     out = custom_transform(
-        spark,
-        guarded_export_step("orders_node", scratch_path(spark, "custom_step")),
-        {"orders_node": table(spark, d, "orders")},
+        spark, guarded_export_step("orders_node", path), {"orders_node": table(spark, d, "orders")}
     )
-    return out["out"]
+    return read_csv(spark, path, ORDERS).select(*out["out"].columns)
 
 
 _EXPORT_COLS = (
@@ -1214,3 +1222,49 @@ def q_catalog_sync(spark, d):
         "skip_reason", "action", F.col("Location").alias("detail"),
     )
     return dbs.unionByName(tabs).unionByName(parts)
+
+
+@register(
+    "config_to_substitution",
+    """
+    SELECT p_partkey, 'part ' || p_name || ' of ' || p_brand || ' by job ' || p_type AS label FROM part
+    """,
+)
+def q_config_to_substitution(spark, d):
+    """Config documents become placeholder rows, the rows a mapping per
+    document, and the mapping is applied to that document's text."""
+    part = table(spark, d, "part")
+    docs = part.select(
+        "p_partkey",
+        F.to_json(
+            F.struct(
+                F.col("p_name").alias("name"),
+                F.struct(F.struct(F.col("p_type").alias("type")).alias("load")).alias("jobs"),
+                F.col("p_brand").alias("brand"),
+            )
+        ).alias("doc"),
+    )
+    mapping = collect_mapping(flatten_placeholders(docs, "doc", keep=["p_partkey"]), ["p_partkey"])
+    text = part.select("p_partkey", F.lit("part {name} of {brand} by job {load.type}").alias("label"))
+    return text.join(mapping, "p_partkey").select("p_partkey", substitute("label", F.col("mapping")).alias("label"))
+
+
+@register(
+    "catalog_sync_names",
+    """
+    SELECT 'database' AS level, 'db_' || CAST(s_suppkey AS VARCHAR) AS name, TRUE AS found FROM supplier
+    WHERE s_suppkey IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT 'database', 'db_' || CAST(s_suppkey AS VARCHAR), FALSE FROM supplier
+    WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT 'database', 'db_nation_' || CAST(n_nationkey AS VARCHAR), FALSE FROM nation
+    """,
+)
+def q_catalog_sync_names(spark, d):
+    """The catalog sync for requested databases: which of them are planned
+    and which are unknown."""
+    requested = table(spark, d, "supplier").select(F.concat(F.lit("db_"), F.col("s_suppkey").cast("string")).alias("name")).union(
+        table(spark, d, "nation").select(F.concat(F.lit("db_nation_"), F.col("n_nationkey").cast("string")))
+    )
+    plans = CatalogSync(mapping=_CATALOG_MAPPING).plan(*_catalog_inputs(spark, d), database_names=requested)
+    planned = plans["databases"].select(F.lit("database").alias("level"), F.col("Name").alias("name"), F.lit(True).alias("found"))
+    return planned.union(plans["not_found"].withColumn("found", F.lit(False)))

@@ -91,3 +91,35 @@ def test_upsert_hot_target_key_whole(spark, skewed):
         # key 0 (a third of the target) is replaced by one source row
         assert out.filter("k = 0").count() == 1
         assert out.count() == N - N // 3 - len([i for i in range(1, 10) if i % 3 != 0]) + 10
+
+
+@pytest.fixture
+def parquet_sides(spark, skewed, scratch):
+    """Source rows with a hot key, target keys; from files."""
+    big, small = skewed
+    paths = scratch("big"), scratch("small")
+    big.write.parquet(paths[0])
+    small.withColumnRenamed("dk", "k").write.parquet(paths[1])
+    return spark.read.parquet(paths[0]), spark.read.parquet(paths[1])
+
+
+def test_reconcile_and_lookup_split_a_hot_source_key(spark, parquet_sides):
+    from tableflow.operators.reconcile import insert_missing, partition_match, sync_plan
+
+    big, small = parquet_sides
+    arrays = big.withColumn("v", F.array(F.col("k").cast("string")))
+    entries = arrays.groupBy("v").agg(F.count("*").alias("n"))
+    forms = {
+        "sync_plan": lambda: sync_plan(big, small, "k"),
+        "insert_missing": lambda: insert_missing(small.withColumn("seq", F.lit(0)).withColumn("payload", F.lit("")).drop("dv"), big, "k"),
+        "upsert": lambda: upsert(big, small.select("k", F.lit(1).alias("seq"), F.lit("").alias("payload")), "k", order_by="seq"),
+        "lookup_report": lambda: lookup_report(big.withColumnRenamed("k", "name"), "name", keep_last(small, "k", "dv"), "k"),
+        "partition_match": lambda: partition_match(arrays, entries, "v"),
+    }
+    with conf(spark, **SKEW):
+        for name, form in forms.items():
+            df = form()
+            assert "skew=true" in final_plan(df), name
+        assert forms["sync_plan"]().count() == N
+        assert forms["lookup_report"]().count() == N
+        assert forms["partition_match"]().count() == N
