@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableflow.llm.common import materialize
+from tableflow.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,7 +37,8 @@ def connected(edges: DataFrame) -> DataFrame:
     smallest id of its component."""
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     while True:
-        now = materialize(_star(_star(now, large=True), large=False), "edges")
+        before, now = now, materialize(_star(_star(now, large=True), large=False), "edges")
+        discard(before)
         # Done when each u has one edge and no v is itself hung elsewhere.
         several = now.groupBy("u").count().where("count > 1")
         chained = now.join(now.select(F.col("u").alias("v")), "v", "left_semi")

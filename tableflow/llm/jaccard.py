@@ -11,7 +11,8 @@ takes part.  The classes are joined with prefix filtering:
 3. Candidates of a key pass the length filter (t * larger <= smaller), the
    positional filter (what is left behind the key must suffice for the overlap
    that t asks for) and the suffix filter (a lower bound on the sets' symmetric
-   difference, from the sizes of 16 hash parts of each set).
+   difference, from the sizes of 16 hash parts of each set; in the second
+   pass also from the parities of 1,024 parts).
 4. Each pair is verified once, on the whole sets.
 
 Large groups of copies of copies would give a square of pairs.  So the join
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableflow.llm.common import ROW, keyed, materialize
+from tableflow.llm.common import ROW, discard, keyed, materialize
 from tableflow.llm.components import connected
 from tableflow.llm.flat import LOWER, SPACES, mix, powers, slices, word_hashes, words
 
@@ -50,6 +51,8 @@ N_WORDS, PERCENT = 4, 85
 SKETCH_BITS = 20
 BLOCK = 2048
 PARTS = 16
+#: Hash parts whose parities make a set's signature in the second pass.
+BITS = 1024
 
 _U = np.uint64
 _BITS = _U(53)
@@ -93,17 +96,19 @@ def _per_text(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: ROW, size and a 128-bit digest of each set; kind 1: blocks of
-    the task's sketch counters."""
+    """kind 0: ROW, size, a 128-bit digest and the signature of each set;
+    kind 1: blocks of the task's sketch counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             ids = batch.column(ROW)
             for rows, buf, offs in slices(batch):
-                h, edges, _ = shingles(buf, offs, n)
+                h, edges, text = shingles(buf, offs, n)
                 counters += np.bincount((mix(h) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
                 m = len(edges) - 1
+                bits = np.bincount(text * BITS + (h >> _U(53 - 10)).astype(np.int64), minlength=m * BITS) & 1
+                bits = np.packbits(bits.astype(np.uint8).reshape(m, BITS), axis=1)
                 yield pa.RecordBatch.from_pydict({
                     "kind": pa.array(np.zeros(m, np.int32)),
                     ROW: ids.slice(rows.start, m),
@@ -111,16 +116,17 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
                     "d1": pa.array(_per_text(mix(h + _U(1)), edges).view(np.int64)),
                     "d2": pa.array(_per_text(mix(h ^ _U(0x5851F42D4C957F2D)), edges).view(np.int64)),
                     "blob": pa.nulls(m, pa.binary()),
+                    "bits": pa.array([b.tobytes() for b in bits], pa.binary()),
                 })
         for k in range(0, len(counters), _BLOB):
             part = counters[k : k + _BLOB]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"kind": [1], ROW: [k // _BLOB], "n": [0], "d1": [0], "d2": [0], "blob": [part.tobytes()]}, schema=_PROFILE)
+                yield pa.RecordBatch.from_pydict({"kind": [1], ROW: [k // _BLOB], "n": [0], "d1": [0], "d2": [0], "blob": [part.astype(np.uint32).tobytes()], "bits": [None]}, schema=_PROFILE)
 
-    return docs.select(ROW, "text").mapInArrow(run, f"kind int, {ROW} bigint, n bigint, d1 bigint, d2 bigint, blob binary")
+    return docs.select(ROW, "text").mapInArrow(run, f"kind int, {ROW} bigint, n bigint, d1 bigint, d2 bigint, blob binary, bits binary")
 
 
-_PROFILE = pa.schema([("kind", pa.int32()), (ROW, pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("blob", pa.binary())])
+_PROFILE = pa.schema([("kind", pa.int32()), (ROW, pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("blob", pa.binary()), ("bits", pa.binary())])
 
 
 def _sketch(blobs: DataFrame) -> np.ndarray:
@@ -131,7 +137,7 @@ def _sketch(blobs: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column(ROW).to_pylist(), batch.column("blob")):
-                part = np.frombuffer(blob.as_buffer(), np.int64)
+                part = np.frombuffer(blob.as_buffer(), np.uint32).astype(np.int64)
                 sums[k] = sums[k] + part if k in sums else part
         for k, part in sums.items():
             yield pa.RecordBatch.from_pydict({ROW: [k], "blob": [part.tobytes()]}, schema=pa.schema([(ROW, pa.int64()), ("blob", pa.binary())]))
@@ -190,13 +196,20 @@ def _passes(a: np.ndarray, b: np.ndarray, x: dict[str, np.ndarray], percent: int
     at = np.flatnonzero(ok)
     apart = np.abs(x["parts"][a[at]].astype(np.int32) - x["parts"][b[at]]).sum(1)
     ok[at] = apart <= na[at] + nb[at] - 2 * need[at]
+    if "bits" in x:  # parts of odd parity in one set only hold a difference each
+        at = np.flatnonzero(ok)
+        for k in range(0, len(at), 1 << 16):
+            some = at[k : k + (1 << 16)]
+            odd = np.bitwise_count(x["bits"][a[some]] ^ x["bits"][b[some]]).sum(1, dtype=np.int64)
+            ok[some] = odd <= na[some] + nb[some] - 2 * need[some]
     return ok
 
 
-def _columns(batch: pa.RecordBatch, parts: str = "parts") -> dict[str, np.ndarray]:
-    x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != parts}
+def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    joined = lambda c, kind: np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(batch.num_rows, -1)
+    x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c not in ("parts", "bits")}
     x = {c: v.astype(np.int64) if v.dtype == np.int32 else v for c, v in x.items()}
-    return x | {"parts": np.frombuffer(b"".join(batch.column(parts).to_pylist()), np.uint8).reshape(-1, PARTS)}
+    return x | {"parts": joined("parts", np.uint8), "bits": joined("bits", np.uint64)}
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -212,7 +225,6 @@ def _neighbours(shared: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = {c: batch.column(c) for c in ("pos", "n", ROW)}
             for other in ("prev", "hub"):
                 there = batch.column(f"{other}_row").is_valid()
                 part = batch.filter(there)
@@ -225,7 +237,6 @@ def _neighbours(shared: DataFrame, percent: int) -> DataFrame:
                 rows, others = (part.column(c).to_numpy(zero_copy_only=False)[ok] for c in (ROW, f"{other}_row"))
                 apart = rows != others
                 yield _pairs(rows[apart], others[apart])
-            del own
 
     return shared.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -234,41 +245,59 @@ def _across(dealt: DataFrame, percent: int) -> DataFrame:
     """All pairs across components of each (token, block pair); the rows come
     grouped, and side says which block of the pair a row is of."""
 
+    def keep(x: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+        # Side 2: the pair is a block with itself.
+        ok = (x["component"][left] != x["component"][right]) & ((x["side"][left] == 2) | (x["side"][left] != x["side"][right]))
+        left, right = left[ok], right[ok]
+        ok = _passes(left, right, x, percent)
+        return _pairs(x[ROW][left[ok]], x[ROW][right[ok]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
-            x = _columns(group)
-            a, b = np.flatnonzero(x["side"] != 1), np.flatnonzero(x["side"] != 0)
-            for at in range(0, len(a), 256):
-                left = np.repeat(a[at : at + 256], len(b))
-                right = np.tile(b, len(a[at : at + 256]))
-                # Side 2: the pair is a block with itself; each pair once.
-                ok = (x["component"][left] != x["component"][right]) & ((x["side"][left] != 2) | (x[ROW][left] < x[ROW][right]))
-                left, right = left[ok], right[ok]
-                ok = _passes(left, right, x, percent)
-                if ok.any():
-                    yield _pairs(x[ROW][left[ok]], x[ROW][right[ok]])
+        for part in _whole_groups(batches):
+            x = _columns(part)
+            new = np.ones(part.num_rows, bool)
+            new[1:] = (x["token"][1:] != x["token"][:-1]) | (x["i"][1:] != x["i"][:-1]) | (x["j"][1:] != x["j"][:-1])
+            group = np.cumsum(new)
+            at = np.flatnonzero(new)
+            size = np.diff(np.append(at, part.num_rows))
+            # Small groups all at once, row by row against the d-th next one.
+            small = size[group - 1] <= 64
+            for d in range(1, int(size[size <= 64].max(initial=0))):
+                left = np.flatnonzero(small[:-d] & (group[d:] == group[:-d]))
+                yield keep(x, left, left + d)
+            # Large ones by themselves, a stripe at a time.
+            for begin, n in zip(at[size > 64].tolist(), size[size > 64].tolist()):
+                for k in range(begin, begin + n, 256):
+                    stripe = np.arange(k, min(k + 256, begin + n))
+                    left = np.repeat(stripe, begin + n - stripe - 1)
+                    right = np.concatenate([np.arange(i + 1, begin + n) for i in stripe.tolist()])
+                    yield keep(x, left, right)
 
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One batch per run of equal (token, i, j)."""
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a group (token, i, j) is never parted."""
     held: list[pa.RecordBatch] = []
-    last = None
     for batch in batches:
+        if not batch.num_rows:
+            continue
         key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "i", "j")])
-        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-        for x, y in zip(cuts, cuts[1:]):
-            if x == y:
-                continue
-            now = tuple(key[:, x].tolist())
-            if held and now != last:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-            held.append(batch.slice(x, y - x))
-            last = now
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+        goes_on = bool(held) and all(held[-1].column(c)[-1].as_py() == int(v) for c, v in zip(("token", "i", "j"), key[:, 0]))
+        if held and not goes_on:
+            yield _one(held)
+            held = []
+        if len(cuts):
+            yield _one([*held, batch.slice(0, int(cuts[-1]))])
+            held = []
+        held.append(batch.slice(int(cuts[-1]) if len(cuts) else 0))
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield _one(held)
+
+
+def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -286,8 +315,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, each looked at once."""
-    pairs = materialize(pairs, "candidates")
+    """The pairs (a, b) whose sets reach the threshold."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias(ROW)).distinct()
     sets = materialize(_sets(docs.join(needed, ROW, "left_semi"), n), "sets")
     both = pairs.join(sets.select(F.col(ROW).alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col(ROW).alias("b"), F.col("set").alias("sb")), "b")
@@ -302,7 +330,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    links = materialize(both.mapInArrow(run, "a bigint, b bigint"), "links")
+    discard(sets)
+    return links
 
 
 def jaccard_components(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -326,14 +356,17 @@ def jaccard_components(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT
     flat = [F.col(f"{o}.{c}").alias(f"{o}_{c}") for o in ("prev", "hub") for c in ("pos", "n", "parts")]
     shared = materialize(seen.select("token", "pos", "n", "parts", ROW, *flat, F.col("prev.row").alias("prev_row"), F.col(f"hub.{ROW}").alias("hub_row")), "shared-prefixes")
 
-    links = materialize(_verify(_neighbours(shared, percent), docs, n, percent), "links")
+    near = materialize(_neighbours(shared, percent), "candidates")
+    links = _verify(near, docs, n, percent)
     found = connected(links)
 
-    # Second pass: keys that still span components, and only across them.
+    # Second pass: keys that still span components, and only across them.  A
+    # key of two documents had its only pair in the first pass.
     placed = shared.select("token", "pos", "n", "parts", ROW).join(found.select(F.col("id").alias(ROW), "component"), ROW, "left").withColumn("component", F.coalesce("component", ROW))
     placed = materialize(placed, "placed-prefixes")
-    open_keys = placed.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    open_keys = placed.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi and members > 2").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     spread = placed.join(materialize(open_keys, "open-keys"), "token").withColumn("own", F.pmod(F.xxhash64(ROW), F.col("blocks")).cast("int"))
+    spread = spread.join(profile.where("kind = 0").select(ROW, "bits"), ROW)
     dealt = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "token",
         F.least("own", "other").alias("i"),
@@ -344,11 +377,17 @@ def jaccard_components(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT
         "parts",
         ROW,
         "component",
+        "bits",
     )
     dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    # A key's own block pair (i, i) has side 2 only; each further pair sides 0 and 1.
-    rest = _verify(_across(dealt, percent), docs, n, percent)
-    every = connected(links.union(rest))
+    # A key's own block pair (i, i) has side 2 only; each further pair sides 0
+    # and 1.  What the first pass has verified is not verified again.
+    rest = materialize(_across(dealt, percent).join(near, ["a", "b"], "left_anti"), "candidates")
+    discard(shared, placed)
+    if not rest.isEmpty():
+        links = links.union(_verify(rest, docs, n, percent))
+        found = connected(links)
+    every = found
 
     final = of.join(classes, ["n", "d1", "d2"], "left").select(ROW, F.col("n").alias("n_shingles"), F.coalesce("class", ROW).alias("class"))
     return final.join(every.select(F.col("id").alias("class"), "component"), "class", "left").select(ROW, "n_shingles", F.coalesce("component", "class").alias("component"))
