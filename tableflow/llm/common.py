@@ -23,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to a new folder of the shared scratch space and read it back:
     cuts the lineage, survives lost executors and gives the optimizer the
-    real size of what follows."""
+    real size of what follows.  The shuffle files behind it are of no further
+    use; a collection of the driver's garbage lets Spark's cleaner find them."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 SLICE_ROWS = 1024
 
 _U = np.uint64
@@ -55,6 +55,12 @@ def slices(batch: pa.RecordBatch, text: str = "text", max_bytes: int = SLICE_BYT
         at = to
 
 
+def parts(batch: pa.RecordBatch, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of few rows, for what is gathered per batch."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """The first n powers of the hash base (or of its inverse), modulo 2**64."""
     base = _INVERSE if inverse else _BASE

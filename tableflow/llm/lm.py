@@ -57,7 +57,7 @@ ORDER = 6
 STATE_SHARE, WORD_SHARE, LANGUAGE_SHARE = 5e-5, 1e-6, 0.02
 END = 0x0A
 #: Grams that a task sorts at a time; bytes of a stretch of text.
-CHUNK, STRETCH = 1 << 22, 2048
+CHUNK, STRETCH = 1 << 21, 2048
 
 _U = np.uint64
 _PAD = ORDER - 1

@@ -8,20 +8,26 @@ anchor is the start of the smallest (by hash) of its 69 strings of 32 bytes,
 so equal windows have equal anchors, and some one in 35 suffixes is kept.  An
 anchor's entry stands for the run of windows that share it: `key` is the hash
 of the anchor's 32 bytes, `class` the hash of all the bytes of the run's
-windows.  Entries sorted by (key, class) are a batch's sparse suffix array;
-equal suffixes are neighbours, and the earliest of a class speaks for it.
+windows.  Entries sorted by (key, class, document) are a sparse suffix array:
+equal suffixes are neighbours, the earliest of a class first.
 
-Batches are added in document order.  A batch's array is scanned against every
-existing level: an entry whose class is found there, or earlier in the batch,
-is a long match, and all its bytes go.  Then the batch becomes a level, and
-levels of equal size merge, so after b batches there are about log2(b) of them.
+Batches are added in document order.  A batch's entries and all existing levels
+are merged by key and scanned once, neighbour by neighbour: an entry whose
+class came before is a long match, and all its bytes go.  The batch's new
+classes become a level, and levels of equal size merge, so after b batches
+there are about log2(b) of them.  Entries of one class are combined in the
+tasks that make them, so a passage that a third of all documents share sends
+one entry per task's batch of rows, not one per document.
 
 Where one key has several classes (matches that end inside a run of windows),
 the classes' earliest members are compared window by window after the last
-batch: the entry's bytes are fetched, grouped by key, and every window but the
+batch: their bytes are fetched, grouped by key, and every window but the
 earliest of its string goes.  Keys with more than `HOT` classes are counted by
 (key, window) with map-side combining instead of in one group.
 
+Spans are never stored: a document's list of matched classes is joined to its
+text, and the entries are found again there.
+
 Edge cases: a null text is empty; texts under 100 bytes keep everything.  Rows
 that share a doc_id (null too) are ordered by their text; of rows that repeat
 in full one counts as the earlier.  Texts of any length are cut into pieces
@@ -39,15 +45,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableflow.llm.common import ROW, discard, keyed, materialize
-from tableflow.llm.flat import flatten, mix, powers, slices
+from tableflow.llm.flat import SLICE_ROWS, flatten, mix, parts, powers, slices
 
 LENGTH, GRAM = 100, 32
-BATCHES = 4
+BATCHES = 3
 HOT = 20_000
 PIECE_BYTES = 1 << 23
 
 _U = np.uint64
 _PLACE = _U((1 << 24) - 1)
+_NONE = np.zeros(0, np.int64)
 
 
 def _sums(buf: np.ndarray) -> np.ndarray:
@@ -105,72 +112,132 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray
         if len(buf) <= PIECE_BYTES:
             yield rows.start, buf, offs, 0
         else:  # one long text
-            for a in range(0, len(buf) - LENGTH + 1, PIECE_BYTES):
+            for a in range(0, len(buf) - LENGTH + 1, PIECE_BYTES):  # windows that begin in it
                 part = buf[a : a + PIECE_BYTES + LENGTH - 1]
                 yield rows.start, part, np.array([0, len(part)]), a
 
 
+#: Kinds of rows: candidates and new classes; matches; earliest members of
+#: classes that share their key, few or many of them.
+_NEW, _MATCH, _CONTESTED, _CONTESTED_HOT = 0, 1, 2, 3
+_ROWS = f"kind int, key bigint, class bigint, {ROW} bigint"
+
+
+def _rows_of(kind: int, key: np.ndarray, name: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": pa.array(key, pa.int64()), "class": pa.array(name, pa.int64()), ROW: pa.array(row, pa.int64())})
+
+
 def entries(docs: DataFrame) -> DataFrame:
-    """key, class, ROW, start, length of every sampled suffix; docs has ROW, text."""
+    """kind, key, class, ROW: the sampled suffixes of docs (ROW, text), per
+    batch of rows the earliest of each class (_NEW) and the others (_MATCH)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, 4 * SLICE_ROWS)):
             ids = batch.column(ROW).to_numpy(zero_copy_only=False)
-            for row, buf, offs, shift in _pieces(batch):
-                text, key, kind, start, length = _entries(buf, offs)
-                yield pa.RecordBatch.from_pydict({
-                    "key": pa.array(key, pa.int64()),
-                    "class": pa.array(kind, pa.int64()),
-                    ROW: pa.array(ids[row + text], pa.int64()),
-                    "start": pa.array((start + shift).astype(np.int32)),
-                    "length": pa.array(length.astype(np.int32)),
-                })
-
-    return docs.select(ROW, "text").mapInArrow(run, f"key bigint, class bigint, {ROW} bigint, start int, length int")
+            found = [(key, name, ids[row + text]) for row, buf, offs, _ in _pieces(batch) for text, key, name, *_ in [_entries(buf, offs)]]
+            if not found:
+                continue
+            key, name, row = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((row, name, key))
+            key, name, row = key[order], name[order], row[order]
+            first = np.ones(len(key), bool)
+            first[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+            yield _rows_of(_NEW, key[first], name[first], row[first])
+            # A class that a document has again matches within the document,
+            # which the document sees by itself.
+            other = ~first
+            other[1:] &= row[1:] != row[:-1]
+            yield _rows_of(_MATCH, key[other], name[other], row[other])
+
+    return docs.select(ROW, "text").mapInArrow(run, _ROWS)
+
+
+def _scan(merged: DataFrame) -> DataFrame:
+    """Scan (key, class, ROW, level) rows sorted so, key by key.  level: the
+    row is of a level, not of the batch."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # (key, class) of the last row
+        open_key, members, many = None, [], False  # the last key's earliest members so far
 
-def suffix_array(every: DataFrame) -> DataFrame:
-    """key, class, first (its earliest entry), n; equal suffixes together."""
-    return every.groupBy("key", "class").agg(F.min(F.struct(ROW, "start", "length")).alias("first"), F.sum("n").alias("n"))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, name, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "class", ROW))
+            level = batch.column("level").to_numpy(zero_copy_only=False)
+            first = np.ones(len(key), bool)
+            first[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+            first[0] = last != (int(key[0]), int(name[0]))
+            last = (int(key[-1]), int(name[-1]))
+            yield _rows_of(_MATCH, key[~first], name[~first], row[~first])
+            new = first & ~level
+            yield _rows_of(_NEW, key[new], name[new], row[new])
+
+            key, name, row = key[first], name[first], row[first]
+            if not len(key):
+                continue
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            head = edges[1] if open_key == int(key[0]) else 0
+            if head:  # the key goes on
+                members.append((key[:head], name[:head], row[:head]))
+            if open_key is not None and (not head or head < len(key)):  # and is complete
+                yield from _contest(members, many)
+                members, many = [], False
+            if head < len(key):
+                tail = edges[-2]
+                inner_key, inner = key[head:tail], slice(head, tail)
+                if len(inner_key):
+                    several = np.zeros(len(inner_key), bool)
+                    same = inner_key[1:] == inner_key[:-1]
+                    several[1:] |= same
+                    several[:-1] |= same
+                    yield _rows_of(_CONTESTED, inner_key[several], name[inner][several], row[inner][several])
+                open_key, members = int(key[-1]), [(key[tail:], name[tail:], row[tail:])]
+            if sum(len(m[0]) for m in members) > HOT:
+                many = True
+                yield from _contest(members, many)
+                members = []
+        if open_key is not None:
+            yield from _contest(members, many)
+
+    return merged.mapInArrow(run, _ROWS)
+
+
+def _contest(members: list, many: bool) -> Iterator[pa.RecordBatch]:
+    if many or sum(len(m[0]) for m in members) > 1:
+        for m in members:
+            yield _rows_of(_CONTESTED_HOT if many else _CONTESTED, *m)
 
 
 class SuffixIndex:
     """Levels of suffix arrays; `add` batches in document order."""
 
     def __init__(self) -> None:
-        self.levels: list[tuple[int, DataFrame]] = []  # (batches in it, table), large ones first
+        self.levels: list[tuple[int, DataFrame]] = []  # (batches in it, classes), large ones first
+        self.contested: DataFrame | None = None  # of everything added so far
 
     def _merge(self) -> None:
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (b, younger), (a, older) = self.levels.pop(), self.levels.pop()
-            both = older.union(younger).groupBy("key", "class").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
-            self.levels.append((a + b, materialize(both, "suffix-level")))
+            # A class is in one level only, so levels merge by putting them together.
+            self.levels.append((a + b, materialize(older.union(younger), "suffix-level")))
             discard(older, younger)
 
-    def table(self) -> DataFrame:
-        """All levels as one."""
-        merged = self.levels[0][1]
-        for _, level in self.levels[1:]:
-            merged = merged.union(level)
-        return merged if len(self.levels) == 1 else merged.groupBy("key", "class").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
-
     def add(self, docs: DataFrame) -> DataFrame:
-        """ROW, start, end of the batch's matches with earlier suffixes."""
+        """class, ROW of the batch's matches with earlier suffixes."""
         self._merge()
-        every = materialize(entries(docs), "suffixes")
-        array = materialize(suffix_array(every.withColumn("n", F.lit(1).cast("bigint"))), "suffix-array")
-        repeated = array.where("n > 1").select("key", "class", "first")
+        own = materialize(entries(docs), "suffixes")
+        names = ["key", "class", ROW]
+        merged = own.where(F.col("kind") == _NEW).select(*names, F.lit(False).alias("level"))
         for _, level in self.levels:
-            found = array.join(level.select("key", "class", F.col("first").alias("older")), ["key", "class"]).select("key", "class", F.col("older").alias("first"))
-            repeated = repeated.union(found)
-        # The earliest of a class: from a level if there, else from the batch.
-        repeated = materialize(repeated.groupBy("key", "class").agg(F.min("first").alias("first")) if self.levels else repeated, "repeated-suffixes")
-        here = F.struct(ROW, "start", "length")
-        later = every.join(repeated, ["key", "class"]).where(here != F.col("first"))
-        matches = materialize(later.select(ROW, "start", (F.col("start") + F.col("length")).alias("end")), "suffix-matches")
-        discard(every, repeated)
-        self.levels.append((1, array))
-        return matches
+            merged = merged.union(level.select(*names, F.lit(True).alias("level")))
+        ordered = merged.repartition("key").sortWithinPartitions(*names)
+        scanned = materialize(_scan(ordered), "suffix-scan")
+        local = materialize(own.where(F.col("kind") == _MATCH).select("class", ROW), "suffix-matches")
+        discard(own)
+        self.levels.append((1, materialize(scanned.where(F.col("kind") == _NEW).select(*names), "suffix-level")))
+        self.contested = scanned.where(F.col("kind") >= _CONTESTED)
+        return local.union(scanned.where(F.col("kind") == _MATCH).select("class", ROW))
 
 
 def _windows(key: np.ndarray, row: np.ndarray, start: np.ndarray, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -247,65 +314,105 @@ def _resolve_hot(fetched: DataFrame) -> DataFrame:
     return later.select(ROW, "start", (F.col("start") + LENGTH).cast("int").alias("end"))
 
 
-def _contested(index: DataFrame, docs: DataFrame) -> DataFrame:
-    """ROW, start, end of the repeated windows among the earliest members of
-    classes that share their key."""
-    index = materialize(index.select("key", "class", "first"), "suffix-index")
-    keys = index.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("key", "members")
-    open_ = materialize(index.join(materialize(keys, "contested-keys"), "key").select("key", "members", "first.*"), "contested")
-    discard(index)
-    wanted = open_.groupBy(ROW).agg(F.collect_list(F.struct("key", "members", "start", "length")).alias("entries"))
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    fetched = docs.select(ROW, raw.alias("raw")).join(wanted, ROW).select(ROW, "raw", F.explode("entries").alias("e"))
-    fetched = fetched.select("e.key", "e.members", ROW, "e.start", F.substring("raw", F.col("e.start") + 1, F.col("e.length")).alias("bytes"))
-    fetched = materialize(fetched, "contested-bytes")
-    common = fetched.where(F.col("members") <= HOT).drop("members").repartition("key").sortWithinPartitions("key")
-    return _resolve(common).union(_resolve_hot(fetched.where(F.col("members") > HOT).drop("members")))
-
-
-def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """ROW and spans, byte ranges (they may overlap) of repeated strings."""
+def _fetch(docs: DataFrame, contested: DataFrame) -> DataFrame:
+    """key, hot, ROW, start, bytes of the contested entries."""
+    wanted = contested.groupBy(ROW).agg(F.collect_list(F.when(F.col("kind") == _CONTESTED, F.col("class"))).alias("few"), F.collect_list(F.when(F.col("kind") == _CONTESTED_HOT, F.col("class"))).alias("many"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p for b in batches for p in parts(b)):
+            ids = batch.column(ROW).to_numpy(zero_copy_only=False)
+            asked = [(np.asarray(f.values), np.asarray(m.values)) for f, m in zip(batch.column("few"), batch.column("many"))]
+            for row, buf, offs, shift in _pieces(batch):
+                text, key, name, start, length = _entries(buf, offs)
+                edges = np.searchsorted(text, np.arange(len(offs)))
+                for k in range(len(offs) - 1):
+                    part = slice(edges[k], edges[k + 1])
+                    for hot, names in enumerate(asked[row + k]):
+                        at = part.start + np.flatnonzero(np.isin(name[part], names))
+                        if len(at):
+                            # Of a class that comes again in the document the first speaks.
+                            at = np.sort(at[np.unique(name[at], return_index=True)[1]])
+                            begin = offs[k] + start[at]
+                            yield pa.RecordBatch.from_pydict({
+                                "key": pa.array(key[at], pa.int64()),
+                                "hot": pa.array(np.full(len(at), bool(hot))),
+                                ROW: pa.array(np.full(len(at), ids[row + k]), pa.int64()),
+                                "start": pa.array((start[at] + shift).astype(np.int32)),
+                                "bytes": pa.array([buf[x : x + n].tobytes() for x, n in zip(begin, length[at])], pa.binary()),
+                            })
+
+    fetched = docs.select(ROW, "text").join(wanted, ROW)
+    return fetched.mapInArrow(run, f"key bigint, hot boolean, {ROW} bigint, start int, bytes binary")
+
+
+def repeated(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """ROW, classes (of entries that match an earlier one) and spans (byte
+    ranges of other repeated strings; they may overlap)."""
     cuts = docs.agg(F.percentile_approx(ROW, [k / batches for k in range(1, batches)], 10_000)).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
-    index, found = SuffixIndex(), []
+    index, matches = SuffixIndex(), None
     for lo, hi in zip(edges, edges[1:]):
         part = docs if lo is None else docs.where(F.col(ROW) > lo)
-        found.append(index.add(part if hi is None else part.where(F.col(ROW) <= hi)))
-    found.append(_contested(index.table(), docs))
-    spans = found[0]
-    for more in found[1:]:
-        spans = spans.union(more)
-    return spans.groupBy(ROW).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        found = index.add(part if hi is None else part.where(F.col(ROW) <= hi))
+        matches = found if matches is None else matches.union(found)
+    discard(*[level for _, level in index.levels])
+    fetched = materialize(_fetch(docs, index.contested), "contested-bytes")
+    common = fetched.where(~F.col("hot")).drop("hot").repartition("key").sortWithinPartitions("key")
+    spans = _resolve(common).union(_resolve_hot(fetched.where("hot").drop("hot")))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    both = matches.select(ROW, "class", nothing("struct<start:int,end:int>").alias("span")).union(spans.select(ROW, nothing("bigint"), F.struct("start", "end")))
+    return both.groupBy(ROW).agg(F.collect_list("class").alias("classes"), F.collect_list("span").alias("spans"))
 
 
-def _runs(spans: list[dict]) -> list[tuple[int, int]]:
-    """Maximal runs of covered bytes."""
-    runs: list[list[int]] = []
-    for a, z in sorted((s["start"], s["end"]) for s in spans):
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], z)
-        else:
-            runs.append([a, z])
-    return [(a, z) for a, z in runs]
+def _covered(size: int, opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
+    """Which of the bytes lie in any of the ranges."""
+    step = np.zeros(size + 1, np.int32)
+    np.add.at(step, opens, 1)
+    np.add.at(step, closes, -1)
+    return np.cumsum(step[:-1]) > 0
 
 
 def suffix_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, kept (binary) and spans, the maximal
     removed byte ranges of the text, of every document."""
     rows = keyed(docs, "text")
-    joined = rows.join(repeated_spans(rows, batches), ROW, "left").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"), "spans")
+    joined = rows.join(repeated(rows, batches), ROW, "left").select("doc_id", "text", "classes", "spans")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
+            opens: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
+            closes: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
+            matched = [np.asarray(c.values) if c.is_valid else _NONE for c in batch.column("classes")]
+            for row, buf, offs, shift in _pieces(batch):
+                text, key, name, start, length = _entries(buf, offs)
+                edges = np.searchsorted(text, np.arange(len(offs)))
+                for k in range(len(offs) - 1):
+                    part = slice(edges[k], edges[k + 1])
+                    hit = np.isin(name[part], matched[row + k])
+                    # Again in the same document, whatever others have.
+                    again = np.ones(part.stop - part.start, bool)
+                    again[np.unique(name[part], return_index=True)[1]] = False
+                    hit |= again
+                    opens[row + k].append(start[part][hit] + shift)
+                    closes[row + k].append((start + length)[part][hit] + shift)
+                    if shift:  # a piece further on: classes of the pieces before
+                        seen = np.isin(name[part], earlier) & ~hit
+                        opens[row + k].append(start[part][seen] + shift)
+                        closes[row + k].append((start + length)[part][seen] + shift)
+                earlier = name if not shift else np.concatenate([earlier, name])
             out: dict[str, list] = {"n_bytes": [], "n_removed": [], "kept": [], "spans": []}
-            for raw, spans in zip(batch.column("raw"), batch.column("spans")):
-                text, runs = raw.as_py(), _runs(spans.as_py() or [])
-                edges = [0, *[e for r in runs for e in r], len(text)]
-                out["n_bytes"].append(len(text))
-                out["n_removed"].append(sum(z - a for a, z in runs))
-                out["kept"].append(b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2])))
-                out["spans"].append([{"start": a, "end": z} for a, z in runs])
+            for k, (text, spans) in enumerate(zip(batch.column("text"), batch.column("spans"))):
+                raw = (text.as_py() or "").encode()
+                more = spans.values if spans.is_valid else None
+                a = [*opens[k], np.asarray(more.field("start")) if more is not None else _NONE]
+                z = [*closes[k], np.asarray(more.field("end")) if more is not None else _NONE]
+                gone = _covered(len(raw), np.concatenate(a).astype(np.int64), np.concatenate(z).astype(np.int64))
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+                out["n_bytes"].append(len(raw))
+                out["n_removed"].append(int(gone.sum()))
+                out["kept"].append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
+                out["spans"].append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2])])
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"),
                 "n_bytes": pa.array(out["n_bytes"], pa.int64()),
