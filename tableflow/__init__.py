@@ -10,7 +10,6 @@ Sub-packages:
     operators  projections, filters, joins, quality checks, reconcile/upsert
     functions  column-expression builders: substitution, URLs, config flattening
     plans      job-level compositions: custom transform, fan-out, export job
-    streaming  notes on using the batch operators from Structured Streaming
 """
 
 from tableflow.functions.config import flatten_placeholders
