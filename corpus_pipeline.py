@@ -22,6 +22,10 @@ from tableflow.llm.common import ROW, keyed, materialize, table, tokenizer_file
 _DOC = "__llm_document"
 _SPANS = "__llm_spans"
 
+#: Near duplicates: documents whose word 5-grams have a Jaccard similarity of
+#: 80 % or more.  (op8's query has values of its own.)
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def _boxed(docs: DataFrame) -> DataFrame:
     """text, and all columns as one that no operator looks into."""
@@ -37,7 +41,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the first stays."""
     rows = keyed(docs, *[c for c in docs.columns if c != "doc_id"])
-    heads = jaccard.jaccard_components(rows.select(ROW, "text")).where(F.col(ROW) == F.col("component")).select(ROW)
+    heads = jaccard.jaccard_components(rows.select(ROW, "text"), NEAR_WORDS, NEAR_PERCENT).where(F.col(ROW) == F.col("component")).select(ROW)
     return rows.join(heads, ROW, "left_semi").select(*docs.columns)
 
 
