@@ -1,12 +1,16 @@
 """Language-model scoring with a weighted backoff automaton.
 
 Text is scored as its tokens: the words [^\\x20\\x09-\\x0D]+ with A-Z in lower
-case, then one end.  The automaton has three tiers of states, each failing to
+case, then one end.  The automaton has these tiers of states, each failing to
 the next:
 
+- a state per two tokens in a row, with an arc per word (or end) seen behind
+  them; the first token of a text is preceded by a begin;
+- a state per word and for the begin, with an arc per token seen behind it;
 - a state per language of the training documents (those with at least the
   share `LANGUAGE_SHARE` of their bytes, the others together as one), with an
-  arc per word seen in that language;
+  arc per word seen in that language (the tiers above are of all languages, and
+  a branch fails from them to its own language);
 - the state of all languages, with an arc per word seen at all;
 - spelling states, which read a token byte by byte: a word's bytes and a space,
   or a line end for the end.  Their n-grams of up to `ORDER` bytes run on over
@@ -29,9 +33,12 @@ arcs are followed once, when the table is made.  Tasks walk many stretches of
 text in step; a stretch starts ORDER - 1 bytes early, after which its state is
 the one of the whole text.
 
-Word counts grow with the corpus.  Words with at least the share `WORD_SHARE`
-of all training tokens (at most 1 / WORD_SHARE) are broadcast; all others are
-joined to the documents' words by shuffle.
+Counts of words, pairs and triples grow with the corpus and all are kept.
+Those with at least the share `WORD_SHARE` of all training tokens (at most
+1 / WORD_SHARE of each kind) are broadcast; all others are joined to the
+documents' by shuffle.  A pair or triple of a training document that was seen
+once is that document's own, so the join need not bring it back: what it does
+not bring to a training document counts one, to a held-out one nothing.
 
 Edge cases: a null or empty text is the end alone.  Rows that share a doc_id
 (null too, whose checksum is the empty text's) are scored each for itself.  A
@@ -50,8 +57,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableflow.llm.common import ROW, crc_of_id, keyed, materialize
-from tableflow.llm.flat import LOWER, SPACES, lists, slices, word_hashes, words
+from tableflow.llm.common import ROW, crc_of_id, discard, keyed, materialize
+from tableflow.llm.flat import LOWER, SPACES, lists, mix, slices, word_hashes, words
 
 ORDER = 6
 STATE_SHARE, WORD_SHARE, LANGUAGE_SHARE = 5e-5, 1e-6, 0.02
@@ -61,6 +68,8 @@ CHUNK, STRETCH = 1 << 21, 2048
 
 _U = np.uint64
 _PAD = ORDER - 1
+#: What stands for a text's begin and end among the word hashes.
+_BEGIN, _CLOSE = _U(0x2545F4914F6CDD1D), _U(0x5851F42D4C957F2D)
 
 
 def spell(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -128,6 +137,59 @@ def _counts(docs: DataFrame) -> DataFrame:
     return materialize(raw.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ngram-counts")
 
 
+def sequences(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, edges, before, pairs, triples) of texts with these words: every
+    text's words and its end, the token before each, and the keys of the two and
+    three tokens that end there.  A pair is its triples' context; a text's first
+    token has no triple (0)."""
+    edges = first + np.arange(len(first))
+    ends, heads = edges[1:] - 1, edges[:-1]
+    inner = np.ones(edges[-1], bool)
+    inner[ends] = False
+    tokens = np.full(edges[-1], _CLOSE, _U)
+    tokens[inner] = hashes
+    before = np.roll(tokens, 1)
+    before[heads] = _BEGIN
+    pairs = mix(mix(before + _U(1)) * _U(0x9E3779B97F4A7C15) + tokens)
+    triples = mix(mix(np.roll(pairs, 1) + _U(2)) * _U(0x9E3779B97F4A7C15) + tokens)
+    triples[heads] = 0
+    return tokens, edges, before, pairs, triples
+
+
+def _word_grams(docs: DataFrame) -> DataFrame:
+    """key, n, t: how often each pair and triple was seen, and how many distinct
+    tokens behind each word (n is 0), the begin (too) and each pair."""
+
+    def out(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, at, n = np.unique(np.concatenate([k for k, _ in held]), return_index=True, return_counts=True)
+        context = np.concatenate([c for _, c in held])[at]
+        return pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "context": pa.array(context.view(np.int64)), "n": pa.array(n, pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for _, buf, offs in slices(batch):
+                low = LOWER[buf]
+                starts, ends, first = words(low, offs, SPACES)
+                _, edges, before, pairs, triples = sequences(word_hashes(low, starts, ends), first)
+                later = np.ones(len(pairs), bool)
+                later[edges[:-1]] = False
+                held += [(pairs, before), (triples[later], np.roll(pairs, 1)[later])]
+                if sum(len(k) for k, _ in held) > CHUNK:
+                    yield out(held)
+                    held = []
+        if held:
+            yield out(held)
+
+    raw = docs.select("text").mapInArrow(run, "key bigint, context bigint, n bigint")
+    seen = materialize(raw.groupBy("key").agg(F.min("context").alias("context"), F.sum("n").alias("n")), "word-grams")
+    behind = seen.groupBy(F.col("context").alias("key")).agg(F.lit(0).cast("bigint").alias("n"), F.count("*").alias("t"))
+    every = seen.select("key", "n", F.lit(0).cast("bigint").alias("t")).union(behind)
+    states = materialize(every.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "word-states")
+    discard(seen)
+    return states
+
+
 @dataclass(frozen=True)
 class Automaton:
     """Compiled: for each state and byte class the next state and log10 weight."""
@@ -214,56 +276,124 @@ def automaton(counts: DataFrame, share: float = STATE_SHARE) -> Automaton:
     return compile_automaton(arcs, ns)
 
 
+@dataclass(frozen=True)
+class Table:
+    """Keys (ascending), how often seen (by language, or one column) and the
+    number of distinct tokens behind each."""
+
+    keys: np.ndarray
+    n: np.ndarray  # keys x columns
+    t: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, n: np.ndarray, t: np.ndarray) -> Table:
+        order = np.argsort(keys)
+        return cls(keys[order], n[order], t[order])
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, which of them are in the table)."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+
 @dataclass(frozen=True)
 class Words:
-    """Token counts by language (one row each) and the common words'."""
+    """Token counts by language (one row each), the common words and the common
+    pairs and triples."""
 
     ends: np.ndarray  # training documents
     tokens: np.ndarray
     distinct: np.ndarray  # the end included, if there is one
     all_distinct: int
-    hashes: np.ndarray  # ascending
-    counts: np.ndarray  # words x languages
+    begins: int  # distinct first tokens
+    words: Table
+    grams: Table
 
     @property
     def all_tokens(self) -> int:
         return int(self.tokens.sum())
 
-    def logs(self, counts: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        """log10 p(token | language) of tokens x languages."""
+    def parts(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """a and b of p(token | language) = a + b * spelling, tokens x languages."""
         t = self.all_distinct
-        shared = (counts.sum(1) + t * spelled) / max(1, self.all_tokens + t) if t else spelled
+        a = (counts.sum(1) / (self.all_tokens + t) if t else np.zeros(len(counts)))[:, None]
+        b = t / (self.all_tokens + t) if t else 1.0
         total = self.tokens + self.distinct
-        own = (counts + self.distinct * shared[:, None]) / np.maximum(total, 1)
-        return np.log10(np.where(total > 0, own, shared[:, None]))
+        some = np.maximum(total, 1)
+        return np.where(total > 0, (counts + self.distinct * a) / some, a), np.where(total > 0, self.distinct * b / some, b) * np.ones_like(a)
 
 
-def word_counts(words_of: DataFrame, ends: list[int], share: float = WORD_SHARE) -> Words:
-    """words_of: key, n (an array, by language)."""
+def backed(a: np.ndarray, b: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One tier up: a and b of states seen `total` times with `kinds` distinct
+    arcs, of which this one n times; a state never seen fails for nothing."""
+    whole = np.maximum(total + kinds, 1)[:, None]
+    known = (total > 0)[:, None]
+    return np.where(known, (n[:, None] + kinds[:, None] * a) / whole, a), np.where(known, kinds[:, None] * b / whole, b)
+
+
+def word_counts(words_of: DataFrame, states: DataFrame, ends: list[int], share: float) -> Words:
+    """words_of: key, n (an array, by language), t; states: as of _word_grams."""
     size = len(ends)
     sums = words_of.agg(*[F.coalesce(F.sum(F.col("n")[k]), F.lit(0)).alias(f"n{k}") for k in range(size)], *[F.count(F.when(F.col("n")[k] > 0, 1)).alias(f"t{k}") for k in range(size)], F.count("*").alias("t")).first()
     here = np.array(ends)
     tokens = np.array([sums[f"n{k}"] for k in range(size)]) + here
     distinct = np.array([sums[f"t{k}"] for k in range(size)]) + (here > 0)
+    least = share * max(1, int(tokens.sum()))
     total = F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    common = words_of.where(total >= share * max(1, int(tokens.sum()))).select("key", "n").toArrow()
-    hashes = common.column("key").to_numpy().astype(np.int64).view(_U)
-    order = np.argsort(hashes)
-    counts = np.array(common.column("n").to_pylist(), np.int64).reshape(-1, size)
-    return Words(here, tokens, distinct, sums["t"] + int(here.any()), hashes[order], counts[order])
+    begin = states.where(F.col("key") == int(_BEGIN.view(np.int64))).first()
+
+    def table(df: DataFrame, columns: int) -> Table:
+        rows = df.toArrow()
+        n = rows.column("n").combine_chunks()
+        n = n.flatten() if columns > 1 or pa.types.is_list(n.type) else n
+        return Table.of(rows.column("key").to_numpy().astype(np.int64).view(_U), n.to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, columns), rows.column("t").to_numpy().astype(np.int64))
+
+    common = table(words_of.where(total >= least).select("key", "n", "t"), size)
+    grams = table(states.where((F.col("n") > 0) & (F.col("n") >= least)).select("key", "n", "t"), 1)
+    return Words(here, tokens, distinct, sums["t"] + int(here.any()), begin["t"] if begin else 0, common, grams)
+
 
+def _asked(docs: DataFrame, known) -> DataFrame:
+    """key, ROW of each document's distinct words, pairs and triples that are
+    not broadcast; word says which of them it is."""
 
-def _scored(docs: DataFrame, model: Automaton, known: Words) -> DataFrame:
-    """ROW, n_tokens, logs (by language) and base (log10 of count + 0.1) over
-    ends and common words, common_known, rare and spelled (hashes of all other
-    words, and log10 of their spelling)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, known))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = known.value
+        for batch in batches:
+            ids = batch.column(ROW).to_numpy(zero_copy_only=False)
+            for rows, buf, offs in slices(batch):
+                low = LOWER[buf]
+                starts, ends, first = words(low, offs, SPACES)
+                hashes = word_hashes(low, starts, ends)
+                _, edges, _, pairs, triples = sequences(hashes, first)
+                text = np.repeat(np.arange(len(offs) - 1), np.diff(edges))
+                later = np.ones(len(pairs), bool)
+                later[edges[:-1]] = False
+                for word, of, keys, has in (
+                    (True, np.repeat(np.arange(len(offs) - 1), np.diff(first)), hashes, table.words),
+                    (False, text, pairs, table.grams),
+                    (False, text[later], triples[later], table.grams),
+                ):
+                    rare = ~has.find(keys)[1]
+                    of, keys = of[rare], keys[rare]
+                    order = np.lexsort((keys, of))
+                    of, keys = of[order], keys[order]
+                    new = np.ones(len(of), bool)
+                    new[1:] = (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(keys[new].view(np.int64)), ROW: pa.array(ids[rows][of[new]], pa.int64()), "word": pa.array(np.full(int(new.sum()), word))})
+
+    return docs.select(ROW, "text").mapInArrow(run, f"key bigint, {ROW} bigint, word boolean")
+
+
+def _scored(docs: DataFrame, model: Automaton, known) -> DataFrame:
+    """ROW, n_tokens, n_known, base (log10 of count + 0.1) and logs (by
+    language) of every document; docs has ROW, text, held_out and found (key, n,
+    t, langs), the counts that are not broadcast."""
+    machine_of = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, table = shared.value
-        base = np.log10(table.counts.sum(1) + 0.1)
-        ends = int(table.ends.sum())
-        size = len(table.ends)
+        machine, table = machine_of.value, known.value
+        size, ends = len(table.ends), int(table.ends.sum())
 
         def sums(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
             t = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, 0, dtype=np.float64)])
@@ -271,32 +401,73 @@ def _scored(docs: DataFrame, model: Automaton, known: Words) -> DataFrame:
 
         for batch in batches:
             ids = batch.column(ROW)
+            held = batch.column("held_out").to_numpy(zero_copy_only=False)
             for rows, buf, offs in slices(batch):
-                stream, edges, hashes, first, places = spell(buf, offs)
+                texts = rows.stop - rows.start
+                stream, spelt, hashes, first, places = spell(buf, offs)
+                tokens, edges, _, pairs, triples = sequences(hashes, first)
+                text = np.repeat(np.arange(texts), np.diff(edges))
+                heads, last = edges[:-1], edges[1:] - 1
+                word = np.ones(len(tokens), bool)
+                word[last] = False
+
+                # The joined counts, by document and key in one number.
+                mine = batch.column("found").slice(rows.start, texts)
+                got = mine.flatten()
+                of = np.repeat(np.arange(texts), mine.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                salt = mix(np.arange(1, texts + 1, dtype=_U))
+                n, t, key = (got.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "t", "key"))
+                langs = got.field("langs")
+                here = langs.is_valid().to_numpy(zero_copy_only=False)
+                by_language = langs.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, size)
+                key = key.view(_U) ^ salt[of]
+                rare_words = Table.of(key[here], by_language, t[here])
+                rare_grams = Table.of(key[~here], n[~here, None], t[~here])
+
+                def look(keys: np.ndarray, where: np.ndarray, common: Table, rare: Table, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                    ns = np.repeat(one[:, None], common.n.shape[1], axis=1).astype(np.int64)
+                    ts = one.astype(np.int64)
+                    for source, names in ((common, keys), (rare, keys ^ salt[where])):
+                        at, there = source.find(names)
+                        ns[there], ts[there] = source.n[at[there]], source.t[at[there]]
+                    return ns, ts
+
+                own = ~held[rows][text]  # a training document's pair counts one at least
+                counts = np.tile(table.ends, (len(tokens), 1)).astype(np.int64)
+                follow = np.zeros(len(tokens), np.int64)
+                counts[word], follow[word] = look(hashes, text[word], table.words, rare_words, np.zeros(len(hashes), np.int64))
+                two, behind = look(pairs, text, table.grams, rare_grams, own)
+                three, _ = look(triples, text, table.grams, rare_grams, own)
+                two, three, every = two[:, 0], three[:, 0], counts.sum(1)
+                three[heads] = 0
+
+                # What came before: the state that each tier is in.
+                totals, kinds = np.roll(every, 1), np.roll(follow, 1)
+                totals[heads], kinds[heads] = ends, table.begins
+                deep, deeper = np.roll(two, 1), np.roll(behind, 1)
+                deep[heads], deeper[heads] = 0, 0
+                a, b = table.parts(counts)
+                a, b = backed(a, b, two, totals, kinds)
+                a, b = backed(a, b, three, deep, deeper)
+
                 bytes_ = np.concatenate([[0.0], np.cumsum(machine.walk(stream), dtype=np.float64)])
                 # A word ends where the next token of its text begins.
-                stops = np.append(places[1:], 0)
-                last = first[1:][np.diff(first) > 0] - 1
-                stops[last] = edges[1:][np.diff(first) > 0] - 1
-                spelled = bytes_[stops] - bytes_[places]
-                closing = 10.0 ** (bytes_[edges[1:]] - bytes_[edges[1:] - 1])
-                at = np.minimum(np.searchsorted(table.hashes, hashes), max(0, len(table.hashes) - 1))
-                common = table.hashes[at] == hashes if len(table.hashes) else np.zeros(len(hashes), bool)
-                rare = ~common
-                n, which = common.astype(np.int64), at[common]
-                marks = np.concatenate([[0], np.cumsum(n)])[first]  # common words before each text
-                logs = table.logs(np.tile(table.ends, (len(closing), 1)), closing) + sums(table.logs(table.counts[which], 10.0 ** spelled[common]), marks)
+                begins = np.empty(len(tokens), np.int64)
+                begins[word], begins[last] = places, spelt[1:] - 1
+                stops = np.roll(begins, -1)
+                stops[last] = spelt[1:]
+                spelled = (bytes_[stops] - bytes_[begins])[:, None]
+                with np.errstate(divide="ignore"):
+                    logs = np.where(a > 0, np.log10(a + b * 10.0**spelled), np.log10(b) + spelled)
                 yield pa.RecordBatch.from_pydict({
-                    ROW: ids.slice(rows.start, rows.stop - rows.start),
-                    "n_tokens": pa.array(np.diff(first) + 1, pa.int64()),
-                    "logs": lists(logs.ravel(), np.full(len(logs), size), pa.float64()),
-                    "base": pa.array(sums(base[which], marks) + np.log10(ends + 0.1)),
-                    "common_known": pa.array(np.diff(marks) + (ends > 0), pa.int64()),
-                    "rare": lists(hashes[rare].view(np.int64), np.diff(first) - np.diff(marks), pa.int64()),
-                    "spelled": lists(spelled[rare].astype(np.float32), np.diff(first) - np.diff(marks), pa.float32()),
+                    ROW: ids.slice(rows.start, texts),
+                    "n_tokens": pa.array(np.diff(edges), pa.int64()),
+                    "n_known": pa.array(sums((every > 0).astype(np.float64), edges).astype(np.int64)),
+                    "base": pa.array(sums(np.log10(every + 0.1), edges)),
+                    "logs": lists(sums(logs, edges).ravel(), np.full(texts, size), pa.float64()),
                 })
 
-    return docs.select(ROW, "text").mapInArrow(run, f"{ROW} bigint, n_tokens bigint, logs array<double>, base double, common_known bigint, rare array<bigint>, spelled array<float>")
+    return docs.select(ROW, "text", "held_out", "found").mapInArrow(run, f"{ROW} bigint, n_tokens bigint, n_known bigint, base double, logs array<double>")
 
 
 def _languages(train: DataFrame) -> list[str | None]:
@@ -322,33 +493,28 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     counts = _counts(train)
     model = automaton(counts)
     by_language = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)) for k in range(size)]
-    words_of = materialize(counts.where("kind >= 0").groupBy("key").agg(F.array(*by_language).alias("n")), "word-counts")
+    states = _word_grams(train)
+    words_of = counts.where("kind >= 0").groupBy("key").agg(F.array(*by_language).alias("n"))
+    words_of = words_of.join(states.where("t > 0").select("key", "t"), "key", "left").select("key", "n", F.coalesce("t", F.lit(0)).cast("bigint").alias("t"))
+    words_of = materialize(words_of, "word-counts")
+    discard(counts)
     documents = {r["language"]: r["n"] for r in train.groupBy("language").agg(F.count("*").alias("n")).collect()}
-    known = word_counts(words_of, [documents.get(k, 0) for k in range(size)])
-    scored = materialize(_scored(rows, model, known), "lm-scores")
-
-    # Rare words: the same sums, with their counts from the joined table.
-    rare = scored.select(ROW, F.explode(F.arrays_zip("rare", "spelled")).alias("w")).select(ROW, F.col("w.rare").alias("key"), F.col("w.spelled").cast("double").alias("spelled"))
-    found = rare.join(words_of, "key", "left").withColumn("c", F.coalesce(F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0)))
-    t = known.all_distinct
-    everywhere = (F.col("c") + F.lit(float(t)) * F.pow(F.lit(10.0), F.col("spelled"))) / F.lit(float(known.all_tokens + t)) if t else F.pow(F.lit(10.0), F.col("spelled"))
-    found = found.withColumn("p", everywhere)
-
-    def log_of(k: int):
-        total = float(known.tokens[k] + known.distinct[k])
-        if not total:
-            return F.log10("p")
-        return F.log10((F.coalesce(F.col("n")[k], F.lit(0)) + F.lit(float(known.distinct[k])) * F.col("p")) / F.lit(total))
-
-    looked_up = found.groupBy(ROW).agg(
-        F.sum(F.log10(F.col("c") + 0.1)).alias("rare_base"),
-        F.count(F.when(F.col("c") > 0, 1)).alias("rare_known"),
-        *[F.sum(log_of(k)).alias(f"rare{k}") for k in range(size)],
-    )
-    joined = scored.drop("rare", "spelled").join(looked_up, ROW, "left").join(rows.select(ROW, "doc_id", "held_out"), ROW)
+    known = word_counts(words_of, states, [documents.get(k, 0) for k in range(size)], WORD_SHARE)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    # Rare words, pairs and triples: their counts from the joined table.
+    nothing = F.lit(None).cast("array<bigint>")
+    table = states.where("n > 0").select("key", F.lit(False).alias("word"), "n", "t", nothing.alias("langs")).union(words_of.select("key", F.lit(True), F.lit(0).cast("bigint"), "t", "n"))
+    asked = _asked(rows, shared).join(rows.select(ROW, "held_out"), ROW)
+    found = asked.join(table, ["key", "word"]).where(F.col("word") | F.col("held_out") | (F.col("n") > 1))
+    found = found.groupBy(ROW).agg(F.collect_list(F.struct("key", "n", "t", "langs")).alias("found"))
+    found = materialize(found, "found-counts")
+    discard(states, words_of)
+    joined = _scored(rows.join(found, ROW, "left").withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType))), model, shared)
+    joined = joined.join(rows.select(ROW, "doc_id", "held_out"), ROW)
     # The branches' probabilities, added; the largest is taken out for range.
     share = (known.ends + 1.0) / (known.ends.sum() + size)
-    branch = F.array(*[F.col("logs")[k] + F.coalesce(f"rare{k}", F.lit(0.0)) + F.lit(float(np.log10(share[k]))) for k in range(size)])
+    branch = F.array(*[F.col("logs")[k] + F.lit(float(np.log10(share[k]))) for k in range(size)])
     joined = joined.withColumn("branch", branch).withColumn("top", F.array_max("branch"))
     added = F.aggregate("branch", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - F.col("top")))
     norm = float(np.log10(known.all_tokens + 0.1 * (known.all_distinct + 1)))
@@ -356,8 +522,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("common_known") + F.coalesce("rare_known", F.lit(0))).cast("bigint").alias("n_known"),
+        "n_known",
         F.lit(known.all_tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
+        (F.col("base") - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
         (F.col("top") + F.log10(added)).alias("score"),
     )
