@@ -46,9 +46,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_sentences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each repeated sentence the first occurrence stays in its document."""
+    """Of each repeated sentence, line or paragraph the first occurrence stays
+    in its document."""
     rows = keyed(docs, *[c for c in docs.columns if c != "doc_id"])
-    spans = lines.repeats(rows).withColumnRenamed("spans", _SPANS)
+    spans = lines.repeats(rows, "all", min_bytes=lines.MIN_BYTES).withColumnRenamed("spans", _SPANS)
     joined = rows.join(spans, ROW, "left")
     rest = lines.remove_spans(F.col("text"), F.col(_SPANS))
     changed = joined.withColumn("text", F.when(F.col(_SPANS).isNull(), F.col("text")).otherwise(rest))

@@ -1,12 +1,20 @@
 """Substring dedup by hashing lines or sentences.
 
 A text is cut into units: its lines, or (`unit="sentence"`) its lines cut
-further after words that close with . ! or ?.  A unit is normalised to its
-words, A-Z in lower case, and digested to 128 bits.  Of every digest that
-occurs more than once among the units of at least `min_words` words, the
-earliest (document order, then place in the document) stays and the rest go.
-A removed unit takes the white space behind it along, up to the next unit; its
-byte offsets in the original text are kept.
+further after words that close with . ! or ? and behind the full stops and
+marks of scripts that put no space there, or (`unit="all"`) its sentences, its
+lines and its paragraphs (parted by blank lines) side by side, a range that is
+two of them once.  A unit is normalised to its words, A-Z in lower case, and
+digested to 128 bits.  Of every digest that occurs more than once among the
+units of at least `min_words` words (or `min_bytes` bytes in words, if given),
+the earliest (document order, then place in the document) stays and the rest
+go; of units within one another that go, the outermost counts.  A removed unit
+takes the white space behind it along, up to the next unit; its byte offsets in
+the original text are kept.
+
+In `unit="all"` a paragraph or line is caught as one where its sentences are too
+short by themselves, and `min_bytes` keeps units of scripts without spaces,
+whose lines are one or a few words.
 
 Digests are counted with map-side combining; only the few repeated ones are
 joined back to the units, in a join that can be split, so a line that a third
@@ -31,29 +39,65 @@ from tableflow.llm.common import ROW, keyed, materialize
 from tableflow.llm.flat import LOWER, SPACES, mix, powers, slices, word_hashes, words
 
 MIN_WORDS = 5
+#: As long as five usual words (of 4.8 letters); 8 Chinese characters.
+MIN_BYTES = 24
 
 _U = np.uint64
 _SENTENCE_END = np.zeros(256, bool)
 _SENTENCE_END[[ord("."), ord("!"), ord("?")]] = True
 
 
+#: Marks behind which a sentence ends without a space, as UTF-8.
+_MARKS = [m.encode() for m in "\u3002\uff01\uff1f\uff0e\uff61\u0964\u0965\u061f\u06d4"]
+
+
+def _closings(buf: np.ndarray) -> np.ndarray:
+    """Which bytes are the last ones of a mark."""
+    last = np.zeros(len(buf), bool)
+    for mark in _MARKS:
+        k = len(mark)
+        if len(buf) >= k:
+            here = buf[k - 1 :] == mark[-1]
+            for i in range(k - 1):
+                here &= buf[i : len(buf) - k + 1 + i] == mark[i]
+            last[k - 1 :] |= here
+    return last
+
+
 def _cut(buf: np.ndarray, offs: np.ndarray, unit: str) -> dict[str, np.ndarray]:
-    """Per unit: its text's number, place in it, byte range up to the next
-    unit, words, and a 128-bit digest in two numbers."""
+    """Per unit: its text's number, place in it (in words), byte range up to the
+    next unit, words, bytes in words, and a 128-bit digest in two numbers."""
     low = LOWER[buf]
     starts, ends, first = words(low, offs, SPACES)
+    closing = _closings(low)
+    if len(starts) and closing.any():  # words are parted behind marks
+        parts = np.flatnonzero(closing) + 1
+        of = np.searchsorted(starts, parts, "right") - 1
+        parts = parts[(parts > starts[of]) & (parts < ends[of])]
+        starts, ends = (np.sort(np.concatenate([x, parts])) for x in (starts, ends))
+        first = np.searchsorted(starts, offs)
     n = len(starts)
     if not n:
         none = np.zeros(0, np.int64)
-        return {k: none for k in ("text", "at", "start", "end", "words", "d1", "d2")}
+        return {k: none for k in ("text", "at", "start", "end", "words", "bytes", "d1", "d2")}
     lines = np.cumsum(low == 0x0A)
-    opens = np.ones(n, bool)
-    opens[1:] = lines[starts[1:]] != lines[ends[:-1] - 1]
-    if unit == "sentence":
-        opens[1:] |= _SENTENCE_END[low[ends[:-1] - 1]]
-    opens[first[:-1][first[:-1] < n]] = True
-    head = np.flatnonzero(opens)
-    tail = np.append(head[1:], n)
+    breaks = lines[starts[1:]] - lines[ends[:-1] - 1]
+    closed = _SENTENCE_END[low[ends[:-1] - 1]] | closing[ends[:-1] - 1]
+    heads, tails, below = [], [], None
+    for level in {"line": ["line"], "sentence": ["sentence"], "all": ["sentence", "line", "paragraph"]}[unit]:
+        opens = np.ones(n, bool)
+        opens[1:] = breaks > (level == "paragraph")
+        if level == "sentence":
+            opens[1:] |= closed
+        opens[first[:-1][first[:-1] < n]] = True
+        head = np.flatnonzero(opens)
+        tail = np.append(head[1:], n)
+        # A range that is a unit of the level below too is in already.
+        new = np.ones(len(head), bool) if below is None else below[1][np.searchsorted(below[0], head)] != tail
+        heads.append(head[new])
+        tails.append(tail[new])
+        below = head, tail
+    head, tail = np.concatenate(heads), np.concatenate(tails)
     h = word_hashes(low, starts, ends)
     digests = []
     for salt in (0, 0x5851F42D4C957F2D):
@@ -61,24 +105,24 @@ def _cut(buf: np.ndarray, offs: np.ndarray, unit: str) -> dict[str, np.ndarray]:
         np.cumsum((mix(h ^ _U(salt)) | _U(1)) * powers(n), out=sums[1:])
         digests.append(mix((sums[tail] - sums[head]) * powers(n, inverse=True)[head] + (tail - head).astype(_U)).view(np.int64))
     text = np.searchsorted(first, head, "right") - 1
-    before = np.searchsorted(head, first)
-    begin = starts[head]
-    end = np.append(begin[1:], len(low))
-    last = np.append(text[1:] != text[:-1], True)
+    size = np.concatenate([[0], np.cumsum(ends - starts)])
+    end = np.append(starts, len(low))[tail]
+    last = tail == first[text + 1]
     end[last] = offs[text[last] + 1]
-    return {"text": text, "at": np.arange(len(head)) - before[text], "start": begin - offs[text], "end": end - offs[text], "words": tail - head, "d1": digests[0], "d2": digests[1]}
+    return {"text": text, "at": head - first[text], "start": starts[head] - offs[text], "end": end - offs[text], "words": tail - head, "bytes": size[tail] - size[head], "d1": digests[0], "d2": digests[1]}
 
 
-def units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """ROW, at, start, end, d1, d2 of every unit of min_words words or more;
-    docs has ROW and text."""
+def units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, min_bytes: int | None = None) -> DataFrame:
+    """ROW, at, start, end, d1, d2 of every unit of min_words words or more (or
+    of min_bytes bytes); docs has ROW and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(ROW).to_numpy(zero_copy_only=False)
             for rows, buf, offs in slices(batch):
                 u = _cut(buf, offs, unit)
-                keep = np.flatnonzero(u["words"] >= min_words)
+                long = u["words"] >= min_words
+                keep = np.flatnonzero(long if min_bytes is None else long | (u["bytes"] >= min_bytes))
                 yield pa.RecordBatch.from_pydict({
                     ROW: pa.array(ids[rows][u["text"][keep]], pa.int64()),
                     "at": pa.array(u["at"][keep], pa.int32()),
@@ -91,18 +135,42 @@ def units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -
     return docs.select(ROW, "text").mapInArrow(run, f"{ROW} bigint, at int, start int, end int, d1 bigint, d2 bigint")
 
 
-def repeats(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+def _outermost(spans: DataFrame) -> DataFrame:
+    """Of each row's spans those within no other; they never cross."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = batch.column("spans")
+            flat = every.flatten()
+            start, end = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end"))
+            of = np.repeat(np.arange(len(every)), every.value_lengths().to_numpy(zero_copy_only=False))
+            order = np.lexsort((-end, start, of))
+            start, end, of = start[order], end[order], of[order]
+            # Text numbers make the running maximum of the ends start anew.
+            reach = np.maximum.accumulate((of << 32) + end) if len(of) else end
+            keep = np.ones(len(of), bool)
+            keep[1:] = (of[1:] << 32) + end[1:] > reach[:-1]
+            kind = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+            left = pa.StructArray.from_arrays([pa.array(start[keep], pa.int32()), pa.array(end[keep], pa.int32())], fields=list(kind))
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(of[keep], minlength=len(every)))])
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), left)], [ROW, "spans"])
+
+    return spans.mapInArrow(run, f"{ROW} bigint, spans array<struct<start:int,end:int>>")
+
+
+def repeats(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, min_bytes: int | None = None) -> DataFrame:
     """ROW and spans (ascending byte ranges to remove), for documents with some."""
-    every = materialize(units(docs, unit, min_words), "units")
+    every = materialize(units(docs, unit, min_words, min_bytes), "units")
     firsts = every.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct(ROW, "at")).alias("first")).where("n > 1").select("d1", "d2", "first")
     firsts = materialize(firsts, "repeated-units")
     later = every.join(firsts, ["d1", "d2"]).where(F.struct(ROW, "at") != F.col("first"))
-    return later.groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    spans = later.groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return _outermost(spans) if unit == "all" else spans
 
 
 def remove_spans(text, spans):
     """The text without its (ascending, disjoint) byte ranges, which begin and
-    end next to white space or a text's end."""
+    end next to white space, a closing mark or a text's end."""
     raw = text.cast("binary")
     opens = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
     closes = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.octet_length(text)))
@@ -110,12 +178,12 @@ def remove_spans(text, spans):
     return F.when(F.size(spans) == 0, text).otherwise(F.array_join(pieces, ""))
 
 
-def line_dedup(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, *keep: str) -> DataFrame:
+def line_dedup(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, *keep: str, min_bytes: int | None = None) -> DataFrame:
     """doc_id, the columns named in `keep`, text (what remains), n_removed,
     removed_bytes and spans of every document."""
     rows = keyed(docs, "text", *keep)
     none = F.array().cast("array<struct<start:int,end:int>>")
-    joined = rows.join(repeats(rows, unit, min_words), ROW, "left").withColumn("spans", F.coalesce("spans", none))
+    joined = rows.join(repeats(rows, unit, min_words, min_bytes), ROW, "left").withColumn("spans", F.coalesce("spans", none))
     return joined.select(
         "doc_id",
         *keep,
