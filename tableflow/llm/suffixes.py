@@ -1,4 +1,4 @@
-"""Suffix-array dedup with a logarithmic family of indexes.
+"""Dedup of 100-byte strings with a logarithmic family of indexes.
 
 A byte is removed when a 100-byte string that covers it starts earlier too: in
 a smaller document, or further ahead in its own.
@@ -8,8 +8,9 @@ anchor is the start of the smallest (by hash) of its 69 strings of 32 bytes,
 so equal windows have equal anchors, and some one in 35 suffixes is kept.  An
 anchor's entry stands for the run of windows that share it: `key` is the hash
 of the anchor's 32 bytes, `class` the hash of all the bytes of the run's
-windows.  Entries sorted by (key, class, document) are a sparse suffix array:
-equal suffixes are neighbours, the earliest of a class first.
+windows.  Entries sorted by (key, class, document) stand in for a suffix array:
+they are in the order of hashes, not of text, but equal runs are neighbours, the
+earliest of a class first.
 
 Batches are added in document order.  A batch's entries and all existing levels
 are merged by key and scanned once, neighbour by neighbour: an entry whose
