@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import decontaminate, jaccard, licenses, lines, lm, packing, quality_rules, sharding, suffixes, toxicity
+from tableflow.llm import decontaminate, jaccard, licenses, lines, lm, merkle, mixing, packing, quality_rules, repair, sharding, suffixes, toxicity
 from tableflow.llm.common import table, tokenizer_file
 from tableflow.llm.oracles import ORACLES
 
@@ -71,6 +71,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op3_quality_rules, op4_lm_scoring, op5_substring_dedup, op6_toxicity, op7_decontamination, op8_jaccard_join, op9_packing, op10_sharding)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf_dir, "documents"), merkle.damaged())
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(repair.damaged(table(spark, sf_dir, "conversations")), F.col("alive"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op3_quality_rules, op4_lm_scoring, op5_substring_dedup, op6_toxicity, op7_decontamination, op8_jaccard_join, op9_packing, op10_sharding, op11_merkle_manifest, op12_source_mixing, op13_conversation_repair)}
 
 __all__ = ["ORACLES", "QUERIES"]
