@@ -4,12 +4,15 @@ The tokenizer splits a text into pieces (a word with the space before it, a
 run of digits, of signs, of white space) and encodes each piece by itself, so a
 piece has the same ids wherever it stands.  Here the pieces of many texts are
 found at once, by character classes, and only distinct pieces go through the
-tokenizer; a bounded memory keeps the ids of pieces seen before.
+tokenizer; a bounded memory keeps the ids of pieces seen before.  Where a text
+holds one of the file's added tokens (such as an end of text), the token is cut
+out before the split and keeps its own id.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -86,7 +89,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        added = sorted((t.content.encode() for t in self._tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self._added = re.compile(b"|".join(map(re.escape, added))) if added else None
         self._known = np.zeros(0, np.uint64)
         self._offsets = np.zeros(1, np.int64)
         self._ids = np.zeros(0, np.uint32)
@@ -103,6 +107,17 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _added_tokens(self, raw: bytes, offs: np.ndarray) -> list[tuple[int, int]]:
+        """Byte ranges of the file's added tokens, none across texts."""
+        out, at = [], 0
+        while self._added and (m := self._added.search(raw, at)):
+            text = int(np.searchsorted(offs, m.start(), "right"))
+            whole = m.end() <= offs[text]
+            if whole:
+                out.append(m.span())
+            at = m.end() if whole else m.start() + 1
+        return out
+
     def _learn(self, hashes: np.ndarray, texts: Callable[[np.ndarray], list[str]]) -> None:
         """Make sure that the pieces with these (distinct, sorted) hashes are known."""
         at = np.minimum(np.searchsorted(self._known, hashes), max(0, len(self._known) - 1))
@@ -131,12 +146,16 @@ class Encoder:
         lead = np.flatnonzero((buf & 0xC0) != 0x80)  # byte of every code point
         points = np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         edges = np.searchsorted(lead, offs)
-        first = pieces(points, edges)
+        raw = buf.tobytes()
+        added = np.searchsorted(lead, np.array(self._added_tokens(raw, offs), np.int64).reshape(-1, 2))
+        first = pieces(points, np.sort(np.concatenate([edges, added.ravel()])) if len(added) else edges)
+        if len(added):  # an added token is one piece
+            before = np.maximum(np.searchsorted(added[:, 0], first) - 1, 0)
+            first = first[(first <= added[before, 0]) | (first >= added[before, 1])]
         start = lead[first]
         end = np.append(start[1:], len(buf))
         hashes = word_hashes(buf, start, end)
         distinct, where, which = np.unique(hashes, return_index=True, return_inverse=True)
-        raw = buf.tobytes()
         self._learn(distinct, lambda new: [raw[start[i] : end[i]].decode("utf-8") for i in where[new].tolist()])
         slot = np.searchsorted(self._known, distinct)
         sizes = np.diff(self._offsets)[slot][which]

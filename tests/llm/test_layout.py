@@ -22,9 +22,7 @@ from tests.llm import edge
 def _tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_file())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_file())
 
 
 @settings(max_examples=150, deadline=None)
@@ -35,6 +33,26 @@ def test_ids_equal_the_tokenizer(texts):
     assert [ids[a:z].tolist() for a, z in zip(edges, edges[1:])] == want
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a <|endoftext|> b",
+        "<|endoftext|>",
+        "<|endoftext|> at the start",
+        "at the end <|endoftext|>",
+        "doubled<|endoftext|><|endoftext|>é<|endoftext|>",
+        "near misses <|endoftext| > <|endof",
+        "it's<|endoftext|>'s \n <|endoftext|>\n",
+    ],
+)
+def test_added_tokens_keep_their_ids(text):
+    texts = ["before <|endof", text, "text|> behind", text + text]
+    ids, edges = encoder_of(tokenizer_file()).encode(*flatten(pa.array(texts, pa.large_string())))
+    assert [ids[a:z].tolist() for a, z in zip(edges, edges[1:])] == [e.ids for e in _tokenizer().encode_batch(texts, add_special_tokens=False)]
+    if text.startswith("a "):
+        assert ids[edges[1] : edges[2]].tolist() == [64, 220, 50256, 275]
+
+
 def test_forgetting_does_not_change_ids(monkeypatch):
     import tableflow.llm.tokens as tokens
 
