@@ -8,8 +8,10 @@ likelihood reaches each sentence in proportion to its share, which is how the
 offending ones are found.
 
 The model is fitted on a bounded sample of labelled rows: per label, the
-`SAMPLE` documents with the smallest hash of their id.  It is a vector of 2**BITS weights, so what is
-broadcast has a fixed size.  Scoring is one pass over all texts, no shuffle.
+`SAMPLE` documents with the smallest hash of their id, of these the ones of at
+most a sixteenth of `SAMPLE_BYTES`, and the first `SAMPLE_BYTES` bytes' worth.
+It is a vector of 2**BITS weights, so what is broadcast has a fixed size.
+Scoring is one pass over all texts, no shuffle.
 
 Edge cases: a null or empty text has no sentence; its score is that of one
 empty sentence, the model's bias.  Repeated rows and shared or null doc_ids
@@ -25,14 +27,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableflow.llm.common import crc_of_id
 from tableflow.llm.flat import LOWER, SPACES, flatten, mix, slices, word_hashes, words
 
 THRESHOLD = 0.7
-SAMPLE = 2000
+#: Documents and bytes of text per label that the fit may use.
+SAMPLE, SAMPLE_BYTES = 2000, 1 << 24
 BITS, PIECE = 20, 4
 EPOCHS, RATE, DECAY, BIAS = 120, 0.35, 2e-4, -6.0
 
@@ -64,8 +67,11 @@ class Bags:
 def _bags(buf: np.ndarray, offs: np.ndarray) -> Bags:
     """A sentence is a run of words that ends at a line end or after a word
     that closes with . ! or ?."""
-    low = LOWER[buf]
-    starts, ends, first = words(low, offs, SPACES)
+    # Spaces between the texts: no piece reaches from one into the next.
+    texts, gap = len(offs) - 1, PIECE - 2
+    low = np.full(len(buf) + gap * texts, 0x20, np.uint8)
+    low[np.arange(len(buf)) + np.repeat(gap * np.arange(texts), np.diff(offs))] = LOWER[buf]
+    starts, ends, first = words(low, offs + gap * np.arange(texts + 1), SPACES)
     n = len(starts)
     none = np.zeros(0, np.int64)
     if not n:
@@ -78,21 +84,22 @@ def _bags(buf: np.ndarray, offs: np.ndarray) -> Bags:
     # Closing punctuation is no part of a word's feature.
     word_features = (word_hashes(low, starts, ends - _closing(low, ends, starts)) >> _U(64 - BITS)).astype(np.int64)
     spaced = np.where(SPACES[low], np.uint8(0x20), low)
-    spaced[starts[1:] - 1] = 0x20  # also where a text begins without a space
     padded = np.concatenate([np.full(1, 0x20, np.uint8), spaced, np.full(PIECE, 0x20, np.uint8)]).astype(_U)
     piece = np.zeros(len(low), _U)
     for k in range(PIECE):
         piece = piece << _U(8) | padded[k : k + len(low)]
     inside = np.flatnonzero(~SPACES[low])
     piece_features = (mix(piece[inside] + _U(1 << 56)) >> _U(64 - BITS)).astype(np.int64)
+    sentences = np.diff(np.searchsorted(at, first))
+    moved = np.repeat(gap * np.arange(texts), sentences)
     return Bags(
         word_features,
         piece_features,
         np.diff(np.append(at, n)),
         np.diff(np.append(np.searchsorted(inside, starts[at]), len(inside))),
-        np.diff(np.searchsorted(at, first)),
-        starts[at],
-        ends[np.append(at[1:], n) - 1],
+        sentences,
+        starts[at] - moved,
+        ends[np.append(at[1:], n) - 1] - moved,
     )
 
 
@@ -193,10 +200,14 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, sa
     on doc_id that the training rows meet."""
     marked = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null")
     marked = marked if eligible is None else marked.where(eligible)
-    pick = lambda y: marked.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    place = [F.xxhash64("doc_id"), F.col("doc_id")]
+    pick = lambda y: marked.where(F.col("toxic") == y).orderBy(*place).limit(sample)
     # At most 2 * sample ids, so they may be broadcast; then their texts.
     chosen = F.broadcast(pick(0).union(pick(1)))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    size = F.octet_length("text")
+    upto = F.sum(size).over(Window.partitionBy("toxic").orderBy(*place, size).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.where(size <= SAMPLE_BYTES // 16).withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, marks = [], []
@@ -207,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, sa
         model = fit([texts[i] for i in order], [marks[i] for i in order])
         yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": pa.array([model.bias], pa.float64())})
 
-    # One task fits; its input is bounded by `sample`.
+    # One task fits; its input is bounded by `sample` and `SAMPLE_BYTES`.
     row = rows.select("text", "toxic").repartition(1).mapInArrow(run, "weights binary, bias double").first()
     return fit([], []) if row is None else Model(np.frombuffer(row["weights"], np.float32), row["bias"])
 
@@ -215,9 +226,10 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, sa
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of docs (which must include text) with `score` and
     `offending`, the byte ranges and scores of the sentences that alone reach
-    one half."""
+    one half.  They take the place of columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields]
+    fields = [f for f in docs.schema.fields if f.name.lower() not in ("score", "offending")]
+    docs = docs.select(*["`" + f.name.replace("`", "``") + "`" for f in fields])
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     schema = StructType(fields + _parse_datatype_string("score double, offending array<struct<start:bigint,end:bigint,score:double>>").fields)

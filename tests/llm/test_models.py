@@ -64,10 +64,12 @@ def test_stretches_do_not_change_a_walk(monkeypatch):
 
 
 def test_model_prefers_its_own_kind(spark):
-    rows = [(i, edge.prose(i, 80), "en") for i in range(300)] + [(900 + i, "zq xv jk wy " * 30, None) for i in range(10)]
+    strange = [i for i in range(900, 1200) if _held_out(i)][:10]
+    rows = [(i, edge.prose(i, 80), "en") for i in range(300)] + [(i, "zq xv jk wy " * 30, None) for i in strange]
     got = {r.doc_id: r for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
     own = [r.score / r.n_tokens for i, r in got.items() if i < 300 and r.held_out]
-    odd = [r.score / r.n_tokens for i, r in got.items() if i >= 900]
+    odd = [r.score / r.n_tokens for i, r in got.items() if i in strange]
+    assert len(odd) == 10 and all(got[i].held_out for i in strange)
     assert own and sum(own) / len(own) > sum(x for x in odd) / len(odd) - 4
 
 
@@ -114,6 +116,58 @@ def test_noisy_or(spark):
         assert r.score == pytest.approx(1 - math.prod(1 - p for p in each), abs=1e-9)
 
 
+def _mixed(x):
+    x &= 2**64 - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def _plain_scores(text, weights, bias):
+    """[(start, end, logit)] of a text's sentences, byte by byte."""
+    raw = (text or "").encode()
+    low = raw.translate(brute.LOWER)
+    spaced = b" " + bytes(0x20 if c in b" \t\n\x0b\x0c\r" else c for c in low) + b"   "
+    sentences = []
+    for m in brute.SPACE_WORD.finditer(low):
+        closed = sentences and (sentences[-1][-1].group()[-1:] in b".!?" or b"\n" in low[sentences[-1][-1].end() : m.start()])
+        if not sentences or closed:
+            sentences.append([])
+        sentences[-1].append(m)
+    out = []
+    for s in sentences:
+        logit = bias
+        for m in s:
+            word = m.group()
+            bare = word[:-1] if len(word) > 1 and word[-1] < 0x80 and not chr(word[-1]).isalnum() else word
+            total = sum((c + 1) * pow(0x9E3779B97F4A7C15, k, 2**64) for k, c in enumerate(bare)) % 2**64
+            logit += weights[_mixed(total ^ len(bare) << 40) >> 64 - toxicity.BITS]
+            for i in range(m.start(), m.end()):  # spaced[i] is the byte before
+                logit += weights[_mixed(int.from_bytes(spaced[i : i + 4], "big") + 2**56) >> 64 - toxicity.BITS]
+        out.append((s[0].start(), s[-1].end(), logit))
+    return out
+
+
+def test_scores_equal_a_plain_bag(spark):
+    weights = np.random.default_rng(4).normal(0, 0.2, 1 << toxicity.BITS).astype(np.float32)
+    model = toxicity.Model(weights, -2.0)
+    texts = [t for _, t, *_ in edge.rows() if t is None or len(t) < 3000] + ["no space behind", "none before. Two!Three? (four) ...\nfive", "É.ü x"]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1), model).collect()
+    for r in got:
+        plain = _plain_scores(r.text, weights.astype(float), -2.0)
+        p = [1 / (1 + math.exp(-x)) for *_, x in plain] or [1 / (1 + math.exp(2.0))]
+        assert r.score == pytest.approx(1 - math.prod(1 - x for x in p), abs=1e-6)
+        assert [(s.start, s.end) for s in r.offending] == [(a, z) for a, z, x in plain if x >= 0]
+
+
+def test_a_fit_takes_bounded_bytes(spark, monkeypatch):
+    rows = _toxic_corpus(80) + [(500, "you idiot go " * 4000, 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1 << 19)
+    whole = toxicity.train(df.where("doc_id < 500").select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert np.array_equal(toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic")).weights, whole.weights)
+
+
 def test_toxicity_edges(spark):
     docs = edge.docs(spark)
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id bigint, toxic int")
