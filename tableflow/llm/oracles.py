@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries that SQL expresses: op1, op3, op7, op8.
+"""DuckDB SQL for the queries that SQL expresses: op1, op3, op7, op8, op11, op12.
 
 The others (byte-wise suffix matches, trained models, token packing, cut texts,
 keyed permutations) are compared with plain-Python forms in tests/llm."""
@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from tableflow.llm import licenses, quality_rules
+from tableflow.llm import licenses, merkle, mixing, quality_rules
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -160,4 +160,99 @@ SELECT doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(head
 FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
 """
 
-ORACLES = {"op1_license_scan": OP1, "op3_quality_rules": OP3, "op7_decontamination": OP7, "op8_jaccard_join": OP8}
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of ASCII text, bit by bit."""
+    bit = "lambda x, y: xor(x >> 1, CASE WHEN (x & 1) = 1 THEN 3988292384 ELSE 0 END)"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substr({text}, i, 1)) AS BIGINT))"
+    return f"xor(list_reduce([CAST(4294967295 AS BIGINT)] || {codes}, lambda a, b: list_reduce([xor(a, b)] || CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]), {bit})), 4294967295)"
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_field(c) for c in (*merkle.FIELDS[:-1], text))})"
+
+
+def _tree(name: str, levels: int) -> str:
+    """CTEs over {name}0 (tree, i, n, digest): {name}k are the nodes k levels
+    up, {name}_kin_k each node's siblings on level k.  A tree that is down to
+    one node keeps it."""
+    fan, out = merkle.FAN, []
+    for k in range(levels):
+        run = f"PARTITION BY tree, i // {fan} ORDER BY i ROWS BETWEEN"
+        out.append(f"""
+{name}_kin_{k} AS MATERIALIZED (
+    SELECT tree, i, n,
+           coalesce(string_agg(digest, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+           coalesce(string_agg(digest, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM {name}{k}),
+{name}{k + 1} AS MATERIALIZED (
+    SELECT tree, i // {fan} AS i, n, CASE WHEN n > {fan**k} THEN sha256(string_agg(digest, '' ORDER BY i)) ELSE min(digest) END AS digest
+    FROM {name}{k} GROUP BY tree, i // {fan}, n),""")
+    return "".join(out)
+
+
+def _climb(start: str, name: str, levels: int) -> str:
+    """CTEs {start}_k: the rows of {start} (tree, i, node, proof) k levels up."""
+    fan = merkle.FAN
+    return "".join(
+        f"""
+{start}_{k + 1} AS (
+    SELECT s.* REPLACE (CASE WHEN n > {fan**k} THEN sha256(l || node || r) ELSE node END AS node, proof || l || r AS proof)
+    FROM {start}_{k} s JOIN (SELECT tree AS kt, i AS ki, n, l, r FROM {name}_kin_{k}) ON kt = tree AND ki = i // {fan**k}),"""
+        for k in range(levels)
+    )
+
+
+# Enough levels for 8**7 documents of a language and 8**3 languages.
+_UP, _OVER = 7, 3
+
+OP11 = f"""
+WITH docs AS MATERIALIZED (
+    SELECT doc_id, lang, {_leaf("text")} AS leaf,
+           CASE WHEN {_crc32("coalesce(CAST(doc_id AS VARCHAR), '')")} % 3 = 0 THEN {_leaf(_LOWER.format("text"))} ELSE {_leaf("text")} END AS claimed
+    FROM documents),
+langs AS MATERIALIZED (SELECT lang AS name, count(*) AS size, row_number() OVER (ORDER BY lang NULLS FIRST) AS tree FROM docs GROUP BY lang),
+leaves AS MATERIALIZED (
+    SELECT doc_id, tree, size AS n, leaf, claimed, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+    FROM docs JOIN langs ON lang IS NOT DISTINCT FROM name),
+low0 AS (SELECT tree, i, n, leaf AS digest FROM leaves),{_tree("low", _UP)}
+high0 AS MATERIALIZED (SELECT 0 AS tree, tree - 1 AS i, (SELECT count(*) FROM langs) AS n, digest FROM low{_UP}),{_tree("high", _OVER)}
+row_0 AS (SELECT doc_id, leaf, tree, i, claimed AS node, '' AS proof FROM leaves),{_climb("row", "low", _UP)}
+top_0 AS (SELECT doc_id, leaf, tree AS of, 0 AS tree, tree - 1 AS i, node, proof FROM row_{_UP}),{_climb("top", "high", _OVER)}
+roots AS (SELECT digest AS root FROM high{_OVER})
+SELECT doc_id, leaf, digest AS subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM top_{_OVER} CROSS JOIN roots JOIN (SELECT i AS si, digest FROM high0) ON si = i
+"""
+
+_REPEATS = mixing.REPEATS
+
+OP12 = rf"""
+WITH docs AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0) AS BIGINT) AS size, md5(coalesce(text, '-')) AS digest
+    FROM documents),
+sized AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM docs GROUP BY source),
+weighed AS (SELECT *, {list(mixing.WEIGHTS)}[1 + CAST(sid % {len(mixing.WEIGHTS)} AS BIGINT)] AS w FROM sized),
+shares AS (
+    SELECT CAST((SELECT sum(s) FROM weighed) - (sum({_REPEATS} * s) OVER upto - {_REPEATS} * s) AS DOUBLE) / CAST(sum(w) OVER () - (sum(w) OVER upto - w) AS DOUBLE) AS share,
+           CAST({_REPEATS} * s AS DOUBLE) / w AS full_at, row_number() OVER upto AS pos
+    FROM weighed WINDOW upto AS (ORDER BY CAST({_REPEATS} * s AS DOUBLE) / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+level AS (SELECT arg_min(share, pos) AS share FROM shares WHERE share <= full_at),
+goals AS MATERIALIZED (SELECT source, sid, s, least(CAST({_REPEATS} * s AS DOUBLE), share * w) AS target FROM weighed, level),
+queue AS MATERIALIZED (
+    SELECT rid, doc_id, sid, size, s, target, sum(size) OVER (PARTITION BY sid ORDER BY md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || digest), size, rid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
+    FROM docs JOIN goals ON docs.source IS NOT DISTINCT FROM goals.source),
+packets AS (
+    SELECT rid, sid, least({mixing.PACKET}, size - f) AS words, e * s + start + f + least({mixing.PACKET}, size - f) AS upto, target
+    FROM (SELECT *, unnest(range(0, size, {mixing.PACKET})) AS f FROM (SELECT *, unnest(range(0, least({_REPEATS}, CAST(floor(target / s) AS BIGINT) + 1))) AS e FROM queue WHERE size > 0 AND target > 0))),
+stream AS (
+    SELECT rid, words, sum(words) OVER (ORDER BY CAST(upto AS DOUBLE) / target, sid, upto ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - words AS before FROM packets),
+taken AS (
+    SELECT rid, sum(least(words, (SELECT sum(s) FROM weighed) - before)) AS taken FROM stream WHERE before < (SELECT sum(s) FROM weighed) GROUP BY rid)
+SELECT doc_id, size, s AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM queue LEFT JOIN taken USING (rid)
+"""
+
+ORACLES = {"op1_license_scan": OP1, "op3_quality_rules": OP3, "op7_decontamination": OP7, "op8_jaccard_join": OP8, "op11_merkle_manifest": OP11, "op12_source_mixing": OP12}
