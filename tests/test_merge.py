@@ -1,0 +1,123 @@
+"""Merge by touched files: results, untouched files, runs that die."""
+
+import hashlib
+import random
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF_SMALL, plan_text
+from tableflow.operators.reconcile import insert_missing, upsert
+from tableflow.sinks import files
+from tableflow.sinks.merge import ConcurrentMerge, FileTable
+
+SCHEMA = "`a.b` bigint, `k 2` string, v double, `a``b` int"
+
+
+def _rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((x is not None, x) for x in r))
+
+
+def _digests(table, names):
+    return {n: hashlib.sha256(Path(f"{table.path}/data/{n}").read_bytes()).hexdigest() for n in names}
+
+
+def test_untouched_orders_files_stay_byte_for_byte(spark, scratch):
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    table = FileTable(spark, scratch())
+    table.replace(orders.repartitionByRange(8, "o_orderkey").sortWithinPartitions("o_orderkey"))
+    before = table.files()
+    digests = _digests(table, before)
+    half = orders.agg(F.max("o_orderkey")).first()[0] // 2
+    source = orders.where(F.col("o_orderkey") <= half).withColumn("o_totalprice", F.lit(0.0))
+    done = table.merge(source, "o_orderkey")
+    assert 3 <= len(done.kept) <= 5 and set(done.kept) | set(done.rewritten) == set(before)
+    assert not set(done.added) & set(before) and set(table.files()) == {*done.kept, *done.added}
+    assert _digests(table, before) == digests  # old files are never written to
+    assert _rows(table.read()) == _rows(upsert(orders, source, "o_orderkey"))
+    assert _rows(table.read(version=1)) == _rows(orders)
+
+
+@pytest.mark.parametrize("overwrite", [True, False])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_equals_upsert_and_insert_missing(spark, scratch, overwrite, seed):
+    r = random.Random(seed)
+    key = lambda: (r.choice([None, *range(12)]), r.choice([None, "x", "y z"]))
+    old = {(*key(), float(i), i) for i in range(25)}
+    unique = {(a, b): (a, b, v, n) for a, b, v, n in old}
+    target = spark.createDataFrame(list(unique.values()), SCHEMA)
+    source = spark.createDataFrame(list({(a, b): (a, b, v, n) for a, b, v, n in [(*key(), -float(i), i) for i in range(12)]}.values()), SCHEMA)
+    table = FileTable(spark, scratch())
+    table.replace(target.repartition(4))
+    keys = ["a.b", "k 2"]
+    done = table.merge(source, keys, overwrite=overwrite)
+    assert _rows(table.read()) == _rows((upsert if overwrite else insert_missing)(target, source, keys))
+    assert overwrite or not done.rewritten
+    again = table.merge(source, keys, overwrite=overwrite)  # once more changes nothing but rows of null keys
+    assert again.version == 3
+
+
+def test_last_definition_wins(spark, scratch):
+    table = FileTable(spark, scratch())
+    table.replace(spark.createDataFrame([(1, 0, "old"), (2, 0, "old")], "k int, at int, v string"))
+    table.merge(spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "k int, at int, v string"), "k", order_by="at")
+    assert _rows(table.read()) == [(1, 2, "b"), (2, 0, "old")]
+
+
+def test_a_run_that_dies_leaves_the_old_table(spark, scratch, monkeypatch):
+    table = FileTable(spark, scratch())
+    table.replace(spark.range(100).repartition(4))
+    before, rows = table.files(), _rows(table.read())
+
+    def die(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(files, "write_text_new", die)
+        with pytest.raises(KeyboardInterrupt):
+            table.merge(spark.range(50, 150), "id")
+    assert table.version() == 1 and table.files() == before and _rows(table.read()) == rows
+    broken = spark.range(5).select(F.when(F.col("id") < 4, F.col("id")).otherwise(F.raise_error(F.lit("boom")).cast("bigint")).alias("id"))
+    with pytest.raises(Exception, match="boom"):
+        table.merge(broken, "id")
+    assert table.files() == before
+    assert table.vacuum() > 0  # what the dead run wrote
+    assert _rows(table.read()) == rows and table.merge(spark.range(50, 150), "id").version == 2
+    assert _rows(table.read()) == [(i,) for i in range(150)]
+
+
+def test_two_runs_at_a_time(spark, scratch, monkeypatch):
+    table = FileTable(spark, scratch())
+    table.replace(spark.range(10))
+    write = FileTable._write
+
+    def slow(self, rows):  # another run publishes meanwhile
+        monkeypatch.setattr(FileTable, "_write", write)
+        FileTable(spark, self.path).merge(spark.range(20, 21), "id")
+        return write(self, rows)
+
+    monkeypatch.setattr(FileTable, "_write", slow)
+    with pytest.raises(ConcurrentMerge):
+        table.merge(spark.range(30, 31), "id")
+    assert _rows(table.read()) == [(i,) for i in [*range(10), 20]]
+
+
+def test_empty_sides(spark, scratch):
+    table = FileTable(spark, scratch())
+    table.replace(spark.range(0))
+    assert table.merge(spark.range(0), "id").rewritten == [] and table.read().count() == 0
+    table.merge(spark.range(3), "id")
+    table.merge(spark.range(0), "id")
+    assert _rows(table.read()) == [(0,), (1,), (2,)]
+    assert table.vacuum() >= 0 and _rows(table.read()) == [(0,), (1,), (2,)]
+
+
+def test_only_keys_are_read_to_find_files(spark, scratch):
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    table = FileTable(spark, scratch())
+    table.replace(orders)
+    name = F.col("_metadata.file_path")
+    plan = plan_text(table.read().where("o_orderkey between 5 and 9").select("o_orderkey", name).join(orders.select("o_orderkey").where("o_orderkey < 9"), "o_orderkey", "left_semi").select("file_path").distinct())
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "ReadSchema: struct<o_orderkey:bigint>" in scan and "GreaterThanOrEqual(o_orderkey,5)" in scan
