@@ -8,6 +8,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tableflow.operators.names import column as column_of
+from tableflow.operators.names import quote
+
 Mapping_ = Mapping[str, str] | Sequence[tuple[str, str]] | Column
 
 #: Longer mappings are folded over an array.
@@ -66,7 +69,7 @@ def prefix_names(df: DataFrame, column: str, prefix: str) -> DataFrame:
     """``prefix + name``; an empty prefix leaves the column unchanged."""
     if not prefix:
         return df
-    return df.withColumn(column, F.concat(F.lit(prefix), F.col(column)))
+    return df.withColumn(column, F.concat(F.lit(prefix), column_of(df, column)))
 
 
 def infix_path(column: str | Column, prefix: str, marker: str = "/scripts/") -> Column:
@@ -88,10 +91,10 @@ def split_list(
     kept, a null list gives no rows).  With ``position`` the 0-based element
     index is kept too.  The other columns come first,
     in order, then position and element."""
-    parts = F.split(F.col(column), F.lit("\\Q" + separator + "\\E"), -1)
+    parts = F.split(column_of(df, column), F.lit("\\Q" + separator + "\\E"), -1)
     others = [c for c in df.columns if c != column]
     if position:
         gen = F.posexplode(parts).alias(position, alias)
     else:
         gen = F.explode(parts).alias(alias)
-    return df.select(*[F.col(f"`{c}`") for c in others], gen)
+    return df.select(*[F.col(quote(c)) for c in others], gen)

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tableflow.operators.names import column as column_of
 from tableflow.operators.names import quote
 
 
@@ -36,7 +37,7 @@ def filter_by_names(
     parsed = parse_name_list(names)
     if parsed is None:
         return df
-    return df.filter(F.col(column).isin(parsed))
+    return df.filter(column_of(df, column).isin(parsed))
 
 
 def skip_reason(rules: Sequence[tuple[str, Column]]) -> Column:
@@ -60,7 +61,7 @@ def skip_rules(
 
 def keep_unskipped(df: DataFrame, column: str = "skip_reason") -> DataFrame:
     """Rows no skip rule matched, without the reason column."""
-    return df.filter(F.col(column).isNull()).drop(column)
+    return df.filter(column_of(df, column).isNull()).drop(column)
 
 
 def composite_key_filter(
@@ -75,7 +76,7 @@ def composite_key_filter(
         return df.join(wanted, same, "left_semi")
     cond = F.lit(True)
     for name, value in keys.items():
-        cond = cond & (F.col(name) == F.lit(value))
+        cond = cond & (column_of(df, name) == F.lit(value))
     return df.filter(cond)
 
 
@@ -89,5 +90,5 @@ def prefix_filter(df: DataFrame, column: str, prefix: str) -> DataFrame:
     """Keep rows whose ``column`` starts with ``prefix``; null or empty never
     match.  Written without ``coalesce`` (a filter already drops null) so the
     predicate reaches the Parquet scan as ``StringStartsWith``."""
-    c = F.col(column)
+    c = column_of(df, column)
     return df.filter(c.startswith(prefix) & (c != F.lit("")))

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableflow.operators.names import qualified, quote, split_guard
+from tableflow.operators.names import column, qualified, quote, split_guard
 
 
 def _as_list(keys: str | Sequence[str]) -> list[str]:
@@ -156,8 +156,8 @@ def cascade_filter(
     shuffled side is small, and a semi join never duplicates children.
     """
     pairs = {on: on} if isinstance(on, str) else dict(on)
-    keys = parent.select(*[F.col(p).alias(f"__parent_{i}") for i, p in enumerate(pairs.values())])
-    cond = [F.col(c) == F.col(f"__parent_{i}") for i, c in enumerate(pairs)]
+    keys = parent.select(*[column(parent, p).alias(f"__parent_{i}") for i, p in enumerate(pairs.values())])
+    cond = [column(child, c) == F.col(f"__parent_{i}") for i, c in enumerate(pairs)]
     return child.join(keys, on=cond, how="left_semi")
 
 

@@ -6,10 +6,22 @@ column; names are back-quoted so any character is safe.
 """
 
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
 def quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def column(df: DataFrame, name: str) -> Column:
+    """The column of that name, whatever characters it has; a path into a
+    struct where there is none."""
+    return F.col(quote(name) if name in df.columns else name)
+
+
 def qualified(alias: str, name: str) -> str:
     return f"{quote(alias)}.{quote(name)}"
 

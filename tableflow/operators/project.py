@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableflow.operators.names import column as column_of
 from tableflow.operators.names import quote
 
 
@@ -124,16 +125,16 @@ def drop_nested_fields(df: DataFrame, column: str, fields: Iterable[str]) -> Dat
 
     def drop_in(struct_type: T.StructType, c: Column) -> Column:
         present = [f for f in fields if f in struct_type.fieldNames()]
-        return c.dropFields(*present) if present else c
+        return c.dropFields(*map(quote, present)) if present else c
 
     if isinstance(dtype, T.StructType):
-        expr = drop_in(dtype, F.col(column))
+        expr = drop_in(dtype, column_of(df, column))
     elif isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):
         element = dtype.elementType
-        expr = F.transform(column, lambda x: drop_in(element, x))
+        expr = F.transform(column_of(df, column), lambda x: drop_in(element, x))
     elif isinstance(dtype, T.MapType) and isinstance(dtype.valueType, T.StructType):
         value = dtype.valueType
-        expr = F.transform_values(column, lambda _k, v: drop_in(value, v))
+        expr = F.transform_values(column_of(df, column), lambda _k, v: drop_in(value, v))
     else:
         raise ValueError(f"column {column!r} holds no struct: {dtype.simpleString()}")
     return df.withColumn(column, expr)
@@ -154,17 +155,17 @@ def default_map_field(
     empty = F.create_map().cast(map_type)
     if struct_column is None:
         if field in df.columns:
-            return df.withColumn(field, F.coalesce(F.col(field), empty))
+            return df.withColumn(field, F.coalesce(column_of(df, field), empty))
         return df.withColumn(field, empty)
     stype = _field_type(df, struct_column)
     if not isinstance(stype, T.StructType):
         raise ValueError(f"column {struct_column!r} is not a struct")
-    target = F.col(struct_column)
+    target = column_of(df, struct_column)
     if field in stype.fieldNames():
         value = F.coalesce(target.getField(field), empty)
     else:
         value = empty
-    return df.withColumn(struct_column, target.withField(field, value))
+    return df.withColumn(struct_column, target.withField(quote(field), value))
 
 
 def lift_nested_field(
@@ -173,6 +174,5 @@ def lift_nested_field(
     """Copy ``struct_column.field`` to a top-level column, then drop it from
     the struct.  An existing top-level column with that name is replaced."""
     target = new_name or field
-    return df.withColumn(target, F.col(struct_column).getField(field)).withColumn(
-        struct_column, F.col(struct_column).dropFields(field)
-    )
+    box = column_of(df, struct_column)
+    return df.withColumn(target, box.getField(field)).withColumn(struct_column, box.dropFields(quote(field)))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableflow.operators.filters import prefix_filter
+from tableflow.operators.names import column, quote
 
 
 def _as_list(cols: str | Sequence[str]) -> list[str]:
@@ -51,8 +52,8 @@ def keep_last(
     key_cols = _as_list(keys)
     order_cols = _as_list(order_by)
     rank = "__tableflow_rank"
-    w = Window.partitionBy(*[F.col(f"`{c}`") for c in key_cols]).orderBy(
-        *[F.col(f"`{c}`").desc() for c in order_cols]
+    w = Window.partitionBy(*[F.col(quote(c)) for c in key_cols]).orderBy(
+        *[F.col(quote(c)).desc() for c in order_cols]
     )
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) == 1).drop(rank)
 
@@ -62,7 +63,7 @@ def preview(df: DataFrame, n: int = 20, order_by: str | Sequence[str] | None = N
     (a per-partition top-n merged on one task: only ``n`` rows per task move)."""
     if order_by is None:
         return df.limit(n)
-    return df.orderBy(*_as_list(order_by)).limit(n)
+    return df.orderBy(*[column(df, c) for c in _as_list(order_by)]).limit(n)
 
 
 def expect_row_count(df: DataFrame, expected: int, check: str = "row_count") -> DataFrame:

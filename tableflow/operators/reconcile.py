@@ -34,9 +34,9 @@ def existing_keys(
     the result has at most the source's key count.  That costs a second
     (key-only) read of the source, so it only pays for a small source.
     """
-    target_keys = target.select(*keys)
+    target_keys = target.select(*map(quote, keys))
     if small_source:
-        target_keys = target_keys.join(source.select(*keys), on=list(keys), how="left_semi")
+        target_keys = target_keys.join(source.select(*map(quote, keys)), on=list(keys), how="left_semi")
     return target_keys.distinct()
 
 
@@ -86,7 +86,7 @@ def upsert(
     """
     key_cols = _as_list(keys)
     # The raw source keys: the same set as the reduced source's, no window.
-    kept = target.join(source.select(*key_cols), on=key_cols, how="left_anti").select(*target.columns)
+    kept = target.join(source.select(*map(quote, key_cols)), on=key_cols, how="left_anti").select(*map(quote, target.columns))
     if order_by is not None:
         source = keep_last(source, key_cols, order_by)
     return source.unionByName(kept, allowMissingColumns=allow_missing_columns)
@@ -105,12 +105,12 @@ def insert_missing(
     key_cols = _as_list(keys)
     if order_by is not None:
         # Rows of known keys go before the reduction, which then has less to do.
-        source = keep_last(source.join(target.select(*key_cols), on=key_cols, how="left_anti").select(*source.columns), key_cols, order_by)
+        source = keep_last(source.join(target.select(*map(quote, key_cols)), on=key_cols, how="left_anti").select(*map(quote, source.columns)), key_cols, order_by)
         return target.unionByName(source, allowMissingColumns=allow_missing_columns)
-    present = target.select(*key_cols)  # an anti join needs no distinct keys
+    present = target.select(*map(quote, key_cols))  # an anti join needs no distinct keys
     if small_source:
-        present = present.join(source.select(*key_cols), on=key_cols, how="left_semi")
-    new = source.join(present, on=key_cols, how="left_anti").select(*source.columns)
+        present = present.join(source.select(*map(quote, key_cols)), on=key_cols, how="left_semi")
+    new = source.join(present, on=key_cols, how="left_anti").select(*map(quote, source.columns))
     return target.unionByName(new, allowMissingColumns=allow_missing_columns)
 
 

@@ -34,6 +34,7 @@ from tableflow.functions.nested import substitute_nested
 from tableflow.functions.text import infix_path, substitute
 from tableflow.operators.filters import parse_name_list, skip_reason
 from tableflow.operators.joins import lookup_report
+from tableflow.operators.names import quote
 from tableflow.operators.project import default_map_field, drop_fields
 from tableflow.operators.quality import keep_last
 from tableflow.operators.reconcile import sync_plan, upsert
@@ -132,4 +133,4 @@ def apply_plan(
     stays.  Plan columns that the target lacks are left out.  Write the
     result to a new location."""
     chosen = plan.filter(F.col(action_column).isin("create", "overwrite"))
-    return upsert(target, chosen.select(*target.columns), keys)
+    return upsert(target, chosen.select(*map(quote, target.columns)), keys)
