@@ -1268,3 +1268,6 @@ def q_catalog_sync_names(spark, d):
     plans = CatalogSync(mapping=_CATALOG_MAPPING).plan(*_catalog_inputs(spark, d), database_names=requested)
     planned = plans["databases"].select(F.lit("database").alias("level"), F.col("Name").alias("name"), F.lit(True).alias("found"))
     return planned.union(plans["not_found"].withColumn("found", F.lit(False)))
+
+
+from tableflow import scale_queries  # noqa: E402,F401  (registers its own)
