@@ -3,8 +3,8 @@ leaks, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of docs; each
 but the last returns the columns of documents.  A stage reads only doc_id and
-text of docs and hands the other columns through, whatever their names; where
-it changes a text, n_chars follows.  Null texts and empty tables pass through
+text of docs and hands the other columns through in a box, whatever their
+names; where it changes a text, n_chars follows.  Null texts and empty tables pass through
 every stage; how rows that repeat or share a doc_id are treated is said in the
 operators.
 """
@@ -13,55 +13,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableflow.llm import decontaminate, jaccard, lines, packing, toxicity
 from tableflow.llm.common import ROW, keyed, materialize, table, tokenizer_file
+from tableflow.operators.names import quote
 
 _DOC = "__llm_document"
-_SPANS = "__llm_spans"
 
 #: Near duplicates: documents whose word 5-grams have a Jaccard similarity of
 #: 80 % or more.  (op8's query has values of its own.)
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-def _boxed(docs: DataFrame) -> DataFrame:
-    """text, and all columns as one that no operator looks into."""
-    return docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias(_DOC))
+def _boxed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, text, and all columns but text as one that no
+    operator looks into."""
+    return docs.select(*columns, "text", F.struct(*[F.col(quote(c)) for c in docs.columns if c != "text"]).alias(_DOC))
+
+
+def _unboxed(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs, the named ones changed."""
+    own = {c: F.col("text") if c == "text" else F.col(_DOC).getField(c) for c in docs.columns}
+    return rows.select(*[changed.get(c, own[c]).alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity.in_training_part())
-    return toxicity.score(_boxed(docs), model).where(F.col("score") < toxicity.THRESHOLD).select(f"{_DOC}.*")
+    return _unboxed(toxicity.score(_boxed(docs), model).where(F.col("score") < toxicity.THRESHOLD), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the first stays."""
-    rows = keyed(docs, *[c for c in docs.columns if c != "doc_id"])
+    rows = keyed(_boxed(docs, "doc_id"), "text", _DOC)
     heads = jaccard.jaccard_components(rows.select(ROW, "text"), NEAR_WORDS, NEAR_PERCENT).where(F.col(ROW) == F.col("component")).select(ROW)
-    return rows.join(heads, ROW, "left_semi").select(*docs.columns)
+    return _unboxed(rows.join(heads, ROW, "left_semi"), docs)
 
 
 def drop_repeated_sentences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each repeated sentence, line or paragraph the first occurrence stays
     in its document."""
-    rows = keyed(docs, *[c for c in docs.columns if c != "doc_id"])
-    spans = lines.repeats(rows, "all", min_bytes=lines.MIN_BYTES).withColumnRenamed("spans", _SPANS)
-    joined = rows.join(spans, ROW, "left")
-    rest = lines.remove_spans(F.col("text"), F.col(_SPANS))
-    changed = joined.withColumn("text", F.when(F.col(_SPANS).isNull(), F.col("text")).otherwise(rest))
+    rows = keyed(_boxed(docs, "doc_id"), "text", _DOC)
+    joined = rows.join(lines.repeats(rows.select(ROW, "text"), "all", min_bytes=lines.MIN_BYTES), ROW, "left")
+    whole, rest = F.col("spans").isNull(), lines.remove_spans(F.col("text"), F.col("spans"))
+    changed = {"text": F.when(whole, F.col("text")).otherwise(rest)}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col(_SPANS).isNull(), F.col("n_chars")).otherwise(F.char_length("text")))
-    return changed.select(*docs.columns)
+        changed["n_chars"] = F.when(whole, F.col(_DOC)["n_chars"]).otherwise(F.char_length(rest))
+    return _unboxed(joined, docs, **changed)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
     found = decontaminate.find_leaks(_boxed(docs), table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("hit") == 0).select(f"{_DOC}.*")
+    return _unboxed(found.where(F.size("hit") == 0), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
