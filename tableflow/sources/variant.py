@@ -74,9 +74,11 @@ def fitted(records: DataFrame, schema: SchemaLike | None = None, rest: str | Non
 
     A value that its column's type cannot hold gives null there, and its JSON in
     ``rest``, a map from field name to JSON text that also has the fields that
-    the schema does not name.  Rows that fit in full have an empty map; a record
-    that is no object has nulls and its JSON under the empty name.  ``rest=None``
-    leaves the map out."""
+    the schema does not name.  An object or array that does not read back as it
+    was (a part that does not fit, a field that the type does not have, a number
+    in another form) is there in full, beside what its column could take.  Rows
+    that fit have an empty map; a record that is no object has nulls and its
+    JSON under the empty name.  ``rest=None`` leaves the map out."""
     struct = inferred_schema(records, column) if schema is None else to_struct(schema)
     record = F.col(column)
     typed, misfits = [], []
@@ -87,7 +89,12 @@ def fitted(records: DataFrame, schema: SchemaLike | None = None, rest: str | Non
             value = F.coalesce(_field(record, f.name, "string"), F.when(~F.is_variant_null(raw), F.to_json(raw)))
         else:
             value = _field(record, f.name, f.dataType.simpleString())
-            misfits.append(F.when(value.isNull() & raw.isNotNull() & ~F.is_variant_null(raw), F.lit(f.name)))
+            lost = value.isNull()
+            if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
+                # Parts may be lost where the whole is not.
+                back = [F.to_json(value, {"ignoreNullFields": flag}) for flag in ("true", "false")]
+                lost = lost | ~F.to_json(raw).isin(*back)
+            misfits.append(F.when(raw.isNotNull() & ~F.is_variant_null(raw) & F.coalesce(lost, F.lit(True)), F.lit(f.name)))
         typed.append(value.alias(f.name))
     if rest is None:
         return records.select(*typed)

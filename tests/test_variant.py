@@ -32,12 +32,20 @@ def test_declared_schema_keeps_what_does_not_fit(spark, scratch):
     one, two, three, four, none = (next(r for r in got if test(r)) for test in (
         lambda r: r.id == 1, lambda r: r.id == 2, lambda r: "a.b" in r.rest, lambda r: r.rest.get("o") == "9", lambda r: r.rest == {} and r.id is None))
     assert (one.v, one.s, one.o.a, one.l, one.rest) == (1.5, "x", 1, [1, 2], {})
-    assert (two.v, two.s, two.o, two.l, two.rest) == (2.5, "7", None, [], {"o": '{"a":"no"}'})
+    assert (two.v, two.s, two.o.a, two.l, two.rest) == (2.5, "7", None, [], {"o": '{"a":"no"}'})
     assert (three.id, three.v, three.s, three.l) == (None, None, '{"deep":[1]}', None)
     assert three.rest == {"id": '"three"', "l": '"flat"', "a.b": "5", "it's": "6", "'\"": "8", "": "7"}
     assert four.s is None and four.rest["o"] == "9"
 
 
+def test_parts_of_nested_values_are_not_lost(spark, scratch):
+    records = [{"k": 1, "o": {"a": 1, "z": 2}}, {"k": 2, "o": {"a": None}}, {"k": 3, "o": {}}, {"k": 4, "l": [1, "x"]}, {"k": 5, "l": [1, 2], "o": {"a": 5}}]
+    got = {r.k: r for r in read_json_fitted(spark, _write(spark, scratch(), records), "k INT, o STRUCT<a: INT>, l ARRAY<INT>").collect()}
+    assert got[1].o.a == 1 and got[1].rest == {"o": '{"a":1,"z":2}'}
+    assert got[2].rest == got[3].rest == got[5].rest == {} and got[5].l == [1, 2]
+    assert got[4].rest == {"l": '[1,"x"]'}
+
+
 def test_records_that_are_no_objects(spark, scratch):
     got = read_json_fitted(spark, _write(spark, scratch(), [[1, 2], 3, {"id": 1}]), "id INT").collect()
     assert sorted((r.id is None, sorted(r.rest.items())) for r in got) == [(False, []), (True, [("", "3")]), (True, [("", "[1,2]")])]
