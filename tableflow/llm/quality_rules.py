@@ -54,38 +54,25 @@ _ZERO = 1e-6
 def _repeat_words(words: Column) -> Column:
     """Words inside any 3-word window that the list holds twice or more.
 
-    Each window becomes one number, its hash above its position (as many low
-    bits as the positions need), so sorting the numbers brings equal windows
-    together; the marked positions, sorted again, give the covered length.
+    Windows are sorted by their 64-bit hash and position, which brings equal
+    ones together; the marked positions, sorted again, give the covered length.
     """
     n = F.size(words)
-    bits = F.when(n > 1, F.ceil(F.log2(n.cast("double"))) + 1).otherwise(1).cast("int")
 
-    def with_mask(hashes: Column, b: Column, mask: Column) -> Column:
-        packed = F.transform(
-            F.sequence(F.lit(0), n - 3),
-            lambda i: F.call_function("shiftleft", F.xxhash64(hashes[i], hashes[i + 1], hashes[i + 2]), b).bitwiseOR(i),
+    def of_sorted(s: Column) -> Column:
+        twin = F.filter(F.sequence(F.lit(0), n - 4), lambda k: s[k]["h"] == s[k + 1]["h"])
+        marked = let(twin, lambda t: F.array_union(F.transform(t, lambda k: s[k]["at"]), F.transform(t, lambda k: s[k + 1]["at"])))
+        covered = lambda p: F.aggregate(
+            F.transform(p, lambda x, k: F.coalesce(F.least(F.lit(3), F.get(p, k + 1) - x), F.lit(3))),
+            F.lit(0).cast("bigint"),
+            lambda a, x: a + x,
         )
+        return let(F.array_sort(marked), covered)
 
-        def of_sorted(s: Column) -> Column:
-            # Equal windows stand side by side: only their low bits differ.
-            twin = F.filter(F.sequence(F.lit(0), n - 4), lambda k: s[k].bitwiseXOR(s[k + 1]).between(0, mask))
-            marked = let(twin, lambda t: F.array_union(F.transform(t, lambda k: s[k].bitwiseAND(mask)), F.transform(t, lambda k: s[k + 1].bitwiseAND(mask))))
-            three = F.lit(3).cast("bigint")
-            covered = lambda p: F.aggregate(
-                F.transform(p, lambda x, k: F.coalesce(F.least(three, F.get(p, k + 1) - x), three)),
-                F.lit(0).cast("bigint"),
-                lambda a, x: a + x,
-            )
-            return let(F.array_sort(marked), covered)
-
-        return let(F.sort_array(packed), of_sorted)
-
-    def with_hashes(hashes: Column) -> Column:
-        mask = lambda b: F.call_function("shiftleft", F.lit(1).cast("bigint"), b) - F.lit(1).cast("bigint")
-        return let(bits, lambda b: let(mask(b), lambda m: with_mask(hashes, b, m)))
-
-    return F.when(n < 4, F.lit(0).cast("bigint")).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), with_hashes))
+    def windows(hashes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(hashes[i], hashes[i + 1], hashes[i + 2]).alias("h"), i.alias("at")))
+
+    return F.when(n < 4, F.lit(0).cast("bigint")).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: let(F.sort_array(windows(hashes)), of_sorted)))
 
 
 def measures(docs: DataFrame) -> DataFrame:
