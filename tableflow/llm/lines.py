@@ -41,6 +41,9 @@ from tableflow.llm.flat import LOWER, SPACES, mix, powers, slices, word_hashes,
 MIN_WORDS = 5
 #: As long as five usual words (of 4.8 letters); 8 Chinese characters.
 MIN_BYTES = 24
+#: What the query and the pipeline take for their units: shorter ones repeat in
+#: texts that have nothing else in common.
+LONG_WORDS, LONG_BYTES = 15, 100
 
 _U = np.uint64
 _SENTENCE_END = np.zeros(256, bool)

@@ -38,12 +38,22 @@ def rows() -> list[tuple]:
     return [(i, t, None if k % 5 == 0 else "en", None if k % 7 == 0 else "s", None if t is None else len(t), 0.5, "x", None, "c", "n") for k, (i, t) in enumerate(texts)]
 
 
+#: Names that internal ones may clash with, or that need quoting.
+AWKWARD = ["a.b", "a`b", "a b", "__llm_row", "__llm_spans", "__llm_document", "block", "held_out"]
+
+
+def _more(df):
+    from pyspark.sql import functions as F
+
+    return df.select("*", *[F.lit(7).alias(c) for c in AWKWARD])
+
+
 def docs(spark):
-    return spark.createDataFrame(rows(), DOCS)
+    return _more(spark.createDataFrame(rows(), DOCS))
 
 
 def none(spark):
-    return spark.createDataFrame([], DOCS)
+    return _more(spark.createDataFrame([], DOCS))
 
 
 def by_text(rows_, key="doc_id"):

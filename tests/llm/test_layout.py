@@ -165,7 +165,7 @@ def test_sharding_law(spark):
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
-    docs = edge.docs(spark).union(edge.docs(spark).select((F.col("doc_id") + 100).alias("doc_id"), *edge.docs(spark).columns[1:]))
+    docs = edge.docs(spark).union(edge.docs(spark).withColumn("doc_id", F.col("doc_id") + 100))
     sf = "/root/testdata/sf0.001"
     assert [n for n, _ in cp.STAGES] == ["toxicity", "near_duplicates", "substring_dedup", "decontamination", "packing"]
     for name, stage in cp.STAGES:
@@ -177,6 +177,7 @@ def test_pipeline_stages(spark):
     kept = cp.drop_near_duplicates(spark, docs, sf)
     texts = Counter(r.text for r in kept.collect())
     assert texts[edge.prose(7, 6000)] == 1 and texts[""] == 2 and texts[None] == 2
+    assert all(r[c] == 7 for r in kept.collect() for c in edge.AWKWARD)
     cleaned = cp.drop_repeated_sentences(spark, kept, sf).collect()
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in cleaned)
 
@@ -184,7 +185,7 @@ def test_pipeline_stages(spark):
 def test_pipeline_runs_over_all_documents(spark):
     import corpus_pipeline as cp
 
-    from tableflow.llm import decontaminate, toxicity
+    from tableflow.llm import decontaminate, lines, toxicity
     from tests.llm import brute
 
     sf = "/root/testdata/sf0.001"
@@ -195,11 +196,11 @@ def test_pipeline_runs_over_all_documents(spark):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     model = toxicity.train(table, spark.read.parquet(f"{sf}/labels.parquet"), toxicity.in_training_part())
     left = sorted(r.doc_id for r in toxicity.score(table.select("doc_id", "text"), model).where(F.col("score") < toxicity.THRESHOLD).collect())
-    heads = brute.components([brute.shingles(docs[i]) for i in left])
+    heads = brute.components([brute.shingles(docs[i], cp.NEAR_WORDS) for i in left], cp.NEAR_PERCENT)
     left = [i for k, i in enumerate(left) if heads[k] == k]
-    from tests.llm.test_dedup import _lines_brute
+    from tests.llm.test_lines_all import _brute
 
-    texts = {i: t for i, t, _ in _lines_brute([(i, docs[i]) for i in left])}
+    texts = dict(zip(left, _brute([(i, docs[i]) for i in left], lines.LONG_WORDS, lines.LONG_BYTES)))
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert ids == {i for i, t in texts.items() if not brute.leaks(t, items, decontaminate.WINDOW)[1]}
 
@@ -208,4 +209,4 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} <= {x.split("_")[0] + "_" for x in names} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} <= {x.split("_")[0] + "_" for x in names} and "pipeline" in names

@@ -38,13 +38,13 @@ def _ranges(raw, found):
     return sorted(out)
 
 
-def _brute(rows):
+def _brute(rows, words=5, size=lines.MIN_BYTES):
     every = []
     for order, (_, text) in enumerate(rows):
         raw, found = (text or "").encode(), _words(text or "")
         for a, z in _ranges(raw, found):
             w = tuple(x for *_, x in found[a:z])
-            if len(w) >= 5 or sum(map(len, w)) >= lines.MIN_BYTES:
+            if len(w) >= words or sum(map(len, w)) >= size:
                 every.append((w, (order, a), (found[a][0], found[z][0] if z < len(found) else len(raw))))
     firsts = {}
     for w, place, _ in every:
@@ -73,12 +73,19 @@ def test_all_levels_equal_brute_force(spark):
         assert all(s.start >= e for s, e in zip(x.spans[1:], ends))
 
 
+def _repeated(line, short):
+    return [(1, line), (2, f"x\n{line}\ny"), (3, short), (4, f"a\n{short}\nb"), (5, f"{line}。新"), (6, f"前。{line}。后")]
+
+
 def test_repeats_without_spaces_and_of_short_sentences_go(spark, tmp_path):
-    line = "今天天气很好我们去公园散步"
-    rows = [(1, line), (2, f"x\n{line}\ny"), (3, "Go. Now. Or. Stay. Here."), (4, "a\nGo. Now. Or. Stay. Here.\nb"), (5, f"{line}。新"), (6, f"前。{line}。后")]
+    line, short = "今天天气很好我们去公园散步", "Go. Now. Or. Stay. Here."
+    got = {r.doc_id: r.n_removed for r in _all(spark, _repeated(line, short))}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 1}
+    # The query and the stage: the same of longer ones, and short ones stay.
+    rows = _repeated(line * 3, " ".join([short] * 3)) + [(i + 100, t) for i, t in _repeated(line, short)]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.n_removed for r in op5_substring_dedup(spark, str(tmp_path)).collect()}
-    assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 1}
+    assert got == {i: int(i in (2, 4, 6)) for i, _ in rows}
     kept = cp.drop_repeated_sentences(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "unused").collect()
     assert {r.doc_id: r.text for r in kept} == dict(rows) | {2: "x\ny", 4: "a\nb", 6: "前。后"}
 
