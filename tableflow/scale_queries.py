@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tableflow.operators.hierarchy import cascade_tree
 from tableflow.operators.substitute import substitute_from_table
 from tableflow.queries import ORDERS, register, table
 from tableflow.session import scratch_path
@@ -229,3 +230,43 @@ def q_split_predicates(spark, d):
         row = parts.agg(F.lit(kind).alias("kind"), F.sum("n_rows").alias("n_rows"), F.max("n_none").alias("n_none"), F.max("n_several").alias("n_several"), even.alias("even"))
         out = row if out is None else out.union(row)
     return out
+
+
+# ---------------------------------------------------------------- hierarchy
+
+
+@register(
+    "cascade_tree",
+    """
+    WITH RECURSIVE nodes AS (
+        SELECT 'tree' AS kind, c_custkey AS k, CASE WHEN c_custkey % 97 = 0 THEN -1 - c_custkey WHEN c_custkey >= 7 THEN c_custkey // 7 END AS p,
+               c_mktsegment = 'BUILDING' AND c_custkey % 5 = 0 AS s FROM customer
+        UNION ALL
+        SELECT 'chain', s_suppkey, CASE WHEN s_suppkey > (SELECT min(s_suppkey) FROM supplier) THEN s_suppkey - 1 END, s_suppkey % 70 = 69 FROM supplier),
+    walk AS (
+        SELECT kind, k, k AS top, p, s, CAST(0 AS BIGINT) AS depth FROM nodes
+        UNION ALL
+        SELECT w.kind, w.k, n.k, n.p, w.s OR n.s, w.depth + 1 FROM walk w JOIN nodes n ON n.kind = w.kind AND n.k = w.p),
+    ends AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY kind, k ORDER BY depth DESC) = 1)
+    SELECT kind, k AS key, CASE WHEN p IS NULL THEN depth END AS depth, CASE WHEN p IS NULL THEN top END AS root,
+           CASE WHEN p IS NOT NULL THEN 'no such parent' WHEN s THEN 'skipped ancestor' END AS reason
+    FROM ends
+    """,
+)
+def q_cascade_tree(spark, d):
+    """Children of skipped or missing ancestors, at any depth: a tree of
+    customers and one chain of all suppliers."""
+    key = F.col("c_custkey")
+    tree = table(spark, d, "customer").select(
+        key.alias("key"),
+        F.when(key % 97 == 0, -1 - key).when(key >= 7, F.floor(key / 7)).cast("bigint").alias("parent"),
+        ((F.col("c_mktsegment") == "BUILDING") & (key % 5 == 0)).alias("skip"),
+    )
+    suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"))
+    first = suppliers.agg(F.min("key").alias("first"))
+    chain = suppliers.crossJoin(F.broadcast(first)).select("key", F.when(F.col("key") > F.col("first"), F.col("key") - 1).alias("parent"), (F.col("key") % 70 == 69).alias("skip"))
+    out = None
+    for kind, df in (("tree", tree), ("chain", chain)):
+        part = cascade_tree(df, "key", "parent", "skip").select(F.lit(kind).alias("kind"), "key", "depth", "root", "reason")
+        out = part if out is None else out.union(part)
+    return out
