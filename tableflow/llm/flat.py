@@ -7,6 +7,7 @@ whatever the batch holds; only a single longer text makes a larger slice.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,3 +111,31 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListA
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Ascending numbers as compressed differences, byte plane by byte plane."""
+    steps = np.diff(numbers, prepend=_U(0)).astype("<u8")
+    return plane(steps)
+
+
+def plane(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed planes of their bytes."""
+    width = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+    raw = numbers.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return struct.pack("<QB", len(numbers), width) + pa.compress(raw, "zstd", asbytes=True) if len(numbers) else b""
+
+
+def unplane(blob: bytes) -> np.ndarray:
+    """What `plane` packed."""
+    if not blob:
+        return np.zeros(0, _U)
+    n, width = struct.unpack_from("<QB", blob)
+    raw = np.frombuffer(pa.decompress(blob[9:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = raw.T
+    return out.reshape(-1).view(_U)
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    """What `pack` packed."""
+    return np.cumsum(unplane(blob), dtype=_U)
