@@ -20,14 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Write to a new folder of the shared scratch space and read it back:
     cuts the lineage, survives lost executors and gives the optimizer the
     real size of what follows.  The shuffle files behind it are of no further
-    use; a collection of the driver's garbage lets Spark's cleaner find them."""
+    use; a collection of the driver's garbage lets Spark's cleaner find them.
+    `batch` bounds the rows of an Arrow batch meanwhile, for wide rows."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(limit)
+    try:
+        if batch is not None and not 0 < int(usual) <= batch:
+            spark.conf.set(limit, batch)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(limit, usual)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 

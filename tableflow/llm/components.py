@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from tableflow.llm.common import discard, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
     """edges (u, v), u > v.  Large star: of u's neighbours the larger ones hang
-    onto the smallest of u and them; small star: the smaller ones and u do."""
+    onto the smallest of u and them; small star: the smaller ones and u do.  The
+    second table is what the first is read from."""
     ways = edges.select("u", "v")
     if large:
         ways = ways.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,7 +30,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     out = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         out = out.union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), least
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -37,8 +38,10 @@ def connected(edges: DataFrame) -> DataFrame:
     smallest id of its component."""
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     while True:
-        before, now = now, materialize(_star(_star(now, large=True), large=False), "edges")
-        discard(before)
+        hung, large = _star(now, large=True)
+        hung, small = _star(hung, large=False)
+        before, now = now, materialize(hung, "edges")
+        discard(before, large, small)
         # Done when each u has one edge and no v is itself hung elsewhere.
         several = now.groupBy("u").count().where("count > 1")
         chained = now.join(now.select(F.col("u").alias("v")), "v", "left_semi")

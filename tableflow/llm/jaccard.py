@@ -3,26 +3,34 @@
 Documents with equal shingle sets are one class, and only its smallest member
 takes part.  The classes are joined with prefix filtering:
 
-1. A count sketch of fixed size says roughly how common each shingle is.  Every
-   document sorts its shingles, rare ones first (ties by hash), by the same
-   sketch; the order steers the work only, results are exact for any order.
+1. How common each shingle is comes from two steps: a sketch of 2**SKETCH_BITS
+   counters over all shingles, then exact counts of those that fall into its
+   heavy counters.  The `LISTED` most common ones are broadcast with their
+   counts, the others with their counters.  Every document sorts its shingles
+   by that order, rare ones first (ties by hash); the order steers the work
+   only, results are exact for any order.
 2. Two sets that reach the threshold share a shingle among the first
    n - ceil(t * n) + 1 of each.  These prefix n-grams are the join keys.
 3. Candidates of a key pass the length filter (t * larger <= smaller), the
    positional filter (what is left behind the key must suffice for the overlap
-   that t asks for) and the suffix filter (a lower bound on the sets' symmetric
-   difference, from the sizes of 16 hash parts of each set; in the second
-   pass also from the parities of 1,024 parts).
+   that t asks for) and the suffix filter (lower bounds on the sets' symmetric
+   difference, from the sizes of 16 hash parts and the parities of 1,024).
 4. Each pair is verified once, on the whole sets.
 
 Large groups of copies of copies would give a square of pairs.  So the join
-runs twice: first each key pairs its documents only in a chain, by size, and
-with its smallest one; verified links make provisional components.  Then only
+runs twice: first each key pairs its documents only in a chain, with the
+smallest one of about their size, and with that of the next smaller ones;
+verified links make provisional components.  Then only
 keys whose documents lie in two or more components give all their pairs across
 components.  A link within a component changes nothing, so the components are
-exact while no group is ever expanded into all its pairs.  A key with more than
-`BLOCK` documents in that second pass is dealt out in blocks of documents, pair
-of blocks by pair of blocks.
+exact while no group is ever expanded into all its pairs.  For the same reason
+the first pass verifies one pair per document, and then only those of its pairs
+that still lie across components.
+
+A key that `LISTED` shows to have more than `BLOCK` documents is dealt to
+several tasks in the first pass, twice by different hashes; in the second pass
+such a key is dealt out in blocks of documents, pair of blocks by pair of
+blocks.
 
 Edge cases: a null or wordless text has an empty set and is linked with
 nothing; a text of fewer words than n has one shingle, the whole sequence.
@@ -34,25 +42,31 @@ columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
-import math
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableflow.llm.common import ROW, discard, keyed, materialize
 from tableflow.llm.components import connected
-from tableflow.llm.flat import LOWER, SPACES, mix, powers, slices, word_hashes, words
+from tableflow.llm.flat import LOWER, SPACES, mix, pack, powers, slices, unpack, word_hashes, words
+from tableflow.llm.idfilter import IdFilter, id_filter
 
 N_WORDS, PERCENT = 4, 85
-#: The sketch has 2**SKETCH_BITS counters, stored as one byte each.
-SKETCH_BITS = 20
-BLOCK = 2048
+#: The sketch has 2**SKETCH_BITS counters, broadcast as one byte each.
+SKETCH_BITS = 22
+#: Most shingles whose exact counts are broadcast (9 bytes each).
+LISTED = 1 << 18
+BLOCK = 4096
 PARTS = 16
-#: Hash parts whose parities make a set's signature in the second pass.
+#: Hash parts whose parities make a set's signature.
 BITS = 1024
+#: Shingles that a task counts, and pairs that it compares, at a time.
+CHUNK, STRIPE = 1 << 20, 1 << 17
 
 _U = np.uint64
 _BITS = _U(53)
@@ -100,12 +114,12 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
     kind 1: blocks of the task's sketch counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << SKETCH_BITS, np.int64)
+        counters = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             ids = batch.column(ROW)
             for rows, buf, offs in slices(batch):
                 h, edges, text = shingles(buf, offs, n)
-                counters += np.bincount((mix(h) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                np.add.at(counters, _counter(h), np.uint32(1))
                 m = len(edges) - 1
                 bits = np.bincount(text * BITS + (h >> _U(53 - 10)).astype(np.int64), minlength=m * BITS) & 1
                 bits = np.packbits(bits.astype(np.uint8).reshape(m, BITS), axis=1)
@@ -121,7 +135,7 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
         for k in range(0, len(counters), _BLOB):
             part = counters[k : k + _BLOB]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"kind": [1], ROW: [k // _BLOB], "n": [0], "d1": [0], "d2": [0], "blob": [part.astype(np.uint32).tobytes()], "bits": [None]}, schema=_PROFILE)
+                yield pa.RecordBatch.from_pydict({"kind": [1], ROW: [k // _BLOB], "n": [0], "d1": [0], "d2": [0], "blob": [zlib.compress(part.tobytes(), 1)], "bits": [None]}, schema=_PROFILE)
 
     return docs.select(ROW, "text").mapInArrow(run, f"kind int, {ROW} bigint, n bigint, d1 bigint, d2 bigint, blob binary, bits binary")
 
@@ -129,24 +143,100 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
 _PROFILE = pa.schema([("kind", pa.int32()), (ROW, pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("blob", pa.binary()), ("bits", pa.binary())])
 
 
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (mix(h) >> _U(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Eight levels per doubling of a count."""
+    return np.minimum(np.ceil(8 * np.log2(np.maximum(counts, 1))), 255).astype(np.uint8)
+
+
+@dataclass(frozen=True)
+class Order:
+    """How common shingles are: the level of each counter of the sketch, the
+    usual one, from which on a counter is heavy, and the exact counts of the
+    most common shingles of heavy counters."""
+
+    levels: np.ndarray
+    usual: int
+    heavy: int
+    listed: np.ndarray
+    counts: np.ndarray
+
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(level, number of documents where it is listed, else 0)."""
+        level, counts = self.levels[_counter(h)].astype(np.int64), np.zeros(len(h), np.int64)
+        level[level >= self.heavy] = self.usual
+        if len(self.listed):
+            at = np.minimum(np.searchsorted(self.listed, h), len(self.listed) - 1)
+            there = self.listed[at] == h
+            counts[there] = self.counts[at[there]]
+            # A counter holds others' counts too: so do these, to be comparable.
+            level[there] = _level(counts[there] + 2.0 ** (self.usual / 8))
+        return level, counts
+
+
 def _sketch(blobs: DataFrame) -> np.ndarray:
-    """Levels 0..15 by counter, higher for more common shingles.  The result
-    has a fixed size, 2**SKETCH_BITS bytes."""
+    """The level of each counter: 2**SKETCH_BITS bytes whatever the input."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column(ROW).to_pylist(), batch.column("blob")):
-                part = np.frombuffer(blob.as_buffer(), np.uint32).astype(np.int64)
+                part = np.frombuffer(zlib.decompress(blob.as_buffer()), np.uint32).astype(np.int64)
                 sums[k] = sums[k] + part if k in sums else part
         for k, part in sums.items():
-            yield pa.RecordBatch.from_pydict({ROW: [k], "blob": [part.tobytes()]}, schema=pa.schema([(ROW, pa.int64()), ("blob", pa.binary())]))
+            yield pa.RecordBatch.from_pydict({ROW: [k], "blob": [_level(part).tobytes()]}, schema=pa.schema([(ROW, pa.int64()), ("blob", pa.binary())]))
 
-    counters = np.zeros(1 << SKETCH_BITS, np.int64)
+    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in blobs.select(ROW, "blob").repartition(ROW).mapInArrow(add, f"{ROW} bigint, blob binary").collect():
-        counters[r[ROW] * _BLOB : (r[ROW] + 1) * _BLOB] = np.frombuffer(r["blob"], np.int64)
-    usual = max(1.0, float(np.median(counters)))
-    return np.clip(np.floor(4 * np.log2(np.maximum(counters, 1) / usual)), 0, 15).astype(np.uint8)
+        levels[r[ROW] * _BLOB : (r[ROW] + 1) * _BLOB] = np.frombuffer(r["blob"], np.uint8)
+    return levels
+
+
+def _order(docs: DataFrame, levels: np.ndarray, n: int) -> Order:
+    """Exact counts of the shingles in heavy counters; what comes to the driver
+    is at most `LISTED` of them."""
+    usual = float(2.0 ** (np.median(levels) / 8))
+    at, heavy = int(_level(np.array([usual]))[0]), int(_level(np.array([usual + 4 * usual**0.5 + 4]))[0])
+    nothing = Order(levels, at, heavy, np.zeros(0, _U), np.zeros(0, np.int64))
+    if not (levels >= heavy).any():
+        return nothing
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+
+    def out(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_pydict({"shingle": pa.array(keys.view(np.int64)), "n": pa.array(counts, pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for _, buf, offs in slices(batch):
+                h, _, _ = shingles(buf, offs, n)
+                held.append(h[shared.value[_counter(h)] >= heavy])
+                if sum(map(len, held)) > CHUNK:
+                    yield out(held)
+                    held = []
+        if held:
+            yield out(held)
+
+    counted = docs.select("text").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2")
+    counted = materialize(counted, "heavy-shingles", 2048)
+    by_size = counted.groupBy(F.floor(F.log2("n") * 8).alias("size")).agg(F.count("*").alias("some")).orderBy(F.desc("size")).collect()
+    total, least = 0, None
+    for r in by_size:  # a few hundred sizes at most
+        total += r["some"]
+        if total > LISTED:
+            break
+        least = r["size"]
+    if least is None:
+        discard(counted)
+        return nothing
+    found = counted.where(F.floor(F.log2("n") * 8) >= least).toArrow().sort_by("shingle")
+    discard(counted)
+    keys, counts = found.column("shingle").to_numpy(), found.column("n").to_numpy()
+    return Order(levels, at, heavy, keys.view(_U), counts)
 
 
 def _overlap(both: np.ndarray, percent: int) -> np.ndarray:
@@ -154,13 +244,24 @@ def _overlap(both: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * both // (100 + percent))
 
 
-def _prefixes(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """token, pos, n, parts, ROW of every prefix n-gram."""
+def _prefixes(docs: DataFrame, order, n: int, percent: int, only: IdFilter | None = None, skip: IdFilter | None = None) -> DataFrame:
+    """token, salt, pos, n, parts, ROW of every prefix n-gram of the documents
+    that the filters let through.  Keys of more than `BLOCK` documents come
+    twice, with salts above and below 0; others once, with salt 0."""
+    spark = docs.sparkSession.sparkContext
+    only_, skip_ = (f and spark.broadcast(f) for f in (only, skip))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = levels.value
+        common = order.value
         for batch in batches:
             ids = batch.column(ROW).to_numpy(zero_copy_only=False)
+            ok = np.ones(len(ids), bool)
+            if only_:
+                ok &= only_.value.maybe(ids)
+            if skip_:
+                ok &= ~skip_.value.maybe(ids)
+            if not ok.all():
+                ids, batch = ids[ok], batch.filter(pa.array(ok))
             for rows, buf, offs in slices(batch):
                 h, edges, text = shingles(buf, offs, n)
                 if not len(h):
@@ -168,23 +269,32 @@ def _prefixes(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
                 sizes = np.diff(edges)
                 parts = np.bincount(text * PARTS + (h & _U(PARTS - 1)).astype(np.int64), minlength=len(sizes) * PARTS)
                 parts = np.minimum(parts, 255).astype(np.uint8).reshape(-1, PARTS)
-                common = level[(mix(h) >> _U(64 - SKETCH_BITS)).astype(np.int64)].astype(_U)
-                # Text, level, hash: 11, 4 and 49 bits; sorting the numbers sorts each text rare first.
-                packed = (text.astype(_U) << _BITS) | (common << _U(49)) | (h >> _U(4))
-                packed.sort()
+                level, counts = common.of(h)
+                # Text, level, hash: 11, 8 and 45 bits; sorting the numbers sorts each text rare first.
+                packed = (text.astype(_U) << _BITS) | (level.astype(_U) << _U(45)) | (h >> _U(8))
+                sort = np.argsort(packed)
+                packed, counts = packed[sort], counts[sort]
                 length = sizes - -(-percent * sizes // 100) + 1
                 length[sizes == 0] = 0
                 take = np.repeat(edges[:-1], length) + (np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length))
                 of = np.repeat(np.arange(len(sizes)), length)
-                yield pa.RecordBatch.from_pydict({
-                    "token": pa.array((packed[take] & _HASH).astype(np.int64)),
-                    "pos": pa.array((take - edges[:-1][of]).astype(np.int32)),
-                    "n": pa.array(sizes[of].astype(np.int32)),
-                    "parts": pa.FixedSizeBinaryArray.from_buffers(pa.binary(PARTS), len(of), [None, pa.py_buffer(parts[of].tobytes())]).cast(pa.binary()),
-                    ROW: pa.array(ids[rows][of], pa.int64()),
-                })
-
-    return docs.select(ROW, "text").mapInArrow(run, f"token bigint, pos int, n int, parts binary, {ROW} bigint")
+                salts = -(-counts[take] // BLOCK)
+                salted = salts > 1
+                mine = ids[rows][of].astype(np.int64)
+                deal = lambda k: (mix(mine.view(_U) + _U(k)) % np.maximum(salts, 1).astype(_U)).astype(np.int64)
+                for salt, here in ((np.where(salted, 1 + deal(1), 0), slice(None)), (-1 - deal(2), salted)):
+                    at, whose = take[here], of[here]
+                    if len(at):
+                        yield pa.RecordBatch.from_pydict({
+                            "token": pa.array((packed[at] & _HASH).astype(np.int64)),
+                            "salt": pa.array(salt[here].astype(np.int32)),
+                            "pos": pa.array((at - edges[:-1][whose]).astype(np.int32)),
+                            "n": pa.array(sizes[whose].astype(np.int32)),
+                            "parts": pa.FixedSizeBinaryArray.from_buffers(pa.binary(PARTS), len(whose), [None, pa.py_buffer(parts[whose].tobytes())]).cast(pa.binary()),
+                            ROW: pa.array(mine[here], pa.int64()),
+                        })
+
+    return docs.select(ROW, "text").mapInArrow(run, f"token bigint, salt int, pos int, n int, parts binary, {ROW} bigint")
 
 
 def _passes(a: np.ndarray, b: np.ndarray, x: dict[str, np.ndarray], percent: int) -> np.ndarray:
@@ -206,10 +316,10 @@ def _passes(a: np.ndarray, b: np.ndarray, x: dict[str, np.ndarray], percent: int
 
 
 def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    joined = lambda c, kind: np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(batch.num_rows, -1)
-    x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c not in ("parts", "bits")}
+    blobs = {c: t for c, t in (("parts", np.uint8), ("bits", np.uint64)) if c in batch.schema.names}
+    x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c not in blobs}
     x = {c: v.astype(np.int64) if v.dtype == np.int32 else v for c, v in x.items()}
-    return x | {"parts": joined("parts", np.uint8), "bits": joined("bits", np.uint64)}
+    return x | {c: np.frombuffer(b"".join(batch.column(c).to_pylist()), t).reshape(batch.num_rows, -1) for c, t in blobs.items()}
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -219,26 +329,62 @@ def _pairs(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right), pa.int64()), pa.array(np.maximum(left, right), pa.int64())], schema=_PAIR)
 
 
-def _neighbours(shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of each key's chain, by size, and with its smallest ROW.
-    The rows of `shared` carry the other one's values as prev_* and hub_*."""
+def _neighbours(entries: DataFrame, percent: int) -> DataFrame:
+    """kind 0: pairs (a, b) of each key's chain, by size class and ROW, with
+    the class's smallest ROW, and of that with the next smaller class's;
+    kind 1: the entries that the second pass may ask for (of keys with three
+    documents or more, or dealt out)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole_groups(batches, ("token", "salt")):
+            x = _columns(part)
+            index = np.arange(part.num_rows)
+            size = np.frexp(x["n"])[1]  # classes of sizes within a factor of two
+            new = np.ones(part.num_rows, bool)
+            new[1:] = (x["token"][1:] != x["token"][:-1]) | (x["salt"][1:] != x["salt"][:-1])
+            step = new.copy()
+            step[1:] |= size[1:] != size[:-1]
+            hub = np.maximum.accumulate(np.where(step, index, 0))
+            chain = np.flatnonzero(~new)
+            to_hub = np.flatnonzero(hub < index - 1)
+            to_next = np.flatnonzero(step & ~new)
+            left = np.concatenate([chain - 1, hub[to_hub], hub[to_next - 1]])
+            right = np.concatenate([chain, to_hub, to_next])
+            ok = _passes(left, right, x, percent) & (x[ROW][left] != x[ROW][right])
+            pairs = np.unique(np.sort(np.stack([x[ROW][left[ok]], x[ROW][right[ok]]], axis=1), axis=1), axis=0)
+            n = len(pairs)
+            if n:
+                none = {c: pa.nulls(n, t) for c, t in (("token", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("parts", pa.binary()), (ROW, pa.int64()))}
+                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(n, np.int32)), "a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), **none}, schema=_FOUND)
+            group = np.cumsum(new) - 1
+            members = np.bincount(group)[group]
+            keep = pa.array((x["salt"] > 0) | ((x["salt"] == 0) & (members > 2)))
+            rest = part.filter(keep)
+            n = rest.num_rows
+            if n:
+                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(n, np.int32)), "a": pa.nulls(n, pa.int64()), "b": pa.nulls(n, pa.int64()), **{c: rest.column(c) for c in ("token", "pos", "n", "parts", ROW)}}, schema=_FOUND)
+
+    dealt = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", F.length(F.bin("n")), ROW)
+    return dealt.mapInArrow(run, f"kind int, a bigint, b bigint, token bigint, pos int, n int, parts binary, {ROW} bigint")
+
+
+_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("parts", pa.binary()), (ROW, pa.int64())])
+
+
+def _close(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the parities of their sets leave possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for other in ("prev", "hub"):
-                there = batch.column(f"{other}_row").is_valid()
-                part = batch.filter(there)
-                if not part.num_rows:
-                    continue
-                x = {c: np.concatenate([part.column(c).to_numpy(zero_copy_only=False), part.column(f"{other}_{c}").to_numpy(zero_copy_only=False)]).astype(np.int64) for c in ("pos", "n")}
-                x["parts"] = np.frombuffer(b"".join(part.column("parts").to_pylist() + part.column(f"{other}_parts").to_pylist()), np.uint8).reshape(-1, PARTS)
-                a = np.arange(part.num_rows)
-                ok = _passes(a, a + part.num_rows, x, percent)
-                rows, others = (part.column(c).to_numpy(zero_copy_only=False)[ok] for c in (ROW, f"{other}_row"))
-                apart = rows != others
-                yield _pairs(rows[apart], others[apart])
+            na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+            odd = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(odd <= na + nb - 2 * _overlap(na + nb, percent)))
 
-    return shared.mapInArrow(run, "a bigint, b bigint").distinct()
+    for c in "ab":
+        own = signatures.select(F.col(ROW).alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"s{c}"))
+        pairs = pairs.join(own, c)
+    return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
 def _across(dealt: DataFrame, percent: int) -> DataFrame:
@@ -253,7 +399,7 @@ def _across(dealt: DataFrame, percent: int) -> DataFrame:
         return _pairs(x[ROW][left[ok]], x[ROW][right[ok]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _whole_groups(batches):
+        for part in _whole_groups(batches, ("token", "i", "j")):
             x = _columns(part)
             new = np.ones(part.num_rows, bool)
             new[1:] = (x["token"][1:] != x["token"][:-1]) | (x["i"][1:] != x["i"][:-1]) | (x["j"][1:] != x["j"][:-1])
@@ -267,8 +413,9 @@ def _across(dealt: DataFrame, percent: int) -> DataFrame:
                 yield keep(x, left, left + d)
             # Large ones by themselves, a stripe at a time.
             for begin, n in zip(at[size > 64].tolist(), size[size > 64].tolist()):
-                for k in range(begin, begin + n, 256):
-                    stripe = np.arange(k, min(k + 256, begin + n))
+                wide = max(1, STRIPE // n)
+                for k in range(begin, begin + n, wide):
+                    stripe = np.arange(k, min(k + wide, begin + n))
                     left = np.repeat(stripe, begin + n - stripe - 1)
                     right = np.concatenate([np.arange(i + 1, begin + n) for i in stripe.tolist()])
                     yield keep(x, left, right)
@@ -276,15 +423,15 @@ def _across(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that a group (token, i, j) is never parted."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that rows of equal keys are never parted."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "i", "j")])
+        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in keys])
         cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-        goes_on = bool(held) and all(held[-1].column(c)[-1].as_py() == int(v) for c, v in zip(("token", "i", "j"), key[:, 0]))
+        goes_on = bool(held) and all(held[-1].column(c)[-1].as_py() == int(v) for c, v in zip(keys, key[:, 0]))
         if held and not goes_on:
             yield _one(held)
             held = []
@@ -300,73 +447,114 @@ def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """ROW and its shingle hashes, ascending, as one binary."""
+def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """ROW and its shingle hashes, packed, of the ids' rows; where the filter is
+    sharp, of a few others too, which no pair asks for."""
+    ours = id_filter(ids)
+    wanted = docs.sparkSession.sparkContext.broadcast(ours)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(ROW)
+            keep = wanted.value.maybe(batch.column(ROW).to_numpy(zero_copy_only=False))
+            batch = batch.filter(pa.array(keep))
+            keys = batch.column(ROW)
             for rows, buf, offs in slices(batch):
                 h, edges, _ = shingles(buf, offs, n)
-                sets = [h[a:z].tobytes() for a, z in zip(edges[:-1], edges[1:])]
-                yield pa.RecordBatch.from_pydict({ROW: ids.slice(rows.start, len(sets)), "set": pa.array(sets, pa.binary())})
+                sets = [pack(h[a:z]) for a, z in zip(edges[:-1], edges[1:])]
+                yield pa.RecordBatch.from_pydict({ROW: keys.slice(rows.start, len(sets)), "set": pa.array(sets, pa.binary())})
 
-    return docs.select(ROW, "text").mapInArrow(run, f"{ROW} bigint, set binary")
+    sets = docs.select(ROW, "text").mapInArrow(run, f"{ROW} bigint, set binary")
+    return sets if ours.sharp else sets.join(ids, ROW, "left_semi")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias(ROW)).distinct()
-    sets = materialize(_sets(docs.join(needed, ROW, "left_semi"), n), "sets")
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias(ROW)).distinct(), "needed")
+    sets = materialize(_sets(docs, needed, n), "sets", 1024)
     both = pairs.join(sets.select(F.col(ROW).alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col(ROW).alias("b"), F.col("set").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for sa, sb in zip(batch.column("sa"), batch.column("sb")):
-                x, y = (np.frombuffer(s.as_buffer(), _U) for s in (sa, sb))
+            for sa, sb in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
+                x, y = unpack(sa), unpack(sb)
                 every = np.sort(np.concatenate([x, y]), kind="stable")
                 common = int(np.count_nonzero(every[1:] == every[:-1]))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = materialize(both.mapInArrow(run, "a bigint, b bigint"), "links")
-    discard(sets)
+    links = materialize(both.mapInArrow(run, "a bigint, b bigint"), "links", 512)
+    discard(sets, needed)
     return links
 
 
+def _across_components(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components of `found`."""
+    for c in "ab":
+        pairs = pairs.join(found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _representatives(of: DataFrame, docs: DataFrame, order, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(the prefix n-grams of one document per class, ROW and class of the
+    other members).  Texts are read where they lie: a filter of the copies says
+    which documents surely are none, and those that it may be wrong about are
+    read once more."""
+    heads = of.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(ROW).alias("class"), F.count("*").alias("members")).where("members > 1")
+    heads = materialize(heads, "classes")  # so that the join may split a large class
+    copies = materialize(of.join(heads, ["n", "d1", "d2"]).where(F.col(ROW) != F.col("class")).select(ROW, "class"), "copies")
+    if copies.isEmpty():
+        return _prefixes(docs, order, n, percent), copies
+    those = id_filter(copies)
+    shared = docs.sparkSession.sparkContext.broadcast(those)
+
+    def mistaken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.maybe(batch.column(ROW).to_numpy(zero_copy_only=False))))
+
+    wrong = of.where("n > 0").select(ROW).join(copies, ROW, "left_anti").mapInArrow(mistaken, f"{ROW} bigint")
+    wrong = materialize(wrong, "mistaken")
+    entries = _prefixes(docs, order, n, percent, skip=those)
+    if not wrong.isEmpty():
+        entries = entries.union(_prefixes(docs, order, n, percent, only=id_filter(wrong)).join(wrong, ROW, "left_semi").select(*entries.columns))
+    return entries, copies
+
+
 def jaccard_components(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
     """ROW, n_shingles, component (smallest ROW reachable by links) of docs,
     which has the unique key ROW and text."""
     spark = docs.sparkSession
-    profile = materialize(_profile(docs, n), "shingle-profiles")
+    profile = materialize(_profile(docs, n), "shingle-profiles", 2048)
     of = profile.where("kind = 0").select(ROW, "n", "d1", "d2")
-    classes = of.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(ROW).alias("class"))
-    classes = materialize(classes, "classes")
-    levels = spark.sparkContext.broadcast(_sketch(profile.where("kind = 1")))
+    signatures = profile.where("kind = 0").select(ROW, "n", "bits")
+    order = spark.sparkContext.broadcast(_order(docs, _sketch(profile.where("kind = 1")), n))
 
     # Copies merge before the shuffle's groups are looked at: one row per class.
-    entries = _prefixes(docs, levels, n, percent).join(classes.select(F.col("class").alias(ROW)), ROW, "left_semi")
-    by_size = Window.partitionBy("token").orderBy("n", ROW)
-    whole = Window.partitionBy("token")
-    seen = entries.withColumn("members", F.count("*").over(whole)).where("members > 1")
-    row = F.struct("pos", "n", "parts", F.col(ROW).alias("row"))
-    hub = F.min(F.struct(ROW, "pos", "n", "parts")).over(whole)
-    seen = seen.withColumn("prev", F.lag(row).over(by_size)).withColumn("hub", hub)
-    flat = [F.col(f"{o}.{c}").alias(f"{o}_{c}") for o in ("prev", "hub") for c in ("pos", "n", "parts")]
-    shared = materialize(seen.select("token", "pos", "n", "parts", ROW, *flat, F.col("prev.row").alias("prev_row"), F.col(f"hub.{ROW}").alias("hub_row")), "shared-prefixes")
-
-    near = materialize(_neighbours(shared, percent), "candidates")
-    links = _verify(near, docs, n, percent)
-    found = connected(links)
+    entries, copies = _representatives(of, docs, order, n, percent)
+    found = materialize(_neighbours(entries, percent), "prefix-matches", 4096)
+    near = materialize(_close(found.where("kind = 0").select("a", "b").distinct(), signatures, percent), "candidates")
+
+    # One pair per document, then what is still apart.
+    first = materialize(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "candidates")
+    links = _verify(first, docs, n, percent)
+    parts = connected(links)
+    rest = materialize(_across_components(near.join(first, ["a", "b"], "left_anti"), parts), "candidates")
+    discard(first)
+    if not rest.isEmpty():
+        links = links.union(_verify(rest, docs, n, percent))
+        parts = connected(links)
+    discard(rest)
 
     # Second pass: keys that still span components, and only across them.  A
     # key of two documents had its only pair in the first pass.
-    placed = shared.select("token", "pos", "n", "parts", ROW).join(found.select(F.col("id").alias(ROW), "component"), ROW, "left").withColumn("component", F.coalesce("component", ROW))
+    shared = found.where("kind = 1").select("token", "pos", "n", "parts", ROW)
+    placed = shared.join(parts.select(F.col("id").alias(ROW), "component"), ROW, "left").withColumn("component", F.coalesce("component", ROW))
     placed = materialize(placed, "placed-prefixes")
-    open_keys = placed.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi and members > 2").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    spread = placed.join(materialize(open_keys, "open-keys"), "token").withColumn("own", F.pmod(F.xxhash64(ROW), F.col("blocks")).cast("int"))
-    spread = spread.join(profile.where("kind = 0").select(ROW, "bits"), ROW)
+    discard(found)
+    open_keys = placed.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    open_keys = materialize(open_keys, "open-keys")
+    spread = placed.join(open_keys, "token").withColumn("own", F.pmod(F.xxhash64(ROW), F.col("blocks")).cast("int"))
+    spread = spread.join(signatures.select(ROW, "bits"), ROW)
     dealt = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "token",
         F.least("own", "other").alias("i"),
@@ -383,14 +571,13 @@ def jaccard_components(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT
     # A key's own block pair (i, i) has side 2 only; each further pair sides 0
     # and 1.  What the first pass has verified is not verified again.
     rest = materialize(_across(dealt, percent).join(near, ["a", "b"], "left_anti"), "candidates")
-    discard(shared, placed)
+    discard(placed, open_keys, near)
     if not rest.isEmpty():
         links = links.union(_verify(rest, docs, n, percent))
-        found = connected(links)
-    every = found
+        parts = connected(links)
 
-    final = of.join(classes, ["n", "d1", "d2"], "left").select(ROW, F.col("n").alias("n_shingles"), F.coalesce("class", ROW).alias("class"))
-    return final.join(every.select(F.col("id").alias("class"), "component"), "class", "left").select(ROW, "n_shingles", F.coalesce("component", "class").alias("component"))
+    final = of.join(copies, ROW, "left").select(ROW, F.col("n").alias("n_shingles"), F.coalesce("class", ROW).alias("class"))
+    return final.join(parts.select(F.col("id").alias("class"), "component"), "class", "left").select(ROW, "n_shingles", F.coalesce("component", "class").alias("component"))
 
 
 def jaccard_join(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
