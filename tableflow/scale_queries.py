@@ -5,16 +5,20 @@ predicates.  ``queries.py`` loads this module."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tableflow.operators.hierarchy import cascade_tree
 from tableflow.operators.substitute import substitute_from_table
 from tableflow.queries import ORDERS, register, table
 from tableflow.session import scratch_path
+from tableflow.sinks.balanced import write_balanced_csv
 from tableflow.sinks.csv import read_csv, write_csv
 from tableflow.sinks.json import write_json
 from tableflow.sinks.merge import FileTable
+from tableflow.sinks.partitioned import partition_upsert
 from tableflow.sinks.staged import publish_csv
+from tableflow.sources.partitions import partition_plan
 from tableflow.sources.splits import split_predicates, split_report
 from tableflow.sources.variant import read_json_fitted
 
@@ -270,3 +274,41 @@ def q_cascade_tree(spark, d):
         part = cascade_tree(df, "key", "parent", "skip").select(F.lit(kind).alias("kind"), "key", "depth", "root", "reason")
         out = part if out is None else out.union(part)
     return out
+
+
+# ---------------------------------------------------------------- listings, file sizes
+
+
+@register(
+    "partition_listing",
+    """
+    SELECT c_mktsegment || '=50%/' || (c_nationkey % 3) AS segment, CAST(c_nationkey AS VARCHAR) AS nation,
+           CASE WHEN bool_or(c_custkey % 2 = 0 AND c_nationkey < 12) THEN 'overwrite' ELSE 'create' END AS action
+    FROM customer GROUP BY ALL
+    """,
+)
+def q_partition_listing(spark, d):
+    """The partitions of a table, decoded from its paths, against a source's."""
+    rows = table(spark, d, "customer").withColumn("segment", F.format_string("%s=50%%/%d", "c_mktsegment", F.col("c_nationkey") % 3))
+    path = scratch_path(spark, "listed")
+    partition_upsert(rows.where("c_custkey % 2 = 0 and c_nationkey < 12"), path, ["segment", "c_nationkey"])
+    plan = partition_plan(rows, path, ["segment", "c_nationkey"])
+    return plan.select(F.col("values")[0].alias("segment"), F.col("values")[1].alias("nation"), "action")
+
+
+@register(
+    "balanced_csv_files",
+    "SELECT l_orderkey, l_linenumber, l_returnflag, l_extendedprice, true AS even, true AS in_order FROM lineitem",
+)
+def q_balanced_csv_files(spark, d):
+    """``lineitem`` as eight files of equal bytes, in key order across files."""
+    columns = "l_orderkey BIGINT, l_linenumber INT, l_returnflag STRING, l_extendedprice DOUBLE"
+    lines = table(spark, d, "lineitem").select(*[c.split()[0] for c in columns.split(", ")])
+    path = write_balanced_csv(lines, scratch_path(spark, "balanced-csv"), ["l_orderkey", "l_linenumber"], 8)
+    back = read_csv(spark, path, columns)
+    place = F.struct("l_orderkey", "l_linenumber")
+    named = back.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+    files = named.groupBy("file").agg(F.max("bytes").alias("bytes"), F.min(place).alias("lo"), F.max(place).alias("hi"))
+    following = F.lead("lo").over(Window.orderBy("file"))  # a row per file
+    told = files.withColumn("sorted", F.coalesce(F.col("hi") <= following, F.lit(True))).agg((F.max("bytes") <= F.lit(1.05) * F.avg("bytes")).alias("even"), F.bool_and("sorted").alias("in_order"))
+    return back.crossJoin(told)

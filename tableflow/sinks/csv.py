@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tableflow.operators.names import quote as quote_name
 from tableflow.sinks.formats import TEXT_TIME_OPTIONS
 from tableflow.sources.schema import SchemaLike, to_struct
 
@@ -49,7 +50,7 @@ def write_csv(
     Text is written as it is; ``trim`` drops white space around values."""
     out = _shape(df, num_files, strategy)
     if partition_by and num_files is None:
-        out = out.hint("rebalance", *partition_by)
+        out = out.hint("rebalance", *map(quote_name, partition_by))
     writer = (
         out.write.mode(mode)
         .option("compression", compression)

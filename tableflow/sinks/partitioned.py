@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from tableflow.operators.names import quote
+
 
 def partition_upsert(
     df: DataFrame,
@@ -25,7 +27,7 @@ def partition_upsert(
     if not partition_by:
         raise ValueError("partition_by is required")
     (
-        df.hint("rebalance", *partition_by)
+        df.hint("rebalance", *map(quote, partition_by))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
