@@ -17,7 +17,7 @@ from tableflow.sinks.csv import read_csv, write_csv
 from tableflow.sinks.json import write_json
 from tableflow.sinks.merge import FileTable
 from tableflow.sinks.partitioned import partition_upsert
-from tableflow.sinks.staged import publish_csv
+from tableflow.sinks.staged import CsvBranch, publish_branches, publish_csv
 from tableflow.sources.partitions import partition_plan
 from tableflow.sources.splits import split_predicates, split_report
 from tableflow.sources.variant import read_json_fitted
@@ -205,6 +205,28 @@ def q_checked_export(spark, d):
     return done.report(spark).crossJoin(exported)
 
 
+@register(
+    "fan_out_one_pass",
+    """
+    SELECT 'all' AS branch, o_orderkey, o_orderstatus, o_orderdate, n AS n_counted FROM orders, (SELECT count(*) AS n FROM orders)
+    UNION ALL
+    SELECT 'open', o_orderkey, o_orderstatus, o_orderdate, n FROM orders, (SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'O') WHERE o_orderstatus = 'O'
+    """,
+)
+def q_fan_out_one_pass(spark, d):
+    """Two outputs of different rows and columns from one pass over orders."""
+    path = scratch_path(spark, "branches")
+    key, status, date = "o_orderkey BIGINT", "o_orderstatus STRING", "o_orderdate TIMESTAMP_NTZ"
+    branches = {
+        "all": CsvBranch(f"{path}/all", ("o_orderkey", "o_orderstatus", "o_orderdate")),
+        "open": CsvBranch(f"{path}/open", ("o_orderdate", "o_orderkey", F.lower("o_orderstatus").alias("status")), F.col("o_orderstatus") == "O", guarded=True),
+    }
+    done = publish_branches(table(spark, d, "orders"), branches)
+    every = read_csv(spark, f"{path}/all", f"{key}, {status}, {date}").select(F.lit("all").alias("branch"), "*", F.lit(done["all"].n_rows).cast("bigint").alias("n_counted"))
+    some = read_csv(spark, f"{path}/open", f"{date}, {key}, {status}").withColumn("o_orderstatus", F.upper("o_orderstatus"))
+    return every.union(some.select(F.lit("open"), "o_orderkey", "o_orderstatus", "o_orderdate", F.lit(done["open"].n_rows).cast("bigint")))
+
+
 # ---------------------------------------------------------------- splits
 
 

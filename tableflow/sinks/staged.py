@@ -10,14 +10,16 @@ folder then takes the target's place, or goes and leaves the old output.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tableflow.operators.names import quote as quote_name
 from tableflow.sinks import files
-from tableflow.sinks.csv import _shape, write_csv
+from tableflow.sinks.csv import CSV_ESCAPE, CSV_QUOTE, _shape, write_csv
+from tableflow.sinks.formats import TEXT_TIME_OPTIONS
 
 REPORT = "check_name STRING, n_rows BIGINT, n_failed BIGINT, passed BOOLEAN"
 
@@ -71,3 +73,52 @@ def publish_csv(
     finally:
         files.delete(df.sparkSession, staged)
     return Published(written, n_rows, failed)
+
+
+@dataclass(frozen=True)
+class CsvBranch:
+    """One consumer of ``publish_branches``: its rows and columns, and whether
+    an empty result leaves the old output (``guarded``)."""
+
+    path: str
+    columns: Sequence[str | Column] = ("*",)
+    where: Column | None = None
+    guarded: bool = False
+
+
+def publish_branches(df: DataFrame, branches: Mapping[str, CsvBranch]) -> dict[str, Published]:
+    """Write several CSV outputs of one frame in one pass over it, for a source
+    that must not be read twice (a database, a snapshot that moves).
+
+    Each row becomes a line per branch that wants it; one write deals the lines
+    to a staged folder per branch, counting them on the way, and the folders
+    are then published one after the other.  ``plans.export.fan_out`` gives the
+    same files, but evaluates or holds the frame."""
+    names = list(branches)
+    lines = []
+    for i, name in enumerate(names):
+        own = df.select(*branches[name].columns).schema.names
+        chosen = [F.col(quote_name(c)) for c in own] if branches[name].columns == ("*",) else [F.col(quote_name(c)) if isinstance(c, str) else c for c in branches[name].columns]
+        line = F.coalesce(F.to_csv(F.struct(*[c.alias(n) for c, n in zip(chosen, own)]), {"quote": CSV_QUOTE, "escape": CSV_ESCAPE, "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", **TEXT_TIME_OPTIONS}), F.lit(""))
+        one = F.struct(F.lit(i).alias("branch"), line.alias("value"))
+        lines.append(one if branches[name].where is None else F.when(branches[name].where, one))
+    seen = Observation()
+    counts = [F.count_if(F.col("branch") == i).alias(f"n{i}") for i in range(len(names))]
+    rows = df.select(F.explode(F.array_compact(F.array(*lines))).alias("line")).select("line.*").observe(seen, *counts)
+    spark, first = df.sparkSession, branches[names[0]].path.rstrip("/")
+    staged = f"{first}.staged-{uuid.uuid4().hex}"
+    out = {}
+    try:
+        rows.write.partitionBy("branch").text(staged)
+        got = seen.get
+        for i, name in enumerate(names):
+            n, path = got[f"n{i}"], branches[name].path
+            written = n > 0 or not branches[name].guarded
+            if n:
+                files.swap_in(spark, f"{staged}/branch={i}", path)
+            elif written:  # an output without rows
+                spark.createDataFrame([], "value STRING").write.mode("overwrite").text(path)
+            out[name] = Published(written, n, {})
+    finally:
+        files.delete(spark, staged)
+    return out

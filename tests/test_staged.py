@@ -65,3 +65,37 @@ def test_gate_and_report(spark, scratch):
     assert not done.written and _ids(spark, path) == [0, 1, 2]
     assert sorted(map(tuple, done.report(spark).collect())) == sorted(map(tuple, expect_predicates(df, checks).collect()))
     assert publish_csv(df, path, checks[1:], gate=True).written
+
+
+def test_several_outputs_of_one_pass(spark, scratch):
+    from tableflow.sinks.staged import CsvBranch, publish_branches
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    schema = "id BIGINT, `a.b` STRING, t TIMESTAMP_NTZ"
+    values = ['say "hi"', "a,b", " x ", "", None, "back\\slash", "line\nbreak"]
+    at = F.get(F.array(*[F.lit(v).cast("string") for v in values]), (F.col("id") % 7).cast("int"))
+    rows = spark.range(0, 70, 1, 3).mapInArrow(look, "id bigint").select("id", at.alias("a.b"), F.expr("TIMESTAMP_NTZ'2024-01-02 03:04:05.123456'").alias("t"))
+    base = scratch()
+    old = write_csv(spark.range(3), f"{base}/kept")
+    branches = {
+        "every": CsvBranch(f"{base}/every"),
+        "some": CsvBranch(f"{base}/some", ("t", F.col("`a.b`").alias("x")), F.col("id") < 14),
+        "kept": CsvBranch(old, ("id",), F.col("id") > 100, guarded=True),
+        "none": CsvBranch(f"{base}/none", ("id",), F.col("id") > 100),
+    }
+    done = publish_branches(rows, branches)
+    assert seen.value == 70
+    assert {k: (p.written, p.n_rows) for k, p in done.items()} == {"every": (True, 70), "some": (True, 14), "kept": (False, 0), "none": (True, 0)}
+    assert _ids(spark, old) == [0, 1, 2] and read_csv(spark, f"{base}/none", SCHEMA).count() == 0
+    plain = write_csv(rows, scratch("plain"))
+    key = lambda path, s: sorted(map(str, read_csv(spark, path, s, multi_line=True).collect()))
+    assert key(f"{base}/every", schema) == key(plain, schema)
+    plain = write_csv(rows.where("id < 14").select("t", "`a.b`"), scratch("plain2"))
+    assert key(f"{base}/some", "t TIMESTAMP_NTZ, x STRING") == key(plain, "t TIMESTAMP_NTZ, x STRING")
+    assert [n for n in files.names(spark, base) if "staged" in n or "old" in n] == []
