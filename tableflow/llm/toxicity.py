@@ -230,9 +230,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in docs.schema.fields if f.name.lower() not in ("score", "offending")]
     docs = docs.select(*["`" + f.name.replace("`", "``") + "`" for f in fields])
-    from pyspark.sql.types import StructType, _parse_datatype_string
+    plain = ["text" if f.name == "text" else f"c{i}" for i, f in enumerate(fields)]  # mapInArrow takes no dots in names
+    docs, names = docs.toDF(*plain), [f.name for f in fields]
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-    schema = StructType(fields + _parse_datatype_string("score double, offending array<struct<start:bigint,end:bigint,score:double>>").fields)
+    schema = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(plain, fields)] + _parse_datatype_string("score double, offending array<struct<start:bigint,end:bigint,score:double>>").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -252,7 +254,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 columns |= {"score": pa.array(scores, pa.float64()), "offending": pa.array(bad, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))}
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names, "score", "offending")
 
 
 def in_training_part() -> Column:

@@ -174,6 +174,9 @@ def test_toxicity_edges(spark):
     model = toxicity.train(docs, labels)  # no usable label
     assert toxicity.score(docs.select("doc_id", "text"), model).count() == len(edge.rows())
     assert toxicity.score(edge.none(spark).select("doc_id", "text"), model).count() == 0
+    scored = toxicity.score(docs, model)
+    assert scored.columns == [*[c for c in docs.columns if c != "score"], "score", "offending"]
+    assert all(r[c] == 7 for r in scored.collect() for c in edge.AWKWARD)
 
 
 ITEMS = [(1, "The quick brown fox jumps over the lazy dog near the old river bank today"), (2, "Short item"), (10, None), (None, "null id item text"), (3, "...")]
