@@ -1,7 +1,9 @@
 """License scan [native DataFrame functions].
 
 A document is compared with licence templates unit by unit: its lines, its
-paragraphs (split at blank lines) and its whole text, each distinct unit once.
+paragraphs (split at blank lines), the sentences of its paragraphs (which end at
+. ! or ? before white space and run on over line ends, so that a notice inside
+prose or wrapped over lines is one) and its whole text, each distinct unit once.
 Normalising lower-cases and turns every run of ASCII characters other than
 letters, digits and line ends into one space.  Two word sequences are compared by the
 Dice coefficient over their word bigrams, counted with repeats:
@@ -10,7 +12,8 @@ Dice coefficient over their word bigrams, counted with repeats:
 
 A unit of a bigrams can reach dice >= t with a template of b bigrams only if
 t / (2 - t) * b <= a <= (2 - t) / t * b.  This bound prunes nearly all pairs
-before any bigram is made.  Everything happens within the row: no shuffle.
+before any bigram is made, and a unit that has no bigram of any template is
+compared with none.  Everything happens within the row: no shuffle.
 
 Edge cases: a null or empty text has one empty unit and no match.  Units of
 one word have no bigram and match nothing.  Ties go to the higher dice, then
@@ -72,6 +75,17 @@ def _normal(text: Column) -> Column:
     return F.transform(F.split(F.lower(F.regexp_replace(text, _BETWEEN, " ")), "\n"), lambda x: F.trim(x))
 
 
+#: Stands where a sentence ends while a text is normalised.
+_STOP = "\u2029"
+
+
+def _sentences(text: Column) -> Column:
+    """The normalised sentences of a text's paragraphs."""
+    marked = F.regexp_replace(text, "[.!?]+([\\x20\\x09-\\x0D])", _STOP + "$1")
+    paragraphs = F.split(F.array_join(_normal(marked), "\n"), "\n\n+")
+    return F.flatten(F.transform(paragraphs, lambda p: F.transform(F.split(F.replace(p, F.lit("\n"), F.lit(" ")), _STOP), lambda s: F.trim(s))))
+
+
 def _bigrams(unit: Column) -> Column:
     """A 64-bit hash of every bigram of a normalised unit."""
     pairs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(w[i], w[i + 1]))
@@ -82,11 +96,11 @@ def _whole(lines: Column) -> Column:
     return F.array_join(F.array_remove(lines, ""), " ")
 
 
-def _units(lines: Column) -> Column:
+def _units(lines: Column, sentences: Column) -> Column:
     """Distinct units of normalised lines: the lines, the paragraphs where a
-    blank line parts some, the whole."""
+    blank line parts some, the whole; and the sentences."""
     paragraphs = lambda joined: F.when(F.instr(joined, "\n\n") > 0, F.transform(F.split(joined, "\n\n+"), lambda x: F.trim(F.replace(x, F.lit("\n"), F.lit(" ")))))
-    return F.array_distinct(F.concat(lines, F.coalesce(let(F.array_join(lines, "\n"), paragraphs), F.array().cast("array<string>")), F.array(_whole(lines))))
+    return F.array_distinct(F.concat(lines, F.coalesce(let(F.array_join(lines, "\n"), paragraphs), F.array().cast("array<string>")), sentences, F.array(_whole(lines))))
 
 
 def _spaces(unit: Column) -> Column:
@@ -94,13 +108,14 @@ def _spaces(unit: Column) -> Column:
     return F.char_length(unit) - F.char_length(F.replace(unit, F.lit(" "), F.lit("")))
 
 
-def _templates(spark, templates: dict[str, str], threshold: float) -> Column:
+def _templates(spark, templates: dict[str, str], threshold: float) -> tuple[Column, list[int]]:
     """The templates as one constant array, smallest id first: id, bigrams,
-    sizes that can match, distinct bigrams and how often each occurs."""
+    sizes that can match, distinct bigrams and how often each occurs; and all
+    their bigrams."""
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     row = spark.range(1).select(*[_bigrams(_whole(_normal(F.lit(t)))).alias(k) for k, t in templates.items()]).first()
     known = [(k, len(row[k]), sorted(set(row[k])), row[k]) for k in sorted(templates) if row[k]]
-    return F.array(
+    constant = F.array(
         *[
             F.struct(
                 F.lit(k).alias("license_id"),
@@ -114,13 +129,15 @@ def _templates(spark, templates: dict[str, str], threshold: float) -> Column:
             for k, n, grams, every in known
         ]
     )
+    return constant, sorted({g for _, _, grams, _ in known for g in grams})
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_units, n_matches (unit and template pairs of dice >=
     threshold), license_id and dice of the best match (null without one),
     matches (unit, license_id, dice) of every matching pair."""
-    known = _templates(docs.sparkSession, TEMPLATES if templates is None else templates, threshold)
+    known, grams = _templates(docs.sparkSession, TEMPLATES if templates is None else templates, threshold)
+    every = F.array(*map(F.lit, grams)).cast("array<bigint>")
 
     def compare(unit: Column, ours: Column, t: Column) -> Column:
         """A struct if the unit matches the template, else null."""
@@ -137,10 +154,13 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
 
     def of_unit(unit: Column) -> Column:
         fitting = lambda a: F.filter(known, lambda t: (a >= t["least"]) & (a <= t["most"]))
-        return let(_bigrams(unit), lambda ours: F.transform(fitting(F.size(ours)), lambda t: compare(unit, ours, t)))
+        none = F.array().cast("array<struct<unit:string,license_id:string,dice:double>>")
+        pairs = lambda ours: F.transform(fitting(F.size(ours)), lambda t: compare(unit, ours, t))
+        return let(_bigrams(unit), lambda ours: F.when(F.arrays_overlap(every, ours), pairs(ours)).otherwise(none))
 
     fits = lambda unit: let(_spaces(unit), lambda a: F.exists(known, lambda t: (a >= t["least"]) & (a <= t["most"])))
-    units = docs.select("doc_id", let(_normal(F.coalesce(F.col("text"), F.lit(""))), _units).alias("units"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    units = docs.select("doc_id", let(_normal(text), lambda lines: _units(lines, _sentences(text))).alias("units"))
     matched = units.select("doc_id", F.size("units").cast("bigint").alias("n_units"), F.array_compact(F.flatten(F.transform(F.filter("units", fits), of_unit))).alias("matches"))
     best = F.get(F.array_sort(F.transform("matches", lambda m: F.struct((-m["dice"]).alias("less"), m["license_id"].alias("license_id")))), F.lit(0))
     return matched.select(

@@ -23,14 +23,22 @@ def _normal_lines(text: str) -> str:
 
 _WHOLE = "array_to_string(list_filter({0}, lambda x: x <> ''), ' ')"
 
+# Sentence ends before white space, as a sign that normalising leaves alone.
+_MARKED = r"regexp_replace(coalesce(text, ''), '[.!?]+([\x20\x09-\x0D])', chr(8233) || '\1', 'g')"
+
 OP1 = rf"""
-WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_normal_lines("coalesce(text, '')")} AS lines FROM documents),
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, {_normal_lines("coalesce(text, '')")} AS lines,
+           {_normal_lines(_MARKED)} AS marked
+    FROM documents),
 parts AS (
     SELECT rid, doc_id, list_distinct(list_concat(
         lines,
         CASE WHEN contains(array_to_string(lines, chr(10)), chr(10) || chr(10))
              THEN list_transform(regexp_split_to_array(array_to_string(lines, chr(10)), '\n\n+'), lambda x: trim(replace(x, chr(10), ' '), ' '))
              ELSE [] END,
+        flatten(list_transform(regexp_split_to_array(array_to_string(marked, chr(10)), '\n\n+'),
+                               lambda p: list_transform(string_split(replace(p, chr(10), ' '), chr(8233)), lambda s: trim(s, ' ')))),
         [{_WHOLE.format('lines')}])) AS units
     FROM docs),
 units AS (SELECT rid, unit, row_number() OVER () AS uid FROM (SELECT rid, unnest(units) AS unit FROM parts)),

@@ -27,6 +27,16 @@ def test_licence_lines_paragraphs_and_whole_texts(spark):
     assert got[5].license_id is None and got[5].n_matches == 0
 
 
+def test_licence_inside_prose_and_over_lines(spark):
+    prose = "Long words of prose stand here in front of it. {} And some more words follow behind it!"
+    rows = [(i, prose.format(licenses.TEMPLATES[k])) for i, k in enumerate(["MIT", "CC-BY-SA-4.0", "GPL-3.0"])]
+    wrapped = licenses.TEMPLATES["CC-BY-4.0"].replace(" a ", " a\n").replace(" 4.0", "\n  4.0")
+    rows += [(10, f"A line of other words.\n{wrapped}\nAnother line of other words."), (11, "this work... is! licensed? under. nothing! at all"), (12, "Wait. All rights reserved! Really?")]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert [(got[i].license_id, got[i].dice) for i in (0, 1, 2, 10)] == [("MIT", 1.0), ("CC-BY-SA-4.0", 1.0), ("GPL-3.0", 1.0), ("CC-BY-4.0", 1.0)]
+    assert got[11].license_id is None and got[12].license_id == "all-rights-reserved"
+
+
 def test_dice_counts_repeats_and_threshold(spark):
     unit = "a b a b a b c d e f"
     templates = {"t": "a b a b c d e f g h", "long": "a b " * 40}
