@@ -201,8 +201,7 @@ def q_checked_export(spark, d):
     path = scratch_path(spark, "checked")
     checks = [("priced", F.col("o_totalprice") > 0), ("open or filled", F.col("o_orderstatus").isin("O", "F"))]
     done = publish_csv(table(spark, d, "orders"), path, checks)
-    exported = read_csv(spark, path, ORDERS).agg(F.count(F.lit(1)).alias("n_exported"))
-    return done.report(spark).crossJoin(exported)
+    return done.report(spark).withColumn("n_exported", F.lit(read_csv(spark, path, ORDERS).count()).cast("bigint"))
 
 
 @register(
@@ -248,10 +247,10 @@ def q_split_predicates(spark, d):
         ("string", table(spark, d, "customer"), "c_name", 8, 1.2),
         ("time", table(spark, d, "orders"), "o_orderdate", 12, 1.2),
     ):
-        nulls = df.where(F.col(f"`{column}`").isNull()).agg(F.count(F.lit(1)).alias("nulls"))
-        parts = split_report(df, split_predicates(df, column, ranges)).crossJoin(nulls)
+        nulls = df.where(F.col(f"`{column}`").isNull()).count()
+        parts = split_report(df, split_predicates(df, column, ranges))
         # The nulls are one value, which no range parts.
-        size = F.col("n_rows") - F.when(F.col("part") == 0, F.col("nulls")).otherwise(0)
+        size = F.col("n_rows") - F.when(F.col("part") == 0, nulls).otherwise(0)
         even = F.max(size) <= F.lit(slack) * F.sum(size) / F.lit(ranges) + 1
         row = parts.agg(F.lit(kind).alias("kind"), F.sum("n_rows").alias("n_rows"), F.max("n_none").alias("n_none"), F.max("n_several").alias("n_several"), even.alias("even"))
         out = row if out is None else out.union(row)
@@ -289,8 +288,8 @@ def q_cascade_tree(spark, d):
         ((F.col("c_mktsegment") == "BUILDING") & (key % 5 == 0)).alias("skip"),
     )
     suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"))
-    first = suppliers.agg(F.min("key").alias("first"))
-    chain = suppliers.crossJoin(F.broadcast(first)).select("key", F.when(F.col("key") > F.col("first"), F.col("key") - 1).alias("parent"), (F.col("key") % 70 == 69).alias("skip"))
+    first = F.lit(suppliers.agg(F.min("key")).first()[0])
+    chain = suppliers.select("key", F.when(F.col("key") > first, F.col("key") - 1).alias("parent"), (F.col("key") % 70 == 69).alias("skip"))
     out = None
     for kind, df in (("tree", tree), ("chain", chain)):
         part = cascade_tree(df, "key", "parent", "skip").select(F.lit(kind).alias("kind"), "key", "depth", "root", "reason")
@@ -332,5 +331,5 @@ def q_balanced_csv_files(spark, d):
     named = back.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"))
     files = named.groupBy("file").agg(F.max("bytes").alias("bytes"), F.min(place).alias("lo"), F.max(place).alias("hi"))
     following = F.lead("lo").over(Window.orderBy("file"))  # a row per file
-    told = files.withColumn("sorted", F.coalesce(F.col("hi") <= following, F.lit(True))).agg((F.max("bytes") <= F.lit(1.05) * F.avg("bytes")).alias("even"), F.bool_and("sorted").alias("in_order"))
-    return back.crossJoin(told)
+    told = files.withColumn("sorted", F.coalesce(F.col("hi") <= following, F.lit(True))).agg((F.max("bytes") <= F.lit(1.05) * F.avg("bytes")).alias("even"), F.bool_and("sorted").alias("in_order")).first()
+    return back.select("*", F.lit(told["even"]).alias("even"), F.lit(told["in_order"]).alias("in_order"))
