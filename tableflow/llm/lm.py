@@ -33,12 +33,21 @@ arcs are followed once, when the table is made.  Tasks walk many stretches of
 text in step; a stretch starts ORDER - 1 bytes early, after which its state is
 the one of the whole text.
 
-Counts of words, pairs and triples grow with the corpus and all are kept.
-Those with at least the share `WORD_SHARE` of all training tokens (at most
-1 / WORD_SHARE of each kind) are broadcast; all others are joined to the
-documents' by shuffle.  A pair or triple of a training document that was seen
-once is that document's own, so the join need not bring it back: what it does
-not bring to a training document counts one, to a held-out one nothing.
+Counts of words, pairs and triples grow with the corpus.  Pairs and triples are
+64-bit keys, context in the high bits and token in the low ones; tasks send them
+sorted, as packed differences, to the range of keys they lie in, where they are
+counted, so a gram takes some six bytes of shuffle and none is left out.  A gram
+that was seen once is its own document's: it goes into the count of its context
+and into nothing else, unless a held-out document has it too.  What the tables
+do not tell a training document thus counts one, a held-out one nothing.
+
+Words, pairs and triples with at least the share `WORD_SHARE` of all training
+tokens (at most 1 / WORD_SHARE of each kind) are broadcast.  For all others the
+documents are dealt to blocks of some `BLOCK_BYTES`; a block asks once for each
+key that its documents hold, range by range, and a task walks a block's
+documents behind the counts that came back.  Counting takes `COUNT_PASSES` and
+asking `ASK_PASSES` over the texts, each for a part of the keys, so that a part
+of the keys is on disk at a time.
 
 Edge cases: a null or empty text is the end alone.  Rows that share a doc_id
 (null too, whose checksum is the empty text's) are scored each for itself.  A
@@ -58,13 +67,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableflow.llm.common import ROW, crc_of_id, discard, keyed, materialize
-from tableflow.llm.flat import LOWER, SPACES, lists, mix, slices, word_hashes, words
+from tableflow.llm.flat import LOWER, SPACES, lists, mix, pack, plane, slices, unpack, unplane, word_hashes, words
 
 ORDER = 6
 STATE_SHARE, WORD_SHARE, LANGUAGE_SHARE = 5e-5, 1e-6, 0.02
 END = 0x0A
 #: Grams that a task sorts at a time; bytes of a stretch of text.
 CHUNK, STRETCH = 1 << 21, 2048
+#: Text of a block, whose counts a task holds.
+BLOCK_BYTES = 1 << 25
+#: Keys of a range, which a task counts; low bits of a key, its token's.
+RANGE_KEYS, TOKEN_BITS = 1 << 21, 24
+COUNT_PASSES, ASK_PASSES = 1, 2
 
 _U = np.uint64
 _PAD = ORDER - 1
@@ -137,11 +151,11 @@ def _counts(docs: DataFrame) -> DataFrame:
     return materialize(raw.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ngram-counts")
 
 
-def sequences(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, edges, before, pairs, triples) of texts with these words: every
-    text's words and its end, the token before each, and the keys of the two and
-    three tokens that end there.  A pair is its triples' context; a text's first
-    token has no triple (0)."""
+def sequences(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, edges, pairs, triples) of texts with these words: every text's
+    words and its end, and the keys of the two and three tokens that end there.
+    A key has its context's bits above its token's, and tells pairs from triples
+    by its highest bit.  A text's first token has no triple (0)."""
     edges = first + np.arange(len(first))
     ends, heads = edges[1:] - 1, edges[:-1]
     inner = np.ones(edges[-1], bool)
@@ -150,44 +164,146 @@ def sequences(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     tokens[inner] = hashes
     before = np.roll(tokens, 1)
     before[heads] = _BEGIN
-    pairs = mix(mix(before + _U(1)) * _U(0x9E3779B97F4A7C15) + tokens)
-    triples = mix(mix(np.roll(pairs, 1) + _U(2)) * _U(0x9E3779B97F4A7C15) + tokens)
+    low = tokens >> _U(64 - TOKEN_BITS)
+    pairs = contexts(before, False) << _U(TOKEN_BITS) | low
+    triples = contexts(np.roll(pairs, 1), True) << _U(TOKEN_BITS) | low
     triples[heads] = 0
-    return tokens, edges, before, pairs, triples
+    return tokens, edges, pairs, triples
 
 
-def _word_grams(docs: DataFrame) -> DataFrame:
-    """key, n, t: how often each pair and triple was seen, and how many distinct
-    tokens behind each word (n is 0), the begin (too) and each pair."""
+def contexts(of: np.ndarray, pair: bool) -> np.ndarray:
+    """The context bits of keys behind these tokens (or pairs)."""
+    h = mix(mix(of + _U(2 if pair else 1)) + _U(0x9E3779B97F4A7C15)) >> _U(TOKEN_BITS + 1)
+    return h | _U(1 << (63 - TOKEN_BITS)) if pair else h
 
-    def out(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        key, at, n = np.unique(np.concatenate([k for k, _ in held]), return_index=True, return_counts=True)
-        context = np.concatenate([c for _, c in held])[at]
-        return pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "context": pa.array(context.view(np.int64)), "n": pa.array(n, pa.int64())})
+
+def _grams_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs and triples, their text's numbers) of texts."""
+    low = LOWER[buf]
+    starts, ends, first = words(low, offs, SPACES)
+    _, edges, pairs, triples = sequences(word_hashes(low, starts, ends), first)
+    text = np.repeat(np.arange(len(offs) - 1), np.diff(edges))
+    later = np.ones(len(pairs), bool)
+    later[edges[:-1]] = False
+    return np.concatenate([pairs, triples[later]]), np.concatenate([text, text[later]])
+
+
+def _ranged(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """(range, where its keys are) of ascending keys."""
+    of = keys >> _U(64 - bits) if bits else np.zeros(len(keys), _U)
+    found, at = np.unique(of, return_index=True)
+    for k, a, z in zip(found.tolist(), at.tolist(), [*at[1:].tolist(), len(keys)]):
+        yield int(k), slice(a, z)
+
+
+def _in_pass(keys: np.ndarray, k: int, passes: int) -> np.ndarray:
+    """Which keys belong to a pass: alike for all of a context's."""
+    return (keys >> _U(TOKEN_BITS)) % _U(passes) == _U(k)
+
+
+_SENT = pa.schema([("range", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("ns", pa.binary())])
+
+
+def _sent(docs: DataFrame, bits: int, k: int, passes: int) -> DataFrame:
+    """range, kind, keys, ns: the keys of one pass, packed; kind 0 what training
+    documents have, with how often; kind 1 what held-out documents ask for."""
+
+    def out(held: list[np.ndarray], kind: int) -> pa.RecordBatch:
+        keys, ns = np.unique(np.concatenate(held), return_counts=True)
+        rows = [(r, kind, pack(keys[at]), plane(ns[at].astype("<u8")) if kind == 0 else b"") for r, at in _ranged(keys, bits)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: list[list[np.ndarray]] = [[], []]
         for batch in batches:
-            for _, buf, offs in slices(batch):
-                low = LOWER[buf]
-                starts, ends, first = words(low, offs, SPACES)
-                _, edges, before, pairs, triples = sequences(word_hashes(low, starts, ends), first)
-                later = np.ones(len(pairs), bool)
-                later[edges[:-1]] = False
-                held += [(pairs, before), (triples[later], np.roll(pairs, 1)[later])]
-                if sum(len(k) for k, _ in held) > CHUNK:
-                    yield out(held)
-                    held = []
-        if held:
-            yield out(held)
-
-    raw = docs.select("text").mapInArrow(run, "key bigint, context bigint, n bigint")
-    seen = materialize(raw.groupBy("key").agg(F.min("context").alias("context"), F.sum("n").alias("n")), "word-grams")
-    behind = seen.groupBy(F.col("context").alias("key")).agg(F.lit(0).cast("bigint").alias("n"), F.count("*").alias("t"))
-    every = seen.select("key", "n", F.lit(0).cast("bigint").alias("t")).union(behind)
-    states = materialize(every.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "word-states")
-    discard(seen)
-    return states
+            asks = batch.column("held_out").to_numpy(zero_copy_only=False)
+            for rows, buf, offs in slices(batch):
+                keys, text = _grams_of(buf, offs)
+                mine = _in_pass(keys, k, passes)
+                keys, ask = keys[mine], asks[rows][text[mine]]
+                for kind, own in ((0, keys[~ask]), (1, keys[ask])):
+                    if len(own):
+                        waiting[kind].append(own)
+                    if sum(map(len, waiting[kind])) > 2 * CHUNK:
+                        yield out(waiting[kind], kind)
+                        waiting[kind] = []
+        for kind, held in enumerate(waiting):
+            if held:
+                yield out(held, kind)
+
+    return docs.select("held_out", "text").mapInArrow(run, "range bigint, kind int, keys binary, ns binary")
+
+
+_COUNTED = pa.schema([("context", pa.bool_()), ("key", pa.int64()), ("follows", pa.int64()), ("n", pa.int64())])
+
+
+def _counted(sent: DataFrame) -> DataFrame:
+    """context, key, follows, n.  Grams (context false) seen twice or asked for,
+    with how often and the context that they are themselves; contexts (context
+    true) seen twice, with the number of distinct tokens behind them."""
+
+    def emit(parts: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        if 0 not in parts:
+            return
+        keys = np.concatenate([x for x, _ in parts[0]])
+        ns = np.concatenate([x for _, x in parts[0]])
+        order = np.argsort(keys, kind="stable")
+        keys, ns = keys[order], ns[order]
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        keys, ns = keys[at], np.add.reduceat(ns, at)
+        asked = np.unique(np.concatenate([x for x, _ in parts.get(1, [(np.zeros(0, _U), None)])]))
+        keep = ns > 1
+        if len(asked):
+            keep |= asked[np.minimum(np.searchsorted(asked, keys), len(asked) - 1)] == keys
+        some, pair = keys[keep], keys[keep] >> _U(63) == 0
+        follows = np.where(pair, contexts(some, True).view(np.int64), -1)
+        head = keys >> _U(TOKEN_BITS)
+        first = np.flatnonzero(np.append(True, head[1:] != head[:-1]))
+        total, kinds = np.add.reduceat(ns, first), np.diff(np.append(first, len(keys)))
+        often = total > 1
+        for context, key, then, n in ((False, some, follows, ns[keep]), (True, head[first][often], np.full(int(often.sum()), -1), kinds[often])):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), context)), pa.array(key.view(np.int64)), pa.array(then, pa.int64()), pa.array(n.astype(np.int64))], schema=_COUNTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["range"] != now:
+                    yield from emit(parts)
+                    now, parts = row["range"], {}
+                parts.setdefault(row["kind"], []).append((unpack(row["keys"]), unplane(row["ns"]).astype(np.int64)))
+        yield from emit(parts)
+
+    dealt = sent.repartition("range").sortWithinPartitions("range")
+    return dealt.mapInArrow(run, "context boolean, key bigint, follows bigint, n bigint")
+
+
+def _word_grams(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(key, n, t of the pairs and triples that the tables tell; context, t of
+    the contexts seen twice): t is the number of distinct tokens behind."""
+    parts = [materialize(_counted(_sent(docs, bits, k, COUNT_PASSES)), "word-grams", 256) for k in range(COUNT_PASSES)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    behind = materialize(every.where("context").select(F.col("key").alias("context"), F.col("n").alias("t")), "word-contexts")
+    grams = every.where("not context").select("key", "n", "follows")
+    # A pair seen once has one token behind it, a triple is no context.
+    joined = grams.join(behind.withColumnRenamed("context", "follows"), "follows", "left")
+    t = F.when(F.col("follows") < 0, 0).otherwise(F.coalesce("t", F.lit(1))).cast("bigint")
+    states = materialize(joined.select("key", "n", t.alias("t")), "word-states")
+    discard(*parts)
+    return states, behind
+
+
+def _with_context(words_of: DataFrame) -> DataFrame:
+    """words_of with the context that each word is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = contexts(batch.column("key").to_numpy().view(_U), False)
+            yield batch.append_column("context", pa.array(of.view(np.int64)))
+
+    return words_of.mapInArrow(run, "key bigint, n array<bigint>, context bigint")
 
 
 @dataclass(frozen=True)
@@ -266,11 +382,14 @@ def automaton(counts: DataFrame, share: float = STATE_SHARE) -> Automaton:
     for m in range(ORDER):
         mask = (1 << 8 * (m + 1)) - 1
         of = grams.groupBy(F.col("key").bitwiseAND(mask).alias("arc")).agg(F.sum("n").alias("n"))
+        every = None
         if m:
-            of = materialize(of, "arcs")
+            of = every = materialize(of, "arcs")
             common = of.groupBy(F.shiftright("arc", 8).alias("context")).agg(F.sum("n").alias("seen")).where(F.col("seen") >= share * total).select("context")
             of = of.join(common, F.shiftright(of["arc"], 8) == F.col("context"), "left_semi")
         found = of.select("arc", "n").toArrow().sort_by("arc")
+        if every is not None:
+            discard(every)
         arcs.append(found.column("arc").to_numpy().astype(_U))
         ns.append(found.column("n").to_numpy())
     return compile_automaton(arcs, ns)
@@ -331,8 +450,8 @@ def backed(a: np.ndarray, b: np.ndarray, n: np.ndarray, total: np.ndarray, kinds
     return np.where(known, (n[:, None] + kinds[:, None] * a) / whole, a), np.where(known, kinds[:, None] * b / whole, b)
 
 
-def word_counts(words_of: DataFrame, states: DataFrame, ends: list[int], share: float) -> Words:
-    """words_of: key, n (an array, by language), t; states: as of _word_grams."""
+def word_counts(words_of: DataFrame, states: DataFrame, behind: DataFrame, ends: list[int], share: float) -> Words:
+    """words_of: key, n (an array, by language), t; states, behind: as of _word_grams."""
     size = len(ends)
     sums = words_of.agg(*[F.coalesce(F.sum(F.col("n")[k]), F.lit(0)).alias(f"n{k}") for k in range(size)], *[F.count(F.when(F.col("n")[k] > 0, 1)).alias(f"t{k}") for k in range(size)], F.count("*").alias("t")).first()
     here = np.array(ends)
@@ -340,7 +459,7 @@ def word_counts(words_of: DataFrame, states: DataFrame, ends: list[int], share:
     distinct = np.array([sums[f"t{k}"] for k in range(size)]) + (here > 0)
     least = share * max(1, int(tokens.sum()))
     total = F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    begin = states.where(F.col("key") == int(_BEGIN.view(np.int64))).first()
+    begin = behind.where(F.col("context") == int(contexts(np.array([_BEGIN]), False)[0])).first()
 
     def table(df: DataFrame, columns: int) -> Table:
         rows = df.toArrow()
@@ -350,46 +469,136 @@ def word_counts(words_of: DataFrame, states: DataFrame, ends: list[int], share:
 
     common = table(words_of.where(total >= least).select("key", "n", "t"), size)
     grams = table(states.where((F.col("n") > 0) & (F.col("n") >= least)).select("key", "n", "t"), 1)
-    return Words(here, tokens, distinct, sums["t"] + int(here.any()), begin["t"] if begin else 0, common, grams)
+    return Words(here, tokens, distinct, sums["t"] + int(here.any()), begin["t"] if begin else int(here.any()), common, grams)
+
 
+_ASKED = pa.schema([("range", pa.int64()), ("block", pa.int32()), ("keys", pa.binary())])
+_FOUND = pa.schema([("block", pa.int32()), ("word", pa.bool_()), ("keys", pa.binary()), ("ns", pa.binary()), ("ts", pa.binary())])
 
-def _asked(docs: DataFrame, known) -> DataFrame:
-    """key, ROW of each document's distinct words, pairs and triples that are
-    not broadcast; word says which of them it is."""
+
+def _by_key(docs: DataFrame, of, schema: str, bits: int) -> DataFrame:
+    """range, block, keys: what each block's documents ask for, packed.
+    `of(buf, offs)` gives the keys of texts and their texts' numbers."""
+
+    def out(block: int, keys: np.ndarray) -> pa.RecordBatch:
+        rows = [(r, block, pack(keys[at])) for r, at in _ranged(keys, bits)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ASKED)], schema=_ASKED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            blocks = batch.column("block").to_numpy(zero_copy_only=False)
+            for rows, buf, offs in slices(batch):
+                keys, text = of(buf, offs)
+                group = blocks[rows]
+                here = np.unique(group).tolist()
+                for k in here:
+                    waiting.setdefault(k, []).append(keys if len(here) == 1 else keys[group[text] == k])
+                for k in [k for k, held in waiting.items() if sum(map(len, held)) > 2 * CHUNK]:
+                    yield out(k, np.unique(np.concatenate(waiting.pop(k))))
+        for k, held in waiting.items():
+            if len(keys := np.unique(np.concatenate(held))):
+                yield out(k, keys)
+
+    return docs.select("block", "text").repartition("block").mapInArrow(run, schema)
+
+
+def _grams_asked(docs: DataFrame, known, bits: int, k: int) -> DataFrame:
+    """range, block, keys: the pairs and triples of one pass that are not
+    broadcast."""
+
+    def of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, text = _grams_of(buf, offs)
+        mine = _in_pass(keys, k, ASK_PASSES)
+        mine[mine] = ~known.value.grams.find(keys[mine])[1]
+        return keys[mine], text[mine]
+
+    return _by_key(docs, of, "range bigint, block int, keys binary", bits)
+
+
+def _answered(asked: DataFrame, states: DataFrame, bits: int, k: int) -> DataFrame:
+    """block, word (false), keys, ns, ts: of the asked keys those in states."""
+    of = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("bigint")
+    ours = states.where(F.pmod(F.shiftrightunsigned("key", TOKEN_BITS), F.lit(ASK_PASSES)) == k)
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("key", "bigint"), ("n", "bigint"), ("t", "bigint"))]
+    table = ours.select(of.alias("range"), F.lit(-1).alias("block"), F.lit(None).cast("binary").alias("keys"), "key", "n", "t")
+    both = table.union(asked.select("range", "block", "keys", *nothing))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, table = None, [], None
+        for batch in batches:
+            ranges, blocks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("range", "block"))
+            cuts = np.flatnonzero((ranges[1:] != ranges[:-1]) | ((blocks[1:] < 0) != (blocks[:-1] < 0))) + 1
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if a == z:
+                    continue
+                if ranges[a] != now:
+                    now, held, table = ranges[a], [], None
+                part = batch.slice(a, z - a)
+                if blocks[a] < 0:
+                    held.append([part.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "t")])
+                    continue
+                if table is None:
+                    key, n, t = (np.concatenate(x) for x in zip(*held)) if held else [np.zeros(0, np.int64)] * 3
+                    table, held = Table.of(key.view(_U), n[:, None], t), []
+                rows = []
+                for block, blob in zip(blocks[a:z].tolist(), part.column("keys").to_pylist()):
+                    keys = unpack(blob)
+                    at, there = table.find(keys)
+                    if there.any():
+                        rows.append((block, False, pack(keys[there]), plane(table.n[at[there], 0].astype("<u8")), plane(table.t[at[there]].astype("<u8"))))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND)], schema=_FOUND)
+
+    dealt = both.repartition("range").sortWithinPartitions("range", "block")
+    return dealt.mapInArrow(run, "block int, word boolean, keys binary, ns binary, ts binary")
+
+
+def _words_found(docs: DataFrame, known, words_of: DataFrame) -> DataFrame:
+    """block, key, n (by language), t of each block's words that are not
+    broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
+        waiting: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            ids = batch.column(ROW).to_numpy(zero_copy_only=False)
+            blocks = batch.column("block").to_numpy(zero_copy_only=False)
             for rows, buf, offs in slices(batch):
                 low = LOWER[buf]
                 starts, ends, first = words(low, offs, SPACES)
                 hashes = word_hashes(low, starts, ends)
-                _, edges, _, pairs, triples = sequences(hashes, first)
-                text = np.repeat(np.arange(len(offs) - 1), np.diff(edges))
-                later = np.ones(len(pairs), bool)
-                later[edges[:-1]] = False
-                for word, of, keys, has in (
-                    (True, np.repeat(np.arange(len(offs) - 1), np.diff(first)), hashes, table.words),
-                    (False, text, pairs, table.grams),
-                    (False, text[later], triples[later], table.grams),
-                ):
-                    rare = ~has.find(keys)[1]
-                    of, keys = of[rare], keys[rare]
-                    order = np.lexsort((keys, of))
-                    of, keys = of[order], keys[order]
-                    new = np.ones(len(of), bool)
-                    new[1:] = (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(keys[new].view(np.int64)), ROW: pa.array(ids[rows][of[new]], pa.int64()), "word": pa.array(np.full(int(new.sum()), word))})
-
-    return docs.select(ROW, "text").mapInArrow(run, f"key bigint, {ROW} bigint, word boolean")
-
-
-def _scored(docs: DataFrame, model: Automaton, known) -> DataFrame:
-    """ROW, n_tokens, n_known, base (log10 of count + 0.1) and logs (by
-    language) of every document; docs has ROW, text, held_out and found (key, n,
-    t, langs), the counts that are not broadcast."""
+                rare = ~known.value.words.find(hashes)[1]
+                group = blocks[rows][np.repeat(np.arange(len(offs) - 1), np.diff(first))][rare]
+                hashes = hashes[rare]
+                for k in np.unique(group).tolist():
+                    waiting.setdefault(k, []).append(np.unique(hashes[group == k]))
+                for k in [k for k, held in waiting.items() if sum(map(len, held)) > CHUNK]:
+                    waiting[k] = [np.unique(np.concatenate(waiting[k]))]
+                    if len(waiting[k][0]) > CHUNK // 2:
+                        yield out(k, waiting.pop(k)[0])
+        for k, held in waiting.items():
+            yield out(k, np.unique(np.concatenate(held)))
+
+    def out(block: int, keys: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(keys), block, np.int32)), "key": pa.array(keys.view(np.int64))})
+
+    asked = docs.select("block", "text").repartition("block").mapInArrow(run, "block int, key bigint")
+    return asked.join(words_of, "key").select("block", "key", "n", "t")
+
+
+def _scored(docs: DataFrame, words_found: DataFrame, found: DataFrame, model: Automaton, known) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base (log10 of count + 0.1) and logs
+    (by language) of every document; docs has doc_id, text, held_out and block,
+    words_found and found the counts that are not broadcast, by block."""
     machine_of = docs.sparkSession.sparkContext.broadcast(model)
+    columns = {"key": "bigint", "n": "array<bigint>", "t": "bigint", "keys": "binary", "ns": "binary", "ts": "binary", "doc_id": "bigint", "held_out": "boolean", "text": "string"}
+
+    def row(df: DataFrame, kind: int, **own) -> DataFrame:
+        return df.select("block", F.lit(kind).alias("kind"), *[(own.get(c, F.lit(None)).cast(t)).alias(c) for c, t in columns.items()])
+
+    named = lambda *cs: {c: F.col(c) for c in cs}
+    texts = row(docs, 1, **named("doc_id", "held_out"), text=F.coalesce("text", F.lit("")))
+    counts = row(words_found, 0, **named("key", "n", "t")).union(row(found, 0, **named("keys", "ns", "ts")))
+    dealt = counts.union(texts).repartition("block").sortWithinPartitions("block", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, table = machine_of.value, known.value
@@ -399,45 +608,31 @@ def _scored(docs: DataFrame, model: Automaton, known) -> DataFrame:
             t = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, 0, dtype=np.float64)])
             return t[edges[1:]] - t[edges[:-1]]
 
-        for batch in batches:
-            ids = batch.column(ROW)
+        for batch, (rare_words, rare_grams) in _by_block(batches, size):
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
             for rows, buf, offs in slices(batch):
                 texts = rows.stop - rows.start
                 stream, spelt, hashes, first, places = spell(buf, offs)
-                tokens, edges, _, pairs, triples = sequences(hashes, first)
+                tokens, edges, pairs, triples = sequences(hashes, first)
                 text = np.repeat(np.arange(texts), np.diff(edges))
                 heads, last = edges[:-1], edges[1:] - 1
                 word = np.ones(len(tokens), bool)
                 word[last] = False
 
-                # The joined counts, by document and key in one number.
-                mine = batch.column("found").slice(rows.start, texts)
-                got = mine.flatten()
-                of = np.repeat(np.arange(texts), mine.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                salt = mix(np.arange(1, texts + 1, dtype=_U))
-                n, t, key = (got.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "t", "key"))
-                langs = got.field("langs")
-                here = langs.is_valid().to_numpy(zero_copy_only=False)
-                by_language = langs.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, size)
-                key = key.view(_U) ^ salt[of]
-                rare_words = Table.of(key[here], by_language, t[here])
-                rare_grams = Table.of(key[~here], n[~here, None], t[~here])
-
-                def look(keys: np.ndarray, where: np.ndarray, common: Table, rare: Table, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                def look(keys: np.ndarray, common: Table, rare: Table, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                     ns = np.repeat(one[:, None], common.n.shape[1], axis=1).astype(np.int64)
                     ts = one.astype(np.int64)
-                    for source, names in ((common, keys), (rare, keys ^ salt[where])):
-                        at, there = source.find(names)
+                    for source in (common, rare):
+                        at, there = source.find(keys)
                         ns[there], ts[there] = source.n[at[there]], source.t[at[there]]
                     return ns, ts
 
                 own = ~held[rows][text]  # a training document's pair counts one at least
                 counts = np.tile(table.ends, (len(tokens), 1)).astype(np.int64)
                 follow = np.zeros(len(tokens), np.int64)
-                counts[word], follow[word] = look(hashes, text[word], table.words, rare_words, np.zeros(len(hashes), np.int64))
-                two, behind = look(pairs, text, table.grams, rare_grams, own)
-                three, _ = look(triples, text, table.grams, rare_grams, own)
+                counts[word], follow[word] = look(hashes, table.words, rare_words, np.zeros(len(hashes), np.int64))
+                two, behind = look(pairs, table.grams, rare_grams, own)
+                three, _ = look(triples, table.grams, rare_grams, own)
                 two, three, every = two[:, 0], three[:, 0], counts.sum(1)
                 three[heads] = 0
 
@@ -460,21 +655,60 @@ def _scored(docs: DataFrame, model: Automaton, known) -> DataFrame:
                 with np.errstate(divide="ignore"):
                     logs = np.where(a > 0, np.log10(a + b * 10.0**spelled), np.log10(b) + spelled)
                 yield pa.RecordBatch.from_pydict({
-                    ROW: ids.slice(rows.start, texts),
+                    "doc_id": batch.column("doc_id").slice(rows.start, texts),
+                    "held_out": batch.column("held_out").slice(rows.start, texts),
                     "n_tokens": pa.array(np.diff(edges), pa.int64()),
                     "n_known": pa.array(sums((every > 0).astype(np.float64), edges).astype(np.int64)),
                     "base": pa.array(sums(np.log10(every + 0.1), edges)),
                     "logs": lists(sums(logs, edges).ravel(), np.full(texts, size), pa.float64()),
                 })
 
-    return docs.select(ROW, "text", "held_out", "found").mapInArrow(run, f"{ROW} bigint, n_tokens bigint, n_known bigint, base double, logs array<double>")
-
-
-def _languages(train: DataFrame) -> list[str | None]:
-    """The languages with a state of their own: at most 1 / LANGUAGE_SHARE."""
-    sizes = train.groupBy("lang").agg(F.sum(F.octet_length("text") + 1).alias("size"))
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    return [r["lang"] for r in sizes.where(F.col("size") >= LANGUAGE_SHARE * total).orderBy("lang").collect()]
+    return dealt.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, logs array<double>")
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, tuple[Table, Table]]]:
+    """The texts of the batches, each with the words and the pairs and triples
+    that its block's counts in front of it tell."""
+    block, held, tables = None, [], None
+    for batch in batches:
+        blocks, kinds = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "kind"))
+        cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if a == z:
+                continue
+            if blocks[a] != block:
+                block, held, tables = blocks[a], [], None
+            part = batch.slice(a, z - a)
+            if kinds[a] == 0:
+                held.append(part.select(["key", "n", "t", "keys", "ns", "ts"]))
+                continue
+            if tables is None:
+                tables, held = _tables(held, size), []
+            yield part, tables
+
+
+def _tables(parts: list[pa.RecordBatch], size: int) -> tuple[Table, Table]:
+    words_of = [(np.zeros(0, np.int64), np.zeros((0, size), np.int64), np.zeros(0, np.int64))]
+    grams = [(np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, _U))]
+    for part in parts:
+        own = part.filter(part.column("key").is_valid())
+        n = own.column("n").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, size)
+        words_of.append((own.column("key").to_numpy(zero_copy_only=False).astype(np.int64), n, own.column("t").to_numpy(zero_copy_only=False).astype(np.int64)))
+        for row in part.filter(part.column("keys").is_valid()).select(["keys", "ns", "ts"]).to_pylist():
+            grams.append((unpack(row["keys"]), unplane(row["ns"]), unplane(row["ts"])))
+    key, n, t = (np.concatenate(x) for x in zip(*words_of))
+    gram, times, behind = (np.concatenate(x) for x in zip(*grams))
+    return Table.of(key.view(_U), n, t), Table.of(gram, times.astype(np.int64)[:, None], behind.astype(np.int64))
+
+
+def _languages(rows: DataFrame) -> tuple[list[str | None], int]:
+    """The languages with a state of their own (at most 1 / LANGUAGE_SHARE),
+    and the bytes of all texts."""
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
+    sizes = rows.groupBy("lang").agg(F.sum(F.when(~F.col("held_out"), size)).alias("size"), F.sum(size).alias("every"))
+    sums = sizes.agg(F.sum("size").alias("size"), F.sum("every").alias("every")).first()
+    names = sizes.where(F.col("size") >= LANGUAGE_SHARE * (sums["size"] or 0)).orderBy("lang").collect()
+    return [r["lang"] for r in names], sums["every"] or 0
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -482,8 +716,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     every document; the model learns from those that are not held out."""
     held_out = F.pmod(crc_of_id(), F.lit(10)) == 0
     rows = keyed(docs, "text", "lang").withColumn("held_out", held_out)
+    names, n_bytes = _languages(rows)
     train = rows.where(~F.col("held_out"))
-    names = _languages(train)
     size = len(names) + 1  # the last: all others
     language = F.lit(len(names))
     for k, name in enumerate(names):
@@ -493,25 +727,36 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     counts = _counts(train)
     model = automaton(counts)
     by_language = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)) for k in range(size)]
-    states = _word_grams(train)
     words_of = counts.where("kind >= 0").groupBy("key").agg(F.array(*by_language).alias("n"))
-    words_of = words_of.join(states.where("t > 0").select("key", "t"), "key", "left").select("key", "n", F.coalesce("t", F.lit(0)).cast("bigint").alias("t"))
     words_of = materialize(words_of, "word-counts")
     discard(counts)
+    total = F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    tokens = words_of.agg(F.sum(total)).first()[0] or 0
+    bits = max(0, (2 * tokens // RANGE_KEYS).bit_length())
+    states, behind = _word_grams(rows, bits)
+    # A word seen once has one token behind it.
+    with_t = _with_context(words_of).join(behind, "context", "left").select("key", "n", F.coalesce("t", F.lit(1)).cast("bigint").alias("t"))
+    words_t = materialize(with_t, "word-counts")
+    discard(words_of)
     documents = {r["language"]: r["n"] for r in train.groupBy("language").agg(F.count("*").alias("n")).collect()}
-    known = word_counts(words_of, states, [documents.get(k, 0) for k in range(size)], WORD_SHARE)
+    known = word_counts(words_t, states, behind, [documents.get(k, 0) for k in range(size)], WORD_SHARE)
+    discard(behind)
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
-    # Rare words, pairs and triples: their counts from the joined table.
-    nothing = F.lit(None).cast("array<bigint>")
-    table = states.where("n > 0").select("key", F.lit(False).alias("word"), "n", "t", nothing.alias("langs")).union(words_of.select("key", F.lit(True), F.lit(0).cast("bigint"), "t", "n"))
-    asked = _asked(rows, shared).join(rows.select(ROW, "held_out"), ROW)
-    found = asked.join(table, ["key", "word"]).where(F.col("word") | F.col("held_out") | (F.col("n") > 1))
-    found = found.groupBy(ROW).agg(F.collect_list(F.struct("key", "n", "t", "langs")).alias("found"))
-    found = materialize(found, "found-counts")
-    discard(states, words_of)
-    joined = _scored(rows.join(found, ROW, "left").withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType))), model, shared)
-    joined = joined.join(rows.select(ROW, "doc_id", "held_out"), ROW)
+    # Rare words, pairs and triples: their counts by block.
+    blocks = F.pmod(F.xxhash64(ROW), F.lit(-(-n_bytes // BLOCK_BYTES) or 1)).cast("int")
+    rows = rows.withColumn("block", blocks)
+    words_found = materialize(_words_found(rows, shared, words_t), "found-words", 2048)
+    discard(words_t)
+    found = None
+    for k in range(ASK_PASSES):
+        # Written between, so that the texts' shuffle is gone when the keys' begins.
+        asked = materialize(_grams_asked(rows, shared, bits, k), "asked-grams", 2048)
+        part = materialize(_answered(asked, states, bits, k), "found-grams", 2048)
+        discard(asked)
+        found = part if found is None else found.union(part)
+    discard(states)
+    joined = _scored(rows, words_found, found, model, shared)
     # The branches' probabilities, added; the largest is taken out for range.
     share = (known.ends + 1.0) / (known.ends.sum() + size)
     branch = F.array(*[F.col("logs")[k] + F.lit(float(np.log10(share[k]))) for k in range(size)])
