@@ -19,6 +19,11 @@ from pyspark.sql import types as T
 from tableflow.session import scratch_path
 from tableflow.sources.schema import SchemaLike, to_struct
 
+#: Columns that ``fitted`` looks up in a map of all fields; more go by path.
+FEW = 64
+#: In no text that reads as an integer.
+_NO_INTEGER = r"[^0-9+.\-\s\p{Cntrl}]"
+
 
 def parse_json_once(
     spark: SparkSession,
@@ -69,6 +74,18 @@ def _field(record: Column, name: str, kind: str) -> Column:
     return F.try_variant_get(F.try_variant_get(record, "$", "map<string,variant>")[name], "$", kind)
 
 
+def _kind(dtype: T.DataType) -> str:
+    return "string" if isinstance(dtype, T.StringType) else dtype.simpleString()
+
+
+def _typed(raw: Column, dtype: T.DataType, value: Column) -> Column:
+    """``value``, a field as its type; as a string scalars as they read, objects
+    and arrays as JSON."""
+    if not isinstance(dtype, T.StringType):
+        return value
+    return F.coalesce(value, F.when(~F.is_variant_null(raw), F.to_json(raw)))
+
+
 def fitted(records: DataFrame, schema: SchemaLike | None = None, rest: str | None = "rest", column: str = "record") -> DataFrame:
     """The records as columns of ``schema`` (inferred if none is given).
 
@@ -80,31 +97,45 @@ def fitted(records: DataFrame, schema: SchemaLike | None = None, rest: str | Non
     that fit have an empty map; a record that is no object has nulls and its
     JSON under the empty name.  ``rest=None`` leaves the map out."""
     struct = inferred_schema(records, column) if schema is None else to_struct(schema)
-    record = F.col(column)
-    typed, misfits = [], []
+    if rest is None:
+        return records.select(*[_typed(_field(F.col(column), f.name, "variant"), f.dataType, _field(F.col(column), f.name, _kind(f.dataType))).alias(f.name) for f in struct.fields])
+    # Fields and values are worked out once, each step looking at the one before.
+    # Every path into a record searches it anew, so a few columns come from the
+    # map of all fields, which the rest needs anyway; many would search the map.
+    fields = F.try_variant_get(column, "$", "map<string,variant>")
+    once, raws, typed = records.select(F.col(column).alias("record"), fields.alias("fields")), [], []
     for f in struct.fields:
-        raw = _field(record, f.name, "variant")
+        raws.append(F.col("fields")[f.name] if len(struct.fields) <= FEW else _field(F.col("record"), f.name, "variant"))
+        value = F.try_variant_get(raws[-1], "$", _kind(f.dataType))
+        if isinstance(f.dataType, T.IntegralType):
+            # A cast that fails costs more than all else of the row.
+            text = (F.schema_of_variant(raws[-1]) == "STRING") & F.try_variant_get(raws[-1], "$", "string").rlike(_NO_INTEGER)
+            value = F.when(~F.coalesce(text, F.lit(False)), value)
+        typed.append(_typed(raws[-1], f.dataType, value))
+    once = once.select("record", "fields", *[v.alias(f"c{i}") for i, v in enumerate(typed)])
+    misfits = []
+    for i, f in enumerate(struct.fields):
         if isinstance(f.dataType, T.StringType):
-            # Scalars as they read; objects and arrays as JSON.
-            value = F.coalesce(_field(record, f.name, "string"), F.when(~F.is_variant_null(raw), F.to_json(raw)))
-        else:
-            value = _field(record, f.name, f.dataType.simpleString())
-            lost = value.isNull()
-            if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
-                # Parts may be lost where the whole is not.
-                back = [F.to_json(value, {"ignoreNullFields": flag}) for flag in ("true", "false")]
-                lost = lost | ~F.to_json(raw).isin(*back)
-            misfits.append(F.when(raw.isNotNull() & ~F.is_variant_null(raw) & F.coalesce(lost, F.lit(True)), F.lit(f.name)))
-        typed.append(value.alias(f.name))
-    if rest is None:
-        return records.select(*typed)
-    fields = F.try_variant_get(record, "$", "map<string,variant>")
-    known = F.array(*[F.lit(n) for n in struct.names]).cast("array<string>")
-    unfit = F.array_compact(F.array(*misfits)).cast("array<string>") if misfits else F.array().cast("array<string>")
-    beside = F.map_filter(fields, lambda k, v: ~F.array_contains(known, k) | F.array_contains(unfit, k))
-    beside = F.transform_values(beside, lambda k, v: F.to_json(v))
-    whole = F.create_map(F.lit(""), F.to_json(record))
-    return records.select(*typed, F.when(fields.isNotNull(), beside).otherwise(whole).alias(rest))
+            continue
+        raw, value = raws[i], F.col(f"c{i}")
+        lost = value.isNull()
+        if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            # Parts may be lost where the whole is not.
+            back = [F.to_json(value, {"ignoreNullFields": flag}) for flag in ("true", "false")]
+            lost = lost | ~F.to_json(raw).isin(*back)
+        misfits.append(F.when(F.coalesce(lost, F.lit(True)) & raw.isNotNull() & ~F.is_variant_null(raw), F.lit(f.name)))
+    names = F.array_compact(F.array(*misfits)).cast("array<string>") if misfits else F.array().cast("array<string>")
+    if struct.names:
+        foreign = F.array_except(F.map_keys("fields"), F.array(*[F.lit(n) for n in struct.names]))
+    else:
+        foreign = F.map_keys("fields")
+    once = once.select("*", F.concat(foreign, names).alias("names"))
+    # Most rows have nothing to keep and take the first branch.
+    beside = F.map_filter("fields", lambda k, v: F.array_contains("names", k))
+    beside = F.when(F.size("names") == 0, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).otherwise(F.transform_values(beside, lambda k, v: F.to_json(v)))
+    whole = F.create_map(F.lit(""), F.to_json("record"))
+    named = [F.col(f"c{i}").alias(f.name) for i, f in enumerate(struct.fields)]
+    return once.select(*named, F.when(F.col("fields").isNotNull(), beside).otherwise(whole).alias(rest))
 
 
 def read_json_fitted(

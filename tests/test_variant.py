@@ -87,3 +87,33 @@ def test_malformed_raises(spark, scratch):
     spark.createDataFrame([('{"id": 1}',), ('{"id": ',)], "value string").coalesce(1).write.text(path)
     with pytest.raises(Exception, match="(?i)malformed"):
         read_json_fitted(spark, path, "id INT").agg(F.sum("id")).collect()
+
+
+def test_rest_names_each_column_once(spark, scratch):
+    """Columns were looked up again for every field of the record."""
+    path = _write(spark, scratch(), [{"a": 1, "b": "2", "c": "x", "d": 4}])
+    frame = read_json_fitted(spark, path, "a BIGINT, b INT, c INT")
+    plan = plan_text(frame)
+    assert plan.count("map_filter") == 1 and "map_filter(fields" in plan
+    kept = plan[plan.index("map_filter(fields") :].split("\n")[0]
+    assert "try_variant_get" not in kept
+    row = frame.first()
+    assert (row.a, row.b, row.c, row.rest) == (1, 2, None, {"c": '"x"', "d": "4"})
+
+
+def test_texts_and_other_values_as_integers(spark, scratch):
+    values = ["12", " 7 ", "-3", "+4", "1.5", "", "one", "1e3", "\u00a05", "\u0663", True, False, 2.0, 2.5, 1e3, None, [1], {"x": 1}, "99999999999"]
+    path = _write(spark, scratch(), [{"i": i, "v": v} for i, v in enumerate(values)])
+    got = {r.i: (r.v, r.rest) for r in read_json_fitted(spark, path, "i INT, v INT").collect()}
+    plain = parse_json_once(spark, path, staged=False).select(F.expr("variant_get(record, '$.i', 'int')").alias("i"), F.try_variant_get("record", "$.v", "int").alias("v"))
+    for r in plain.collect():
+        v = values[r.i]
+        assert got[r.i][0] == r.v, v
+        assert ("v" in got[r.i][1]) == (r.v is None and v is not None), v
+
+
+def test_many_columns_and_fields(spark, scratch):
+    path = _write(spark, scratch(), [{f"f{k}": k for k in range(80)} | {"f3": "x", "more": [1]}])
+    row = read_json_fitted(spark, path, ", ".join(f"f{k} INT" for k in range(80))).first()
+    assert [row[f"f{k}"] for k in range(80)] == [None if k == 3 else k for k in range(80)]
+    assert row.rest == {"f3": '"x"', "more": "[1]"}
