@@ -25,6 +25,11 @@ from tableflow.operators.names import quote
 from tableflow.session import scratch_path
 
 
+#: Placeholders looked at for how common they are, rows that make one common,
+#: and most pairs of common ones that are broadcast.
+LISTED, COMMON, BROADCAST = 1000, 1 << 16, 10_000
+
+
 def _keep(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
@@ -42,6 +47,23 @@ def _check(mapping: DataFrame, pattern: str) -> None:
         raise ValueError(f"not a bracketed placeholder, or no value or ordinal: {bad[0]}")
 
 
+def _matches(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The inner join of both on ``placeholder``.  One that stands in many texts
+    is a hot key, and so well compressed that AQE sees no skew: the rows of the
+    most common ones meet their pairs by broadcast (and go if there are none),
+    in the tasks that they are in."""
+    asked = _keep(asked, "asked-placeholders")
+    top = asked.agg(F.expr(f"approx_top_k(placeholder, {LISTED}, {10 * LISTED})").alias("top")).first().top or []
+    hot = [t["item"] for t in top if t["item"] is not None and t["count"] >= COMMON]
+    if not hot:
+        return asked.join(pairs, "placeholder")
+    common = F.col("placeholder").isin(hot)
+    theirs = _keep(pairs.where(common), "common-pairs")
+    if theirs.limit(BROADCAST + 1).count() <= BROADCAST:
+        theirs = F.broadcast(theirs)
+    return asked.where(~common).join(pairs, "placeholder").unionByName(asked.where(common).join(theirs, "placeholder"))
+
+
 def substitute_from_table(
     df: DataFrame,
     column: str,
@@ -63,11 +85,9 @@ def substitute_from_table(
     rows = _keep(df.select(*[F.col(quote(c)).alias(f"c{i}") for i, c in enumerate(df.columns)], F.monotonically_increasing_id().alias("id")), "substitute")
     text = F.col(f"c{df.columns.index(column)}")
 
-    # One row per text and placeholder: a common placeholder is a hot key of
-    # the join, which AQE splits, as neither side is grouped by it.
     first = mapping.groupBy("placeholder").agg(F.min(F.struct("ordinal", "value")).alias("pair"))
     asked = rows.select("id", F.explode(_tokens(text, pattern)).alias("placeholder"))
-    hits = asked.join(_keep(first.select("placeholder", F.col("pair.value").alias("value")), "first-pairs"), "placeholder")
+    hits = _matches(asked, _keep(first.select("placeholder", F.col("pair.value").alias("value")), "first-pairs"))
     brackets = f"[{a}{z}]"
     found = hits.groupBy("id").agg(
         F.map_from_entries(F.collect_list(F.struct("placeholder", "value"))).alias("values"),
@@ -84,12 +104,13 @@ def substitute_from_table(
     side_by_side = F.when(F.col("values").isNull(), text).otherwise(woven)
 
     folded = _fold(joined.where("open").select("id", text.alias("text")), mapping, pattern)
+    out = [(F.col("text") if c == column else F.col(f"c{i}")).alias(c) for i, c in enumerate(df.columns)]
     if folded is None:
-        final = joined.withColumn("text", side_by_side)
-    else:
-        done = folded.select(F.col("id").alias("done"), F.col("text").alias("folded"))
-        final = joined.join(done, F.col("id") == F.col("done"), "left").withColumn("text", F.when(F.col("open"), F.col("folded")).otherwise(side_by_side))
-    return final.select(*[(F.col("text") if c == column else F.col(f"c{i}")).alias(c) for i, c in enumerate(df.columns)])
+        return joined.withColumn("text", side_by_side).select(*out)
+    # Only the open rows are joined again.
+    done = folded.select(F.col("id").alias("done"), F.col("text").alias("folded"))
+    opened = joined.where("open").join(done, F.col("id") == F.col("done"), "left").withColumn("text", F.col("folded"))
+    return joined.where("not open").withColumn("text", side_by_side).select(*out).union(opened.select(*out))
 
 
 def _fold(texts: DataFrame, mapping: DataFrame, pattern: str) -> DataFrame | None:
@@ -100,7 +121,7 @@ def _fold(texts: DataFrame, mapping: DataFrame, pattern: str) -> DataFrame | Non
     finished: DataFrame | None = None
     while True:
         asked = now.select("id", "last", F.explode(_tokens(F.col("text"), pattern)).alias("placeholder"))
-        later = asked.join(mapping, "placeholder").where(F.col("last").isNull() | (F.col("ordinal") > F.col("last")))
+        later = _matches(asked, mapping).where(F.col("last").isNull() | (F.col("ordinal") > F.col("last")))
         pairs = later.groupBy("id").agg(F.min(F.struct("ordinal", "placeholder", "value")).alias("pair"))
         step = _keep(now.join(pairs, "id", "left"), "folded-texts")
         rest = step.where("pair is null").select("id", "text")

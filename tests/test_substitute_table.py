@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_text
+from tableflow.operators import substitute
 from tableflow.operators.substitute import substitute_from_table
 
 PAIRS = "ordinal bigint, placeholder string, value string"
@@ -76,3 +77,31 @@ def test_no_python_in_the_plan(spark):
     pairs = spark.createDataFrame([(1, "{a}", "x")], PAIRS)
     plan = plan_text(substitute_from_table(spark.createDataFrame([("{a}",)], "t string"), "t", pairs))
     assert "Python" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("broadcast", [0, 10_000])
+def test_common_placeholders(spark, monkeypatch, broadcast):
+    """Some are in the mapping, once or twice, some not; values open texts."""
+    monkeypatch.setattr(substitute, "COMMON", 5)
+    monkeypatch.setattr(substitute, "BROADCAST", broadcast)
+    texts = [f"{{none}} {{a}} {{k{i}}} {{b}}" for i in range(40)] + [None, "", "{a}", "{a{b}}", "plain"]
+    pairs = [(1, "{a}", "A"), (2, "{b}", "{c}"), (3, "{c}", "C"), (4, "{a}", "late"), (5, "{c}", "later"), (6, "{k3}", "three"), (7, "{k4}", "{a}")]
+    _check(spark, texts, pairs)
+    _check(spark, texts, [p for p in pairs if "{" not in p[2]])
+
+
+def test_common_placeholders_stay_in_their_tasks(spark, monkeypatch):
+    """All rows of a common one went to one task."""
+    monkeypatch.setattr(substitute, "COMMON", 1000)
+    usual = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    asked = spark.range(0, 8000, 1, 8).select("id", F.explode(F.array(F.lit("{all}"), F.lit("{none}"), F.format_string("{%d}", "id"))).alias("placeholder"))
+    pairs = spark.range(8000).select(F.format_string("{%d}", "id").alias("placeholder"), F.lit("v").alias("value")).union(spark.sql("SELECT '{all}', 'w'"))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        found = substitute._matches(asked, pairs)
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 16000 and max(sizes) < 4000
