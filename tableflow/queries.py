@@ -133,6 +133,10 @@ _BRIDGE_OUT = (
 )
 
 
+#: Rows of a compressed JSON file: about 100 MB of text.
+JSON_ROWS = 400_000
+
+
 @register("bridge_join_json", ORACLE_BRIDGE := """
     SELECT s.s_name AS org_name, s.s_nationkey, p.*, l.* EXCLUDE (l_partkey)
     FROM part p
@@ -144,7 +148,7 @@ def q_bridge_join_json(spark, d):
     scanned recursively with inferred schemas, joined, then typed."""
     base = scratch_path(spark, "bridge_json")
     for name in ("supplier", "part", "lineitem"):
-        write_json(table(spark, d, name), f"{base}/{name}")
+        write_json(table(spark, d, name), f"{base}/{name}", compression="gzip", rows_per_file=JSON_ROWS)
     joined = bridge_job_from_json(
         spark,
         f"{base}/supplier",

@@ -69,13 +69,15 @@ def write_json(
     mode: str = "errorifexists",
     num_files: int | None = None,
     compression: str = "none",
+    rows_per_file: int = 0,
 ) -> str:
     """Write JSON Lines (splittable) after ``jsonable``; null fields are
-    written as ``null``, so every column survives."""
+    written as ``null``, so every column survives.  Compressed files are read
+    by one task each: ``rows_per_file`` bounds them without a shuffle."""
     out = jsonable(df)
     if num_files is not None:
         out = out.repartition(num_files)
-    out.write.mode(mode).option("compression", compression).option("ignoreNullFields", False).options(**TEXT_TIME_OPTIONS).json(path)
+    out.write.mode(mode).option("maxRecordsPerFile", rows_per_file).option("compression", compression).option("ignoreNullFields", False).options(**TEXT_TIME_OPTIONS).json(path)
     return path
 
 

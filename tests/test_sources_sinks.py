@@ -179,3 +179,27 @@ def test_json_sink_zoned_timestamp_like_python_str(spark, scratch):
     path = write_json(df, scratch())
     got = {r.i: r.ts for r in spark.read.schema("i INT, ts STRING").json(path).collect()}
     assert got == {i: str(t) for i, t in enumerate(aware)}
+
+
+def test_compressed_json_in_files_of_some_rows(spark, scratch):
+    from tableflow.sources.json import read_json
+
+    path = write_json(spark.range(25).coalesce(1), scratch(), compression="gzip", rows_per_file=10)
+    files = read_json(spark, path).inputFiles()
+    assert len(files) == 3 and all(f.endswith(".json.gz") for f in files)
+    assert sorted(r.id for r in read_json(spark, path).collect()) == list(range(25))
+
+
+def test_bridge_join_json_writes_less_than_its_text(spark, monkeypatch):
+    import os
+
+    from conftest import SF_SMALL
+    from tableflow import queries
+
+    written = []
+    monkeypatch.setattr(queries, "write_json", lambda df, path, **kw: written.append((df, write_json(df, path, **kw))) or path)
+    queries.q_bridge_join_json(spark, SF_SMALL)
+    for df, path in written:
+        text = sum(len(r.value) + 1 for r in spark.read.text(path).collect())
+        size = sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.startswith("part-"))
+        assert spark.read.text(path).count() == df.count() and size < text / 2
