@@ -53,10 +53,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_sentences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each repeated sentence, line or paragraph the first occurrence stays
-    in its document."""
+    """Of each repeated sentence, line, paragraph or long passage the first
+    occurrence stays in its document."""
     rows = keyed(_boxed(docs, "doc_id"), "text", _DOC)
-    joined = rows.join(lines.repeats(rows.select(ROW, "text"), "all", lines.LONG_WORDS, lines.LONG_BYTES), ROW, "left")
+    joined = rows.join(lines.repeats(rows.select(ROW, "text"), "all", lines.LONG_WORDS, lines.LONG_BYTES, lines.PASSAGE_WORDS), ROW, "left")
     whole, rest = F.col("spans").isNull(), lines.remove_spans(F.col("text"), F.col("spans"))
     changed = {"text": F.when(whole, F.col("text")).otherwise(rest)}
     if "n_chars" in docs.columns:

@@ -16,6 +16,14 @@ In `unit="all"` a paragraph or line is caught as one where its sentences are too
 short by themselves, and `min_bytes` keeps units of scripts without spaces,
 whose lines are one or a few words.
 
+With `passage_words`, passages of so many words that stand in two documents are
+found too where no unit of theirs repeats: of all windows of half as many words
+a sample that any such passage holds a part of (each neighbourhood's least
+digest, so the same ones wherever the passage stands) is counted like the units.
+A chosen window that an earlier document has goes; up to half of `passage_words`
+at either end of a passage may stay, what lies between goes.  Repeats within one
+document are left to the units.
+
 Digests are counted with map-side combining; only the few repeated ones are
 joined back to the units, in a join that can be split, so a line that a third
 of all documents share lands in no single task.
@@ -44,6 +52,8 @@ MIN_BYTES = 24
 #: What the query and the pipeline take for their units: shorter ones repeat in
 #: texts that have nothing else in common.
 LONG_WORDS, LONG_BYTES = 15, 100
+#: Passages as long as this are found whatever their units.
+PASSAGE_WORDS = 51
 
 _U = np.uint64
 _SENTENCE_END = np.zeros(256, bool)
@@ -67,10 +77,9 @@ def _closings(buf: np.ndarray) -> np.ndarray:
     return last
 
 
-def _cut(buf: np.ndarray, offs: np.ndarray, unit: str) -> dict[str, np.ndarray]:
-    """Per unit: its text's number, place in it (in words), byte range up to the
-    next unit, words, bytes in words, and a 128-bit digest in two numbers."""
-    low = LOWER[buf]
+def _words(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and each text's first number of the words, and which bytes
+    close a sentence by a mark."""
     starts, ends, first = words(low, offs, SPACES)
     closing = _closings(low)
     if len(starts) and closing.any():  # words are parted behind marks
@@ -79,6 +88,33 @@ def _cut(buf: np.ndarray, offs: np.ndarray, unit: str) -> dict[str, np.ndarray]:
         parts = parts[(parts > starts[of]) & (parts < ends[of])]
         starts, ends = (np.sort(np.concatenate([x, parts])) for x in (starts, ends))
         first = np.searchsorted(starts, offs)
+    return starts, ends, first, closing
+
+
+def _digests(h: np.ndarray, head: np.ndarray, tail: np.ndarray, salts: tuple[int, int]) -> list[np.ndarray]:
+    """128 bits of the words of each range, in two numbers."""
+    n, found = len(h), []
+    for salt in salts:
+        sums = np.zeros(n + 1, _U)
+        np.cumsum((mix(h ^ _U(salt)) | _U(1)) * powers(n), out=sums[1:])
+        found.append(mix((sums[tail] - sums[head]) * powers(n, inverse=True)[head] + (tail - head).astype(_U)).view(np.int64))
+    return found
+
+
+def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """The least (or greatest) of every `width` neighbours."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        values, done = best(values[:-step], values[step:]), done + step
+    return values
+
+
+def _cut(buf: np.ndarray, offs: np.ndarray, unit: str) -> dict[str, np.ndarray]:
+    """Per unit: its text's number, place in it (in words), byte range up to the
+    next unit, words, bytes in words, and a 128-bit digest in two numbers."""
+    low = LOWER[buf]
+    starts, ends, first, closing = _words(low, offs)
     n = len(starts)
     if not n:
         none = np.zeros(0, np.int64)
@@ -101,12 +137,7 @@ def _cut(buf: np.ndarray, offs: np.ndarray, unit: str) -> dict[str, np.ndarray]:
         tails.append(tail[new])
         below = head, tail
     head, tail = np.concatenate(heads), np.concatenate(tails)
-    h = word_hashes(low, starts, ends)
-    digests = []
-    for salt in (0, 0x5851F42D4C957F2D):
-        sums = np.zeros(n + 1, _U)
-        np.cumsum((mix(h ^ _U(salt)) | _U(1)) * powers(n), out=sums[1:])
-        digests.append(mix((sums[tail] - sums[head]) * powers(n, inverse=True)[head] + (tail - head).astype(_U)).view(np.int64))
+    digests = _digests(word_hashes(low, starts, ends), head, tail, (0, 0x5851F42D4C957F2D))
     text = np.searchsorted(first, head, "right") - 1
     size = np.concatenate([[0], np.cumsum(ends - starts)])
     end = np.append(starts, len(low))[tail]
@@ -138,6 +169,89 @@ def units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, m
     return docs.select(ROW, "text").mapInArrow(run, f"{ROW} bigint, at int, start int, end int, d1 bigint, d2 bigint")
 
 
+def _windows(buf: np.ndarray, offs: np.ndarray, n_words: int) -> dict[str, np.ndarray]:
+    """Of the windows of half of `n_words` words those whose digest is least
+    among as many neighbours: any `n_words` words in a row hold one, the same
+    one wherever they stand.  Within a run of equal windows they do not overlap."""
+    k = (n_words + 1) // 2
+    w = n_words - k + 1
+    low = LOWER[buf]
+    starts, ends, first, _ = _words(low, offs)
+    n = len(starts)
+    none = {c: np.zeros(0, np.int64) for c in ("text", "at", "start", "end", "d1", "d2")}
+    if n < n_words:
+        return none
+    head = np.arange(n - k + 1)
+    d1, d2 = _digests(word_hashes(low, starts, ends), head, head + k, (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15))
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    key = d1.view(_U)
+    least = _sliding(key, w, np.minimum)
+    inside = text[: n - n_words + 1] == text[n_words - 1 :]
+    edge = np.zeros(w - 1, _U)
+    chosen = _sliding(np.concatenate([edge, np.where(inside, least, _U(0)), edge]), w, np.maximum) == key
+    chosen &= text[: n - k + 1] == text[k - 1 :]
+    fresh = np.ones(len(head), bool)
+    fresh[1:] = (d1[1:] != d1[:-1]) | (text[1 : len(head)] != text[: len(head) - 1])
+    chosen &= (head - np.maximum.accumulate(np.where(fresh, head, 0))) % k == 0
+    at = np.flatnonzero(chosen)
+    if not len(at):
+        return none
+    of = text[at]
+    end = np.append(starts, len(low))[at + k]
+    last = at + k == first[of + 1]
+    end[last] = offs[of[last] + 1]
+    return {"text": of, "at": at - first[of], "start": starts[at] - offs[of], "end": end - offs[of], "d1": d1[at], "d2": d2[at]}
+
+
+def passages(docs: DataFrame, n_words: int) -> DataFrame:
+    """ROW, start, end of windows that an earlier document has too: some in any
+    `n_words` words that stand in both, wherever their units begin and end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(ROW).to_numpy(zero_copy_only=False)
+            for rows, buf, offs in slices(batch):
+                x = _windows(buf, offs, n_words)
+                yield pa.RecordBatch.from_pydict({
+                    ROW: pa.array(ids[rows][x["text"]], pa.int64()),
+                    "start": pa.array(x["start"], pa.int32()),
+                    "end": pa.array(x["end"], pa.int32()),
+                    "d1": pa.array(x["d1"], pa.int64()),
+                    "d2": pa.array(x["d2"], pa.int64()),
+                })
+
+    every = materialize(docs.select(ROW, "text").mapInArrow(run, f"{ROW} bigint, start int, end int, d1 bigint, d2 bigint"), "windows")
+    firsts = every.groupBy("d1", "d2").agg(F.min(ROW).alias("first"), F.max(ROW).alias("last")).where("first < last").select("d1", "d2", "first")
+    firsts = materialize(firsts, "shared-windows")
+    return every.join(firsts, ["d1", "d2"]).where(F.col(ROW) != F.col("first")).select(ROW, "start", "end")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """Each row's spans, those that overlap as one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = batch.column("spans")
+            flat = every.flatten()
+            start, end = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end"))
+            of = np.repeat(np.arange(len(every)), every.value_lengths().to_numpy(zero_copy_only=False))
+            order = np.lexsort((start, of))
+            # Text numbers make the running maximum of the ends start anew.
+            start, end = ((of[order] << 32) + x[order] for x in (start, end))
+            reach = np.maximum.accumulate(end) if len(end) else end
+            new = np.ones(len(of), bool)
+            new[1:] = start[1:] >= reach[:-1]
+            low = (1 << 32) - 1
+            at = np.flatnonzero(new)
+            a, z, of = start[at] & low, reach[np.append(at[1:], len(reach)) - 1] & low, of[order][at]
+            kind = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+            left = pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(z, pa.int32())], fields=list(kind))
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(every)))])
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), left)], [ROW, "spans"])
+
+    return spans.mapInArrow(run, f"{ROW} bigint, spans array<struct<start:int,end:int>>")
+
+
 def _outermost(spans: DataFrame) -> DataFrame:
     """Of each row's spans those within no other; they never cross."""
 
@@ -161,13 +275,20 @@ def _outermost(spans: DataFrame) -> DataFrame:
     return spans.mapInArrow(run, f"{ROW} bigint, spans array<struct<start:int,end:int>>")
 
 
-def repeats(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, min_bytes: int | None = None) -> DataFrame:
-    """ROW and spans (ascending byte ranges to remove), for documents with some."""
+def repeats(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, min_bytes: int | None = None, passage_words: int | None = None) -> DataFrame:
+    """ROW and spans (ascending byte ranges to remove), for documents with some.
+    With `passage_words`, windows of passages of so many words or more that an
+    earlier document has too go as well, whatever units they lie in."""
     every = materialize(units(docs, unit, min_words, min_bytes), "units")
     firsts = every.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct(ROW, "at")).alias("first")).where("n > 1").select("d1", "d2", "first")
     firsts = materialize(firsts, "repeated-units")
     later = every.join(firsts, ["d1", "d2"]).where(F.struct(ROW, "at") != F.col("first"))
+    later = later.select(ROW, "start", "end")
+    if passage_words is not None:
+        later = later.union(passages(docs, passage_words))
     spans = later.groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    if passage_words is not None:
+        return _merged(spans)
     return _outermost(spans) if unit == "all" else spans
 
 
@@ -181,12 +302,12 @@ def remove_spans(text, spans):
     return F.when(F.size(spans) == 0, text).otherwise(F.array_join(pieces, ""))
 
 
-def line_dedup(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, *keep: str, min_bytes: int | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, *keep: str, min_bytes: int | None = None, passage_words: int | None = None) -> DataFrame:
     """doc_id, the columns named in `keep`, text (what remains), n_removed,
     removed_bytes and spans of every document."""
     rows = keyed(docs, "text", *keep)
     none = F.array().cast("array<struct<start:int,end:int>>")
-    joined = rows.join(repeats(rows, unit, min_words, min_bytes), ROW, "left").withColumn("spans", F.coalesce("spans", none))
+    joined = rows.join(repeats(rows, unit, min_words, min_bytes, passage_words), ROW, "left").withColumn("spans", F.coalesce("spans", none))
     return joined.select(
         "doc_id",
         *keep,

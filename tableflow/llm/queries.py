@@ -30,7 +30,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = lines.line_dedup(table(spark, sf_dir, "documents"), "all", lines.LONG_WORDS, min_bytes=lines.LONG_BYTES)
+    cleaned = lines.line_dedup(table(spark, sf_dir, "documents"), "all", lines.LONG_WORDS, min_bytes=lines.LONG_BYTES, passage_words=lines.PASSAGE_WORDS)
     return cleaned.select("doc_id", "n_removed", "removed_bytes", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

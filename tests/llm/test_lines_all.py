@@ -96,3 +96,25 @@ def test_as_much_goes_as_by_sentences(spark):
     got = {r.doc_id: r for r in _all(spark, rows)}
     assert all(got[i].removed_bytes >= n for i, n in fine.items())
     assert [got[i].text for i, _ in rows] == _brute(rows)
+
+
+def test_passages_within_longer_sentences_go(spark):
+    """No unit of these texts repeats, but a passage in the middle does."""
+    r = random.Random(5)
+    some = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    long, longer, short = some(51), some(400), some(25)
+    rows = [(i, f"{some(20 + i)} {p} {some(30)}") for i, p in enumerate([long, long, longer, longer, short, short, "and " * 80, "and " * 90, long])]
+    rows += [(20, None), (21, ""), (22, long)]
+    for batch in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(batch)
+        got = {x.doc_id: x for x in lines.line_dedup(df, "all", lines.LONG_WORDS, min_bytes=lines.LONG_BYTES, passage_words=lines.PASSAGE_WORDS).collect()}
+        assert {i for i in got if got[i].n_removed} == {1, 3, 7, 8, 22}
+        for i, text in rows:
+            x = got[i]
+            assert (x.text is None) == (text is None)
+            raw = (text or "").encode()
+            gone = [raw[s.start : s.end].decode() for s in x.spans]
+            assert all(s.start >= p.end for p, s in zip(x.spans, x.spans[1:])) and sum(map(len, gone)) == x.removed_bytes
+            # All that goes stands in an earlier document.
+            assert all(any(j < i and t and g.strip() in t for j, t in rows) for g in gone)
+        assert got[3].removed_bytes > 0.85 * len(longer)
