@@ -3,12 +3,12 @@
 Documents with equal shingle sets are one class, and only its smallest member
 takes part.  The classes are joined with prefix filtering:
 
-1. How common each shingle is comes from two steps: a sketch of 2**SKETCH_BITS
-   counters over all shingles, then exact counts of those that fall into its
-   heavy counters.  The `LISTED` most common ones are broadcast with their
-   counts, the others with their counters.  Every document sorts its shingles
-   by that order, rare ones first (ties by hash); the order steers the work
-   only, results are exact for any order.
+1. How common each shingle is comes from a sketch of 2**SKETCH_BITS counters:
+   every shingle is counted in one of either half, and the lesser of its two
+   counters tells its level, so a rare one looks common only where it meets
+   common ones twice.  The levels are broadcast, one byte each.  Every document
+   sorts its shingles by level, rare ones first (ties by hash); the order steers
+   the work only, results are exact for any order.
 2. Two sets that reach the threshold share a shingle among the first
    n - ceil(t * n) + 1 of each.  These prefix n-grams are the join keys.
 3. Candidates of a key pass the length filter (t * larger <= smaller), the
@@ -27,7 +27,7 @@ exact while no group is ever expanded into all its pairs.  For the same reason
 the first pass verifies one pair per document, and then only those of its pairs
 that still lie across components.
 
-A key that `LISTED` shows to have more than `BLOCK` documents is dealt to
+A key that the sketch shows to have more than `BLOCK` documents is dealt to
 several tasks in the first pass, twice by different hashes; in the second pass
 such a key is dealt out in blocks of documents, pair of blocks by pair of
 blocks.
@@ -59,14 +59,12 @@ from tableflow.llm.idfilter import IdFilter, id_filter
 N_WORDS, PERCENT = 4, 85
 #: The sketch has 2**SKETCH_BITS counters, broadcast as one byte each.
 SKETCH_BITS = 22
-#: Most shingles whose exact counts are broadcast (9 bytes each).
-LISTED = 1 << 18
 BLOCK = 4096
 PARTS = 16
 #: Hash parts whose parities make a set's signature.
 BITS = 1024
-#: Shingles that a task counts, and pairs that it compares, at a time.
-CHUNK, STRIPE = 1 << 20, 1 << 17
+#: Pairs that a task compares at a time.
+STRIPE = 1 << 17
 
 _U = np.uint64
 _BITS = _U(53)
@@ -119,7 +117,8 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
             ids = batch.column(ROW)
             for rows, buf, offs in slices(batch):
                 h, edges, text = shingles(buf, offs, n)
-                np.add.at(counters, _counter(h), np.uint32(1))
+                for at in _counters(h):
+                    np.add.at(counters, at, np.uint32(1))
                 m = len(edges) - 1
                 bits = np.bincount(text * BITS + (h >> _U(53 - 10)).astype(np.int64), minlength=m * BITS) & 1
                 bits = np.packbits(bits.astype(np.uint8).reshape(m, BITS), axis=1)
@@ -143,8 +142,10 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
 _PROFILE = pa.schema([("kind", pa.int32()), (ROW, pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("blob", pa.binary()), ("bits", pa.binary())])
 
 
-def _counter(h: np.ndarray) -> np.ndarray:
-    return (mix(h) >> _U(64 - SKETCH_BITS)).astype(np.int64)
+def _counters(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in the sketch's first and second half the shingles are counted."""
+    x, half = mix(h), 1 << (SKETCH_BITS - 1)
+    return (x >> _U(64 - SKETCH_BITS + 1)).astype(np.int64), (x & _U(half - 1)).astype(np.int64) + half
 
 
 def _level(counts: np.ndarray) -> np.ndarray:
@@ -154,27 +155,24 @@ def _level(counts: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Order:
-    """How common shingles are: the level of each counter of the sketch, the
-    usual one, from which on a counter is heavy, and the exact counts of the
-    most common shingles of heavy counters."""
+    """How common shingles are: the level of each counter of the sketch, and
+    what stands out of the usual counter at each level."""
 
     levels: np.ndarray
-    usual: int
-    heavy: int
-    listed: np.ndarray
-    counts: np.ndarray
+    excess: np.ndarray
+
+    @classmethod
+    def by(cls, levels: np.ndarray) -> Order:
+        usual = float(2.0 ** (np.median(levels) / 8))
+        most = 2.0 ** (np.arange(256) / 8)
+        # A counter holds others' counts too, give or take a few roots of them.
+        return cls(levels, np.where(most >= usual + 4 * usual**0.5 + 4, most - usual, 0).astype(np.int64))
 
     def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(level, number of documents where it is listed, else 0)."""
-        level, counts = self.levels[_counter(h)].astype(np.int64), np.zeros(len(h), np.int64)
-        level[level >= self.heavy] = self.usual
-        if len(self.listed):
-            at = np.minimum(np.searchsorted(self.listed, h), len(self.listed) - 1)
-            there = self.listed[at] == h
-            counts[there] = self.counts[at[there]]
-            # A counter holds others' counts too: so do these, to be comparable.
-            level[there] = _level(counts[there] + 2.0 ** (self.usual / 8))
-        return level, counts
+        """(level, about how many documents where that stands out, else 0)."""
+        first, second = _counters(h)
+        level = np.minimum(self.levels[first], self.levels[second]).astype(np.int64)
+        return level, self.excess[level]
 
 
 def _sketch(blobs: DataFrame) -> np.ndarray:
@@ -195,50 +193,6 @@ def _sketch(blobs: DataFrame) -> np.ndarray:
     return levels
 
 
-def _order(docs: DataFrame, levels: np.ndarray, n: int) -> Order:
-    """Exact counts of the shingles in heavy counters; what comes to the driver
-    is at most `LISTED` of them."""
-    usual = float(2.0 ** (np.median(levels) / 8))
-    at, heavy = int(_level(np.array([usual]))[0]), int(_level(np.array([usual + 4 * usual**0.5 + 4]))[0])
-    nothing = Order(levels, at, heavy, np.zeros(0, _U), np.zeros(0, np.int64))
-    if not (levels >= heavy).any():
-        return nothing
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
-
-    def out(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_pydict({"shingle": pa.array(keys.view(np.int64)), "n": pa.array(counts, pa.int64())})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            for _, buf, offs in slices(batch):
-                h, _, _ = shingles(buf, offs, n)
-                held.append(h[shared.value[_counter(h)] >= heavy])
-                if sum(map(len, held)) > CHUNK:
-                    yield out(held)
-                    held = []
-        if held:
-            yield out(held)
-
-    counted = docs.select("text").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2")
-    counted = materialize(counted, "heavy-shingles", 2048)
-    by_size = counted.groupBy(F.floor(F.log2("n") * 8).alias("size")).agg(F.count("*").alias("some")).orderBy(F.desc("size")).collect()
-    total, least = 0, None
-    for r in by_size:  # a few hundred sizes at most
-        total += r["some"]
-        if total > LISTED:
-            break
-        least = r["size"]
-    if least is None:
-        discard(counted)
-        return nothing
-    found = counted.where(F.floor(F.log2("n") * 8) >= least).toArrow().sort_by("shingle")
-    discard(counted)
-    keys, counts = found.column("shingle").to_numpy(), found.column("n").to_numpy()
-    return Order(levels, at, heavy, keys.view(_U), counts)
-
-
 def _overlap(both: np.ndarray, percent: int) -> np.ndarray:
     """Least common shingles of two sets of `both` shingles in all."""
     return -(-percent * both // (100 + percent))
@@ -527,7 +481,7 @@ def jaccard_components(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT
     profile = materialize(_profile(docs, n), "shingle-profiles", 2048)
     of = profile.where("kind = 0").select(ROW, "n", "d1", "d2")
     signatures = profile.where("kind = 0").select(ROW, "n", "bits")
-    order = spark.sparkContext.broadcast(_order(docs, _sketch(profile.where("kind = 1")), n))
+    order = spark.sparkContext.broadcast(Order.by(_sketch(profile.where("kind = 1"))))
 
     # Copies merge before the shuffle's groups are looked at: one row per class.
     entries, copies = _representatives(of, docs, order, n, percent)

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,18 @@ def test_jaccard_stars_and_chains(spark, monkeypatch, block):
 
 def test_jaccard_empty_table(spark):
     assert jaccard.jaccard_join(edge.none(spark)).count() == 0
+
+
+def test_the_sketch_tells_common_shingles(spark):
+    """The order comes from the profile's sketch alone: counts of what is common
+    stand out at its level, and rare shingles stay below wherever they lie."""
+    r = np.random.default_rng(5)
+    rare, common = (r.integers(1 << 53, size=n).astype(np.uint64) for n in (200_000, 5_000))
+    counters = np.zeros(1 << jaccard.SKETCH_BITS, np.int64)
+    for h, n in ((rare, 1), (common, 6_000)):
+        for at in jaccard._counters(h):
+            np.add.at(counters, at, n)
+    order = jaccard.Order.by(jaccard._level(counters))
+    assert (order.of(common)[1] > jaccard.BLOCK).all()
+    level, counts = order.of(rare)
+    assert (counts > 0).mean() < 1e-3 and (level < order.of(common)[0].min()).mean() > 0.999
