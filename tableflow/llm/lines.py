@@ -26,7 +26,9 @@ document are left to the units.
 
 Digests are counted with map-side combining; only the few repeated ones are
 joined back to the units, in a join that can be split, so a line that a third
-of all documents share lands in no single task.
+of all documents share lands in no single task.  Of the windows, those with at
+least the share `WINDOW_SHARE` of all (at most 1 / WINDOW_SHARE digests) are
+broadcast instead: what a document has of them in a row is one range at once.
 
 Edge cases: a null or wordless text has no units and stays as it is (null
 stays null).  Rows that share a doc_id (null too) are ordered by their text;
@@ -54,6 +56,8 @@ MIN_BYTES = 24
 LONG_WORDS, LONG_BYTES = 15, 100
 #: Passages as long as this are found whatever their units.
 PASSAGE_WORDS = 51
+#: Windows with this share of all are looked up where they lie.
+WINDOW_SHARE = 1e-5
 
 _U = np.uint64
 _SENTENCE_END = np.zeros(256, bool)
@@ -221,9 +225,57 @@ def passages(docs: DataFrame, n_words: int) -> DataFrame:
                 })
 
     every = materialize(docs.select(ROW, "text").mapInArrow(run, f"{ROW} bigint, start int, end int, d1 bigint, d2 bigint"), "windows")
-    firsts = every.groupBy("d1", "d2").agg(F.min(ROW).alias("first"), F.max(ROW).alias("last")).where("first < last").select("d1", "d2", "first")
+    firsts = every.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(ROW).alias("first"), F.max(ROW).alias("last")).where("first < last").select("d1", "d2", "n", "first")
     firsts = materialize(firsts, "shared-windows")
-    return every.join(firsts, ["d1", "d2"]).where(F.col(ROW) != F.col("first")).select(ROW, "start", "end")
+    least = WINDOW_SHARE * every.count()
+    rare, common = _known(every, firsts.where(F.col("n") >= least))
+    later = rare.join(firsts.where(F.col("n") < least), ["d1", "d2"]).where(F.col(ROW) != F.col("first"))
+    return later.select(ROW, "start", "end").union(common)
+
+
+def _known(every: DataFrame, firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the windows that firsts does not have; ROW, start, end of those that it
+    has from an earlier document, ones that overlap as one)."""
+    table = firsts.toArrow().sort_by("d1")
+    known = {c: table.column(c).to_numpy() for c in ("d1", "d2", "first")}
+    shared = every.sparkSession.sparkContext.broadcast(known)
+
+    def places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(which windows are known, their first document)."""
+        d1, d2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d1", "d2"))
+        of = shared.value
+        there, first = np.zeros(len(d1), bool), np.zeros(len(d1), np.int64)
+        if not len(of["d1"]):
+            return there, first
+        at = np.searchsorted(of["d1"], d1)
+        while True:  # once, unless two known ones have the same d1
+            inside = np.minimum(at, len(of["d1"]) - 1)
+            same = (at < len(of["d1"])) & (of["d1"][inside] == d1) & ~there
+            if not same.any():
+                return there, first
+            hit = same & (of["d2"][inside] == d2)
+            there |= hit
+            first[hit] = of["first"][inside[hit]]
+            at = at + 1
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~places(batch)[0]))
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            there, first = places(batch)
+            row, start, end = (batch.column(c).to_numpy(zero_copy_only=False) for c in (ROW, "start", "end"))
+            keep = there & (row != first)
+            # A document's windows lie in a row, ascending; a batch's edge may part them.
+            row, start, end = row[keep], start[keep], end[keep]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (start[1:] >= end[:-1]) | (start[1:] < start[:-1])
+            at = np.flatnonzero(new)
+            yield pa.RecordBatch.from_pydict({ROW: pa.array(row[at], pa.int64()), "start": pa.array(start[at], pa.int32()), "end": pa.array(end[np.append(at[1:], len(row)) - 1] if len(at) else end, pa.int32())})
+
+    rest = every.mapInArrow(others, f"{ROW} bigint, start int, end int, d1 bigint, d2 bigint")
+    return rest, every.mapInArrow(spans, f"{ROW} bigint, start int, end int")
 
 
 def _merged(spans: DataFrame) -> DataFrame:

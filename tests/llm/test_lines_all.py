@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline as cp
 from tableflow.llm import lines
 from tableflow.llm.queries import op5_substring_dedup
@@ -118,3 +120,24 @@ def test_passages_within_longer_sentences_go(spark):
             # All that goes stands in an earlier document.
             assert all(any(j < i and t and g.strip() in t for j, t in rows) for g in gone)
         assert got[3].removed_bytes > 0.85 * len(longer)
+
+
+@pytest.mark.parametrize("share", [lines.WINDOW_SHARE, 1.0])
+def test_common_windows_are_ranges_at_once(spark, monkeypatch, share):
+    """Of a passage that all documents share, each has one range, not one per
+    window, and whether windows are broadcast changes no result."""
+    monkeypatch.setattr(lines, "WINDOW_SHARE", share)
+    shared = edge.prose(77, 300, end=10**9)
+    rows = [(i, f"{edge.prose(300 + i, 60, end=10**9)} {shared} {edge.prose(600 + i, 60, end=10**9)}") for i in range(40)]
+    docs = spark.createDataFrame(rows, f"{lines.ROW} bigint, text string")
+    found = lines.passages(docs, lines.PASSAGE_WORDS).collect()
+    assert (len(found) <= 2 * 39) == (share < 1)
+    covered = {}
+    for x in found:
+        covered.setdefault(x[lines.ROW], set()).update(range(x.start, x.end))
+    assert sorted(covered) == list(range(1, 40))
+    for i, text in rows[1:]:
+        begin = text.encode().index(shared.encode())
+        inner = range(begin + len(" ".join(shared.split()[:26])) + 1, begin + len(" ".join(shared.split()[:-26])))
+        assert covered[i].issuperset(inner)
+        assert not covered[i] - set(range(begin, begin + len(shared) + 1))
