@@ -22,6 +22,8 @@ from tableflow.llm.flat import word_hashes
 
 #: Distinct pieces whose ids a worker remembers.
 MEMORY = 1_000_000
+#: Pieces that the tokenizer reads in one call.
+TOGETHER = 2048
 
 _LETTER, _DIGIT, _SPACE, _OTHER = 0, 1, 2, 3
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -105,7 +107,8 @@ class Encoder:
         return np.flatnonzero(self._closes[ids]) + 1
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
+        # Few at a time: an encoding holds far more than its ids.
+        return [e.ids for k in range(0, len(texts), TOGETHER) for e in self._tokenizer.encode_batch(texts[k : k + TOGETHER], add_special_tokens=False)]
 
     def _added_tokens(self, raw: bytes, offs: np.ndarray) -> list[tuple[int, int]]:
         """Byte ranges of the file's added tokens, none across texts."""
