@@ -67,17 +67,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableflow.llm.common import ROW, crc_of_id, discard, keyed, materialize
-from tableflow.llm.flat import LOWER, SPACES, lists, mix, pack, plane, slices, unpack, unplane, word_hashes, words
+from tableflow.llm.flat import LOWER, SPACES, lists, mix, pack, parts, plane, slices, unpack, unplane, word_hashes, words
 
 ORDER = 6
 STATE_SHARE, WORD_SHARE, LANGUAGE_SHARE = 5e-5, 1e-6, 0.02
 END = 0x0A
 #: Grams that a task sorts at a time; bytes of a stretch of text.
 CHUNK, STRETCH = 1 << 21, 2048
+#: Rows of what a task gives out at a time, and of those with packed keys.
+WRITTEN, PACKED = 1 << 16, 32
 #: Text of a block, whose counts a task holds.
 BLOCK_BYTES = 1 << 25
 #: Keys of a range, which a task counts; low bits of a key, its token's.
-RANGE_KEYS, TOKEN_BITS = 1 << 21, 24
+RANGE_KEYS, TOKEN_BITS = 1 << 20, 24
 COUNT_PASSES, ASK_PASSES = 1, 2
 
 _U = np.uint64
@@ -128,9 +130,14 @@ def _counts(docs: DataFrame) -> DataFrame:
     """kind, key, n: kind -1 grams, else word hashes by the number of their
     language; docs has text and language."""
 
-    def out(kind: int, keys: list[np.ndarray]) -> pa.RecordBatch:
-        key, n = np.unique(np.concatenate(keys), return_counts=True)
-        return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": pa.array(key.view(np.int64)), "n": pa.array(n, pa.int64())})
+    def out(kind: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys = _sorted(held)
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        n = np.diff(np.append(at, len(keys)))
+        keys = keys[at]
+        for k in range(0, len(keys), WRITTEN):
+            key = keys[k : k + WRITTEN]
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": pa.array(key.view(np.int64)), "n": pa.array(n[k : k + WRITTEN], pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -142,10 +149,15 @@ def _counts(docs: DataFrame) -> DataFrame:
                 of = np.repeat(languages[rows], np.diff(first))
                 for kind in np.unique(of).tolist():
                     held.setdefault(kind, []).append(hashes[of == kind])
-                for kind in [k for k, keys in held.items() if sum(map(len, keys)) > CHUNK]:
-                    yield out(kind, held.pop(kind))
+                sizes = {k: sum(map(len, keys)) for k, keys in held.items()}
+                if sizes.pop(-1) > CHUNK:
+                    yield from out(-1, held.pop(-1))
+                while sum(sizes.values()) > CHUNK:  # of all languages together
+                    kind = max(sizes, key=sizes.get)
+                    del sizes[kind]
+                    yield from out(kind, held.pop(kind))
         for kind, keys in held.items():
-            yield out(kind, keys)
+            yield from out(kind, keys)
 
     raw = docs.select("text", "language").mapInArrow(run, "kind int, key bigint, n bigint")
     return materialize(raw.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ngram-counts")
@@ -190,10 +202,19 @@ def _grams_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _ranged(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """(range, where its keys are) of ascending keys."""
-    of = keys >> _U(64 - bits) if bits else np.zeros(len(keys), _U)
-    found, at = np.unique(of, return_index=True)
-    for k, a, z in zip(found.tolist(), at.tolist(), [*at[1:].tolist(), len(keys)]):
-        yield int(k), slice(a, z)
+    first = np.arange(1 << bits, dtype=_U) << _U(64 - bits) if bits else np.zeros(1, _U)
+    edges = np.append(np.searchsorted(keys, first), len(keys)).tolist()
+    for k in range(1 << bits):
+        if edges[k] < edges[k + 1]:
+            yield k, slice(edges[k], edges[k + 1])
+
+
+def _sorted(held: list[np.ndarray]) -> np.ndarray:
+    """What is held, ascending; it is held no more."""
+    keys = np.concatenate(held)
+    held.clear()
+    keys.sort()
+    return keys
 
 
 def _in_pass(keys: np.ndarray, k: int, passes: int) -> np.ndarray:
@@ -209,8 +230,10 @@ def _sent(docs: DataFrame, bits: int, k: int, passes: int) -> DataFrame:
     documents have, with how often; kind 1 what held-out documents ask for."""
 
     def out(held: list[np.ndarray], kind: int) -> pa.RecordBatch:
-        keys, ns = np.unique(np.concatenate(held), return_counts=True)
-        rows = [(r, kind, pack(keys[at]), plane(ns[at].astype("<u8")) if kind == 0 else b"") for r, at in _ranged(keys, bits)]
+        keys, rows = _sorted(held), []
+        for r, at in _ranged(keys, bits):  # range by range: the copies stay small
+            own, ns = np.unique(keys[at], return_counts=True)
+            rows.append((r, kind, pack(own), plane(ns.astype("<u8")) if kind == 0 else b""))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,11 +248,10 @@ def _sent(docs: DataFrame, bits: int, k: int, passes: int) -> DataFrame:
                     if len(own):
                         waiting[kind].append(own)
                     if sum(map(len, waiting[kind])) > 2 * CHUNK:
-                        yield out(waiting[kind], kind)
-                        waiting[kind] = []
+                        yield from parts(out(waiting[kind], kind), PACKED)
         for kind, held in enumerate(waiting):
             if held:
-                yield out(held, kind)
+                yield from parts(out(held, kind), PACKED)
 
     return docs.select("held_out", "text").mapInArrow(run, "range bigint, kind int, keys binary, ns binary")
 
@@ -242,16 +264,16 @@ def _counted(sent: DataFrame) -> DataFrame:
     with how often and the context that they are themselves; contexts (context
     true) seen twice, with the number of distinct tokens behind them."""
 
-    def emit(parts: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        if 0 not in parts:
+    def emit(sent: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        if 0 not in sent:
             return
-        keys = np.concatenate([x for x, _ in parts[0]])
-        ns = np.concatenate([x for _, x in parts[0]])
+        keys = np.concatenate([x for x, _ in sent[0]])
+        ns = np.concatenate([x for _, x in sent.pop(0)])
         order = np.argsort(keys, kind="stable")
         keys, ns = keys[order], ns[order]
         at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         keys, ns = keys[at], np.add.reduceat(ns, at)
-        asked = np.unique(np.concatenate([x for x, _ in parts.get(1, [(np.zeros(0, _U), None)])]))
+        asked = np.unique(np.concatenate([x for x, _ in sent.get(1, [(np.zeros(0, _U), None)])]))
         keep = ns > 1
         if len(asked):
             keep |= asked[np.minimum(np.searchsorted(asked, keys), len(asked) - 1)] == keys
@@ -262,17 +284,17 @@ def _counted(sent: DataFrame) -> DataFrame:
         total, kinds = np.add.reduceat(ns, first), np.diff(np.append(first, len(keys)))
         often = total > 1
         for context, key, then, n in ((False, some, follows, ns[keep]), (True, head[first][often], np.full(int(often.sum()), -1), kinds[often])):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), context)), pa.array(key.view(np.int64)), pa.array(then, pa.int64()), pa.array(n.astype(np.int64))], schema=_COUNTED)
+            yield from parts(pa.RecordBatch.from_arrays([pa.array(np.full(len(key), context)), pa.array(key.view(np.int64)), pa.array(then, pa.int64()), pa.array(n.astype(np.int64))], schema=_COUNTED), WRITTEN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, {}
+        now, held = None, {}
         for batch in batches:
             for row in batch.to_pylist():
                 if row["range"] != now:
-                    yield from emit(parts)
-                    now, parts = row["range"], {}
-                parts.setdefault(row["kind"], []).append((unpack(row["keys"]), unplane(row["ns"]).astype(np.int64)))
-        yield from emit(parts)
+                    yield from emit(held)
+                    now, held = row["range"], {}
+                held.setdefault(row["kind"], []).append((unpack(row["keys"]), unplane(row["ns"]).astype(np.int64)))
+        yield from emit(held)
 
     dealt = sent.repartition("range").sortWithinPartitions("range")
     return dealt.mapInArrow(run, "context boolean, key bigint, follows bigint, n bigint")
@@ -480,8 +502,9 @@ def _by_key(docs: DataFrame, of, schema: str, bits: int) -> DataFrame:
     """range, block, keys: what each block's documents ask for, packed.
     `of(buf, offs)` gives the keys of texts and their texts' numbers."""
 
-    def out(block: int, keys: np.ndarray) -> pa.RecordBatch:
-        rows = [(r, block, pack(keys[at])) for r, at in _ranged(keys, bits)]
+    def out(block: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        keys = _sorted(held)
+        rows = [(r, block, pack(np.unique(keys[at]))) for r, at in _ranged(keys, bits)]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ASKED)], schema=_ASKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -494,11 +517,14 @@ def _by_key(docs: DataFrame, of, schema: str, bits: int) -> DataFrame:
                 here = np.unique(group).tolist()
                 for k in here:
                     waiting.setdefault(k, []).append(keys if len(here) == 1 else keys[group[text] == k])
-                for k in [k for k, held in waiting.items() if sum(map(len, held)) > 2 * CHUNK]:
-                    yield out(k, np.unique(np.concatenate(waiting.pop(k))))
+                sizes = {k: sum(map(len, held)) for k, held in waiting.items()}
+                while sum(sizes.values()) > 2 * CHUNK:  # of all blocks of the task together
+                    k = max(sizes, key=sizes.get)
+                    del sizes[k]
+                    yield from parts(out(k, waiting.pop(k)), PACKED)
         for k, held in waiting.items():
-            if len(keys := np.unique(np.concatenate(held))):
-                yield out(k, keys)
+            if any(map(len, held)):
+                yield from parts(out(k, held), PACKED)
 
     return docs.select("block", "text").repartition("block").mapInArrow(run, schema)
 
@@ -689,16 +715,18 @@ def _by_block(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa
 
 def _tables(parts: list[pa.RecordBatch], size: int) -> tuple[Table, Table]:
     words_of = [(np.zeros(0, np.int64), np.zeros((0, size), np.int64), np.zeros(0, np.int64))]
-    grams = [(np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, _U))]
+    grams = [(np.zeros(0, _U), np.zeros(0, np.uint32), np.zeros(0, np.uint32))]
     for part in parts:
         own = part.filter(part.column("key").is_valid())
         n = own.column("n").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, size)
         words_of.append((own.column("key").to_numpy(zero_copy_only=False).astype(np.int64), n, own.column("t").to_numpy(zero_copy_only=False).astype(np.int64)))
         for row in part.filter(part.column("keys").is_valid()).select(["keys", "ns", "ts"]).to_pylist():
-            grams.append((unpack(row["keys"]), unplane(row["ns"]), unplane(row["ts"])))
+            # Counts of what is not broadcast are small.
+            grams.append((unpack(row["keys"]), unplane(row["ns"]).astype(np.uint32), unplane(row["ts"]).astype(np.uint32)))
     key, n, t = (np.concatenate(x) for x in zip(*words_of))
     gram, times, behind = (np.concatenate(x) for x in zip(*grams))
-    return Table.of(key.view(_U), n, t), Table.of(gram, times.astype(np.int64)[:, None], behind.astype(np.int64))
+    grams.clear()
+    return Table.of(key.view(_U), n, t), Table.of(gram, times[:, None], behind)
 
 
 def _languages(rows: DataFrame) -> tuple[list[str | None], int]:

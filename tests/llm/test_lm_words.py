@@ -1,8 +1,10 @@
 """The word tiers of the language model, against a dictionary model."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tableflow.llm import lm
@@ -71,3 +73,25 @@ def test_unknown_long_word_has_a_score(spark):
     rows = [(held, "q" * 3000, "en"), *[(i, edge.prose(i, 30), "en") for i in range(200, 210)]]
     got = {r.doc_id: r.score for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
     assert got[held] is not None and math.isfinite(got[held])
+
+
+def test_ranges_of_sorted_keys():
+    """Sorted keys, repeats too, are cut at the ranges' edges."""
+    r = np.random.default_rng(4)
+    every = [r.integers(1 << 63, size=4_000).astype(np.uint64) // np.uint64(1 << 50) << np.uint64(50) for _ in range(3)]
+    keys = lm._sorted(list(every))
+    assert (keys == np.sort(np.concatenate(every))).all()
+    for bits in (0, 1, 5):
+        got = list(lm._ranged(keys, bits))
+        assert [k for k, _ in got] == np.unique(keys >> np.uint64(64 - bits) if bits else keys * np.uint64(0)).tolist()
+        assert (np.concatenate([keys[at] for _, at in got]) == keys).all()
+    assert list(lm._ranged(keys[:0], 3)) == []
+
+
+def test_counting_in_parts_changes_no_score(spark, monkeypatch):
+    rows = [(i, t, r.choice(["en", "de"])) for r in [random.Random(8)] for i, t in enumerate(edge.prose(40 + k, 80) for k in range(40))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    want = {x.doc_id: (x.n_known, round(x.base_score, 6), round(x.score, 6)) for x in lm.lm_scores(docs).collect()}
+    for name, value in (("CHUNK", 64), ("WRITTEN", 16), ("PACKED", 2), ("RANGE_KEYS", 256), ("BLOCK_BYTES", 4096)):
+        monkeypatch.setattr(lm, name, value)
+    assert {x.doc_id: (x.n_known, round(x.base_score, 6), round(x.score, 6)) for x in lm.lm_scores(docs).collect()} == want
