@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableflow.operators.names import quote as quote_name
 from tableflow.sinks.formats import TEXT_TIME_OPTIONS
@@ -17,6 +20,46 @@ CSV_QUOTE = '"'
 CSV_ESCAPE = "\\"
 
 
+# Rows of an Arrow batch while packed rows move (a row may be a whole blob of
+# some _BLOB_BYTES of rows, before they are compressed).
+_ARROW_ROWS, _BLOB_BYTES = 64, 1 << 20
+# Types that a packed batch gives back as they were.
+_PACKABLE = (T.NumericType, T.BooleanType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _packed(df: DataFrame, num_files: int) -> DataFrame:
+    """``df`` in ``num_files`` partitions.  The rows travel as compressed
+    batches of columns, which take about half of what shuffled rows take."""
+    own = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names may repeat
+    numbers = {f.name: f.dataType for f in own.schema if isinstance(f.dataType, (T.IntegralType, T.FractionalType)) and not isinstance(f.dataType, T.DecimalType)}
+    encoding = {c: "DELTA_BINARY_PACKED" if isinstance(t, T.IntegralType) else "BYTE_STREAM_SPLIT" for c, t in numbers.items()}
+    others = [c for c in own.columns if c not in numbers]
+
+    def blob(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        pq.write_table(pa.Table.from_batches(held), sink, compression="zstd", use_dictionary=others, column_encoding=encoding)
+        return pa.RecordBatch.from_pydict({"rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= _BLOB_BYTES:
+                yield blob(held)
+                held, size = [], 0
+        if held:
+            yield blob(held)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("rows"):
+                yield from pq.read_table(pa.BufferReader(blob.as_buffer())).to_batches()
+
+    moved = own.mapInArrow(pack, "rows binary").repartition(num_files)
+    return moved.mapInArrow(unpack, own.schema).toDF(*df.columns)
+
+
 def _shape(df: DataFrame, num_files: int | None, strategy: str) -> DataFrame:
     if num_files is None:
         return df
@@ -26,6 +69,10 @@ def _shape(df: DataFrame, num_files: int | None, strategy: str) -> DataFrame:
     if strategy == "coalesce":
         # No shuffle, but the whole upstream stage runs in n tasks.
         return df.coalesce(num_files)
+    if strategy == "packed":
+        # As repartition, with fewer bytes to read for the tasks that write.
+        plain = all(isinstance(f.dataType, _PACKABLE) for f in df.schema)
+        return _packed(df, num_files) if plain and df.columns else df.repartition(num_files)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
@@ -63,7 +110,16 @@ def write_csv(
     )
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.csv(path)
+    if strategy != "packed":
+        writer.csv(path)
+        return path
+    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(limit)
+    conf.set(limit, _ARROW_ROWS)
+    try:
+        writer.csv(path)
+    finally:
+        conf.set(limit, usual)
     return path
 
 
@@ -117,10 +173,11 @@ def guarded_csv_export(
     return df, True
 
 
-def single_file_csv(df: DataFrame, path: str, strategy: str = "repartition", **kwargs) -> str:
-    """One CSV file.  ``repartition`` (default) keeps the upstream stage
-    parallel and funnels only the final write through one task; ``coalesce``
-    avoids the shuffle but runs the whole upstream stage in one task."""
+def single_file_csv(df: DataFrame, path: str, strategy: str = "packed", **kwargs) -> str:
+    """One CSV file.  ``packed`` (default) and ``repartition`` keep the upstream
+    stage parallel and funnel only the final write through one task, which reads
+    the rows as compressed batches or one by one; ``coalesce`` avoids the
+    shuffle but runs the whole upstream stage in one task."""
     return write_csv(df, path, num_files=1, strategy=strategy, **kwargs)
 
 

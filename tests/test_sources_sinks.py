@@ -1,9 +1,10 @@
 import datetime as dt
+import decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from tableflow.sinks.csv import guarded_csv_export, output_file_stats, read_csv, single_file_csv, write_csv
+from tableflow.sinks.csv import _shape, guarded_csv_export, output_file_stats, read_csv, single_file_csv, write_csv
 from tableflow.sinks.json import write_json
 from tableflow.sinks.partitioned import partition_upsert
 from tableflow.sources.jdbc import jdbc_options
@@ -47,6 +48,20 @@ def test_single_file(spark, scratch, strategy):
     assert (stats.n_files, stats.n_rows) == (1, 1000)
 
 
+def test_single_file_reads_packed_batches(spark, scratch):
+    """The one task that writes reads batches, with every kind of value."""
+    kinds = "i int, l bigint, d double, n decimal(9,2), b boolean, s string, o date, z timestamp, w timestamp_ntz"
+    stamp = dt.datetime(2024, 5, 6, 7, 8, 9, 12)
+    rows = [(i, -i << 40, i / 7, decimal.Decimal(i) / 4, i % 2 == 0, f' a"{i}, ', stamp.date(), stamp, stamp) for i in range(50)]
+    df = spark.createDataFrame([*rows, (None,) * 9], kinds).repartition(3)
+    packed = _shape(df, 1, "packed")
+    assert packed._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2 and packed.dtypes == df.dtypes
+    lines = [sorted(r.value for r in spark.read.text(single_file_csv(df, scratch(s), strategy=s)).collect()) for s in ("packed", "repartition")]
+    assert lines[0] == lines[1] and len(lines[0]) == 51
+    spans = spark.sql("SELECT INTERVAL '3' DAY AS s")  # not packed
+    assert spark.read.text(single_file_csv(spans, scratch("spans"))).count() == 1
+
+
 def test_json_recursive_scan_and_schema(spark, scratch):
     base = scratch()
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id INT, s STRING")
