@@ -20,12 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, batch: int | None = None, row_group: int | None = None, large: bool = False) -> DataFrame:
     """Write to a new folder of the shared scratch space and read it back:
     cuts the lineage, survives lost executors and gives the optimizer the
     real size of what follows.  The shuffle files behind it are of no further
     use; a collection of the driver's garbage lets Spark's cleaner find them.
-    `batch` bounds the rows of an Arrow batch meanwhile, for wide rows."""
+    `batch` bounds the rows of an Arrow batch meanwhile, for wide rows, and
+    `row_group` the bytes that a writer or a reader of them holds.  After a
+    `large` shuffle garbage is collected twice: the first time may come before
+    Spark has let go of the write, and the files would lie there until the next."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -33,10 +36,12 @@ def materialize(df: DataFrame, name: str, batch: int | None = None) -> DataFrame
     try:
         if batch is not None and not 0 < int(usual) <= batch:
             spark.conf.set(limit, batch)
-        df.write.parquet(path)
+        writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
+        writer.parquet(path)
     finally:
         spark.conf.set(limit, usual)
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2 if large else 1):
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -45,9 +45,9 @@ Words, pairs and triples with at least the share `WORD_SHARE` of all training
 tokens (at most 1 / WORD_SHARE of each kind) are broadcast.  For all others the
 documents are dealt to blocks of some `BLOCK_BYTES`; a block asks once for each
 key that its documents hold, range by range, and a task walks a block's
-documents behind the counts that came back.  Counting takes `COUNT_PASSES` and
-asking `ASK_PASSES` over the texts, each for a part of the keys, so that a part
-of the keys is on disk at a time.
+documents behind the counts that came back.  Counting takes `COUNT_PASSES` over
+the texts and answering `ASK_PASSES` over what is asked, each for a part of the
+keys, so that a part of them is shuffled at a time.
 
 Edge cases: a null or empty text is the end alone.  Rows that share a doc_id
 (null too, whose checksum is the empty text's) are scored each for itself.  A
@@ -76,11 +76,15 @@ END = 0x0A
 CHUNK, STRETCH = 1 << 21, 2048
 #: Rows of what a task gives out at a time, and of those with packed keys.
 WRITTEN, PACKED = 1 << 16, 32
+#: Text that a task cuts into keys at a time.
+SLICE = 1 << 17
 #: Text of a block, whose counts a task holds.
 BLOCK_BYTES = 1 << 25
 #: Keys of a range, which a task counts; low bits of a key, its token's.
 RANGE_KEYS, TOKEN_BITS = 1 << 20, 24
 COUNT_PASSES, ASK_PASSES = 1, 2
+#: Keys of a row of a packed table; bytes that a writer of packed rows gathers.
+PIECE, ROW_GROUP = 1 << 15, 1 << 24
 
 _U = np.uint64
 _PAD = ORDER - 1
@@ -126,24 +130,28 @@ def _grams(stream: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return grams[keep]
 
 
-def _counts(docs: DataFrame) -> DataFrame:
+_SENT = pa.schema([("range", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("ns", pa.binary())])
+
+
+def _counts(docs: DataFrame, bits: int) -> DataFrame:
     """kind, key, n: kind -1 grams, else word hashes by the number of their
-    language; docs has text and language."""
+    language; docs has text and language.  Tasks send packed keys to the range
+    that their mixed bits name."""
 
     def out(kind: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys = _sorted(held)
-        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-        n = np.diff(np.append(at, len(keys)))
-        keys = keys[at]
-        for k in range(0, len(keys), WRITTEN):
-            key = keys[k : k + WRITTEN]
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": pa.array(key.view(np.int64)), "n": pa.array(n[k : k + WRITTEN], pa.int64())})
+        keys, n = _tallied(_sorted(held))
+        of = (mix(keys) >> _U(64 - bits)).astype(np.uint16) if bits else np.zeros(len(keys), np.uint16)
+        order = np.argsort(of, kind="stable")
+        keys, n, of = keys[order], n[order], of[order]
+        cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)]).tolist()
+        rows = [(int(of[a]), kind, pack(keys[a:z]), plane(n[a:z].astype("<u8"))) for a, z in zip(cuts, [*cuts[1:], len(of)])]
+        yield from parts(pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SENT)], schema=_SENT), PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             languages = batch.column("language").to_numpy(zero_copy_only=False)
-            for rows, buf, offs in slices(batch):
+            for rows, buf, offs in slices(batch, max_bytes=SLICE):
                 stream, edges, hashes, first, _ = spell(buf, offs)
                 held.setdefault(-1, []).append(_grams(stream, edges))
                 of = np.repeat(languages[rows], np.diff(first))
@@ -159,8 +167,43 @@ def _counts(docs: DataFrame) -> DataFrame:
         for kind, keys in held.items():
             yield from out(kind, keys)
 
-    raw = docs.select("text", "language").mapInArrow(run, "kind int, key bigint, n bigint")
-    return materialize(raw.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ngram-counts")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> Iterator[pa.RecordBatch]:
+            for (_, kind), blobs in held.items():
+                keys, n = _added(blobs)
+                for k in range(0, len(keys), WRITTEN):
+                    key = keys[k : k + WRITTEN]
+                    yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": pa.array(key.view(np.int64)), "n": pa.array(n[k : k + WRITTEN], pa.int64())})
+
+        held: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = (row["range"], row["kind"])
+                if at not in held:  # the rows come by range and kind
+                    yield from told()
+                    held = {at: []}
+                held[at].append((row["keys"], row["ns"]))
+        yield from told()
+
+    sent = docs.select("text", "language").mapInArrow(run, "range bigint, kind int, keys binary, ns binary")
+    dealt = sent.repartition("range").sortWithinPartitions("range", "kind")
+    return materialize(dealt.mapInArrow(add, "kind int, key bigint, n bigint"), "ngram-counts", 2048, large=True)
+
+
+def _tallied(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of ascending keys, and how often each is there."""
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[at], np.diff(np.append(at, len(keys)))
+
+
+def _added(blobs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys (ascending) of packed keys and counts, counts added."""
+    keys = np.concatenate([unpack(x) for x, _ in blobs])
+    ns = np.concatenate([unplane(x) for _, x in blobs]).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys, ns = keys[order], ns[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[at], np.add.reduceat(ns, at) if len(at) else ns
 
 
 def sequences(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -222,9 +265,6 @@ def _in_pass(keys: np.ndarray, k: int, passes: int) -> np.ndarray:
     return (keys >> _U(TOKEN_BITS)) % _U(passes) == _U(k)
 
 
-_SENT = pa.schema([("range", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("ns", pa.binary())])
-
-
 def _sent(docs: DataFrame, bits: int, k: int, passes: int) -> DataFrame:
     """range, kind, keys, ns: the keys of one pass, packed; kind 0 what training
     documents have, with how often; kind 1 what held-out documents ask for."""
@@ -240,14 +280,16 @@ def _sent(docs: DataFrame, bits: int, k: int, passes: int) -> DataFrame:
         waiting: list[list[np.ndarray]] = [[], []]
         for batch in batches:
             asks = batch.column("held_out").to_numpy(zero_copy_only=False)
-            for rows, buf, offs in slices(batch):
+            for rows, buf, offs in slices(batch, max_bytes=SLICE):
                 keys, text = _grams_of(buf, offs)
-                mine = _in_pass(keys, k, passes)
-                keys, ask = keys[mine], asks[rows][text[mine]]
+                if passes > 1:
+                    mine = _in_pass(keys, k, passes)
+                    keys, text = keys[mine], text[mine]
+                ask = asks[rows][text]
                 for kind, own in ((0, keys[~ask]), (1, keys[ask])):
                     if len(own):
                         waiting[kind].append(own)
-                    if sum(map(len, waiting[kind])) > 2 * CHUNK:
+                    if sum(map(len, waiting[kind])) > CHUNK:
                         yield from parts(out(waiting[kind], kind), PACKED)
         for kind, held in enumerate(waiting):
             if held:
@@ -256,65 +298,69 @@ def _sent(docs: DataFrame, bits: int, k: int, passes: int) -> DataFrame:
     return docs.select("held_out", "text").mapInArrow(run, "range bigint, kind int, keys binary, ns binary")
 
 
-_COUNTED = pa.schema([("context", pa.bool_()), ("key", pa.int64()), ("follows", pa.int64()), ("n", pa.int64())])
+_COUNTED = pa.schema([("range", pa.int64()), ("context", pa.bool_()), ("keys", pa.binary()), ("ns", pa.binary())])
 
 
 def _counted(sent: DataFrame) -> DataFrame:
-    """context, key, follows, n.  Grams (context false) seen twice or asked for,
-    with how often and the context that they are themselves; contexts (context
-    true) seen twice, with the number of distinct tokens behind them."""
+    """range, context, keys, ns, packed in pieces.  Grams (context false) seen
+    twice or asked for, with how often; contexts (context true) with two or more
+    distinct tokens behind them, with their number.  All of a context's grams
+    are in its range."""
 
-    def emit(sent: dict[int, list]) -> Iterator[pa.RecordBatch]:
+    def emit(span: int, sent: dict[int, list]) -> Iterator[pa.RecordBatch]:
         if 0 not in sent:
             return
-        keys = np.concatenate([x for x, _ in sent[0]])
-        ns = np.concatenate([x for _, x in sent.pop(0)])
-        order = np.argsort(keys, kind="stable")
-        keys, ns = keys[order], ns[order]
-        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        keys, ns = keys[at], np.add.reduceat(ns, at)
-        asked = np.unique(np.concatenate([x for x, _ in sent.get(1, [(np.zeros(0, _U), None)])]))
+        keys, ns = _added(sent.pop(0))
         keep = ns > 1
-        if len(asked):
+        if 1 in sent:
+            asked = np.unique(np.concatenate([unpack(x) for x, _ in sent.pop(1)]))
             keep |= asked[np.minimum(np.searchsorted(asked, keys), len(asked) - 1)] == keys
-        some, pair = keys[keep], keys[keep] >> _U(63) == 0
-        follows = np.where(pair, contexts(some, True).view(np.int64), -1)
         head = keys >> _U(TOKEN_BITS)
-        first = np.flatnonzero(np.append(True, head[1:] != head[:-1]))
-        total, kinds = np.add.reduceat(ns, first), np.diff(np.append(first, len(keys)))
-        often = total > 1
-        for context, key, then, n in ((False, some, follows, ns[keep]), (True, head[first][often], np.full(int(often.sum()), -1), kinds[often])):
-            yield from parts(pa.RecordBatch.from_arrays([pa.array(np.full(len(key), context)), pa.array(key.view(np.int64)), pa.array(then, pa.int64()), pa.array(n.astype(np.int64))], schema=_COUNTED), WRITTEN)
+        of, kinds = _tallied(head)
+        many = kinds > 1
+        for context, key, n in ((False, keys[keep], ns[keep]), (True, of[many], kinds[many])):
+            rows = [(span, context, pack(key[a : a + PIECE]), plane(n[a : a + PIECE].astype("<u8"))) for a in range(0, len(key), PIECE)]
+            if rows:
+                yield from parts(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _COUNTED)], schema=_COUNTED), PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
         for batch in batches:
             for row in batch.to_pylist():
                 if row["range"] != now:
-                    yield from emit(held)
+                    yield from emit(now, held)
                     now, held = row["range"], {}
-                held.setdefault(row["kind"], []).append((unpack(row["keys"]), unplane(row["ns"]).astype(np.int64)))
-        yield from emit(held)
+                held.setdefault(row["kind"], []).append((row["keys"], row["ns"]))
+        yield from emit(now, held)
 
     dealt = sent.repartition("range").sortWithinPartitions("range")
-    return dealt.mapInArrow(run, "context boolean, key bigint, follows bigint, n bigint")
-
-
-def _word_grams(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(key, n, t of the pairs and triples that the tables tell; context, t of
-    the contexts seen twice): t is the number of distinct tokens behind."""
-    parts = [materialize(_counted(_sent(docs, bits, k, COUNT_PASSES)), "word-grams", 256) for k in range(COUNT_PASSES)]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part)
-    behind = materialize(every.where("context").select(F.col("key").alias("context"), F.col("n").alias("t")), "word-contexts")
-    grams = every.where("not context").select("key", "n", "follows")
-    # A pair seen once has one token behind it, a triple is no context.
-    joined = grams.join(behind.withColumnRenamed("context", "follows"), "follows", "left")
-    t = F.when(F.col("follows") < 0, 0).otherwise(F.coalesce("t", F.lit(1))).cast("bigint")
-    states = materialize(joined.select("key", "n", t.alias("t")), "word-states")
-    discard(*parts)
-    return states, behind
+    return dealt.mapInArrow(run, "range bigint, context boolean, keys binary, ns binary")
+
+
+def _word_grams(docs: DataFrame, bits: int) -> DataFrame:
+    """The packed pairs, triples and contexts that the tables tell (as of
+    _counted)."""
+    every = None
+    for k in range(COUNT_PASSES):
+        part = materialize(_counted(_sent(docs, bits, k, COUNT_PASSES)), "word-grams", 256, ROW_GROUP, large=True)
+        every = part if every is None else every.union(part)
+    return every
+
+
+def _told(tables: DataFrame, context: bool, keep) -> DataFrame:
+    """key, n: those grams (or contexts) of the packed tables that
+    `keep(keys, ns)` marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, ns = unpack(row["keys"]), unplane(row["ns"]).astype(np.int64)
+                mine = keep(keys, ns)
+                if mine.any():
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(keys[mine].view(np.int64)), "n": pa.array(ns[mine], pa.int64())})
+
+    wanted = tables.where("context" if context else "not context").select("keys", "ns")
+    return materialize(wanted.mapInArrow(run, "key bigint, n bigint"), "told-grams", 256)
 
 
 def _with_context(words_of: DataFrame) -> DataFrame:
@@ -419,23 +465,27 @@ def automaton(counts: DataFrame, share: float = STATE_SHARE) -> Automaton:
 
 @dataclass(frozen=True)
 class Table:
-    """Keys (ascending), how often seen (by language, or one column) and the
-    number of distinct tokens behind each."""
+    """Keys (ascending) and their numbers: how often seen, or how many distinct
+    tokens are behind; for words by language, and then the latter."""
 
     keys: np.ndarray
-    n: np.ndarray  # keys x columns
-    t: np.ndarray
+    n: np.ndarray  # keys, or keys x columns
 
     @classmethod
-    def of(cls, keys: np.ndarray, n: np.ndarray, t: np.ndarray) -> Table:
+    def of(cls, keys: np.ndarray, n: np.ndarray) -> Table:
         order = np.argsort(keys)
-        return cls(keys[order], n[order], t[order])
+        return cls(keys[order], n[order])
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, which of them are in the table)."""
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
 
+    def put(self, keys: np.ndarray, into: np.ndarray) -> None:
+        """The numbers of the keys that are in the table."""
+        at, there = self.find(keys)
+        into[there] = self.n[at[there]]
+
 
 @dataclass(frozen=True)
 class Words:
@@ -449,6 +499,7 @@ class Words:
     begins: int  # distinct first tokens
     words: Table
     grams: Table
+    behind: Table  # distinct tokens behind the common pairs, by context
 
     @property
     def all_tokens(self) -> int:
@@ -472,8 +523,9 @@ def backed(a: np.ndarray, b: np.ndarray, n: np.ndarray, total: np.ndarray, kinds
     return np.where(known, (n[:, None] + kinds[:, None] * a) / whole, a), np.where(known, kinds[:, None] * b / whole, b)
 
 
-def word_counts(words_of: DataFrame, states: DataFrame, behind: DataFrame, ends: list[int], share: float) -> Words:
-    """words_of: key, n (an array, by language), t; states, behind: as of _word_grams."""
+def word_counts(words_of: DataFrame, tables: DataFrame, begins: int | None, ends: list[int], share: float) -> Words:
+    """words_of: key, n (an array, by language), t; tables: as of _word_grams;
+    begins: distinct first tokens, if there are several."""
     size = len(ends)
     sums = words_of.agg(*[F.coalesce(F.sum(F.col("n")[k]), F.lit(0)).alias(f"n{k}") for k in range(size)], *[F.count(F.when(F.col("n")[k] > 0, 1)).alias(f"t{k}") for k in range(size)], F.count("*").alias("t")).first()
     here = np.array(ends)
@@ -481,103 +533,93 @@ def word_counts(words_of: DataFrame, states: DataFrame, behind: DataFrame, ends:
     distinct = np.array([sums[f"t{k}"] for k in range(size)]) + (here > 0)
     least = share * max(1, int(tokens.sum()))
     total = F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    begin = behind.where(F.col("context") == int(contexts(np.array([_BEGIN]), False)[0])).first()
 
-    def table(df: DataFrame, columns: int) -> Table:
-        rows = df.toArrow()
-        n = rows.column("n").combine_chunks()
-        n = n.flatten() if columns > 1 or pa.types.is_list(n.type) else n
-        return Table.of(rows.column("key").to_numpy().astype(np.int64).view(_U), n.to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, columns), rows.column("t").to_numpy().astype(np.int64))
+    rows = words_of.where(total >= least).select("key", "n", "t").toArrow()
+    n = rows.column("n").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, size)
+    t = rows.column("t").to_numpy().astype(np.int64)
+    common = Table.of(rows.column("key").to_numpy().astype(np.int64).view(_U), np.hstack([n, t[:, None]]))
+
+    def table(context: bool, keep) -> Table:
+        told = _told(tables, context, keep)
+        rows = told.toArrow()
+        discard(told)
+        return Table.of(rows.column("key").to_numpy().astype(np.int64).view(_U), rows.column("n").to_numpy().astype(np.int64))
 
-    common = table(words_of.where(total >= least).select("key", "n", "t"), size)
-    grams = table(states.where((F.col("n") > 0) & (F.col("n") >= least)).select("key", "n", "t"), 1)
-    return Words(here, tokens, distinct, sums["t"] + int(here.any()), begin["t"] if begin else int(here.any()), common, grams)
+    grams = table(False, lambda keys, ns: ns >= least)
+    follows = np.unique(contexts(grams.keys[grams.keys >> _U(63) == 0], True))
+    wanted = words_of.sparkSession.sparkContext.broadcast(follows)
+    behind = table(True, lambda keys, ns: np.isin(keys, wanted.value))
+    return Words(here, tokens, distinct, sums["t"] + int(here.any()), begins or int(here.any()), common, grams, behind)
 
 
 _ASKED = pa.schema([("range", pa.int64()), ("block", pa.int32()), ("keys", pa.binary())])
-_FOUND = pa.schema([("block", pa.int32()), ("word", pa.bool_()), ("keys", pa.binary()), ("ns", pa.binary()), ("ts", pa.binary())])
+_FOUND = pa.schema([("block", pa.int32()), ("context", pa.bool_()), ("keys", pa.binary()), ("ns", pa.binary())])
 
 
-def _by_key(docs: DataFrame, of, schema: str, bits: int) -> DataFrame:
-    """range, block, keys: what each block's documents ask for, packed.
-    `of(buf, offs)` gives the keys of texts and their texts' numbers."""
+def _grams_asked(docs: DataFrame, known, bits: int) -> DataFrame:
+    """range, block, keys: the pairs and triples of each block's documents that
+    are not broadcast, and triples whose context is not; packed."""
 
     def out(block: int, held: list[np.ndarray]) -> pa.RecordBatch:
-        keys = _sorted(held)
-        rows = [(r, block, pack(np.unique(keys[at]))) for r, at in _ranged(keys, bits)]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ASKED)], schema=_ASKED)
+        keys, _ = _tallied(_sorted(held))
+        rare = ~known.value.grams.find(keys)[1]
+        triples = np.flatnonzero(~rare & (keys >> _U(63) == 1))
+        rare[triples] = ~known.value.behind.find(keys[triples] >> _U(TOKEN_BITS))[1]
+        keys = keys[rare]
+        rows = [(r, block, pack(keys[at])) for r, at in _ranged(keys, bits)]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ASKED)], schema=_ASKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             blocks = batch.column("block").to_numpy(zero_copy_only=False)
-            for rows, buf, offs in slices(batch):
-                keys, text = of(buf, offs)
+            for rows, buf, offs in slices(batch, max_bytes=SLICE):
+                keys, text = _grams_of(buf, offs)
                 group = blocks[rows]
                 here = np.unique(group).tolist()
                 for k in here:
                     waiting.setdefault(k, []).append(keys if len(here) == 1 else keys[group[text] == k])
                 sizes = {k: sum(map(len, held)) for k, held in waiting.items()}
-                while sum(sizes.values()) > 2 * CHUNK:  # of all blocks of the task together
+                while sum(sizes.values()) > CHUNK:  # of all blocks of the task together
                     k = max(sizes, key=sizes.get)
                     del sizes[k]
                     yield from parts(out(k, waiting.pop(k)), PACKED)
         for k, held in waiting.items():
-            if any(map(len, held)):
-                yield from parts(out(k, held), PACKED)
-
-    return docs.select("block", "text").repartition("block").mapInArrow(run, schema)
+            yield from parts(out(k, held), PACKED)
 
+    return docs.select("block", "text").repartition("block").mapInArrow(run, "range bigint, block int, keys binary")
 
-def _grams_asked(docs: DataFrame, known, bits: int, k: int) -> DataFrame:
-    """range, block, keys: the pairs and triples of one pass that are not
-    broadcast."""
-
-    def of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, text = _grams_of(buf, offs)
-        mine = _in_pass(keys, k, ASK_PASSES)
-        mine[mine] = ~known.value.grams.find(keys[mine])[1]
-        return keys[mine], text[mine]
-
-    return _by_key(docs, of, "range bigint, block int, keys binary", bits)
 
-
-def _answered(asked: DataFrame, states: DataFrame, bits: int, k: int) -> DataFrame:
-    """block, word (false), keys, ns, ts: of the asked keys those in states."""
-    of = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("bigint")
-    ours = states.where(F.pmod(F.shiftrightunsigned("key", TOKEN_BITS), F.lit(ASK_PASSES)) == k)
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("key", "bigint"), ("n", "bigint"), ("t", "bigint"))]
-    table = ours.select(of.alias("range"), F.lit(-1).alias("block"), F.lit(None).cast("binary").alias("keys"), "key", "n", "t")
-    both = table.union(asked.select("range", "block", "keys", *nothing))
+def _answered(asked: DataFrame, tables: DataFrame, k: int) -> DataFrame:
+    """block, context, keys, ns, packed: those of the asked keys of one pass's
+    ranges that the tables tell, and those of the asked triples' contexts."""
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("ns", "binary"), ("context", "boolean"))]
+    ours = tables.select("range", F.lit(-1).alias("block"), "keys", "ns", "context")
+    both = ours.union(asked.select("range", "block", "keys", *nothing)).where(F.pmod("range", F.lit(ASK_PASSES)) == k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, table = None, [], None
+        now, held, tables = None, ([], []), None
         for batch in batches:
-            ranges, blocks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("range", "block"))
-            cuts = np.flatnonzero((ranges[1:] != ranges[:-1]) | ((blocks[1:] < 0) != (blocks[:-1] < 0))) + 1
-            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-                if a == z:
-                    continue
-                if ranges[a] != now:
-                    now, held, table = ranges[a], [], None
-                part = batch.slice(a, z - a)
-                if blocks[a] < 0:
-                    held.append([part.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "t")])
+            rows = []
+            for row in batch.to_pylist():
+                if row["range"] != now:
+                    now, held, tables = row["range"], ([], []), None
+                keys = unpack(row["keys"])
+                if row["block"] < 0:  # the range's tables come first
+                    held[row["context"]].append((keys, unplane(row["ns"])))
                     continue
-                if table is None:
-                    key, n, t = (np.concatenate(x) for x in zip(*held)) if held else [np.zeros(0, np.int64)] * 3
-                    table, held = Table.of(key.view(_U), n[:, None], t), []
-                rows = []
-                for block, blob in zip(blocks[a:z].tolist(), part.column("keys").to_pylist()):
-                    keys = unpack(blob)
-                    at, there = table.find(keys)
+                if tables is None:
+                    tables, held = [Table.of(*(np.concatenate(x) for x in zip(*h))) if h else Table(np.zeros(0, _U), np.zeros(0, _U)) for h in held], ([], [])
+                behind, _ = _tallied(keys[keys >> _U(63) == 1] >> _U(TOKEN_BITS))
+                for context, of in ((False, keys), (True, behind)):
+                    at, there = tables[context].find(of)
                     if there.any():
-                        rows.append((block, False, pack(keys[there]), plane(table.n[at[there], 0].astype("<u8")), plane(table.t[at[there]].astype("<u8"))))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND)], schema=_FOUND)
+                        rows.append((row["block"], context, pack(of[there]), plane(tables[context].n[at[there]].astype("<u8"))))
+            if rows:
+                yield from parts(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND)], schema=_FOUND), PACKED)
 
     dealt = both.repartition("range").sortWithinPartitions("range", "block")
-    return dealt.mapInArrow(run, "block int, word boolean, keys binary, ns binary, ts binary")
+    return dealt.mapInArrow(run, "block int, context boolean, keys binary, ns binary")
 
 
 def _words_found(docs: DataFrame, known, words_of: DataFrame) -> DataFrame:
@@ -588,7 +630,7 @@ def _words_found(docs: DataFrame, known, words_of: DataFrame) -> DataFrame:
         waiting: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             blocks = batch.column("block").to_numpy(zero_copy_only=False)
-            for rows, buf, offs in slices(batch):
+            for rows, buf, offs in slices(batch, max_bytes=SLICE):
                 low = LOWER[buf]
                 starts, ends, first = words(low, offs, SPACES)
                 hashes = word_hashes(low, starts, ends)
@@ -616,14 +658,14 @@ def _scored(docs: DataFrame, words_found: DataFrame, found: DataFrame, model: Au
     (by language) of every document; docs has doc_id, text, held_out and block,
     words_found and found the counts that are not broadcast, by block."""
     machine_of = docs.sparkSession.sparkContext.broadcast(model)
-    columns = {"key": "bigint", "n": "array<bigint>", "t": "bigint", "keys": "binary", "ns": "binary", "ts": "binary", "doc_id": "bigint", "held_out": "boolean", "text": "string"}
+    columns = {"key": "bigint", "n": "array<bigint>", "t": "bigint", "context": "boolean", "keys": "binary", "ns": "binary", "doc_id": "bigint", "held_out": "boolean", "text": "string"}
 
     def row(df: DataFrame, kind: int, **own) -> DataFrame:
         return df.select("block", F.lit(kind).alias("kind"), *[(own.get(c, F.lit(None)).cast(t)).alias(c) for c, t in columns.items()])
 
     named = lambda *cs: {c: F.col(c) for c in cs}
     texts = row(docs, 1, **named("doc_id", "held_out"), text=F.coalesce("text", F.lit("")))
-    counts = row(words_found, 0, **named("key", "n", "t")).union(row(found, 0, **named("keys", "ns", "ts")))
+    counts = row(words_found, 0, **named("key", "n", "t")).union(row(found, 0, **named("context", "keys", "ns")))
     dealt = counts.union(texts).repartition("block").sortWithinPartitions("block", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -634,7 +676,7 @@ def _scored(docs: DataFrame, words_found: DataFrame, found: DataFrame, model: Au
             t = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, 0, dtype=np.float64)])
             return t[edges[1:]] - t[edges[:-1]]
 
-        for batch, (rare_words, rare_grams) in _by_block(batches, size):
+        for batch, rare in _by_block(batches, size):
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
             for rows, buf, offs in slices(batch):
                 texts = rows.stop - rows.start
@@ -645,28 +687,29 @@ def _scored(docs: DataFrame, words_found: DataFrame, found: DataFrame, model: Au
                 word = np.ones(len(tokens), bool)
                 word[last] = False
 
-                def look(keys: np.ndarray, common: Table, rare: Table, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                    ns = np.repeat(one[:, None], common.n.shape[1], axis=1).astype(np.int64)
-                    ts = one.astype(np.int64)
-                    for source in (common, rare):
-                        at, there = source.find(keys)
-                        ns[there], ts[there] = source.n[at[there]], source.t[at[there]]
-                    return ns, ts
-
                 own = ~held[rows][text]  # a training document's pair counts one at least
+                seen = np.zeros((len(hashes), size + 1), np.int64)
+                two, three = own.astype(np.int64), own.astype(np.int64)
+                for source in (table.words, rare.words):
+                    source.put(hashes, seen)
+                for source in (table.grams, rare.grams):
+                    source.put(pairs, two)
+                    source.put(triples, three)
+                three[heads] = 0
                 counts = np.tile(table.ends, (len(tokens), 1)).astype(np.int64)
                 follow = np.zeros(len(tokens), np.int64)
-                counts[word], follow[word] = look(hashes, table.words, rare_words, np.zeros(len(hashes), np.int64))
-                two, behind = look(pairs, table.grams, rare_grams, own)
-                three, _ = look(triples, table.grams, rare_grams, own)
-                two, three, every = two[:, 0], three[:, 0], counts.sum(1)
-                three[heads] = 0
+                counts[word], follow[word] = seen[:, :size], seen[:, size]
+                every = counts.sum(1)
 
                 # What came before: the state that each tier is in.
                 totals, kinds = np.roll(every, 1), np.roll(follow, 1)
                 totals[heads], kinds[heads] = ends, table.begins
-                deep, deeper = np.roll(two, 1), np.roll(behind, 1)
-                deep[heads], deeper[heads] = 0, 0
+                deep = np.roll(two, 1)
+                deep[heads] = 0
+                deeper = np.ones(len(tokens), np.int64)  # if there is nothing to tell
+                for source in (table.behind, rare.behind):
+                    source.put(triples >> _U(TOKEN_BITS), deeper)
+                deeper[deep == 0] = 0
                 a, b = table.parts(counts)
                 a, b = backed(a, b, two, totals, kinds)
                 a, b = backed(a, b, three, deep, deeper)
@@ -692,9 +735,18 @@ def _scored(docs: DataFrame, words_found: DataFrame, found: DataFrame, model: Au
     return dealt.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, logs array<double>")
 
 
-def _by_block(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, tuple[Table, Table]]]:
-    """The texts of the batches, each with the words and the pairs and triples
-    that its block's counts in front of it tell."""
+@dataclass(frozen=True)
+class Rare:
+    """What a block's documents hold and is not broadcast."""
+
+    words: Table
+    grams: Table
+    behind: Table
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, Rare]]:
+    """The texts of the batches, each with what its block's counts in front of
+    it tell."""
     block, held, tables = None, [], None
     for batch in batches:
         blocks, kinds = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "kind"))
@@ -706,27 +758,31 @@ def _by_block(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa
                 block, held, tables = blocks[a], [], None
             part = batch.slice(a, z - a)
             if kinds[a] == 0:
-                held.append(part.select(["key", "n", "t", "keys", "ns", "ts"]))
+                held.append(part.select(["key", "n", "t", "context", "keys", "ns"]))
                 continue
             if tables is None:
                 tables, held = _tables(held, size), []
             yield part, tables
 
 
-def _tables(parts: list[pa.RecordBatch], size: int) -> tuple[Table, Table]:
-    words_of = [(np.zeros(0, np.int64), np.zeros((0, size), np.int64), np.zeros(0, np.int64))]
-    grams = [(np.zeros(0, _U), np.zeros(0, np.uint32), np.zeros(0, np.uint32))]
-    for part in parts:
+def _tables(held: list[pa.RecordBatch], size: int) -> Rare:
+    words_of = [(np.zeros(0, np.int64), np.zeros((0, size + 1), np.int64))]
+    packed: tuple[list, list] = ([], [])
+    while held:
+        part = held.pop()
         own = part.filter(part.column("key").is_valid())
         n = own.column("n").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, size)
-        words_of.append((own.column("key").to_numpy(zero_copy_only=False).astype(np.int64), n, own.column("t").to_numpy(zero_copy_only=False).astype(np.int64)))
-        for row in part.filter(part.column("keys").is_valid()).select(["keys", "ns", "ts"]).to_pylist():
+        t = own.column("t").to_numpy(zero_copy_only=False).astype(np.int64)
+        words_of.append((own.column("key").to_numpy(zero_copy_only=False).astype(np.int64), np.hstack([n, t[:, None]])))
+        for row in part.filter(part.column("keys").is_valid()).select(["context", "keys", "ns"]).to_pylist():
             # Counts of what is not broadcast are small.
-            grams.append((unpack(row["keys"]), unplane(row["ns"]).astype(np.uint32), unplane(row["ts"]).astype(np.uint32)))
-    key, n, t = (np.concatenate(x) for x in zip(*words_of))
-    gram, times, behind = (np.concatenate(x) for x in zip(*grams))
-    grams.clear()
-    return Table.of(key.view(_U), n, t), Table.of(gram, times[:, None], behind)
+            packed[row["context"]].append((unpack(row["keys"]), unplane(row["ns"]).astype(np.uint32)))
+    key, n = (np.concatenate(x) for x in zip(*words_of))
+    tables = []
+    for of in packed:
+        tables.append(Table.of(*(np.concatenate(x) for x in zip(*of))) if of else Table(np.zeros(0, _U), np.zeros(0, np.uint32)))
+        of.clear()
+    return Rare(Table.of(key.view(_U), n), *tables)
 
 
 def _languages(rows: DataFrame) -> tuple[list[str | None], int]:
@@ -752,7 +808,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         language = F.when(F.col("lang").eqNullSafe(F.lit(name)), k).otherwise(language)
     train = train.select("text", language.cast("int").alias("language"))
 
-    counts = _counts(train)
+    # A gram per byte, of which most are repeats.
+    counts = _counts(train, min(16, (n_bytes // (8 * RANGE_KEYS)).bit_length()))
     model = automaton(counts)
     by_language = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)) for k in range(size)]
     words_of = counts.where("kind >= 0").groupBy("key").agg(F.array(*by_language).alias("n"))
@@ -761,29 +818,32 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     total = F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x)
     tokens = words_of.agg(F.sum(total)).first()[0] or 0
     bits = max(0, (2 * tokens // RANGE_KEYS).bit_length())
-    states, behind = _word_grams(rows, bits)
+    tables = _word_grams(rows, bits)
+    behind = _told(tables, True, lambda keys, ns: keys >> _U(63 - TOKEN_BITS) == 0)  # words, and the begin
+    behind = behind.select(F.col("key").alias("context"), F.col("n").alias("t"))
     # A word seen once has one token behind it.
     with_t = _with_context(words_of).join(behind, "context", "left").select("key", "n", F.coalesce("t", F.lit(1)).cast("bigint").alias("t"))
     words_t = materialize(with_t, "word-counts")
     discard(words_of)
     documents = {r["language"]: r["n"] for r in train.groupBy("language").agg(F.count("*").alias("n")).collect()}
-    known = word_counts(words_t, states, behind, [documents.get(k, 0) for k in range(size)], WORD_SHARE)
+    begin = behind.where(F.col("context") == int(contexts(np.array([_BEGIN]), False)[0])).first()
+    known = word_counts(words_t, tables, begin and begin["t"], [documents.get(k, 0) for k in range(size)], WORD_SHARE)
     discard(behind)
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     # Rare words, pairs and triples: their counts by block.
     blocks = F.pmod(F.xxhash64(ROW), F.lit(-(-n_bytes // BLOCK_BYTES) or 1)).cast("int")
     rows = rows.withColumn("block", blocks)
-    words_found = materialize(_words_found(rows, shared, words_t), "found-words", 2048)
+    words_found = materialize(_words_found(rows, shared, words_t), "found-words", 2048, large=True)
     discard(words_t)
+    # Written between, so that the texts' shuffle is gone when the keys' begins.
+    asked = materialize(_grams_asked(rows, shared, bits), "asked-grams", 2048, ROW_GROUP, large=True)
     found = None
     for k in range(ASK_PASSES):
-        # Written between, so that the texts' shuffle is gone when the keys' begins.
-        asked = materialize(_grams_asked(rows, shared, bits, k), "asked-grams", 2048)
-        part = materialize(_answered(asked, states, bits, k), "found-grams", 2048)
-        discard(asked)
+        part = materialize(_answered(asked, tables, k), "found-grams", 256, ROW_GROUP, large=True)
         found = part if found is None else found.union(part)
-    discard(states)
+    discard(asked)
+    discard(tables)
     joined = _scored(rows, words_found, found, model, shared)
     # The branches' probabilities, added; the largest is taken out for range.
     share = (known.ends + 1.0) / (known.ends.sum() + size)

@@ -95,3 +95,21 @@ def test_counting_in_parts_changes_no_score(spark, monkeypatch):
     for name, value in (("CHUNK", 64), ("WRITTEN", 16), ("PACKED", 2), ("RANGE_KEYS", 256), ("BLOCK_BYTES", 4096)):
         monkeypatch.setattr(lm, name, value)
     assert {x.doc_id: (x.n_known, round(x.base_score, 6), round(x.score, 6)) for x in lm.lm_scores(docs).collect()} == want
+
+
+def test_tables_stay_packed(spark, monkeypatch):
+    """Grams and contexts go from the ranges to the answers in few packed rows."""
+    monkeypatch.setattr(lm, "PIECE", 64)
+    texts = [edge.prose(3 + k % 20, 40) for k in range(30)]
+    docs = spark.createDataFrame([(k % 5 == 0, t) for k, t in enumerate(texts)], "held_out boolean, text string")
+    keys = {ask: lm._grams_of(*lm_flat([t for k, t in enumerate(texts) if (k % 5 == 0) == ask]))[0].tolist() for ask in (False, True)}
+    times, behind, got = Counter(keys[False]), Counter(), {False: {}, True: {}}
+    for key in times:
+        behind[key >> lm.TOKEN_BITS] += 1
+    for row in lm._word_grams(docs, 2).collect():
+        own, ns = lm.unpack(row["keys"]), lm.unplane(row["ns"])
+        assert 0 < len(own) <= 64
+        assert {k >> (62 - lm.TOKEN_BITS * row.context) for k in own.tolist()} == {row["range"]}
+        got[row.context].update(zip(own.tolist(), ns.tolist()))
+    assert got[False] == {k: n for k, n in times.items() if n > 1 or k in set(keys[True])}
+    assert got[True] == {k: n for k, n in behind.items() if n > 1}
