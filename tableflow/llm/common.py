@@ -26,22 +26,26 @@ def materialize(df: DataFrame, name: str, batch: int | None = None, row_group: i
     real size of what follows.  The shuffle files behind it are of no further
     use; a collection of the driver's garbage lets Spark's cleaner find them.
     `batch` bounds the rows of an Arrow batch meanwhile, for wide rows, and
-    `row_group` the bytes that a writer or a reader of them holds.  After a
-    `large` shuffle garbage is collected twice: the first time may come before
-    Spark has let go of the write, and the files would lie there until the next."""
+    `row_group` the bytes that a writer or a reader of them holds.  The files of a
+    `large` shuffle are removed when the write ends: garbage may be collected
+    before Spark has let go of the write, and they would lie there until the next."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
     usual = spark.conf.get(limit)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(cleanup, "false")
     try:
         if batch is not None and not 0 < int(usual) <= batch:
             spark.conf.set(limit, batch)
+        if large:
+            spark.conf.set(cleanup, "true")
         writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
         writer.parquet(path)
     finally:
         spark.conf.set(limit, usual)
-    for _ in range(2 if large else 1):
-        spark.sparkContext._jvm.System.gc()
+        spark.conf.set(cleanup, kept)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

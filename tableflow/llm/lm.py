@@ -34,20 +34,23 @@ text in step; a stretch starts ORDER - 1 bytes early, after which its state is
 the one of the whole text.
 
 Counts of words, pairs and triples grow with the corpus.  Pairs and triples are
-64-bit keys, context in the high bits and token in the low ones; tasks send them
-sorted, as packed differences, to the range of keys they lie in, where they are
-counted, so a gram takes some six bytes of shuffle and none is left out.  A gram
-that was seen once is its own document's: it goes into the count of its context
-and into nothing else, unless a held-out document has it too.  What the tables
-do not tell a training document thus counts one, a held-out one nothing.
+64-bit keys, context in the high bits and token in the low ones.  The documents
+are dealt to blocks of some `BLOCK_BYTES`; tasks send a block's keys sorted, as
+packed differences, to the range of keys they lie in.  There they are counted and
+answered at once: each block is told the counts of the keys it sent, so a gram
+takes some six bytes of shuffle, none is asked for again and none is left out.  A
+gram that was seen once is its own document's: it goes into the count of its
+context and into nothing else, unless a held-out document has it too.  What a
+block is not told thus counts one for a training document, nothing for a held-out
+one.
 
 Words, pairs and triples with at least the share `WORD_SHARE` of all training
-tokens (at most 1 / WORD_SHARE of each kind) are broadcast.  For all others the
-documents are dealt to blocks of some `BLOCK_BYTES`; a block asks once for each
-key that its documents hold, range by range, and a task walks a block's
-documents behind the counts that came back.  Counting takes `COUNT_PASSES` over
-the texts and answering `ASK_PASSES` over what is asked, each for a part of the
-keys, so that a part of them is shuffled at a time.
+tokens, and contexts with as many distinct tokens behind them (at most
+1 / WORD_SHARE of each kind) are broadcast, the others told block by block; a task
+walks a block's documents behind the counts that came back.  Counting takes up to
+`COUNT_PASSES` over the texts, each for a part of the ranges, and scoring up to
+`SCORE_PASSES`, each for a part of the blocks, so that a part of what the texts
+hold or are told is shuffled at a time.
 
 Edge cases: a null or empty text is the end alone.  Rows that share a doc_id
 (null too, whose checksum is the empty text's) are scored each for itself.  A
@@ -73,16 +76,16 @@ ORDER = 6
 STATE_SHARE, WORD_SHARE, LANGUAGE_SHARE = 5e-5, 1e-6, 0.02
 END = 0x0A
 #: Grams that a task sorts at a time; bytes of a stretch of text.
-CHUNK, STRETCH = 1 << 21, 2048
+CHUNK, STRETCH = 1 << 21, 512
 #: Rows of what a task gives out at a time, and of those with packed keys.
 WRITTEN, PACKED = 1 << 16, 32
-#: Text that a task cuts into keys at a time.
-SLICE = 1 << 17
+#: Text that a task cuts into keys, and text that it scores, at a time.
+SLICE, SCORED = 1 << 17, 1 << 18
 #: Text of a block, whose counts a task holds.
 BLOCK_BYTES = 1 << 25
 #: Keys of a range, which a task counts; low bits of a key, its token's.
 RANGE_KEYS, TOKEN_BITS = 1 << 20, 24
-COUNT_PASSES, ASK_PASSES = 1, 2
+COUNT_PASSES, SCORE_PASSES = 2, 2
 #: Keys of a row of a packed table; bytes that a writer of packed rows gathers.
 PIECE, ROW_GROUP = 1 << 15, 1 << 24
 
@@ -198,8 +201,12 @@ def _tallied(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _added(blobs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys (ascending) of packed keys and counts, counts added."""
-    keys = np.concatenate([unpack(x) for x, _ in blobs])
-    ns = np.concatenate([unplane(x) for _, x in blobs]).astype(np.int64)
+    return _summed([unpack(x) for x, _ in blobs], [unplane(x) for _, x in blobs])
+
+
+def _summed(held: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys (ascending) of these, and their counts added."""
+    keys, ns = np.concatenate(held), np.concatenate(counts).astype(np.int64)
     order = np.argsort(keys, kind="stable")
     keys, ns = keys[order], ns[order]
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
@@ -260,106 +267,130 @@ def _sorted(held: list[np.ndarray]) -> np.ndarray:
     return keys
 
 
-def _in_pass(keys: np.ndarray, k: int, passes: int) -> np.ndarray:
-    """Which keys belong to a pass: alike for all of a context's."""
-    return (keys >> _U(TOKEN_BITS)) % _U(passes) == _U(k)
+_SENT_BY = pa.schema([("range", pa.int64()), ("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("ns", pa.binary())])
 
 
 def _sent(docs: DataFrame, bits: int, k: int, passes: int) -> DataFrame:
-    """range, kind, keys, ns: the keys of one pass, packed; kind 0 what training
-    documents have, with how often; kind 1 what held-out documents ask for."""
+    """range, block, kind, keys, ns: each block's keys of one pass's ranges,
+    packed; kind 0 what training documents have, with how often; kind 1 what
+    held-out documents ask for."""
 
-    def out(held: list[np.ndarray], kind: int) -> pa.RecordBatch:
+    def out(block: int, kind: int, held: list[np.ndarray]) -> pa.RecordBatch:
         keys, rows = _sorted(held), []
         for r, at in _ranged(keys, bits):  # range by range: the copies stay small
-            own, ns = np.unique(keys[at], return_counts=True)
-            rows.append((r, kind, pack(own), plane(ns.astype("<u8")) if kind == 0 else b""))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
+            own, ns = _tallied(keys[at])
+            rows.append((r, block, kind, pack(own), plane(ns.astype("<u8")) if kind == 0 else b""))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT_BY)], schema=_SENT_BY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[list[np.ndarray]] = [[], []]
+        waiting: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
-            asks = batch.column("held_out").to_numpy(zero_copy_only=False)
+            asks, blocks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("held_out", "block"))
             for rows, buf, offs in slices(batch, max_bytes=SLICE):
                 keys, text = _grams_of(buf, offs)
                 if passes > 1:
-                    mine = _in_pass(keys, k, passes)
+                    mine = np.flatnonzero((keys >> _U(64 - bits)) % _U(passes) == _U(k))
                     keys, text = keys[mine], text[mine]
-                ask = asks[rows][text]
-                for kind, own in ((0, keys[~ask]), (1, keys[ask])):
-                    if len(own):
-                        waiting[kind].append(own)
-                    if sum(map(len, waiting[kind])) > CHUNK:
-                        yield from parts(out(waiting[kind], kind), PACKED)
-        for kind, held in enumerate(waiting):
-            if held:
-                yield from parts(out(held, kind), PACKED)
+                of = blocks[rows].astype(np.int64) * 2 + asks[rows]
+                here = np.unique(of).tolist()
+                group = of[text]
+                for own in here:
+                    mine = keys if len(here) == 1 else keys[group == own]
+                    if len(mine):
+                        waiting.setdefault(divmod(own, 2), []).append(mine)
+                sizes = {at: sum(map(len, held)) for at, held in waiting.items()}
+                while sum(sizes.values()) > CHUNK:  # of all blocks of the task together
+                    at = max(sizes, key=sizes.get)
+                    del sizes[at]
+                    yield from parts(out(*at, waiting.pop(at)), PACKED)
+        for at, held in waiting.items():
+            yield from parts(out(*at, held), PACKED)
 
-    return docs.select("held_out", "text").mapInArrow(run, "range bigint, kind int, keys binary, ns binary")
+    return docs.select("held_out", "block", "text").repartition("block").mapInArrow(run, "range bigint, block int, kind int, keys binary, ns binary")
 
 
-_COUNTED = pa.schema([("range", pa.int64()), ("context", pa.bool_()), ("keys", pa.binary()), ("ns", pa.binary())])
+_COUNTED = pa.schema([("range", pa.int64()), ("block", pa.int32()), ("context", pa.bool_()), ("keys", pa.binary()), ("ns", pa.binary())])
 
 
-def _counted(sent: DataFrame) -> DataFrame:
-    """range, context, keys, ns, packed in pieces.  Grams (context false) seen
-    twice or asked for, with how often; contexts (context true) with two or more
-    distinct tokens behind them, with their number.  All of a context's grams
-    are in its range."""
+def _counted(sent: DataFrame, least: float) -> DataFrame:
+    """range, block, context, keys, ns, packed in pieces.  Grams (context false)
+    seen twice or asked for, with how often; contexts (context true) with two or
+    more distinct tokens behind them, with their number.  Block -1 has those with
+    `least` or more and the contexts that are words, every other block those of
+    the rest that are in its documents.  All of a context's grams are in its range."""
 
-    def emit(span: int, sent: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        if 0 not in sent:
+    def emit(span: int, sent: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        trained = [row for row in sent if row[1] == 0]
+        if not trained:
             return
-        keys, ns = _added(sent.pop(0))
+        keys, ns = _summed([row[2] for row in trained], [row[3] for row in trained])
         keep = ns > 1
-        if 1 in sent:
-            asked = np.unique(np.concatenate([unpack(x) for x, _ in sent.pop(1)]))
-            keep |= asked[np.minimum(np.searchsorted(asked, keys), len(asked) - 1)] == keys
-        head = keys >> _U(TOKEN_BITS)
-        of, kinds = _tallied(head)
+        asked = [row[2] for row in sent if row[1] == 1]
+        if asked:
+            at = np.concatenate(asked)
+            spot = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
+            keep[spot[keys[spot] == at]] = True
+        of, kinds = _tallied(keys >> _U(TOKEN_BITS))
         many = kinds > 1
-        for context, key, n in ((False, keys[keep], ns[keep]), (True, of[many], kinds[many])):
-            rows = [(span, context, pack(key[a : a + PIECE]), plane(n[a : a + PIECE].astype("<u8"))) for a in range(0, len(key), PIECE)]
-            if rows:
-                yield from parts(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _COUNTED)], schema=_COUNTED), PACKED)
+        rest, rows = [], []
+
+        def told(block: int, context: bool, key: np.ndarray, n: np.ndarray) -> None:
+            for a in range(0, len(key), PIECE):
+                rows.append((span, block, context, pack(key[a : a + PIECE]), plane(n[a : a + PIECE].astype("<u8"))))
+
+        for context, key, n, every in ((False, keys[keep], ns[keep], ns[keep] >= least), (True, of[many], kinds[many], (kinds[many] >= least) | (of[many] >> _U(63 - TOKEN_BITS) == 0))):
+            told(-1, context, key[every], n[every])
+            rest.append(Table(key[~every], n[~every]))
+        if any(len(table.keys) for table in rest):
+            for block in sorted({row[0] for row in sent}):
+                own = _sorted([row[2] for row in sent if row[0] == block])
+                own, _ = _tallied(own)
+                heads, _ = _tallied(own[np.searchsorted(own, _U(1 << 63)) :] >> _U(TOKEN_BITS))
+                for context, mine in ((False, own), (True, heads)):
+                    at, there = rest[context].find(mine)
+                    told(block, context, mine[there], rest[context].n[at[there]])
+        if rows:
+            yield from parts(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _COUNTED)], schema=_COUNTED), PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {}
+        now, held = None, []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["range"] != now:
                     yield from emit(now, held)
-                    now, held = row["range"], {}
-                held.setdefault(row["kind"], []).append((row["keys"], row["ns"]))
+                    now, held = row["range"], []
+                held.append((row["block"], row["kind"], unpack(row["keys"]), unplane(row["ns"]).astype(np.uint32)))
         yield from emit(now, held)
 
     dealt = sent.repartition("range").sortWithinPartitions("range")
-    return dealt.mapInArrow(run, "range bigint, context boolean, keys binary, ns binary")
+    return dealt.mapInArrow(run, "range bigint, block int, context boolean, keys binary, ns binary")
 
 
-def _word_grams(docs: DataFrame, bits: int) -> DataFrame:
-    """The packed pairs, triples and contexts that the tables tell (as of
-    _counted)."""
-    every = None
-    for k in range(COUNT_PASSES):
-        part = materialize(_counted(_sent(docs, bits, k, COUNT_PASSES)), "word-grams", 256, ROW_GROUP, large=True)
+def _word_grams(docs: DataFrame, bits: int, least: float = 0) -> DataFrame:
+    """The packed pairs, triples and contexts that the blocks and all are told
+    (as of _counted); docs has held_out, text and, unless all are told
+    everything, block."""
+    every, passes = None, min(COUNT_PASSES, 1 << bits)
+    docs = docs if "block" in docs.columns else docs.withColumn("block", F.lit(0))
+    for k in range(passes):
+        part = materialize(_counted(_sent(docs, bits, k, passes), least), "word-grams", 256, ROW_GROUP, large=True)
         every = part if every is None else every.union(part)
     return every
 
 
-def _told(tables: DataFrame, context: bool, keep) -> DataFrame:
-    """key, n: those grams (or contexts) of the packed tables that
-    `keep(keys, ns)` marks."""
+def _told(tables: DataFrame, context: bool, keep=None) -> DataFrame:
+    """key, n: those grams (or contexts) that all are told, or of them those
+    that `keep(keys)` marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 keys, ns = unpack(row["keys"]), unplane(row["ns"]).astype(np.int64)
-                mine = keep(keys, ns)
+                mine = keep(keys) if keep else np.ones(len(keys), bool)
                 if mine.any():
                     yield pa.RecordBatch.from_pydict({"key": pa.array(keys[mine].view(np.int64)), "n": pa.array(ns[mine], pa.int64())})
 
-    wanted = tables.where("context" if context else "not context").select("keys", "ns")
+    wanted = tables.where("block < 0").where("context" if context else "not context").select("keys", "ns")
     return materialize(wanted.mapInArrow(run, "key bigint, n bigint"), "told-grams", 256)
 
 
@@ -478,6 +509,11 @@ class Table:
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, which of them are in the table)."""
+        if (keys[1:] < keys[:-1]).any():  # in order, neighbours look in the same place
+            order = np.argsort(keys)
+            at, there = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
+            at[order], there[order] = self.find(keys[order])
+            return at, there
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
 
@@ -499,7 +535,7 @@ class Words:
     begins: int  # distinct first tokens
     words: Table
     grams: Table
-    behind: Table  # distinct tokens behind the common pairs, by context
+    behind: Table  # distinct tokens behind pairs that have many, by context
 
     @property
     def all_tokens(self) -> int:
@@ -539,89 +575,16 @@ def word_counts(words_of: DataFrame, tables: DataFrame, begins: int | None, ends
     t = rows.column("t").to_numpy().astype(np.int64)
     common = Table.of(rows.column("key").to_numpy().astype(np.int64).view(_U), np.hstack([n, t[:, None]]))
 
-    def table(context: bool, keep) -> Table:
+    def table(context: bool, keep=None) -> Table:
         told = _told(tables, context, keep)
         rows = told.toArrow()
         discard(told)
         return Table.of(rows.column("key").to_numpy().astype(np.int64).view(_U), rows.column("n").to_numpy().astype(np.int64))
 
-    grams = table(False, lambda keys, ns: ns >= least)
-    follows = np.unique(contexts(grams.keys[grams.keys >> _U(63) == 0], True))
-    wanted = words_of.sparkSession.sparkContext.broadcast(follows)
-    behind = table(True, lambda keys, ns: np.isin(keys, wanted.value))
+    grams, behind = table(False), table(True, lambda keys: keys >> _U(63 - TOKEN_BITS) == 1)
     return Words(here, tokens, distinct, sums["t"] + int(here.any()), begins or int(here.any()), common, grams, behind)
 
 
-_ASKED = pa.schema([("range", pa.int64()), ("block", pa.int32()), ("keys", pa.binary())])
-_FOUND = pa.schema([("block", pa.int32()), ("context", pa.bool_()), ("keys", pa.binary()), ("ns", pa.binary())])
-
-
-def _grams_asked(docs: DataFrame, known, bits: int) -> DataFrame:
-    """range, block, keys: the pairs and triples of each block's documents that
-    are not broadcast, and triples whose context is not; packed."""
-
-    def out(block: int, held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, _ = _tallied(_sorted(held))
-        rare = ~known.value.grams.find(keys)[1]
-        triples = np.flatnonzero(~rare & (keys >> _U(63) == 1))
-        rare[triples] = ~known.value.behind.find(keys[triples] >> _U(TOKEN_BITS))[1]
-        keys = keys[rare]
-        rows = [(r, block, pack(keys[at])) for r, at in _ranged(keys, bits)]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ASKED)], schema=_ASKED)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            blocks = batch.column("block").to_numpy(zero_copy_only=False)
-            for rows, buf, offs in slices(batch, max_bytes=SLICE):
-                keys, text = _grams_of(buf, offs)
-                group = blocks[rows]
-                here = np.unique(group).tolist()
-                for k in here:
-                    waiting.setdefault(k, []).append(keys if len(here) == 1 else keys[group[text] == k])
-                sizes = {k: sum(map(len, held)) for k, held in waiting.items()}
-                while sum(sizes.values()) > CHUNK:  # of all blocks of the task together
-                    k = max(sizes, key=sizes.get)
-                    del sizes[k]
-                    yield from parts(out(k, waiting.pop(k)), PACKED)
-        for k, held in waiting.items():
-            yield from parts(out(k, held), PACKED)
-
-    return docs.select("block", "text").repartition("block").mapInArrow(run, "range bigint, block int, keys binary")
-
-
-def _answered(asked: DataFrame, tables: DataFrame, k: int) -> DataFrame:
-    """block, context, keys, ns, packed: those of the asked keys of one pass's
-    ranges that the tables tell, and those of the asked triples' contexts."""
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("ns", "binary"), ("context", "boolean"))]
-    ours = tables.select("range", F.lit(-1).alias("block"), "keys", "ns", "context")
-    both = ours.union(asked.select("range", "block", "keys", *nothing)).where(F.pmod("range", F.lit(ASK_PASSES)) == k)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, tables = None, ([], []), None
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                if row["range"] != now:
-                    now, held, tables = row["range"], ([], []), None
-                keys = unpack(row["keys"])
-                if row["block"] < 0:  # the range's tables come first
-                    held[row["context"]].append((keys, unplane(row["ns"])))
-                    continue
-                if tables is None:
-                    tables, held = [Table.of(*(np.concatenate(x) for x in zip(*h))) if h else Table(np.zeros(0, _U), np.zeros(0, _U)) for h in held], ([], [])
-                behind, _ = _tallied(keys[keys >> _U(63) == 1] >> _U(TOKEN_BITS))
-                for context, of in ((False, keys), (True, behind)):
-                    at, there = tables[context].find(of)
-                    if there.any():
-                        rows.append((row["block"], context, pack(of[there]), plane(tables[context].n[at[there]].astype("<u8"))))
-            if rows:
-                yield from parts(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND)], schema=_FOUND), PACKED)
-
-    dealt = both.repartition("range").sortWithinPartitions("range", "block")
-    return dealt.mapInArrow(run, "block int, context boolean, keys binary, ns binary")
-
-
 def _words_found(docs: DataFrame, known, words_of: DataFrame) -> DataFrame:
     """block, key, n (by language), t of each block's words that are not
     broadcast."""
@@ -678,7 +641,7 @@ def _scored(docs: DataFrame, words_found: DataFrame, found: DataFrame, model: Au
 
         for batch, rare in _by_block(batches, size):
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
-            for rows, buf, offs in slices(batch):
+            for rows, buf, offs in slices(batch, max_bytes=SCORED):
                 texts = rows.stop - rows.start
                 stream, spelt, hashes, first, places = spell(buf, offs)
                 tokens, edges, pairs, triples = sequences(hashes, first)
@@ -817,34 +780,30 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     discard(counts)
     total = F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x)
     tokens = words_of.agg(F.sum(total)).first()[0] or 0
+    documents = {r["language"]: r["n"] for r in train.groupBy("language").agg(F.count("*").alias("n")).collect()}
     bits = max(0, (2 * tokens // RANGE_KEYS).bit_length())
-    tables = _word_grams(rows, bits)
-    behind = _told(tables, True, lambda keys, ns: keys >> _U(63 - TOKEN_BITS) == 0)  # words, and the begin
+    blocks = -(-n_bytes // BLOCK_BYTES) or 1
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(ROW), F.lit(blocks)).cast("int"))
+    tables = _word_grams(rows, bits, WORD_SHARE * max(1, tokens + sum(documents.values())))
+    behind = _told(tables, True, lambda keys: keys >> _U(63 - TOKEN_BITS) == 0)  # words, and the begin
     behind = behind.select(F.col("key").alias("context"), F.col("n").alias("t"))
     # A word seen once has one token behind it.
     with_t = _with_context(words_of).join(behind, "context", "left").select("key", "n", F.coalesce("t", F.lit(1)).cast("bigint").alias("t"))
     words_t = materialize(with_t, "word-counts")
     discard(words_of)
-    documents = {r["language"]: r["n"] for r in train.groupBy("language").agg(F.count("*").alias("n")).collect()}
     begin = behind.where(F.col("context") == int(contexts(np.array([_BEGIN]), False)[0])).first()
     known = word_counts(words_t, tables, begin and begin["t"], [documents.get(k, 0) for k in range(size)], WORD_SHARE)
     discard(behind)
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
-    # Rare words, pairs and triples: their counts by block.
-    blocks = F.pmod(F.xxhash64(ROW), F.lit(-(-n_bytes // BLOCK_BYTES) or 1)).cast("int")
-    rows = rows.withColumn("block", blocks)
     words_found = materialize(_words_found(rows, shared, words_t), "found-words", 2048, large=True)
     discard(words_t)
-    # Written between, so that the texts' shuffle is gone when the keys' begins.
-    asked = materialize(_grams_asked(rows, shared, bits), "asked-grams", 2048, ROW_GROUP, large=True)
-    found = None
-    for k in range(ASK_PASSES):
-        part = materialize(_answered(asked, tables, k), "found-grams", 256, ROW_GROUP, large=True)
-        found = part if found is None else found.union(part)
-    discard(asked)
-    discard(tables)
-    joined = _scored(rows, words_found, found, model, shared)
+    joined, passes = None, min(SCORE_PASSES, blocks)
+    for k in range(passes):
+        ours = (F.col("block") >= 0) & (F.pmod("block", F.lit(passes)) == k)
+        part = materialize(_scored(*(df.where(ours) for df in (rows, words_found, tables)), model, shared), "scores", 1024, large=True)
+        joined = part if joined is None else joined.union(part)
+    discard(words_found, tables)
     # The branches' probabilities, added; the largest is taken out for range.
     share = (known.ends + 1.0) / (known.ends.sum() + size)
     branch = F.array(*[F.col("logs")[k] + F.lit(float(np.log10(share[k]))) for k in range(size)])

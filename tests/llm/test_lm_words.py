@@ -1,13 +1,17 @@
 """The word tiers of the language model, against a dictionary model."""
 
+import glob
 import math
 import random
+import tempfile
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from tableflow.llm import lm
+from tableflow.llm.common import materialize
 from tests.llm import brute, edge
 from tests.llm.test_models import _held_out, lm_flat
 
@@ -113,3 +117,49 @@ def test_tables_stay_packed(spark, monkeypatch):
         got[row.context].update(zip(own.tolist(), ns.tolist()))
     assert got[False] == {k: n for k, n in times.items() if n > 1 or k in set(keys[True])}
     assert got[True] == {k: n for k, n in behind.items() if n > 1}
+
+
+def test_blocks_are_told_the_counts_of_what_they_sent(spark):
+    """What is counted goes back to the blocks that sent it and is not asked for again."""
+    texts = [edge.prose(3 + k % 20, 40) for k in range(30)]
+    rows = [(k % 5 == 0, t, k % 3) for k, t in enumerate(texts)]
+    sent = {b: set(lm._grams_of(*lm_flat([t for _, t, x in rows if x == b]))[0].tolist()) for b in range(3)}
+    times = Counter(lm._grams_of(*lm_flat([t for ask, t, _ in rows if not ask]))[0].tolist())
+    asked = set(lm._grams_of(*lm_flat([t for ask, t, _ in rows if ask]))[0].tolist())
+    behind = Counter(key >> lm.TOKEN_BITS for key in times)
+    grams = {k: n for k, n in times.items() if n > 1 or k in asked}
+    heads = {k: n for k, n in behind.items() if n > 1}
+    is_word = lambda k: not k >> (63 - lm.TOKEN_BITS)
+    want = {(-1, False): {k: n for k, n in grams.items() if n >= 4}, (-1, True): {k: n for k, n in heads.items() if n >= 4 or is_word(k)}}
+    for b, keys in sent.items():
+        own = {k >> lm.TOKEN_BITS for k in keys}
+        want[b, False] = {k: n for k, n in grams.items() if n < 4 and k in keys}
+        want[b, True] = {k: n for k, n in heads.items() if n < 4 and not is_word(k) and k in own}
+    got = defaultdict(dict)
+    for row in lm._word_grams(spark.createDataFrame(rows, "held_out boolean, text string, block int"), 3, 4).collect():
+        for k, n in zip(lm.unpack(row["keys"]).tolist(), lm.unplane(row["ns"]).tolist()):
+            assert k not in got[row.block, row.context]
+            got[row.block, row.context][k] = n
+    assert got == {at: told for at, told in want.items() if told}
+    assert len(want[0, False]) > 5
+
+
+def test_keys_in_any_order_are_found():
+    r = np.random.default_rng(7)
+    table = lm.Table.of(r.permutation(500).astype(np.uint64) * np.uint64(2), np.arange(500))
+    keys = r.integers(1100, size=300).astype(np.uint64)
+    for of in (keys, np.sort(keys), keys[:0]):
+        at, there = table.find(of)
+        assert there.tolist() == [int(k) % 2 == 0 and k < 1000 for k in of]
+        assert (table.keys[at[there]] == of[there]).all()
+
+
+def test_a_large_shuffle_is_gone_after_the_write(spark):
+    files = lambda: set(glob.glob(f"{spark.conf.get('spark.local.dir', tempfile.gettempdir())}/blockmgr-*/*/shuffle_*"))
+    before = files()
+    out = materialize(spark.range(20_000).repartition("id"), "large", large=True)
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert out.count() == 20_000
